@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from relcheck.llm import line_dedup, quality_rules
+from relcheck.llm import decontaminate, license_scan, line_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_sharding": sharding.op3_sharding,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
