@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from relcheck.llm import decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, sharding
+from relcheck.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op3_sharding": sharding.op3_sharding,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_license_scan": license_scan.op7_license_scan,
