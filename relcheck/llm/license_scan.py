@@ -18,7 +18,6 @@ K = 3
 COVERED = 0.8
 LONGER = 1.5
 NEXT_TO = 2
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Base phrases and their labels.
@@ -42,7 +41,9 @@ TEMPLATES = [
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z as a-z. Other letters may change too, but to others outside of ASCII: the two that lower() makes ASCII letters
+    of (U+0130, U+212A) are replaced before, so that words are found and compared as if only A-Z had changed."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u0138")))
 
 
 def words_of(low: Column) -> Column:
