@@ -34,7 +34,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     they don't remove each other. A document that loses all lines gets ''. Empty tables give empty results.
     """
     base = packed(docs, id_col, text_col)
-    windows = base.select("_id", "_h", F.explode(windows_of(F.split("_text", "\n"))).alias("w")).select("_id", "_h", "w.*")
+    windows = saved(base.select("_id", "_h", F.explode(windows_of(F.split("_text", "\n"))).alias("w")).select("_id", "_h", "w.*"))
     place = F.struct("_id", "_h", "j")
     first = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first")

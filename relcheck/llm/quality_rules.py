@@ -26,6 +26,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def without(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def trigram_hashes(ws: Column) -> Column:
     some = F.transform(F.slice(ws, 1, F.size(ws) - 2), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
     return F.when(F.size(ws) >= 3, some).otherwise(F.array().cast("array<bigint>"))
@@ -35,8 +41,8 @@ def repeated_words(ws: Column) -> Column:
     """Words that stand in a 3-word window which the text holds twice or more."""
 
     def covered(grams: Column) -> Column:
-        by_hash = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        places = lambda s: F.array_sort(F.transform(F.filter(s, lambda x, j: (x.h == F.get(s, j - 1).h) | (x.h == F.get(s, j + 1).h)), lambda x: x.i))
+        by_hash = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        places = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: (x.h == F.get(s, j - 1).h) | (x.h == F.get(s, j + 1).h)), lambda x: x.i))
         steps = lambda p: F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3))))
         return let(by_hash, lambda s: let(places(s), lambda p: F.aggregate(steps(p), F.lit(0), lambda a, x: a + x)))
 
@@ -45,7 +51,7 @@ def repeated_words(ws: Column) -> Column:
 
 def normalised_lines(text: Column) -> Column:
     """Lower case, every digit as 0, no space around; one entry for each \\n-split line."""
-    return F.transform(F.split(F.translate(F.lower(text), "123456789", "000000000"), "\n"), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(F.lower(text), "[1-9]", "0"), "\n"), lambda x: F.trim(x))
 
 
 def line_key(line: Column) -> Column:
@@ -88,8 +94,8 @@ def quality_rules(
         "row",
         "_text",
         let(words_of(text), lambda ws: F.struct(F.size(ws).cast("bigint").alias("n"), repeated_words(ws).cast("bigint").alias("r"))).alias("_w"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("bigint").alias("_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("_symbols"),
+        F.length(without(text, " \t\n\x0b\f\r")).cast("bigint").alias("_chars"),
+        (F.length(text) - F.length(without(text, SYMBOLS))).cast("bigint").alias("_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("_dup"),
         F.when(F.col("_heavy").isNull(), text).otherwise(F.array_join(F.transform(kept_lines, lambda x: x.l), "\n")).alias("_clean"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relcheck.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, sharding
+from relcheck.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality_rules, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_pii": pii.op8_pii,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
