@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from relcheck.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, quality_rules, sharding, suffix_dedup
+from relcheck.llm import bpe, decontaminate, jaccard_join, license_scan, line_dedup, pii, pitman_yor, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_sharding": sharding.op3_sharding,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_lm_scores": pitman_yor.op5_lm_scores,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_pii": pii.op8_pii,
