@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,10 @@ from relcheck.llm.shingles import BYTE, PART_BYTES, U, mixed
 WINDOW = 16
 #: A chunk has 1024 bytes on average.
 CUT_BITS = U(0x3FF)
-#: Pieces whose ids a task remembers.
-MEMO = 200_000
+#: Pieces whose ids a Python worker remembers, over all its tasks; later ones are remembered for a batch.
+MEMO = 700_000
+#: Pieces encoded in one text.
+TOGETHER = 2000
 #: Characters on each side that a join's repair starts with.
 MARGIN = 48
 
@@ -90,22 +94,38 @@ class Codec:
         self.pieces, self.spaced = splits_at_space(config), config.get("decoder") is None
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) for i in range(size)] if self.spaced else []
-        self.memo: dict[str, tuple[list[int], str, str]] = {"": ([], "", "")}
+        self.numbers = [str(i) for i in range(size)]
+        self.memo: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
+        self.recent: dict[str, tuple[int, str, str]] = {}
 
     def learn(self, texts: list[str]) -> None:
-        """Encodes the pieces of texts that aren't known, all at once."""
-        if len(self.memo) > MEMO:
-            self.memo = {"": ([], "", "")}
-        new = list({p for t in texts for p in t.replace("\n", " ").split(" ")} - self.memo.keys())
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        """Encodes the pieces of texts that aren't known, many in one text. Per piece: number of ids, ids, names."""
+        self.recent = {}
+        memo = self.memo if len(self.memo) < MEMO else self.recent
+        new = [p for p in {p for t in texts for p in t.replace("\n", " ").split(" ")} if p not in self.memo]
+        if not new:
+            return
+        texts = [" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)]
+        for k, e in enumerate(self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            own = new[k * TOGETHER : (k + 1) * TOGETHER]
+            starts = np.cumsum([0, *[len(p) + 1 for p in own]])
+            at = np.searchsorted([x for x, _ in e.offsets], starts).tolist()  # where each piece's tokens begin
             ids = e.ids
-            self.memo[piece] = (ids, " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]) if self.spaced else "")
+            told = list(map(self.numbers.__getitem__, ids))
+            names = list(map(self.names.__getitem__, ids)) if self.spaced else []
+            for p, x, y in zip(own, at, at[1:], strict=False):
+                memo[p] = (y - x, " ".join(told[x:y]), " ".join(names[x:y]))
 
     def ids(self, text: str) -> list[int]:
         if not self.pieces:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         self.learn([text])
-        return [i for p in text.replace("\n", " ").split(" ") for i in self.memo[p][0]]
+        return [int(i) for x in self.told(text) for i in x[1].split()]
+
+    def told(self, text: str) -> list[tuple[int, str, str]]:
+        """What is known of the pieces of a text that was learnt."""
+        known, recent = self.memo.get, self.recent
+        return [known(p) or recent[p] for p in text.replace("\n", " ").split(" ")]
 
     def decoded(self, ids: list[int]) -> str:
         return " ".join([self.names[i] for i in ids]) if self.spaced else self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -118,8 +138,8 @@ class Codec:
         self.learn(texts)
         out = []
         for t in texts:
-            found = [x for x in map(self.memo.__getitem__, t.replace("\n", " ").split(" ")) if x[1]]
-            out.append((sum(len(x[0]) for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
+            found = [x for x in self.told(t) if x[0]]
+            out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
         return out
 
     def joined(self, left: str, ids: list[int], right: str, more: list[int]) -> list[int]:
@@ -140,6 +160,14 @@ class Codec:
             margin *= 2
 
 
+def worker_codec(path: str) -> Codec:
+    """The codec of this Python worker: Spark runs many tasks in one worker, and what it has encoded stays known."""
+    kept = sys.modules.setdefault("relcheck_codecs", types.ModuleType("relcheck_codecs"))
+    if path not in vars(kept):
+        setattr(kept, path, Codec(path))
+    return getattr(kept, path)
+
+
 def before_space(text: str, at: int) -> int:
     """The last place up to at where a space or newline follows another character; 0 if there is none."""
     while at > 0 and not (text[at] in " \n" and text[at - 1] not in " \n"):
@@ -163,7 +191,7 @@ def chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def publisher(path: str, wide: bool):
     def publish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = worker_codec(path)
         for pdf in batches:
             rows = []
             for text, uses in zip(pdf["_text"], pdf["uses"], strict=True):
@@ -185,7 +213,7 @@ def result(keys: pd.DataFrame, told: list[tuple[int, str, str]], full: bool) ->
 
 def encoder(path: str, wide: bool, full: bool):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = worker_codec(path)
         for pdf in batches:
             for k in range(0, len(pdf), 128):
                 part = pdf.iloc[k : k + 128]

@@ -33,6 +33,8 @@ RECALL = 0.999
 FEW = 64
 LEVELS = 8
 NEAR, SAME = 0.6, 0.85
+#: Rows of small buckets that a task compares at a time, on average.
+SLOT_ROWS = 20_000
 #: Classes on each side of an exact comparison.
 BLOCK = 256
 SALT = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
@@ -77,16 +79,35 @@ def first_paths(runs: int):
 LINK = "u1 long, u2 long, v1 long, v2 long"
 
 
-def brute_force(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a small bucket: each class with the first of its group of estimates over NEAR."""
-    sigs, n = matrix(pdf["sig"]), len(pdf)
-    alike = np.array([(sigs == s).mean(axis=1) >= NEAR for s in sigs])
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of the component of each of 0..n-1 under links x - y."""
     root = np.arange(n)
-    for _ in range(n):
-        lower = np.where(alike, root[None, :], n).min(axis=1)
+    while True:
+        lower = root.copy()
+        np.minimum.at(lower, x, root[y])
+        np.minimum.at(lower, y, root[x])
+        lower = lower[lower]
         if (lower == root).all():
-            break
+            return root
         root = lower
+
+
+def brute_force(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Compares all pairs within each of many small buckets; each class is linked to the first of its group of estimates
+    over NEAR."""
+    pdf = pdf.sort_values(["path", "k1", "k2"], ignore_index=True)
+    sigs, path, n = matrix(pdf["sig"]), pdf["path"].to_numpy(), len(pdf)
+    first, second = [], []
+    for d in range(1, FEW):
+        at = np.flatnonzero(path[d:] == path[: n - d])
+        if not len(at):
+            break
+        for k in range(0, len(at), 1 << 14):
+            x = at[k : k + (1 << 14)]
+            close = (sigs[x] == sigs[x + d]).sum(axis=1) >= NEAR * TOKENS
+            first.append(x[close])
+            second.append(x[close] + d)
+    root = roots(n, np.concatenate(first), np.concatenate(second)) if first else np.arange(n)
     rest = np.flatnonzero(root != np.arange(n))
     k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
     return pd.DataFrame({"u1": k1[rest], "u2": k2[rest], "v1": k1[root[rest]], "v2": k2[root[rest]]})
@@ -118,7 +139,7 @@ def split_once(last: bool):
 
 def shared_paths(rows: DataFrame) -> DataFrame:
     """rows (path, k1, k2) of paths with two classes or more, with that count as `many`."""
-    rows = saved(rows.distinct())
+    rows = saved(rows)
     many = rows.groupBy(F.col("path").alias("path2")).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     return rows.join(many, F.col("path") == F.col("path2")).drop("path2")
 
@@ -131,7 +152,9 @@ def path_links(classes: DataFrame, recall: float) -> DataFrame:
     for level in range(LEVELS):
         met = shared_paths(rows)
         met = saved(met.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("path", "k1", "k2", "sig", "many"))
-        found.append(met.where(F.col("many") <= FEW).groupBy("path").applyInPandas(brute_force, LINK))
+        few = met.where(F.col("many") <= FEW)
+        slots = max(1, few.count() // SLOT_ROWS)
+        found.append(few.groupBy(F.pmod(F.xxhash64("path"), F.lit(slots)).alias("slot")).applyInPandas(brute_force, LINK))
         large = met.where(F.col("many") > FEW)
         if not large.limit(1).count():
             break
@@ -173,34 +196,36 @@ def common_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def exact(threshold: float):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in pdf.groupby(["l1", "l2"], sort=False):  # several small components in a pack
-            own = own.drop_duplicates(["k1", "k2", "bi", "bj"]).sort_values(["k1", "k2"])
-            i, j = int(own["bi"].iloc[0]), int(own["bj"].iloc[0])
-            x = own[own["block"] == i]
-            y = x if i == j else own[own["block"] == j]
-            if x.empty or y.empty:
+        """One pair of blocks of a large component, or many small components."""
+        pdf = pdf.drop_duplicates(["k1", "k2", "block"]).sort_values(["l1", "l2", "block", "k1", "k2"], ignore_index=True)
+        i, j, wide = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0]), bool(pdf["blocks"].iloc[0] > 1)
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
+        l1, l2, block = (pdf[c].to_numpy() for c in ("l1", "l2", "block"))
+        cut = np.flatnonzero(np.concatenate([[True], (l1[1:] != l1[:-1]) | (l2[1:] != l2[:-1]), [True]]))
+        first, second = [], []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            m = a + int((block[a:b] == i).sum()) if i != j else b
+            low, high = (a, b) if i == j else (m, b)
+            if i == j and b - a == 2:
+                n = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
+                if n >= threshold * (len(sets[a]) + len(sets[a + 1]) - n) - 1e-6:
+                    first.append([a])
+                    second.append([a + 1])
+                continue
+            if m == a or high == low:
                 continue
-            left, right = ([np.frombuffer(b, np.uint64) for b in s["items"]] for s in (x, y))
-            common = common_sizes(left, right)
-            sizes = np.array([len(a) for a in left])[:, None] + np.array([len(b) for b in right])[None, :] - common
-            linked = common >= threshold * sizes - 1e-6
-            if i == j:
-                np.fill_diagonal(linked, False)
-            both = x if i == j else pd.concat([x, y])
-            n, m = len(x), len(both)
-            full = linked if i == j else np.block([[np.zeros((n, n), bool), linked], [linked.T, np.zeros((m - n, m - n), bool)]])
-            root = np.arange(m)
-            for _ in range(m):
-                lower = np.minimum(root, np.where(full, root[None, :], m).min(axis=1, initial=m))
-                lower = lower[lower]
-                if (lower == root).all():
-                    break
-                root = lower
-            k1, k2, many = both["k1"].to_numpy(), both["k2"].to_numpy(), both["many"].to_numpy()
-            out.append(pd.DataFrame({"k1": k1, "k2": k2, "links": full @ many, "classes": full.sum(axis=1), "r1": k1[root], "r2": k2[root], "wide": bool(own["blocks"].iloc[0] > 1)}))
-        names = ["k1", "k2", "links", "classes", "r1", "r2", "wide"]
-        return pd.concat(out)[names] if out else pd.DataFrame({n: pd.Series(dtype="bool" if n == "wide" else "int64") for n in names})
+            common = common_sizes(sets[a:m], sets[low:high])
+            either = np.array([len(x) for x in sets[a:m]])[:, None] + np.array([len(x) for x in sets[low:high]])[None, :] - common
+            x, y = np.nonzero(np.triu(common >= threshold * either - 1e-6, 1) if i == j else common >= threshold * either - 1e-6)
+            first.append(x + a)
+            second.append(y + low)
+        x, y = (np.concatenate([np.asarray(z, np.int64) for z in s] or [np.zeros(0, np.int64)]) for s in (first, second))
+        n, many = len(pdf), pdf["many"].to_numpy()
+        root = roots(n, x, y)
+        links = np.bincount(x, many[y], n) + np.bincount(y, many[x], n)
+        classes = np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+        k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
+        return pd.DataFrame({"k1": k1, "k2": k2, "links": links.astype(np.int64), "classes": classes, "r1": k1[root], "r2": k2[root], "wide": wide})
 
     return compare
 
@@ -222,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = groups.groupBy(F.col("label").alias("label2")).agg(F.count(F.lit(1)).alias("size"))
     groups = groups.join(sized, F.col("label") == F.col("label2")).select("node.k1", "node.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "size")
     members = saved(groups.join(classes.drop("sig"), ["k1", "k2"]))
-    packs = max(1, members.count() // 1000)
+    packs = max(1, members.count() // 500)
     sets = join_small(base, members, same_row(base, members), "inner", width=96).drop("_id", "_h", "_id2", "_h2")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
@@ -231,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("l1", "l2"), F.lit(packs))).otherwise(F.xxhash64("l1", "l2"))
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("*", pack.alias("pack"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    counts = saved(sets.groupBy("pack", "bi", "bj").applyInPandas(exact(threshold), COUNTS))
+    tasks = max(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = saved(sets.repartition(tasks, "pack", "bi", "bj").groupBy("pack", "bi", "bj").applyInPandas(exact(threshold), COUNTS))
     total = counts.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"), F.min(F.struct("r1", "r2")).alias("r"), F.max("wide").alias("wide"))
     pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     wide = components(counts.where("wide").select(pair("k1", "k2").alias("u"), pair("r1", "r2").alias("v")))

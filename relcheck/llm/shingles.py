@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-#: Bytes of text hashed at a time.
-PART_BYTES = 2 << 20
+#: Bytes of text hashed at a time: few enough for the arrays to stay in a core's cache.
+PART_BYTES = 1 << 17
 WORDS = 5
 
 
@@ -38,7 +38,8 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            self.up, self.down = powers(STEP, n), powers(BACK, n)
+            size = 1 << max(20, (n - 1).bit_length())
+            self.up, self.down = powers(STEP, size), powers(BACK, size)
         return self.up[:n], self.down[:n]
 
 

@@ -34,6 +34,8 @@ LENGTH = 50
 GRAM = 16
 REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
+#: Bytes hashed at a time: few enough for the arrays to stay in a core's cache.
+PART_BYTES = 1 << 17
 BUCKET_BYTES = 8 << 20
 #: A trigger that more blocks hold has its strings sent by their own hashes.
 HOT_BLOCKS = 256
@@ -104,15 +106,15 @@ class Phrases:
 
 
 def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (document, offset, bytes) of about BLOCK_BYTES; longer texts in parts that overlap by 49 bytes."""
+    """Lists of (document, offset, bytes) of about PART_BYTES; longer texts in parts that overlap by 49 bytes."""
     now: list[tuple[int, int, bytes]] = []
     total = 0
     for n, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), BLOCK_BYTES):
-            part = t[at : at + BLOCK_BYTES + LENGTH - 1]
+        for at in range(0, max(1, len(t) - LENGTH + 1), PART_BYTES):
+            part = t[at : at + PART_BYTES + LENGTH - 1]
             if len(part) < LENGTH:
                 continue
-            if total and total + len(part) > BLOCK_BYTES:
+            if total and total + len(part) > PART_BYTES:
                 yield now
                 now, total = [], 0
             now.append((n, at, part))
