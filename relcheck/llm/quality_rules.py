@@ -5,7 +5,8 @@ The method: each document's lines are normalised and hashed; a line is heavy in
 loses more than half of its words that way is depleted and rejected.
 
 A host's heavy lines are few whatever its size: each takes a `share` of its documents, so there are at most
-1 / share times the mean number of lines. They are gathered in one array per host, and each document meets that array.
+1 / share times the mean number of lines. They are gathered in one array per host, and each document's line keys meet
+that array; only documents that have heavy lines then have their texts rewritten.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relcheck.llm.common import join_small, let, packed, saved, table, unpacked
+from relcheck.llm.common import join_small, let, packed, same_row, saved, table, unpacked
 
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -26,12 +27,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def without(text: Column, chars: str) -> Column:
-    for c in chars:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
-
-
 def trigram_hashes(ws: Column) -> Column:
     some = F.transform(F.slice(ws, 1, F.size(ws) - 2), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
     return F.when(F.size(ws) >= 3, some).otherwise(F.array().cast("array<bigint>"))
@@ -59,16 +54,20 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def heavy_lines(docs: DataFrame, text_col: str, host_col: str, share: float, min_docs: int) -> DataFrame:
-    """Per host (null is a host too) `_host` and `_heavy`, the keys of its heavy lines. Copies of one text count once."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(host_col).cast("string").alias("_host"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+def heavy_lines(base: DataFrame, share: float, min_docs: int) -> DataFrame:
+    """_id2, _h2, _host2, _heavy: the documents with heavy lines of their host, and the keys of those lines.
+
+    Works on the documents' line keys alone, which are written once. Copies of one text in a host count once."""
     lines = F.array_distinct(F.filter(normalised_lines(F.col("_text")), lambda x: x != ""))
-    each = base.select("_host", "_h", F.explode(lines).alias("_line")).select("_host", "_h", line_key(F.col("_line")).alias("_k"))
+    keys = saved(base.select("_id", "_h", "_host", F.transform(lines, line_key).alias("_keys")))
+    each = keys.select("_host", "_h", F.explode("_keys").alias("_k"))
     counted = each.groupBy("_host", "_k").agg(F.count_distinct("_h").alias("_n")).where(F.col("_n") >= min_docs)
-    hosts = saved(base.groupBy(F.col("_host").alias("_host2")).agg(F.count_distinct("_h").alias("_docs")))
+    hosts = saved(keys.groupBy(F.col("_host").alias("_host2")).agg(F.count_distinct("_h").alias("_docs")))
     heavy = join_small(counted, hosts, F.col("_host").eqNullSafe(F.col("_host2")), "inner").where(F.col("_n") >= share * F.col("_docs"))
-    return saved(heavy.groupBy("_host2").agg(F.collect_list("_k").alias("_heavy")))
+    heavy = saved(heavy.groupBy("_host2").agg(F.collect_list("_k").alias("_all")))
+    met = join_small(keys, heavy, F.col("_host").eqNullSafe(F.col("_host2")), "inner", width=4096)
+    own = met.select("_id", "_h", "_host", F.array_intersect("_keys", "_all").alias("_heavy")).where(F.size("_heavy") > 0)
+    return saved(own.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_host").alias("_host2"), "_heavy").distinct())
 
 
 def quality_rules(
@@ -81,9 +80,9 @@ def quality_rules(
     hold over half of the words. Null text: counts of 0, clean_text '', rejected. A null host is a host like others. Ids
     aren't used: repeated rows get equal results. Empty tables give empty results; extra columns stay.
     """
-    heavy = heavy_lines(docs, text_col, host_col, share, min_docs)
     base = packed(docs, id_col, text_col).withColumn("_host", F.col("row").getField(host_col).cast("string"))
-    met = join_small(base, heavy, F.col("_host").eqNullSafe(F.col("_host2")), "left", width=4096)
+    heavy = heavy_lines(base.drop("row"), share, min_docs)
+    met = join_small(base, heavy, same_row(base, heavy) & F.col("_host").eqNullSafe(F.col("_host2")), "left", width=128)
     text = F.col("_text")
     kept_lines = F.filter(
         F.arrays_zip(F.split(text, "\n").alias("l"), normalised_lines(text).alias("n")),
@@ -94,8 +93,8 @@ def quality_rules(
         "row",
         "_text",
         let(words_of(text), lambda ws: F.struct(F.size(ws).cast("bigint").alias("n"), repeated_words(ws).cast("bigint").alias("r"))).alias("_w"),
-        F.length(without(text, " \t\n\x0b\f\r")).cast("bigint").alias("_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("bigint").alias("_symbols"),
+        F.length(F.regexp_replace(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), SPACES, "")).cast("bigint").alias("_chars"),
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", "")).cast("bigint").alias("_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("_dup"),
         F.when(F.col("_heavy").isNull(), text).otherwise(F.array_join(F.transform(kept_lines, lambda x: x.l), "\n")).alias("_clean"),
     )

@@ -36,7 +36,7 @@ REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 #: Bytes hashed at a time: few enough for the arrays to stay in a core's cache.
 PART_BYTES = 1 << 17
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 #: A trigger that more blocks hold has its strings sent by their own hashes.
 HOT_BLOCKS = 256
 PLACE = U((1 << 22) - 1)
@@ -166,16 +166,16 @@ REPLY = "block long, bucket long, step int, x binary, y binary"
 
 def shared_triggers(pdf: pd.DataFrame) -> pd.DataFrame:
     """To each block its triggers (remainders) that another document holds: x all of them, y those of many blocks."""
-    once = [np.frombuffer(b, np.uint32) for b in pdf["once"]]
-    more = [np.frombuffer(b, np.uint32) for b in pdf["more"]]
-    value, n = np.unique(np.concatenate(once + more), return_counts=True)
-    twice = np.union1d(value[n > 1], np.concatenate(more))
-    hot = value[n > HOT_BLOCKS]
-    rows = []
-    for block, bucket, o, m in zip(pdf["block"], pdf["bucket"], once, more, strict=True):
-        own = np.concatenate([o, m])
-        if len(x := np.intersect1d(own, twice)):
-            rows.append((block, bucket, 1, x.tobytes(), np.intersect1d(own, hot).tobytes()))
+    own = [np.frombuffer(o + m, np.uint32) for o, m in zip(pdf["once"], pdf["more"], strict=True)]
+    single = [len(o) // 4 for o in pdf["once"]]
+    value, index, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    twice, hot = n > 1, n > HOT_BLOCKS
+    rows, at = [], np.split(index, np.cumsum([len(x) for x in own])[:-1])
+    for i, k in zip(at, single, strict=True):
+        twice[i[k:]] = True
+    for block, bucket, x, i in zip(pdf["block"], pdf["bucket"], own, at, strict=True):
+        if (keep := twice[i]).any():
+            rows.append((block, bucket, 1, x[keep].tobytes(), x[hot[i]].tobytes()))
     return pd.DataFrame(rows, columns=["block", "bucket", "step", "x", "y"])
 
 
@@ -236,7 +236,14 @@ def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
         strings = size[head[mixed_]] - LENGTH + 1
         of = np.repeat(mixed_, strings)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
-        suffix = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[begin[head[of]] + offset]
+        at = begin[head[of]] + offset
+        up, down = POWERS.get(len(text) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[text] * up[:-1])])
+        _, index, many = np.unique((sums[at + LENGTH] - sums[at]) * down[at], return_inverse=True, return_counts=True)
+        twice = many[index] > 1  # a string whose hash is alone has no equal
+        of, offset, at = of[twice], offset[twice], at[twice]
+    if len(mixed_) and len(at):
+        suffix = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
         suffix = np.ascontiguousarray(suffix).view(f"S{LENGTH}").ravel()
         sort = np.argsort(suffix, kind="stable")  # the suffix array, to the depth that matters
         ranked = suffix[sort]
@@ -258,7 +265,8 @@ def cut_block(bits: int, hashed: bool):
         if docs.empty:
             return pd.DataFrame({n: [] for n in ("_id", "n_bytes", "n_removed", "n_spans", "kept")})
         pdf, phrases = block_of(docs)
-        starts: dict[int, list[np.ndarray]] = {}
+        size = np.cumsum([0] + [len(t) for t in phrases.texts])
+        gone = np.zeros(size[-1] + 1, bool)
         if not replies.empty:
             shared_phrases(phrases, replies[replies["step"] == 1], bits)
             order, new = phrases.entries()
@@ -271,20 +279,18 @@ def cut_block(bits: int, hashed: bool):
             doc, low, high = phrases.doc[order], phrases.low[order], phrases.high[order]
             every = phrases.ids[doc] > least[entry]
             mask = np.where(every, ~U(0), some[entry])
-            for d, x, y, m in zip(doc[mask > 0], low[mask > 0], high[mask > 0], mask[mask > 0], strict=True):
-                at = np.arange(x, y + 1)
-                starts.setdefault(int(d), []).append(at[(m >> np.arange(y - x + 1, dtype=np.uint64)) & U(1) > 0])
+            some = mask > 0
+            base, mask, many = size[doc[some]] + low[some], mask[some], (high - low)[some] + 1
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = (np.repeat(base, many) + offset)[(np.repeat(mask, many) >> offset.astype(np.uint64)) & U(1) > 0]
+            step = np.bincount(at, minlength=size[-1] + 1) - np.bincount(at + LENGTH, minlength=size[-1] + 1)
+            gone = np.cumsum(step) > 0  # strings don't reach beyond their documents
         rows = []
         for n, text in enumerate(phrases.texts):
-            removed, spans, kept = 0, 0, text
-            if n in starts:
-                at = np.concatenate(starts[n])
-                step = np.zeros(len(text) + 1, np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + LENGTH, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                removed, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+            own, kept, removed, spans = gone[size[n] : size[n + 1]], text, 0, 0
+            if own.any():
+                removed, spans = int(own.sum()), int(own[0]) + int((~own[:-1] & own[1:]).sum())
+                kept = np.frombuffer(text, np.uint8)[~own].tobytes()
             rows.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest().encode() if hashed else kept))
         return pd.concat([pdf[["_id"]].astype("Int64"), pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
@@ -303,9 +309,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = max(1, total // BLOCK_BYTES)
     bits = min(28, max(0, (max(1, total) // BUCKET_BYTES).bit_length()))
     base = base.withColumn("block", F.pmod(F.xxhash64("_id", "_h"), F.lit(blocks)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
     own = base.groupBy("block")
-    first = own.applyInPandas(send_triggers(bits), FIRST).groupBy("bucket").applyInPandas(shared_triggers, REPLY)
-    second = own.cogroup(first.groupBy("block")).applyInPandas(send_phrases(bits), SECOND).groupBy("bucket").applyInPandas(dictionary, REPLY)
+    first = own.applyInPandas(send_triggers(bits), FIRST).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_triggers, REPLY)
+    second = own.cogroup(first.groupBy("block")).applyInPandas(send_phrases(bits), SECOND).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(dictionary, REPLY)
     out = own.cogroup(first.unionByName(second).groupBy("block")).applyInPandas(cut_block(bits, hashed), RESULT)
     return out.withColumnRenamed("_id", id_col)
 
