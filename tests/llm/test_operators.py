@@ -61,10 +61,13 @@ def test_quality_rules_edges(spark, df, empty, texts):
     out = quality_rules.quality_rules(df)
     assert out.count() == len(texts) and out.schema["n_words"].dataType.simpleString() == "bigint"
     assert quality_rules.quality_rules(empty).count() == 0
-    words = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, f"{words} {i}\nShared by all\n{words[::-1]}", "h") for i in range(30)]
+    own = lambda i: " ".join(chr(97 + i % 26) * (1 + i // 26) + "x" * j for j in range(60))
+    rows = [(i, f"{own(i)}\nShared by all {i % 10}", "h") for i in range(30)]
     got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert {(r.n_heavy_lines, r.kept, "Shared" in r.clean_text) for r in got.collect()} == {(2, True, False)}
+    assert {(r.n_heavy_lines, r.n_heavy_words, r.kept, "Shared" in r.clean_text) for r in got.collect()} == {(1, 4, True, False)}
+    short = [(100 + i, f"{'y' * i}\n" + "Shared by all 1\n" * 20, "h") for i in range(3)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows + short, "doc_id long, text string, source string"))
+    assert {r.doc_id: r.kept for r in got.collect()} == {i: i < 100 for i, _, _ in rows + short}
 
 
 def test_bpe_equals_the_library(df, empty, texts, tmp_path):
