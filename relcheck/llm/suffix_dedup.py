@@ -37,6 +37,8 @@ BLOCK_BYTES = 2 << 20
 #: Bytes hashed at a time: few enough for the arrays to stay in a core's cache.
 PART_BYTES = 1 << 17
 BUCKET_BYTES = 3 << 20
+#: Bytes of phrases whose suffixes are sorted at a time.
+SORT_BYTES = 1 << 20
 #: A trigger that more blocks hold has its strings sent by their own hashes.
 HOT_BLOCKS = 256
 PLACE = U((1 << 22) - 1)
@@ -215,6 +217,38 @@ def send_phrases(bits: int):
     return send
 
 
+def whole_triggers(mixed_: np.ndarray, trigger: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """mixed_ in parts of about SORT_BYTES of text; phrases of one trigger stay together."""
+    slot = np.cumsum(size[mixed_]) // SORT_BYTES
+    new = np.concatenate([[True], trigger[mixed_][1:] != trigger[mixed_][:-1]])[: len(mixed_)]
+    slot = slot[np.maximum.accumulate(np.where(new, np.arange(len(mixed_)), 0))]  # each in its trigger's first slot
+    yield from np.split(mixed_, np.flatnonzero(slot[1:] != slot[:-1]) + 1) if len(mixed_) else []
+
+
+def smaller_strings(text: np.ndarray, begin: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each phrase a bit for each of its strings that a phrase with a smaller least id holds too."""
+    bits, strings = np.zeros(len(size), np.uint64), size - LENGTH + 1
+    of = np.repeat(np.arange(len(size)), strings)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+    at = begin[of] + offset
+    up, down = POWERS.get(len(text) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[text] * up[:-1])])
+    _, index, many = np.unique((sums[at + LENGTH] - sums[at]) * down[at], return_inverse=True, return_counts=True)
+    twice = many[index] > 1  # a string whose hash is alone has no equal
+    of, offset, at = of[twice], offset[twice], at[twice]
+    if len(at):
+        suffix = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
+        suffix = np.ascontiguousarray(suffix).view(f"S{LENGTH}").ravel()
+        sort = np.argsort(suffix, kind="stable")  # the suffix array, to the depth that matters
+        ranked = suffix[sort]
+        group = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])) - 1
+        low = np.full(group[-1] + 1, LAST, np.int64)
+        np.minimum.at(low, group, least[of[sort]])
+        smaller = low[group] < least[of[sort]]
+        np.bitwise_or.at(bits, of[sort][smaller], U(1) << offset[sort][smaller].astype(np.uint64))
+    return bits
+
+
 def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
     """To each block, in the order of its entries: x the least id with the phrase, y a bit for each string of it that
     stands in a document with an id smaller than that."""
@@ -232,26 +266,10 @@ def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
     edge = np.concatenate([[True], trigger[1:] != trigger[:-1], [True]])
     mixed_ = np.flatnonzero(~(edge[:-1] & edge[1:]))  # phrases whose trigger has others too
     bits = np.zeros(len(head), np.uint64)
-    if len(mixed_):
-        strings = size[head[mixed_]] - LENGTH + 1
-        of = np.repeat(mixed_, strings)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
-        at = begin[head[of]] + offset
-        up, down = POWERS.get(len(text) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[text] * up[:-1])])
-        _, index, many = np.unique((sums[at + LENGTH] - sums[at]) * down[at], return_inverse=True, return_counts=True)
-        twice = many[index] > 1  # a string whose hash is alone has no equal
-        of, offset, at = of[twice], offset[twice], at[twice]
-    if len(mixed_) and len(at):
-        suffix = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
-        suffix = np.ascontiguousarray(suffix).view(f"S{LENGTH}").ravel()
-        sort = np.argsort(suffix, kind="stable")  # the suffix array, to the depth that matters
-        ranked = suffix[sort]
-        group = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])) - 1
-        low = np.full(group[-1] + 1, LAST, np.int64)
-        np.minimum.at(low, group, least[of[sort]])
-        smaller = low[group] < least[of[sort]]
-        np.bitwise_or.at(bits, of[sort][smaller], U(1) << offset[sort][smaller].astype(np.uint64))
+    for part in whole_triggers(mixed_, trigger, size[head]):
+        own = size[head[part]]
+        inner = np.cumsum(own) - own
+        bits[part] = smaller_strings(text[np.repeat(begin[head[part]] - inner, own) + np.arange(own.sum())], inner, own, least[part])
     cut = np.cumsum([0] + [len(x) for x in each])
     rows = [(block, bucket, 2, least[phrase[x:y]].tobytes(), bits[phrase[x:y]].tobytes()) for block, bucket, x, y in zip(pdf["block"], pdf["bucket"], cut[:-1], cut[1:], strict=True)]
     return pd.DataFrame(rows, columns=["block", "bucket", "step", "x", "y"])
