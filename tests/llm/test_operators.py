@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,26 @@ def test_suffix_dedup(df, empty, texts, hot, monkeypatch):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 1])
+def test_suffix_dedup_steps(texts, hot, monkeypatch):
+    """The steps without Spark: what workers read from the module can be set here."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 2000)
+    bits, tables = 2, []
+    for b in range(3):
+        own = [(i, k, t or "", b) for k, (i, t) in enumerate(texts) if k % 3 == b]
+        tables.append(pd.DataFrame(own, columns=["_id", "_h", "_text", "block"]).astype({"_id": "Int64"}))
+    each = lambda rows, f: pd.concat([f(x) for _, x in pd.concat(rows).groupby("bucket")])
+    first = each([suffix_dedup.send_triggers(bits)(t) for t in tables], suffix_dedup.shared_triggers)
+    mine = lambda replies, b: replies[replies["block"] == b]
+    second = each([suffix_dedup.send_phrases(bits)(t, mine(first, b)) for b, t in enumerate(tables)], suffix_dedup.dictionary)
+    every = pd.concat([first, second])
+    assert hot > 1 or any(first["y"].map(len))
+    out = pd.concat([suffix_dedup.cut_block(bits, False)(t, mine(every, b)) for b, t in enumerate(tables)])
+    got = [(None if i is pd.NA else i, *x) for i, *x in out.itertuples(index=False, name=None)]
+    assert bag(got) == bag(removed_bytes(texts))
+
+
 def test_lm_scores(df, empty, texts, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 40_000)
     out = pitman_yor.lm_scores(df).collect()
