@@ -206,3 +206,34 @@ def family(relation: Column, families: dict[str, list[str]], other: str = "other
     for name, members in reversed(list(families.items())):
         out = F.when(normal_relation(relation).isin(*members), name).otherwise(out)
     return out
+
+
+# The question forms, with their lazy and greedy groups, their tags and how the statement is put together.
+QUESTION_FORMS = [
+    (r"(?i)^Is there (an?|the) (.+?) (above|on|left|right|under|in) to (an?|the) (.+) in the image$", "mmrel_spatial_to", "{0} {1} is {2} to {3} {4}."),
+    (r"(?i)^Is there (an?|the) (.+?) (in|on|above|under|left|right|at|near|over|by) (an?|the) (.+) in the image$", "mmrel_spatial_prep", "{0} {1} is {2} {3} {4}."),
+    (r"(?i)^Does (an?|the) (.+) ([A-Za-z-]+) (an?|the) (.+) in the image$", "mmrel_action", "{0} {1} {verb} {3} {4}."),
+]
+
+
+def statement_of_question(question: Column) -> Column:
+    """SF-20: struct of statement and tag, by the first form that fits; no form: null and mmrel_fail. Null is ''."""
+    bare = F.regexp_replace(stripped(F.coalesce(question, F.lit(""))), r"(?i)\s*Please answer with one word\.?\s*$", "")
+    bare = stripped(F.regexp_replace(bare, r"\?+$", ""))
+    said, tag = F.lit(None).cast("string"), F.lit("mmrel_fail")
+    for pattern, name, form in reversed(QUESTION_FORMS):
+        part = [F.regexp_extract(bare, pattern, k) for k in range(1, 6)]
+        words = [third_person(part[2]) if w == "{verb}" else part[int(w[1])] if w[0] == "{" else F.lit(w) for w in form.rstrip(".").split(" ")]
+        fits = bare.rlike(pattern)
+        said = F.when(fits, F.concat(capitalised(spaced(F.concat_ws(" ", *words))), F.lit("."))).otherwise(said)
+        tag = F.when(fits, name).otherwise(tag)
+    return F.struct(said.alias("statement"), tag.alias("tag"))
+
+
+def masked_losses(losses: Column, places: Column) -> Column:
+    """SF-30: struct of n, total and mean of the losses at places (from 0; those outside are left out) and located; no
+    place inside: 0, nulls and false."""
+    inside = F.filter(places, lambda i: (i >= 0) & (i < F.size(losses)))
+    n = F.size(inside)
+    total = F.when(n > 0, F.aggregate(F.transform(inside, lambda i: F.get(losses, i)), F.lit(0.0), lambda a, x: a + x))
+    return F.struct(F.greatest(n, F.lit(0)).alias("n"), total.alias("total"), F.try_divide(total, n).alias("mean"), (n > 0).alias("located"))

@@ -45,6 +45,18 @@ def test_text_functions(spark):
     assert values(spark, T.placeholders, ("{b} and {a} and {b}",)) == [["{b}", "{a}"]]
 
 
+def test_statement_of_question(spark):
+    asked = [("Is there a cat on the mat in the image? Please answer with one word.",), ("Is there a cup left to a big box in the image?",), ("Does the man watch a dog in the image?",), ("What?",), (None,)]
+    assert [tuple(x) for x in values(spark, T.statement_of_question, *asked)] == [
+        ("A cat is on the mat.", "mmrel_spatial_prep"), ("A cup is left to a big box.", "mmrel_spatial_to"), ("The man watches a dog.", "mmrel_action"), (None, "mmrel_fail"), (None, "mmrel_fail"),
+    ]
+
+
+def test_masked_losses(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 4.0], [1, 2, 9]), ([1.0], [])], "x array<double>, i array<int>")
+    assert [tuple(r[0]) for r in df.select(T.masked_losses(F.col("x"), F.col("i"))).collect()] == [(2, 6.0, 3.0, True), (0, None, None, False)]
+
+
 def test_array_functions(spark):
     df = spark.range(1).select(F.array(*map(F.lit, [1, 2, 3, 2, 3])).alias("h"), F.array(F.lit(2), F.lit(3)).alias("n"), F.array().cast("array<int>").alias("e"))
     assert df.select(T.subarray_at(F.col("h"), F.col("n"))).first()[0] == 1
