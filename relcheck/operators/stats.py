@@ -7,11 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from relcheck.operators.metrics import n_if
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     """SF-31: Spark has no complementary error function; applied to aggregates only."""
     return x.map(math.erfc, na_action="ignore")
