@@ -4,18 +4,19 @@ Each word is a context restaurant for the words that follow it; all of them shar
 uniform over the known words and one unknown. A customer of a context restaurant who opens a table is a customer of the
 parent. Rounds of blocked Gibbs: in each, the number of tables of every section (context, word) is drawn from its
 conditional, given the restaurant's other tables and the parent's probability of the word as the round before left them;
-then the parent is seated anew. SAMPLES chains are drawn, and a text's score averages the predictive probabilities of
-their seatings, token by token.
+then the parent's tables of every word are drawn in the same way. The first BURN_IN rounds are thrown away; a text's score
+averages the predictive probabilities of the SAMPLES seatings that follow, token by token.
 
 On Spark: each task packs its documents' tokens into one blob for each bucket of sections; a bucket counts its sections
-and seats them; it exchanges numbers with the buckets of words (counts, customers, tables), which hold the parent and the
-contexts' totals. The tokens are shuffled once and read in each round; what a bucket draws is seeded by its number, so that later
-rounds repeat earlier ones. Log probabilities are summed per document within a bucket, then over buckets.
+and seats them; it exchanges numbers with the parts of the words (counts, customers, tables), which hold the parent and the
+contexts' totals. The tokens are shuffled once. Seatings and the sums of their probabilities are a saved table in each
+round, so that no round repeats another. Log probabilities are summed per document within a bucket, then over buckets.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relcheck.llm.common import packed, table
+from relcheck.llm.common import packed, saved, table, workspace
 from relcheck.llm.shingles import STEP, U, mixed, parts, word_hashes
 
 #: Discount and strength of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 1.0, 0.5, 1.0
-SWEEPS, SAMPLES = 1, 2
+#: Rounds of Gibbs that are thrown away, and rounds after them whose seatings are averaged.
+BURN_IN, SAMPLES = 4, 4
 #: Sections of up to this many customers are drawn from the exact conditional, larger ones are seated in batches.
 EXACT = 64
 END = mixed(np.array([0x656E64], np.uint64))[0]
@@ -111,54 +113,71 @@ class Bucket:
         return np.bincount(at, values, len(self.names)).astype(np.int64)
 
 
-def stirling() -> np.ndarray:
+def stirling(discount: float) -> np.ndarray:
     """log S(c, t): the weight of all ways to seat c customers at t tables."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
     out[0, 0] = 0
     for c in range(1, EXACT + 1):
-        stay = np.log(np.maximum(c - 1 - DISCOUNT * np.arange(EXACT + 1), 1e-300))
+        stay = np.log(np.maximum(c - 1 - discount * np.arange(EXACT + 1), 1e-300))
         out[c, 1:] = np.logaddexp(out[c - 1, :-1], np.where(np.arange(1, EXACT + 1) < c, out[c - 1, 1:] + stay[1:], -np.inf))
     return out
 
 
-def seat(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, others: np.ndarray, p: np.ndarray) -> np.ndarray:
+def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float) -> np.ndarray:
     """Tables of sections with c customers, given the other tables of their restaurants and the parent's p."""
-    out, weights = np.minimum(c, 1), stirling()
+    out, weights = np.minimum(c, 1), stirling(discount)
     order = np.argsort(c, kind="stable")
     cut = np.searchsorted(c[order], np.arange(EXACT + 2))
     for n in range(2, EXACT + 1):
         for k in range(cut[n], cut[n + 1], 1 << 16):
             at = order[k : min(k + (1 << 16), cut[n + 1])]
-            opened = np.cumsum(np.log(STRENGTH + DISCOUNT * (others[at][:, None] + np.arange(n))), axis=1)
+            opened = np.cumsum(np.log(strength + discount * (others[at][:, None] + np.arange(n))), axis=1)
             logit = opened + np.log(p[at])[:, None] * np.arange(1, n + 1) + weights[n, 1 : n + 1]
             each = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
             out[at] = 1 + (each < (rng.random(len(at)) * each[:, -1])[:, None]).sum(axis=1)
     at = order[cut[EXACT + 1] :]
     seated, tables = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
     while (more := np.minimum(np.maximum(1, seated // 16), c[at] - seated)).any():
-        new = (STRENGTH + DISCOUNT * (others[at] + tables)) * p[at]
-        tables += rng.binomial(more, new / (new + seated - DISCOUNT * tables))
+        new = (strength + discount * (others[at] + tables)) * p[at]
+        tables += rng.binomial(more, new / (new + seated - discount * tables))
         seated += more
     out[at] = tables
     return out
 
 
-def p_parent(customers: np.ndarray, total: float, known: float) -> np.ndarray:
-    """The parent's predictive probabilities. Each of its words has one table: its base gives a second one next to none."""
-    base = (PARENT_STRENGTH + PARENT_DISCOUNT * known) / (known + 1)
-    return (np.maximum(customers - PARENT_DISCOUNT, 0) + base) / (PARENT_STRENGTH + total)
+def p_parent(customers: np.ndarray, seated: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The parent's predictive probabilities of words with so many customers at so many of its tables."""
+    known, _, every, tables = totals
+    base = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (known + 1)
+    return (customers - PARENT_DISCOUNT * seated + base) / (PARENT_STRENGTH + every)
 
 
-WORDS = "part int, bucket int, names binary, numbers binary"
+#: What a round writes: `tokens`, `sections` and `state` of a bucket, `words` (a bucket's numbers for a part), and of a part
+#: its `parent` tables, what it `told` a bucket and its `totals`.
+ROWS = "kind string, part int, bucket int, names binary, numbers binary"
 
 
-def split_words(bucket: int, own: Bucket, n_parts: int, *numbers: np.ndarray) -> pd.DataFrame:
+def rows_of(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["kind", "part", "bucket", "names", "numbers"])
+
+
+def saved_kinds(df: DataFrame) -> tuple[DataFrame, str]:
+    """saved(), with a folder for each kind, so that a kind is read without the others; and the table's path."""
+    path = f"{workspace(df.sparkSession)}/relcheck-{uuid.uuid4().hex}"
+    df.write.partitionBy("kind").option("compression", "none").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes the table of a round that is over; its shuffles go when the JVM finds that nothing refers to them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._jvm.System.gc()
+
+
+def split_words(bucket: int, names: np.ndarray, n_parts: int, *numbers: np.ndarray) -> list[tuple]:
     """Rows that carry a bucket's numbers of each word to the parts, which hold the words."""
-    rows = []
-    for b, at in enumerate(by_part(own.names, n_parts)):
-        if len(at):
-            rows.append((b, bucket, pack(np.diff(own.names[at], prepend=U(0))), pack(*[small(x[at]) for x in numbers])))
-    return pd.DataFrame(rows, columns=["part", "bucket", "names", "numbers"])
+    return [("words", b, bucket, pack(np.diff(names[at], prepend=U(0))), pack(*[small(x[at]) for x in numbers])) for b, at in enumerate(by_part(names, n_parts)) if len(at)]
 
 
 def by_part(names: np.ndarray, n_parts: int) -> list[np.ndarray]:
@@ -168,52 +187,43 @@ def by_part(names: np.ndarray, n_parts: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(part[order], np.arange(1, n_parts)))
 
 
-class Told:
-    """What the parts told a bucket in a round: per chain the contexts' tables and the words' customers, and totals."""
-
-    def __init__(self, own: Bucket, rows: pd.DataFrame, n_parts: int):
-        at, self.numbers = by_part(own.names, n_parts), []
-        for b, blob in zip(rows["part"], rows["numbers"], strict=True):
-            found = unpack(blob)
-            self.numbers = self.numbers or [np.zeros(len(own.names)) for _ in found]
-            for x, y in zip(self.numbers, found, strict=True):
-                x[at[b]] = y
-        self.totals = np.array(rows["totals"].iloc[0], float)
-
-
-def chains(own: Bucket, bucket: int, replies: pd.DataFrame, n_parts: int) -> tuple[list[np.ndarray], list[Told]]:
-    """Tables of sections in each chain, from the first round to the last told; draws are seeded, so that later rounds
-    repeat earlier ones."""
-    told = [Told(own, x, n_parts) for _, x in replies.sort_values("part").groupby("step", sort=True)]
-    known = told[0].totals[0]
-    state = [np.minimum(own.c, 1)] * SAMPLES
-    for step, now in enumerate(told[:SWEEPS]):
-        skip = 1 if step == 0 else 0
-        for k in range(SAMPLES):
-            j = 0 if step == 0 else k
-            tables, customers = now.numbers[skip + 2 * j], now.numbers[skip + 2 * j + 1]
-            p = p_parent(customers, now.totals[2 + j], known)
-            rng = np.random.default_rng([bucket, step, k])
-            state[k] = seat(rng, own.c, state[k], np.maximum(tables[own.u] - state[k], 0), p[own.w])
-    return state, told
-
-
 def first_round(n_parts: int):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = Bucket(pdf["blob"])
+        """A bucket's tokens and sections, each section with one table."""
+        own, bucket = Bucket(pdf["blob"]), int(pdf["bucket"].iloc[0])
         t = np.minimum(own.c, 1)
-        return split_words(int(pdf["bucket"].iloc[0]), own, n_parts, own.add(own.w, own.c), own.add(own.u, t), own.add(own.w, t))
+        many = np.bincount(own.doc, minlength=len(own.held))
+        head = [
+            ("tokens", -1, bucket, b"", pack(small(own.section), small(many), *own.keys)),
+            ("sections", -1, bucket, pack(np.diff(own.names, prepend=U(0))), pack(small(np.diff(own.u, prepend=0)), small(own.w), small(own.c))),
+            ("state", -1, bucket, b"", pack(small(t), np.zeros(len(t), np.float32))),
+        ]
+        return rows_of(head + split_words(bucket, own.names, n_parts, own.add(own.w, own.c), own.add(own.u, t), own.add(own.w, t)))
 
     return count
 
 
-def later_round(n_parts: int):
-    def sample(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        own, bucket = Bucket(pdf["blob"]), int(pdf["bucket"].iloc[0])
-        state, _ = chains(own, bucket, replies, n_parts)
-        return split_words(bucket, own, n_parts, *[x for t in state for x in (own.add(own.u, t), own.add(own.w, t))])
+def seat_parent(step: int, before: np.ndarray | None):
+    """Of one part: sums over the buckets, the parent's tables of each word (one, to begin with), and the replies."""
 
-    return sample
+    def seated(pdf: pd.DataFrame) -> pd.DataFrame:
+        sent, part = pdf[pdf["kind"] == "words"].sort_values("bucket"), int(pdf["part"].iloc[0])
+        at, sums = gathered(sent)
+        sums = [x.astype(np.int64) for x in sums]
+        if before is None:
+            n, tables, customers = sums
+            t = np.minimum(customers, 1)
+        else:
+            tables, customers = sums
+            n, t = (x.astype(np.int64) for x in unpack(pdf["numbers"][pdf["kind"] == "parent"].iloc[0]))
+            p = np.full(len(t), 1 / (before[0] + 1))
+            t = seat(np.random.default_rng([1, part, step]), customers, np.maximum(before[3] - t, 0), p, PARENT_DISCOUNT, PARENT_STRENGTH)
+        totals = np.array([(n > 0).sum(), n.sum(), customers.sum(), t.sum()], float)
+        rows = [("parent", part, -1, b"", pack(small(n), small(t))), ("totals", part, -1, b"", pack(totals))]
+        rows += [("told", part, b, b"", pack(*[small(x[own]) for x in (n, tables, customers, t)])) for b, own in zip(sent["bucket"], at, strict=True)]
+        return rows_of(rows)
+
+    return seated
 
 
 def gathered(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -225,52 +235,59 @@ def gathered(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return np.split(index, np.cumsum([len(x) for x in names])[:-1]), sums
 
 
-def part_totals(first: bool):
-    """Known words and training tokens (of the first round, else 0), then each chain's customers of the parent."""
-
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, sums = gathered(pdf)
-        head = [(sums[0] > 0).sum(), sums[0].sum()] if first else [0, 0]
-        return pd.DataFrame({"k": range(n := 2 + len(sums[first:]) // 2), "v": np.array([*head, *[x.sum() for x in sums[first:][1::2]]], float)[:n]})
-
-    return totals
-
+class Seated:
+    """A bucket's sections and seating, and what the parts told it of that seating."""
+
+    def __init__(self, pdf: pd.DataFrame, totals: np.ndarray, n_parts: int, averaged: bool):
+        kinds = dict(list(pdf.groupby("kind")))
+        self.bucket, own = int(pdf["bucket"].iloc[0]), kinds["sections"].iloc[0]
+        self.names = np.cumsum(unpack(own["names"])[0], dtype=np.uint64)
+        steps, self.w, self.c = (x.astype(np.int64) for x in unpack(own["numbers"]))
+        self.u = np.cumsum(steps)  # sections are in the order of their contexts
+        self.t, self.sum = unpack(kinds["state"]["numbers"].iloc[0])
+        self.t = self.t.astype(np.int64)
+        at, told = by_part(self.names, n_parts), np.zeros((4, len(self.names)))
+        for b, blob in zip(kinds["told"]["part"], kinds["told"]["numbers"], strict=True):
+            for x, y in zip(told, unpack(blob), strict=True):
+                x[at[b]] = y
+        self.n, self.tables = told[:2]
+        self.p = p_parent(told[2], told[3], totals)
+        if averaged:
+            self.sum = self.sum + (self.c - DISCOUNT * self.t + (STRENGTH + DISCOUNT * self.tables[self.u]) * self.p[self.w])
+        self.tokens = kinds.get("tokens")
 
-REPLY = "one int, part int, bucket int, step int, numbers binary"
+    def add(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(at, values, len(self.names)).astype(np.int64)
 
 
-def answer(step: int):
-    def told(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, sums = gathered(pdf)
-        part, sums = int(pdf["part"].iloc[0]), [x.astype(np.int64) for x in sums]
-        rows = [(1, part, b, step, pack(*[small(x[own]) for x in sums])) for b, own in zip(pdf["bucket"], at, strict=True)]
-        return pd.DataFrame(rows, columns=["one", "part", "bucket", "step", "numbers"])
+def next_round(step: int, totals: np.ndarray, n_parts: int):
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Seated(pdf, totals, n_parts, step > BURN_IN)
+        rng = np.random.default_rng([0, own.bucket, step])
+        t = seat(rng, own.c, np.maximum(own.tables[own.u] - own.t, 0), own.p[own.w], DISCOUNT, STRENGTH)
+        state = ("state", -1, own.bucket, b"", pack(small(t), own.sum.astype(np.float32)))
+        return rows_of([state, *split_words(own.bucket, own.names, n_parts, own.add(own.u, t), own.add(own.w, t))])
 
-    return told
+    return sample
 
 
 SCORES = "_id long, _h long, ends long, tokens long, known long, train double, base double, score double"
 
 
-def score_tokens(n_parts: int):
-    def score(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        own, bucket = Bucket(pdf["blob"]), int(pdf["bucket"].iloc[0])
-        state, told = chains(own, bucket, replies, n_parts)
-        n, (known, train), last = told[0].numbers[0], told[0].totals[:2], told[-1]
-        mean = np.zeros(len(own.c))
-        for k, t in enumerate(state):
-            tables, customers = last.numbers[2 * k], last.numbers[2 * k + 1]
-            p = p_parent(customers, last.totals[2 + k], known)
-            mean += np.maximum(own.c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * tables[own.u]) * p[own.w]
-        mean /= len(state) * (STRENGTH + n[own.u])
+def score_tokens(totals: np.ndarray, n_parts: int):
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Seated(pdf, totals, n_parts, True)
+        n, (known, train) = own.n, totals[:2]
+        mean = own.sum / (SAMPLES * (STRENGTH + n[own.u]))
         base = np.log10((n + 0.1) / (train + 0.1 * (known + 1)))
-        ids, null, h = own.keys
-        add = lambda x: np.bincount(own.doc, x, len(ids))
+        section, many, ids, null, h = unpack(own.tokens["numbers"].iloc[0])
+        doc, token = np.repeat(np.arange(len(ids)), many), own.w[section]
+        add = lambda x: np.bincount(doc, x, len(ids))
         out = pd.DataFrame({"_id": pd.array(ids, "Int64"), "_h": h})
         out.loc[null, "_id"] = pd.NA
         return out.assign(
-            ends=add(own.names[own.token] == END).astype(np.int64), tokens=add(np.ones(len(own.doc))).astype(np.int64), known=add(n[own.token] > 0).astype(np.int64),
-            train=train, base=add(base[own.token]), score=add(np.log10(mean)[own.section]),
+            ends=add(own.names[token] == END).astype(np.int64), tokens=add(np.ones(len(doc))).astype(np.int64), known=add(n[token] > 0).astype(np.int64),
+            train=train, base=add(base[token]), score=add(np.log10(mean)[section]),
         )
 
     return score
@@ -288,17 +305,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     size = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n = max(1, size // BUCKET_BYTES)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n)  # few buckets share a task
-    own = base.mapInPandas(send_tokens(n), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
-    sent, replies = own.applyInPandas(first_round(n), WORDS), None
-    for step in range(SWEEPS + 1):
-        parts_ = sent.groupBy("part")
-        totals = parts_.applyInPandas(part_totals(step == 0), "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
-        totals = totals.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v).alias("totals")).withColumn("one2", F.lit(1))
-        told = parts_.applyInPandas(answer(step), REPLY).join(F.broadcast(totals), F.col("one") == F.col("one2"))
-        replies = told if replies is None else replies.unionByName(told)
-        if step < SWEEPS:
-            sent = own.cogroup(replies.groupBy("bucket")).applyInPandas(later_round(n), WORDS)
-    scores = own.cogroup(replies.groupBy("bucket")).applyInPandas(score_tokens(n), SCORES)
+    sent = base.mapInPandas(send_tokens(n), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
+    first, _ = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+    now, told, parent, totals, old_now, old_told = first, None, None, None, None, None
+    for step in range(BURN_IN + SAMPLES + 1):
+        words = now.where("kind = 'words'")
+        words = words if parent is None else words.unionByName(parent)
+        told, path = saved_kinds(words.groupBy("part").applyInPandas(seat_parent(step, totals), ROWS))
+        if old_told:
+            drop_table(docs.sparkSession, old_told)
+        parent, old_told = told.where("kind = 'parent'"), path
+        totals = np.sum([unpack(r.numbers)[0] for r in told.where("kind = 'totals'").collect()] or [np.zeros(4)], axis=0)
+        state = first.where("kind = 'sections'").unionByName(now.where("kind = 'state'")).unionByName(told.where("kind = 'told'"))
+        if step < BURN_IN + SAMPLES:
+            now, path = saved_kinds(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(next_round(step, totals, n), ROWS))
+            if old_now:
+                drop_table(docs.sparkSession, old_now)
+            old_now = path
+    state = state.unionByName(first.where("kind = 'tokens'"))
+    scores = saved(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(score_tokens(totals, n), SCORES))
     total = scores.groupBy("_id", "_h").agg(*[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")], F.max("train").alias("train"))
     rows = total.select("*", F.explode(F.sequence(F.lit(1), F.col("ends").cast("int"))))
     each = lambda c: (F.col(c) / F.col("ends")).cast("bigint")

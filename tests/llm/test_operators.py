@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +262,31 @@ def test_myers_equals_dynamic_programming():
                 now.append(min(now[-1] + 1, row[k] + 1, row[k - 1] + (x != c)))
             row, best = now, min(best, now[-1])
         assert decontaminate.myers(a, b)[0] == best
+
+
+def test_lm_seating_is_sampled():
+    """Draws of tables, also of the parent, follow the exact distribution; a parent of many words has second tables."""
+    rng = np.random.default_rng(5)
+    n, known, c = 20_000, 20_000, 6
+    t = np.ones(n, np.int64)
+    for _ in range(40):
+        t = pitman_yor.seat(rng, np.full(n, c), t.sum() - t, np.full(n, 1 / (known + 1)), pitman_yor.PARENT_DISCOUNT, pitman_yor.PARENT_STRENGTH)
+    new = pitman_yor.PARENT_DISCOUNT * t.sum() / known
+    weight = {1: 1.0}
+    for k in range(1, c):  # k customers are seated
+        weight = {a: weight.get(a, 0) * (k - 0.5 * a) + weight.get(a - 1, 0) * new for a in range(1, k + 2)}
+    mean = sum(a * x for a, x in weight.items()) / sum(weight.values())
+    assert t.mean() > 1.5 and abs(t.mean() - mean) < 0.05
+
+
+def test_lm_rounds_improve_the_first_draw(spark, monkeypatch):
+    assert pitman_yor.BURN_IN >= 2 and pitman_yor.SAMPLES >= 2
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 100")
+
+    def bits():
+        return sum(r.score for r in pitman_yor.lm_scores(docs).collect() if r.held_out)
+
+    whole = bits()
+    monkeypatch.setattr(pitman_yor, "BURN_IN", 0)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 1)
+    assert whole > bits()
