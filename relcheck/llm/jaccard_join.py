@@ -4,8 +4,9 @@ Documents with equal sets of 5-word shingles are one class; a class's set has a
 of the embedded set). A run sends every class to the bucket of one sampled token. A bucket of few classes is compared by
 brute force; a larger one is compared with a pivot of its own, classes near the pivot leave it, and the others go on to
 the buckets of tokens which the path samples anew, each with probability 1 / (0.8 * 64): the more alike two sets are, the
-likelier they share a path. Runs are repeated until a pair at the threshold, which meets in a run with probability a half
-at least, is found with the target recall.
+likelier they share a path. A pair at the threshold shares one child path a level on average, so that its paths die out
+as a bucket is split again: classes whose buckets were split k times take part in as many runs as a pair at the threshold
+needs to be found with the target recall after k splits (runs_for).
 
 What meets with an estimated similarity of 0.6 or more (four deviations below the threshold) is linked for verification
 only. Components of these links are then compared exactly, set against set, in blocks: inside of a block pair the sizes
@@ -14,6 +15,7 @@ of all intersections are one matrix product, and only counts and a spanning fore
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -65,12 +67,41 @@ def matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, TOKENS)
 
 
-def first_paths(runs: int):
+def missed(runs: int, splits: int) -> float:
+    """The share of pairs at the threshold that no run brings together, where buckets are split so many times, or whose
+    estimate stays under NEAR. Exact for the draws of tokens and children; pivots, which only help, are left out."""
+    share = lambda n: [math.comb(n, k) * THRESHOLD**k * (1 - THRESHOLD) ** (n - k) for k in range(n + 1)]
+    each, more = divmod(runs, TOKENS)
+    out = 0.0
+    for a, p in enumerate(share(more)):
+        for b, q in enumerate(share(TOKENS - more)):
+            alive = 1.0
+            for _ in range(splits):
+                alive = 1 - (1 - alive / (THRESHOLD * TOKENS)) ** (a + b)
+            out += p * q * ((1 - alive) ** ((each + 1) * a + each * b) if a + b >= NEAR * TOKENS else 1)
+    return out
+
+
+@functools.cache
+def runs_for(recall: float, splits: int) -> int:
+    """The fewest runs (up to 16 times TOKENS) that find the share `recall` of pairs at the threshold after so many splits."""
+    low, high = 1, 16 * TOKENS
+    if missed(high, splits) > 1 - recall:
+        raise ValueError(f"a recall of {recall} is out of reach with {TOKENS} sampled minima")
+    while low < high:
+        half = (low + high) // 2
+        low, high = (low, half) if missed(half, splits) <= 1 - recall else (half + 1, high)
+    return low
+
+
+def first_paths(first: int, runs: int):
+    """Paths of the runs from first to before `runs`; the number of the run is part of the path."""
+
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sigs = matrix(pdf["sig"])
-            for r in range(runs):
-                path = mixed(sigs[:, r].astype(np.uint64) + (U(r + 1) << U(32)))
+            for r in range(first, runs):
+                path = mixed(sigs[:, r % TOKENS].astype(np.uint64) + (U(r + 1) << U(32)))
                 yield pd.DataFrame({"path": path.view(np.int64), "k1": pdf["k1"], "k2": pdf["k2"]})
 
     return paths
@@ -144,11 +175,10 @@ def shared_paths(rows: DataFrame) -> DataFrame:
     return rows.join(many, F.col("path") == F.col("path2")).drop("path2")
 
 
-def path_links(classes: DataFrame, recall: float) -> DataFrame:
-    """Links u, v (structs k1, k2) of classes that met with an estimate of NEAR or more."""
-    runs = min(TOKENS, math.ceil(math.log(1 - recall) / math.log(0.5)))
+def run_links(classes: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links that the runs from first to before `runs` find, and for each level the classes (k1, k2) that were split there."""
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "sig")
-    rows, found = classes.mapInPandas(first_paths(runs), "path long, k1 long, k2 long"), []
+    rows, found, deep = classes.mapInPandas(first_paths(first, runs), "path long, k1 long, k2 long"), [], []
     for level in range(LEVELS):
         met = shared_paths(rows)
         met = saved(met.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("path", "k1", "k2", "sig", "many"))
@@ -158,11 +188,32 @@ def path_links(classes: DataFrame, recall: float) -> DataFrame:
         large = met.where(F.col("many") > FEW)
         if not large.limit(1).count():
             break
+        deep.append(large.select("k1", "k2"))
         pivot = large.groupBy(F.col("path").alias("path2")).agg(F.min(F.struct(F.xxhash64("path", "k1", "k2").alias("o"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("sig").alias("psig"))).alias("p"))
         told = large.join(pivot, F.col("path") == F.col("path2")).select("path", "k1", "k2", "sig", "p.p1", "p.p2", "p.psig")
         done = saved(told.mapInPandas(split_once(level == LEVELS - 1), "path long, k1 long, k2 long, p1 long, p2 long"))
         found.append(done.where("path is null").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("p1").alias("v1"), F.col("p2").alias("v2")))
         rows = done.where("path is not null").select("path", "k1", "k2")
+    return found, deep
+
+
+def path_links(classes: DataFrame, recall: float) -> DataFrame:
+    """Links u, v (structs k1, k2) of classes that met with an estimate of NEAR or more.
+
+    All classes take part in the runs that one split needs. The further runs that k splits need are done with the classes
+    that were split k times in a run before: both of a pair that was split k times together are among them."""
+    done = runs_for(recall, 1)
+    found, deep = run_links(classes, 0, done)
+    for splits in range(2, LEVELS):
+        if len(deep) < splits:
+            break
+        own = deep[splits - 1].select(F.col("k1").alias("c1"), F.col("k2").alias("c2")).distinct()
+        own = saved(classes.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi"))
+        runs = runs_for(recall, splits)
+        links, deeper = run_links(own, done, runs)
+        done, found = runs, found + links
+        both = [x.unionByName(y) for x, y in zip(deep, deeper, strict=False)]
+        deep = both + deep[len(both) :] + deeper[len(both) :]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

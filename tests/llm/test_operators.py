@@ -290,3 +290,20 @@ def test_lm_rounds_improve_the_first_draw(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BURN_IN", 0)
     monkeypatch.setattr(pitman_yor, "SAMPLES", 1)
     assert whole > bits()
+
+
+def test_jaccard_paths_keep_recall_in_deep_buckets():
+    """2000 pairs of signatures alike in 0.8, led through the first paths and four splits: pairs that share a path still."""
+    assert all(jaccard_join.missed(10, k) > 0.001 for k in (1, 2, 4, 7))
+    assert all(jaccard_join.missed(jaccard_join.runs_for(0.999, k), k) <= 0.001 for k in range(8))
+    rng, n = np.random.default_rng(3), 2000
+    drawn = lambda: rng.integers(0, 1 << 32, (n, 64), dtype=np.uint64).astype(np.uint32)
+    one, other = drawn(), drawn()
+    two, pivot = np.where(rng.random((n, 64)) < 0.8, one, drawn()), other[0].tobytes()
+    sigs = pd.DataFrame([(i, side, x.tobytes()) for side, own in enumerate((one, two)) for i, x in enumerate(own)], columns=["k1", "k2", "sig"])
+    rows = pd.concat(jaccard_join.first_paths(0, jaccard_join.runs_for(0.999, 4))(iter([sigs])))
+    for _ in range(4):
+        met = rows.merge(sigs, on=["k1", "k2"]).assign(psig=pivot, p1=-1, p2=-1)
+        rows = pd.concat(jaccard_join.split_once(False)(iter([met])))[["path", "k1", "k2"]].dropna()
+    shared = rows[rows["k2"] == 0].merge(rows[rows["k2"] == 1], on=["path", "k1"])["k1"].nunique()
+    assert shared >= 0.997 * n
