@@ -20,8 +20,6 @@ from relcheck.llm.common import join_small, packed, same_row, saved, table
 
 #: Edits allowed for a character of the item.
 RATE = 0.05
-#: Shorter items (characters, normalised) are too common to tell anything and aren't searched.
-MIN_CHARS = 40
 #: Characters of items in one pass.
 BLOCK_CHARS = 2_000_000
 MATCHES = "_id long, _h long, item_id long, distance long, start long, end long"
@@ -59,6 +57,11 @@ def myers(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def within(a: str, b: str) -> bool:
+    """Whether no word ends between two neighbouring characters; scripts without spaces have no such rule."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
@@ -76,7 +79,9 @@ class Matcher:
         starts: dict[int, set[int]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for n, offset in where:
-                starts.setdefault(n, set()).add(last - size + 1 - offset)
+                s = last - size + 1 - offset
+                if self.items[n][2] or not (s > 0 and within(text[s - 1], text[s]) or last + 1 < len(text) and within(text[last], text[last + 1])):
+                    starts.setdefault(n, set()).add(s)
         out = []
         for n, at in starts.items():
             item_id, item, budget = self.items[n]
@@ -102,14 +107,14 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     for k in range(n):
         rows = own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
         items = [(r.i, normalised(r.t)) for r in rows]
-        if items := sorted({x for x in items if len(x[1]) >= MIN_CHARS}, key=str):
+        if items := sorted({x for x in items if x[1]}, key=str):
             yield items
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
     """_id, _h (the document), item_id, distance, start, end (in the normalised text): the best place of each item.
 
-    Every item of at least 40 characters is searched in every whole text; case and white space don't count. Null texts
+    Every item is searched in every whole text, one without a budget of edits at word boundaries only; case and white space don't count. Null texts
     and null items match nothing. Repeated rows match once each; repeated items count once.
     """
     spark = docs.sparkSession
