@@ -16,12 +16,12 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def windows_of(lines: Column) -> Column:
-    """array<struct<j, a, b>>: first line and key of each window of three lines, two of which aren't blank."""
+    """array<struct<j, a, b>>: first line and key of each window of three lines that aren't all blank."""
 
     def window(x: Column, j: Column, ls: Column) -> Column:
         y, z = F.get(ls, j + 1), F.get(ls, j + 2)
         full = x.rlike(NOT_SPACE).cast("int") + y.rlike(NOT_SPACE).cast("int") + z.rlike(NOT_SPACE).cast("int")
-        return F.when(full >= 2, F.struct(j.alias("j"), F.xxhash64(x, y, z).alias("a"), F.xxhash64(F.lit(7), x, y, z).alias("b")))
+        return F.when(full >= 1, F.struct(j.alias("j"), F.xxhash64(x, y, z).alias("a"), F.xxhash64(F.lit(7), x, y, z).alias("b")))
 
     return let(lines, lambda ls: F.when(F.size(ls) >= 3, F.filter(F.transform(F.slice(ls, 1, F.size(ls) - 2), lambda x, j: window(x, j, ls)), lambda w: w.isNotNull())))
 
