@@ -287,13 +287,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the one document of its class that would stay: the least by (id, hash of the text)).
 
     Words are runs of bytes other than white space; a text of under five words is one shingle; texts without words (null,
-    empty) have no links and are a class each. Repeated rows are one document. A null id comes before others; a class
+    empty) have no links, but are one class of equal sets. Repeated rows are one document. A null id comes before others; a class
     holding one has class_id null. Empty tables give empty results.
     """
     base = packed(docs, id_col, text_col).select("_id", "_h", "_text")
     sigs = saved(base.mapInPandas(signed, "_id long, _h long, k1 long, k2 long, n long, sig binary").distinct())
-    classes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("_id", "_h", "sig")).alias("rep"))
-    classes = saved(classes.select("k1", "k2", "many", F.col("rep._id").alias("_id2"), F.col("rep._h").alias("_h2"), "rep.sig"))
+    every = sigs.groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("_id", "_h", "sig")).alias("rep"))
+    every = saved(every.select("k1", "k2", "n", "many", F.col("rep._id").alias("_id2"), F.col("rep._h").alias("_h2"), "rep.sig"))
+    classes = every.where("n > 0").drop("n")
     groups = components(saved(path_links(classes, recall)))
     sized = groups.groupBy(F.col("label").alias("label2")).agg(F.count(F.lit(1)).alias("size"))
     groups = groups.join(sized, F.col("label") == F.col("label2")).select("node.k1", "node.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "size")
@@ -313,24 +314,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
     wide = components(counts.where("wide").select(pair("k1", "k2").alias("u"), pair("r1", "r2").alias("v")))
     total = total.join(wide, pair("k1", "k2") == F.col("node"), "left").select("k1", "k2", "links", "classes", F.coalesce("label", F.col("r").cast("struct<k1:bigint,k2:bigint>")).alias("root"))
-    told = classes.drop("sig").join(total, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", pair("k1", "k2")))
+    told = every.drop("sig", "n").join(total, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", pair("k1", "k2")))
     told = saved(told.withColumn("rep", F.struct("_id2", "_h2")).drop("_id2", "_h2"))
     heads = told.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("head"))
     told = told.join(heads, F.col("root") == F.col("root2")).select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), "many", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("classes", F.lit(0)).alias("classes"), "head"
     )
     told = saved(told)
-    out = join_small(sigs.drop("sig"), told, (F.col("n") > 0) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left", width=96)
+    out = join_small(sigs.drop("sig"), told, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left", width=96)
     none = F.col("n") == 0
     first = F.col("_id").eqNullSafe(F.col("head._id2")) & (F.col("_h") == F.col("head._h2"))
     return out.select(
         "_id",
         "_h",
-        F.when(none, F.col("_id")).otherwise(F.col("head._id2")).alias("class_id"),
+        F.col("head._id2").alias("class_id"),
         F.when(none, 0).otherwise(F.col("links") + F.col("many") - 1).cast("bigint").alias("n_links"),
         F.when(none, 0).otherwise(F.col("classes")).cast("bigint").alias("n_link_classes"),
         F.when(none, 0).otherwise(F.col("many") - 1).cast("bigint").alias("n_copies"),
-        (none | first).alias("first"),
+        first.alias("first"),
     )
 
 
