@@ -257,7 +257,7 @@ def encode_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     first = base.groupBy("_h", "_g").agg(F.min("_id").alias("_id2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = saved(first.select(F.col("_h").alias("_h2"), F.col("_g").alias("_g2"), "_id2"))
     same = (base["_h"] == copies["_h2"]) & (base["_g"] == copies["_g2"])
-    texts = join_small(base, copies, same & ~base["_id"].eqNullSafe(copies["_id2"]), "left_anti", width=64).drop("_id")
+    texts = join_small(base, copies, same & ~base["_id"].eqNullSafe(copies["_id2"]), "left_anti").drop("_id")
 
     cut = saved(texts.mapInPandas(chunk_rows, "_h long, _g long, seq int, d binary"))
     shared = cut.groupBy(F.col("d").alias("d2")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_h", "_g", "seq")).alias("owner")).where("n > 1")
@@ -267,17 +267,17 @@ def encode_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     uses = saved(uses)
     same = lambda x: (texts["_h"] == x["_h2"]) & (texts["_g"] == x["_g2"])
     owners = saved(uses.where(F.exists("uses", lambda u: u.own)))
-    published = join_small(texts, owners, same(owners), "inner", width=256).mapInPandas(publisher(path, wide), "d binary, ids binary")
+    published = join_small(texts, owners, same(owners), "inner").mapInPandas(publisher(path, wide), "d binary, ids binary")
     published = saved(published.dropDuplicates(["d"]).withColumnRenamed("d", "d2"))
     given = used.join(published, F.col("d") == F.col("d2")).groupBy(F.col("_h").alias("_h2"), F.col("_g").alias("_g2"))
     given = given.agg(F.collect_list(F.struct("seq", "ids")).alias("given"))
     keys = uses.select("_h2", "_g2")
-    alone = join_small(texts, keys, same(keys), "left_anti", width=48).mapInPandas(encoder(path, wide, full), schema)
-    some = join_small(texts, keys, same(keys), "left_semi", width=48).alias("t")
+    alone = join_small(texts, keys, same(keys), "left_anti").mapInPandas(encoder(path, wide, full), schema)
+    some = join_small(texts, keys, same(keys), "left_semi").alias("t")
     some = some.join(given.alias("g"), (F.col("t._h") == F.col("g._h2")) & (F.col("t._g") == F.col("g._g2"))).select("_h", "_g", "_text", "given")
     done = saved(alone.unionByName(some.mapInPandas(encoder(path, wide, full), schema)).dropDuplicates(["_h", "_g"]))
     done = done.withColumnsRenamed({"_h": "_h2", "_g": "_g2"})
-    told = join_small(base.drop("_text"), done, (F.col("_h") == F.col("_h2")) & (F.col("_g") == F.col("_g2")), "left", width=240)
+    told = join_small(base.drop("_text"), done, (F.col("_h") == F.col("_h2")) & (F.col("_g") == F.col("_g2")), "left")
     return told.select(F.col("_id").alias(id_col), *[c for c in done.columns if c not in ("_h2", "_g2")])
 
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if rows times their width stay under this many bytes.
+#: A side of a join is broadcast only if its rows stay under this many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and driver
+    and executors are one process (tests); a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='relcheck-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,10 +46,11 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Column, how: str, width: int = 128) -> DataFrame:
-    """big joined to small, which was saved(): broadcast if its counted rows fit, else an ordinary shuffled join."""
-    fits = small.count() * width <= BROADCAST_BYTES
-    return big.join(F.broadcast(small) if fits else small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
+    """big joined to small, which was saved(): broadcast if its rows, written as JSON, stay under BROADCAST_BYTES, else an
+    ordinary shuffled join."""
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

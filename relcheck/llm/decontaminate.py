@@ -144,7 +144,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     found = benchmark_matches(docs, benchmark, id_col, text_col, **options)
     found = saved(found.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).distinct())
     base = packed(docs, id_col, text_col)
-    return join_small(base, found, same_row(base, found), "left_anti", width=64).select("row.*")
+    return join_small(base, found, same_row(base, found), "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

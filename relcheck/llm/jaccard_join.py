@@ -2,26 +2,34 @@
 
 Documents with equal sets of 5-word shingles are one class; a class's set has a signature of 64 sampled minima ("tokens"
 of the embedded set). A run sends every class to the bucket of one sampled token. A bucket of few classes is compared by
-brute force; a larger one is compared with a pivot of its own, classes near the pivot leave it, and the others go on to
-the buckets of tokens which the path samples anew, each with probability 1 / (0.8 * 64): the more alike two sets are, the
-likelier they share a path. A pair at the threshold shares one child path a level on average, so that its paths die out
-as a bucket is split again: classes whose buckets were split k times take part in as many runs as a pair at the threshold
-needs to be found with the target recall after k splits (runs_for).
+brute force; a larger one is compared with a pivot of its own, classes near the pivot are linked to it, and the others go
+on to the buckets of tokens which the path samples anew, each with probability BRANCH / (0.8 * 64): the more alike two
+sets are, the likelier they share a path. A pair at the threshold shares BRANCH child paths a level on average; that is
+more than one, so its paths don't die out with depth, and runs_for() is the number of runs that reach the target recall at
+any depth.
+
+Linked classes are contracted: rows carry the label of what they are linked to, and a bucket whose rows have one label is
+dropped before anything is joined to it. The first FIRST runs are evaluated to components before the others start, so a
+large group of near copies is dealt out by these runs alone.
 
 What meets with an estimated similarity of 0.6 or more (four deviations below the threshold) is linked for verification
-only. Components of these links are then compared exactly, set against set, in blocks: inside of a block pair the sizes
-of all intersections are one matrix product, and only counts and a spanning forest of the links leave the task.
+only. Components of these links are then compared exactly, set against set: inside of a pair of blocks the sizes of all
+intersections are one matrix product. A block of sets travels as one row to the other blocks of its component, and what
+leaves a pair of blocks is one array of counts for each and the links between parts that aren't linked within a block.
+A component of n classes costs n * n / 2 comparisons, which is what exact counts of links take, but (n / BLOCK) ** 2 rows.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relcheck.llm.common import join_small, packed, same_row, saved, table
@@ -31,14 +39,17 @@ from relcheck.llm.shingles import U, mixed, shingle_sets
 THRESHOLD = 0.8
 TOKENS = 64
 RECALL = 0.999
+#: Child paths that a pair at the threshold shares on average, and the runs whose links are contracted before the others.
+BRANCH = 1.6
+FIRST = 2
 #: Classes in a bucket that are compared by brute force, and levels of splitting.
 FEW = 64
 LEVELS = 8
-NEAR, SAME = 0.6, 0.85
+NEAR, SAME = 0.6, 0.9
 #: Rows of small buckets that a task compares at a time, on average.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 4_000
 #: Classes on each side of an exact comparison.
-BLOCK = 256
+BLOCK = 512
 SALT = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 ODD = mixed(SALT) | U(1)
 
@@ -77,13 +88,13 @@ def missed(runs: int, splits: int) -> float:
         for b, q in enumerate(share(TOKENS - more)):
             alive = 1.0
             for _ in range(splits):
-                alive = 1 - (1 - alive / (THRESHOLD * TOKENS)) ** (a + b)
+                alive = 1 - (1 - alive * BRANCH / (THRESHOLD * TOKENS)) ** (a + b)
             out += p * q * ((1 - alive) ** ((each + 1) * a + each * b) if a + b >= NEAR * TOKENS else 1)
     return out
 
 
 @functools.cache
-def runs_for(recall: float, splits: int) -> int:
+def runs_for(recall: float, splits: int = LEVELS) -> int:
     """The fewest runs (up to 16 times TOKENS) that find the share `recall` of pairs at the threshold after so many splits."""
     low, high = 1, 16 * TOKENS
     if missed(high, splits) > 1 - recall:
@@ -102,7 +113,7 @@ def first_paths(first: int, runs: int):
             sigs = matrix(pdf["sig"])
             for r in range(first, runs):
                 path = mixed(sigs[:, r % TOKENS].astype(np.uint64) + (U(r + 1) << U(32)))
-                yield pd.DataFrame({"path": path.view(np.int64), "k1": pdf["k1"], "k2": pdf["k2"]})
+                yield pd.DataFrame({"path": path.view(np.int64), "k1": pdf["k1"], "k2": pdf["k2"], "lab": pdf["lab"]})
 
     return paths
 
@@ -124,15 +135,16 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def brute_force(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Compares all pairs within each of many small buckets; each class is linked to the first of its group of estimates
-    over NEAR."""
+    """Compares all pairs with different labels within each of many small buckets; each class is linked to the first of
+    its group of estimates over NEAR."""
     pdf = pdf.sort_values(["path", "k1", "k2"], ignore_index=True)
-    sigs, path, n = matrix(pdf["sig"]), pdf["path"].to_numpy(), len(pdf)
+    sigs, path, lab, n = matrix(pdf["sig"]), pdf["path"].to_numpy(), pdf["lab"].to_numpy(), len(pdf)
     first, second = [], []
     for d in range(1, FEW):
         at = np.flatnonzero(path[d:] == path[: n - d])
         if not len(at):
             break
+        at = at[lab[at] != lab[at + d]]
         for k in range(0, len(at), 1 << 14):
             x = at[k : k + (1 << 14)]
             close = (sigs[x] == sigs[x + d]).sum(axis=1) >= NEAR * TOKENS
@@ -144,81 +156,77 @@ def brute_force(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u1": k1[rest], "u2": k2[rest], "v1": k1[root[rest]], "v2": k2[root[rest]]})
 
 
+SPLIT = "path long, k1 long, k2 long, lab long, p1 long, p2 long"
+
+
 def split_once(last: bool):
-    """Rows of large buckets with their pivots: links to the pivot (path null), and the classes' next paths."""
+    """Rows of large buckets with their pivots: new links to the pivot (path null), and the next paths of the classes that
+    aren't nearly the pivot. What is linked to the pivot takes its label."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sigs, paths = matrix(pdf["sig"]), pdf["path"].to_numpy().view(np.uint64)
             close = (sigs == matrix(pdf["psig"])).mean(axis=1)
-            own = (pdf["k1"] == pdf["p1"]) & (pdf["k2"] == pdf["p2"])
-            linked = np.flatnonzero(((close >= NEAR) | last) & ~own.to_numpy())
-            x = pdf.iloc[linked]
-            yield pd.DataFrame({"path": pd.array([None] * len(x), "Int64"), "k1": x["k1"], "k2": x["k2"], "p1": x["p1"], "p2": x["p2"]})
+            near, lab = (close >= NEAR) | last, pdf["lab"].to_numpy()
+            x = pdf.iloc[np.flatnonzero(near & (lab != pdf["plab"].to_numpy()))]
+            yield pd.DataFrame({"path": pd.array([None] * len(x), "Int64"), "k1": x["k1"], "k2": x["k2"], "lab": x["plab"], "p1": x["p1"], "p2": x["p2"]})
             if last:
                 continue
-            rest = np.flatnonzero(close < SAME)
+            lab, rest = np.where(near, pdf["plab"].to_numpy(), lab), np.flatnonzero(close < SAME)
             for i in range(TOKENS):
                 draw = mixed(paths[rest] ^ SALT[i])
-                go = rest[draw < U(int(2.0**64 / (THRESHOLD * TOKENS)))]
+                go = rest[draw < U(int(2.0**64 * BRANCH / (THRESHOLD * TOKENS)))]
                 path = mixed(paths[go] * ODD[i] + sigs[go, i].astype(np.uint64))
                 none = pd.array([None] * len(go), "Int64")
-                yield pd.DataFrame({"path": pd.array(path.view(np.int64), "Int64"), "k1": pdf["k1"].to_numpy()[go], "k2": pdf["k2"].to_numpy()[go], "p1": none, "p2": none})
+                yield pd.DataFrame({"path": pd.array(path.view(np.int64), "Int64"), "k1": pdf["k1"].to_numpy()[go], "k2": pdf["k2"].to_numpy()[go], "lab": lab[go], "p1": none, "p2": none})
 
     return split
 
 
 def shared_paths(rows: DataFrame) -> DataFrame:
-    """rows (path, k1, k2) of paths with two classes or more, with that count as `many`."""
+    """rows (path, k1, k2, lab) of paths on which different labels meet, with the number of rows as `many`."""
     rows = saved(rows)
-    many = rows.groupBy(F.col("path").alias("path2")).agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    return rows.join(many, F.col("path") == F.col("path2")).drop("path2")
+    many = rows.groupBy(F.col("path").alias("path2")).agg(F.count(F.lit(1)).alias("many"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
+    return rows.join(many.where("lo <> hi").drop("lo", "hi"), F.col("path") == F.col("path2")).drop("path2")
 
 
-def run_links(classes: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Links that the runs from first to before `runs` find, and for each level the classes (k1, k2) that were split there."""
+def run_links(classes: DataFrame, first: int, runs: int) -> DataFrame:
+    """Links u, v (structs k1, k2) that the runs from first to before `runs` find between classes of different labels."""
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "sig")
-    rows, found, deep = classes.mapInPandas(first_paths(first, runs), "path long, k1 long, k2 long"), [], []
+    rows, found = classes.mapInPandas(first_paths(first, runs), "path long, k1 long, k2 long, lab long"), []
     for level in range(LEVELS):
         met = shared_paths(rows)
-        met = saved(met.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("path", "k1", "k2", "sig", "many"))
+        met = saved(met.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("path", "k1", "k2", "lab", "sig", "many"))
         few = met.where(F.col("many") <= FEW)
         slots = max(1, few.count() // SLOT_ROWS)
         found.append(few.groupBy(F.pmod(F.xxhash64("path"), F.lit(slots)).alias("slot")).applyInPandas(brute_force, LINK))
         large = met.where(F.col("many") > FEW)
         if not large.limit(1).count():
             break
-        deep.append(large.select("k1", "k2"))
-        pivot = large.groupBy(F.col("path").alias("path2")).agg(F.min(F.struct(F.xxhash64("path", "k1", "k2").alias("o"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("sig").alias("psig"))).alias("p"))
-        told = large.join(pivot, F.col("path") == F.col("path2")).select("path", "k1", "k2", "sig", "p.p1", "p.p2", "p.psig")
-        done = saved(told.mapInPandas(split_once(level == LEVELS - 1), "path long, k1 long, k2 long, p1 long, p2 long"))
+        chosen = F.struct(F.xxhash64("path", "k1", "k2").alias("o"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("lab").alias("plab"), F.col("sig").alias("psig"))
+        pivot = large.groupBy(F.col("path").alias("path2")).agg(F.min(chosen).alias("p"))
+        told = large.join(pivot, F.col("path") == F.col("path2")).select("path", "k1", "k2", "lab", "sig", "p.p1", "p.p2", "p.plab", "p.psig")
+        done = saved(told.mapInPandas(split_once(level == LEVELS - 1), SPLIT))
         found.append(done.where("path is null").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("p1").alias("v1"), F.col("p2").alias("v2")))
-        rows = done.where("path is not null").select("path", "k1", "k2")
-    return found, deep
-
-
-def path_links(classes: DataFrame, recall: float) -> DataFrame:
-    """Links u, v (structs k1, k2) of classes that met with an estimate of NEAR or more.
-
-    All classes take part in the runs that one split needs. The further runs that k splits need are done with the classes
-    that were split k times in a run before: both of a pair that was split k times together are among them."""
-    done = runs_for(recall, 1)
-    found, deep = run_links(classes, 0, done)
-    for splits in range(2, LEVELS):
-        if len(deep) < splits:
-            break
-        own = deep[splits - 1].select(F.col("k1").alias("c1"), F.col("k2").alias("c2")).distinct()
-        own = saved(classes.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left_semi"))
-        runs = runs_for(recall, splits)
-        links, deeper = run_links(own, done, runs)
-        done, found = runs, found + links
-        both = [x.unionByName(y) for x, y in zip(deep, deeper, strict=False)]
-        deep = both + deep[len(both) :] + deeper[len(both) :]
+        rows = done.where("path is not null").select("path", "k1", "k2", "lab")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
-    return out.select(pair("u1", "u2").alias("u"), pair("v1", "v2").alias("v"))
+    return saved(out.select(key("u1", "u2").alias("u"), key("v1", "v2").alias("v")))
+
+
+def key(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
+
+
+def candidate_groups(classes: DataFrame, recall: float) -> DataFrame:
+    """node, label (structs k1, k2): the components of classes that met with an estimate of NEAR or more."""
+    runs = runs_for(recall)
+    groups = components(run_links(classes.withColumn("lab", F.col("k1")), 0, min(FIRST, runs)))
+    labels = groups.select(F.col("node.k1").alias("c1"), F.col("node.k2").alias("c2"), F.col("label.k1").alias("l1"))
+    told = classes.join(labels, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    more = run_links(saved(told.select("k1", "k2", "sig", F.coalesce("l1", "k1").alias("lab"))), min(FIRST, runs), runs)
+    return components(groups.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
 
 def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,61 +234,161 @@ def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="_text").assign(items=[x.tobytes() for x in shingle_sets(list(pdf["_text"]))])
 
 
-COUNTS = "k1 long, k2 long, links long, classes long, r1 long, r2 long, wide boolean"
+COUNTS = "k1 long, k2 long, links long, classes long, r1 long, r2 long"
 
 
 def common_sizes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of left's sets with right's, as a sum of matrix products."""
-    values, where = np.unique(np.concatenate(left + right), return_inverse=True)
+    values, where, many = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    shared = many[where] > 1
+    number = np.cumsum(many > 1) - 1
+    where, row, n_values = number[where[shared]], row[shared], int((many > 1).sum())
     order = np.argsort(where, kind="stable")
     where, row = where[order], row[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    width = 1 << 13
-    for k in range(0, len(values), width):
+    width = 1 << 12
+    for k in range(0, n_values, width):
         a, b = np.searchsorted(where, (k, k + width))
-        dense = np.zeros((len(left) + len(right), min(width, len(values) - k)), np.float32)
+        dense = np.zeros((len(left) + len(right), min(width, n_values - k)), np.float32)
         dense[row[a:b], where[a:b] - k] = 1
         out += dense[: len(left)] @ dense[len(left) :].T
     return out
 
 
-def exact(threshold: float):
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (place in left, place in right) of sets with that Jaccard similarity or more."""
+    common = common_sizes(left, right)
+    either = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - common
+    return np.nonzero(common >= threshold * either - 1e-6)
+
+
+def within_sets(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """linked_pairs() of sets with each other, each pair once."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        at = np.arange(int(n >= threshold * (len(sets[0]) + len(sets[1]) - n) - 1e-6))
+        return at, at + 1
+    x, y = linked_pairs(sets, sets, threshold)
+    return x[x < y], y[x < y]
+
+
+def tallied(n: int, x: np.ndarray, y: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of 0..n-1 the documents and the classes it is linked to."""
+    links = np.bincount(x, many[y], n) + np.bincount(y, many[x], n)
+    return links.astype(np.int64), np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+
+
+def sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in pdf["items"]]
+
+
+def compare_small(threshold: float):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One pair of blocks of a large component, or many small components."""
-        pdf = pdf.drop_duplicates(["k1", "k2", "block"]).sort_values(["l1", "l2", "block", "k1", "k2"], ignore_index=True)
-        i, j, wide = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0]), bool(pdf["blocks"].iloc[0] > 1)
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
-        l1, l2, block = (pdf[c].to_numpy() for c in ("l1", "l2", "block"))
+        """Many components of at most BLOCK classes."""
+        pdf = pdf.drop_duplicates(["k1", "k2"]).sort_values(["l1", "l2", "k1", "k2"], ignore_index=True)
+        sets, l1, l2 = sets_of(pdf), pdf["l1"].to_numpy(), pdf["l2"].to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], (l1[1:] != l1[:-1]) | (l2[1:] != l2[:-1]), [True]]))
-        first, second = [], []
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            m = a + int((block[a:b] == i).sum()) if i != j else b
-            low, high = (a, b) if i == j else (m, b)
-            if i == j and b - a == 2:
-                n = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
-                if n >= threshold * (len(sets[a]) + len(sets[a + 1]) - n) - 1e-6:
-                    first.append([a])
-                    second.append([a + 1])
-                continue
-            if m == a or high == low:
-                continue
-            common = common_sizes(sets[a:m], sets[low:high])
-            either = np.array([len(x) for x in sets[a:m]])[:, None] + np.array([len(x) for x in sets[low:high]])[None, :] - common
-            x, y = np.nonzero(np.triu(common >= threshold * either - 1e-6, 1) if i == j else common >= threshold * either - 1e-6)
+            x, y = within_sets(sets[a:b], threshold)
             first.append(x + a)
-            second.append(y + low)
-        x, y = (np.concatenate([np.asarray(z, np.int64) for z in s] or [np.zeros(0, np.int64)]) for s in (first, second))
-        n, many = len(pdf), pdf["many"].to_numpy()
-        root = roots(n, x, y)
-        links = np.bincount(x, many[y], n) + np.bincount(y, many[x], n)
-        classes = np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+            second.append(y + a)
+        x, y = np.concatenate(first), np.concatenate(second)
+        root = roots(len(pdf), x, y)
+        links, classes = tallied(len(pdf), x, y, pdf["many"].to_numpy())
         k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
-        return pd.DataFrame({"k1": k1, "k2": k2, "links": links.astype(np.int64), "classes": classes, "r1": k1[root], "r2": k2[root], "wide": wide})
+        return pd.DataFrame({"k1": k1, "k2": k2, "links": links, "classes": classes, "r1": k1[root], "r2": k2[root]})
 
     return compare
 
 
+BLOCKS = "l1 long, l2 long, blocks int, block int, blob binary, counts binary"
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.decompress(blob))
+
+
+def as_block(threshold: float):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The classes of one block of a large component as one row: blob with their sets, keys, sizes and roots within
+        the block, counts with the links within it."""
+        pdf = pdf.drop_duplicates(["k1", "k2"]).sort_values(["k1", "k2"], ignore_index=True)
+        sets, many = sets_of(pdf), pdf["many"].to_numpy()
+        x, y = within_sets(sets, threshold)
+        values, where = np.unique(np.concatenate(sets), return_inverse=True)
+        head = pdf.iloc[[0]][["l1", "l2", "blocks", "block"]].reset_index(drop=True)
+        blob = pack(values, where.astype(np.uint32), np.array([len(s) for s in sets]), pdf["k1"].to_numpy(), pdf["k2"].to_numpy(), many, roots(len(pdf), x, y))
+        return head.assign(blob=[blob], counts=[pack(*tallied(len(pdf), x, y, many))])
+
+    return build
+
+
+CROSS = "l1 long, l2 long, block int, counts binary, u1 long, u2 long, v1 long, v2 long"
+
+
+def compare_blocks(threshold: float):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Two blocks of a large component: counts for each, and one link for each two parts (classes with one root within
+        their block) that are linked."""
+        if len(pdf) < 2:  # the other block has no classes
+            return pd.DataFrame({c.split()[0]: [] for c in CROSS.split(", ")})
+        pdf = pdf.sort_values("block", ignore_index=True)
+        (va, wa, na, *left), (vb, wb, nb, *right) = (unpack(b) for b in pdf["blob"])
+        x, y = linked_pairs(np.split(va[wa], np.cumsum(na)[:-1]), np.split(vb[wb], np.cumsum(nb)[:-1]), threshold)
+        n, many = len(na), np.concatenate([left[2], right[2]])
+        links, classes = tallied(n + len(nb), x, y + n, many)
+        roots_ = np.unique(np.stack([left[3][x], right[3][y]], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        counts = [pack(links[s], classes[s]) for s in (slice(n), slice(n, None))]
+        out = pdf[["l1", "l2", "block"]].assign(counts=counts)
+        parts = pd.DataFrame({"l1": pdf["l1"].iloc[0], "l2": pdf["l2"].iloc[0], "block": -1, "counts": None, "u1": left[0][roots_[:, 0]], "u2": left[1][roots_[:, 0]], "v1": right[0][roots_[:, 1]], "v2": right[1][roots_[:, 1]]})
+        whole = {c: "Int64" for c in ("u1", "u2", "v1", "v2")}
+        return pd.concat([out.assign(u1=pd.NA, u2=pd.NA, v1=pd.NA, v2=pd.NA).astype(whole), parts.astype(whole)])
+
+    return compare
+
+
+def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's counts over all pairs it was in; each class with its root within the block."""
+    _, _, _, k1, k2, _, root = unpack(pdf["blob"].dropna().iloc[0])
+    links, classes = (sum(x) for x in zip(*(unpack(b) for b in pdf["counts"]), strict=True))
+    return pd.DataFrame({"k1": k1, "k2": k2, "links": links, "classes": classes, "r1": k1[root], "r2": k2[root]})
+
+
+def exact_counts(base: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """COUNTS of members (k1, k2, l1, l2, size, many, _id2, _h2): r1, r2 is the least class each is joined to."""
+
+    def sets(some: DataFrame) -> DataFrame:
+        met = join_small(base, some, same_row(base, some), "inner").drop("_id", "_h", "_id2", "_h2")
+        return met.mapInPandas(as_sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema if f.name != "_text") + ", items binary")
+
+    small, large = F.col("size") <= BLOCK, saved(members.where(F.col("size") > BLOCK))
+    packs = max(1, members.where(small).count() // 500)
+    tasks = max(packs, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    narrow = sets(members.where(small)).withColumn("pack", F.pmod(F.xxhash64("l1", "l2"), F.lit(packs)))
+    out = saved(narrow.repartition(tasks, "pack").groupBy("pack").applyInPandas(compare_small(threshold), COUNTS))
+    if not large.limit(1).count():
+        return out
+    wide = sets(large).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    wide = wide.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    wide = saved(wide.groupBy("l1", "l2", "block").applyInPandas(as_block(threshold), BLOCKS))
+    met = wide.drop("counts").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    met = met.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    cross = saved(met.drop("other", "blocks").groupBy("l1", "l2", "bi", "bj").applyInPandas(compare_blocks(threshold), CROSS))
+    each = wide.select("l1", "l2", "block", "blob", "counts").unionByName(cross.where("block >= 0").select("l1", "l2", "block", F.lit(None).cast("binary").alias("blob"), "counts"))
+    each = saved(each.groupBy("l1", "l2", "block").applyInPandas(add_counts, COUNTS))
+    links = each.select(key("k1", "k2").alias("u"), key("r1", "r2").alias("v"))
+    groups = components(links.unionByName(cross.where("block < 0").select(key("u1", "u2").alias("u"), key("v1", "v2").alias("v"))))
+    groups = groups.select(F.col("node.k1").alias("n1"), F.col("node.k2").alias("n2"), "label")
+    each = each.join(groups, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
+    return out.unionByName(each.select("k1", "k2", "links", "classes", F.coalesce("label.k1", "r1").alias("r1"), F.coalesce("label.k2", "r2").alias("r2")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """_id, _h (the document), class_id (the least id among those joined by links), n_links (other documents at the
     threshold or over, copies included), n_link_classes (different shingle sets among them), n_copies, first (whether it
@@ -295,33 +403,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = sigs.groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("_id", "_h", "sig")).alias("rep"))
     every = saved(every.select("k1", "k2", "n", "many", F.col("rep._id").alias("_id2"), F.col("rep._h").alias("_h2"), "rep.sig"))
     classes = every.where("n > 0").drop("n")
-    groups = components(saved(path_links(classes, recall)))
+    groups = candidate_groups(classes.select("k1", "k2", "sig"), recall)
     sized = groups.groupBy(F.col("label").alias("label2")).agg(F.count(F.lit(1)).alias("size"))
     groups = groups.join(sized, F.col("label") == F.col("label2")).select("node.k1", "node.k2", F.col("label.k1").alias("l1"), F.col("label.k2").alias("l2"), "size")
     members = saved(groups.join(classes.drop("sig"), ["k1", "k2"]))
-    packs = max(1, members.count() // 500)
-    sets = join_small(base, members, same_row(base, members), "inner", width=96).drop("_id", "_h", "_id2", "_h2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", block)
-    sets = sets.mapInPandas(as_sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema if f.name != "_text") + ", items binary")
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("l1", "l2"), F.lit(packs))).otherwise(F.xxhash64("l1", "l2"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("*", pack.alias("pack"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    tasks = max(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = saved(sets.repartition(tasks, "pack", "bi", "bj").groupBy("pack", "bi", "bj").applyInPandas(exact(threshold), COUNTS))
-    total = counts.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"), F.min(F.struct("r1", "r2")).alias("r"), F.max("wide").alias("wide"))
-    pair = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
-    wide = components(counts.where("wide").select(pair("k1", "k2").alias("u"), pair("r1", "r2").alias("v")))
-    total = total.join(wide, pair("k1", "k2") == F.col("node"), "left").select("k1", "k2", "links", "classes", F.coalesce("label", F.col("r").cast("struct<k1:bigint,k2:bigint>")).alias("root"))
-    told = every.drop("sig", "n").join(total, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", pair("k1", "k2")))
+    total = exact_counts(base, members, threshold).select("k1", "k2", "links", "classes", key("r1", "r2").alias("root"))
+    told = every.drop("sig", "n").join(total, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", key("k1", "k2")))
     told = saved(told.withColumn("rep", F.struct("_id2", "_h2")).drop("_id2", "_h2"))
     heads = told.groupBy(F.col("root").alias("root2")).agg(F.min("rep").alias("head"))
     told = told.join(heads, F.col("root") == F.col("root2")).select(
         F.col("k1").alias("c1"), F.col("k2").alias("c2"), "many", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("classes", F.lit(0)).alias("classes"), "head"
     )
     told = saved(told)
-    out = join_small(sigs.drop("sig"), told, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left", width=96)
+    out = join_small(sigs.drop("sig"), told, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     none = F.col("n") == 0
     first = F.col("_id").eqNullSafe(F.col("head._id2")) & (F.col("_h") == F.col("head._h2"))
     return out.select(
@@ -343,7 +437,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = saved(found.where(~F.col("first")).select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")))
     base = packed(docs, id_col, text_col)
-    return join_small(base, gone, same_row(base, gone), "left_anti", width=64).select("row.*")
+    return join_small(base, gone, same_row(base, gone), "left_anti").select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

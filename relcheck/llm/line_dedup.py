@@ -40,7 +40,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = first.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "first")
     later = windows.join(first, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))).where(place > F.col("first"))
     covered = saved(later.groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("j").alias("_js")))
-    met = join_small(base, covered, same_row(base, covered), "left", width=256)
+    met = join_small(base, covered, same_row(base, covered), "left")
     lines = F.split("_text", "\n")
     kept = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.flatten(F.transform("_js", lambda j: F.array(j, j + 1, j + 2))))
     text = let(lines, lambda ls: let(kept(ls), lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(ls, i)), "\n").alias("t"), F.size(k).alias("k"))))

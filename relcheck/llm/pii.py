@@ -90,17 +90,17 @@ def revealing(base: DataFrame, found: DataFrame) -> DataFrame:
     first = base.groupBy("_h").agg(F.min("_id").alias("_id2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = saved(first.select(F.col("_h").alias("_h2"), "_id2"))
     copy = (base["_h"] == copies["_h2"]) & ~base["_id"].eqNullSafe(copies["_id2"])
-    texts = join_small(base, copies, copy, "left_anti", width=48).select("_id", "_h", "_text")
+    texts = join_small(base, copies, copy, "left_anti").select("_id", "_h", "_text")
     held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e")).distinct()
     common = held.groupBy("e").agg(F.count_distinct("_h").alias("n_e")).where(F.col("n_e") >= MIN_TEXTS)
     held = held.join(common, "e").groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("e").alias("es"))
     held = saved(held)
-    near = join_small(texts, held, same_row(texts, held), "inner", width=128)
+    near = join_small(texts, held, same_row(texts, held), "inner")
     pairs = near.select(F.explode("es").alias("e"), terms_of(F.col("_text")).alias("ts")).select("e", F.explode("ts").alias("t"))
     pairs = saved(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= MIN_TEXTS))
     wanted = saved(pairs.select(F.col("t").alias("t2")).distinct())
     seen = texts.select(F.explode(terms_of(F.col("_text"))).alias("t"))
-    frequency = join_small(seen, wanted, F.col("t") == F.col("t2"), "left_semi", width=64).groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("n_t"))
+    frequency = join_small(seen, wanted, F.col("t") == F.col("t2"), "left_semi").groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("n_t"))
     hidden = -F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
     return pairs.join(frequency, F.col("t") == F.col("t2")).select("e", "t", hidden.alias("hidden")).where(F.col("hidden") <= HIDDEN_GENERALISED)
 
@@ -115,7 +115,7 @@ def term_spans(base: DataFrame, found: DataFrame) -> DataFrame:
     areas = found.groupBy(F.col("_id").alias("_id3"), F.col("_h").alias("_h3")).agg(F.collect_list(F.struct("start", "end")).alias("areas"))
     own = own.join(areas, F.col("_id").eqNullSafe(F.col("_id3")) & (F.col("_h") == F.col("_h3")))
     own = saved(own.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "terms", "areas"))
-    near = join_small(base, own, same_row(base, own), "inner", width=8192)
+    near = join_small(base, own, same_row(base, own), "inner")
     words = placed(near.select("_id", "_h", "_text"), {"term": TERM}).withColumn("t", lowered(F.col("value")))
     met = words.join(own, same_row(words, own)).withColumn("hidden", F.try_element_at("terms", F.col("t")))
     apart = ~F.exists("areas", lambda a: (a.start < F.col("end")) & (F.col("start") < a.end))
@@ -147,7 +147,7 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sort_array(F.collect_list(F.when(F.col("end") > F.col("reach"), cut))).alias("cuts"),
     )
     per_doc = saved(per_doc)
-    met = join_small(base, per_doc, same_row(base, per_doc), "left", width=1024)
+    met = join_small(base, per_doc, same_row(base, per_doc), "left")
     joined = lambda x: F.coalesce(F.array_join(F.transform(x, lambda s: s.s), ","), F.lit(""))
     text, cuts = F.col("_text"), F.col("cuts")
     gap = lambda s, i: F.substring(text, F.coalesce(F.get(cuts, i - 1).end, F.lit(0)) + 1, s.start - F.coalesce(F.get(cuts, i - 1).end, F.lit(0)))

@@ -65,7 +65,7 @@ def heavy_lines(base: DataFrame, share: float, min_docs: int) -> DataFrame:
     hosts = saved(keys.groupBy(F.col("_host").alias("_host2")).agg(F.count_distinct("_h").alias("_docs")))
     heavy = join_small(counted, hosts, F.col("_host").eqNullSafe(F.col("_host2")), "inner").where(F.col("_n") >= share * F.col("_docs"))
     heavy = saved(heavy.groupBy("_host2").agg(F.collect_list("_k").alias("_all")))
-    met = join_small(keys, heavy, F.col("_host").eqNullSafe(F.col("_host2")), "inner", width=4096)
+    met = join_small(keys, heavy, F.col("_host").eqNullSafe(F.col("_host2")), "inner")
     own = met.select("_id", "_h", "_host", F.array_intersect("_keys", "_all").alias("_heavy")).where(F.size("_heavy") > 0)
     return saved(own.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_host").alias("_host2"), "_heavy").distinct())
 
@@ -82,7 +82,7 @@ def quality_rules(
     """
     base = packed(docs, id_col, text_col).withColumn("_host", F.col("row").getField(host_col).cast("string"))
     heavy = heavy_lines(base.drop("row"), share, min_docs)
-    met = join_small(base, heavy, same_row(base, heavy) & F.col("_host").eqNullSafe(F.col("_host2")), "left", width=128)
+    met = join_small(base, heavy, same_row(base, heavy) & F.col("_host").eqNullSafe(F.col("_host2")), "left")
     text = F.col("_text")
     kept_lines = F.filter(
         F.arrays_zip(F.split(text, "\n").alias("l"), normalised_lines(text).alias("n")),

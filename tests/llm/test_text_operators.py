@@ -294,16 +294,45 @@ def test_lm_rounds_improve_the_first_draw(spark, monkeypatch):
 
 def test_jaccard_paths_keep_recall_in_deep_buckets():
     """2000 pairs of signatures alike in 0.8, led through the first paths and four splits: pairs that share a path still."""
-    assert all(jaccard_join.missed(10, k) > 0.001 for k in (1, 2, 4, 7))
-    assert all(jaccard_join.missed(jaccard_join.runs_for(0.999, k), k) <= 0.001 for k in range(8))
+    assert all(jaccard_join.missed(jaccard_join.runs_for(0.999), k) <= 0.001 for k in range(jaccard_join.LEVELS + 1))
     rng, n = np.random.default_rng(3), 2000
     drawn = lambda: rng.integers(0, 1 << 32, (n, 64), dtype=np.uint64).astype(np.uint32)
     one, other = drawn(), drawn()
     two, pivot = np.where(rng.random((n, 64)) < 0.8, one, drawn()), other[0].tobytes()
     sigs = pd.DataFrame([(i, side, x.tobytes()) for side, own in enumerate((one, two)) for i, x in enumerate(own)], columns=["k1", "k2", "sig"])
-    rows = pd.concat(jaccard_join.first_paths(0, jaccard_join.runs_for(0.999, 4))(iter([sigs])))
+    rows = pd.concat(jaccard_join.first_paths(0, jaccard_join.runs_for(0.999))(iter([sigs.assign(lab=sigs["k1"])])))
     for _ in range(4):
-        met = rows.merge(sigs, on=["k1", "k2"]).assign(psig=pivot, p1=-1, p2=-1)
-        rows = pd.concat(jaccard_join.split_once(False)(iter([met])))[["path", "k1", "k2"]].dropna()
+        met = rows.merge(sigs, on=["k1", "k2"]).assign(psig=pivot, p1=-1, p2=-1, plab=-1)
+        rows = pd.concat(jaccard_join.split_once(False)(iter([met])))[["path", "k1", "k2", "lab"]].dropna()
     shared = rows[rows["k2"] == 0].merge(rows[rows["k2"] == 1], on=["path", "k1"])["k1"].nunique()
     assert shared >= 0.997 * n
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_jaccard_join_finds_all_links(spark, block, monkeypatch):
+    """Against brute force: a group of near copies, and texts that share a long passage, in buckets that are split; large
+    components are compared in blocks."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "FEW", 16)
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, base, rows = words(90), words(150), []
+    for i in range(120):  # near copies of one text, of all degrees
+        rows.append([w if rng.random() > 0.001 * (i % 30) else "x" for w in base])
+    for i in range(240):  # half of each text is the passage; every fourth has a near copy
+        own = passage + words(80)
+        rows.append(own)
+        if i % 4 == 0:
+            rows.append([*own[:-3], "y", "y", "y"])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    near = [[j for j, o in enumerate(sets) if len(s & o) >= 0.8 * len(s | o)] for s in sets]
+    root = list(range(len(rows)))
+    for _ in range(20):
+        root = [min(root[j] for j in own) for own in near]
+    copies = collections.Counter(map(frozenset, sets))
+    got = {r._id: r for r in jaccard_join.near_duplicates(docs).collect()}
+    for i, own in enumerate(near):
+        assert (got[i].n_links, got[i].class_id, got[i].n_copies) == (len(own) - 1, root[i], copies[frozenset(sets[i])] - 1), i
