@@ -2,15 +2,18 @@
 
 Documents with equal sets of 5-word shingles are one class; a class's set has a signature of 64 sampled minima ("tokens"
 of the embedded set). A run sends every class to the bucket of one sampled token. A bucket of few classes is compared by
-brute force; a larger one is compared with a pivot of its own, classes near the pivot are linked to it, and the others go
-on to the buckets of tokens which the path samples anew, each with probability BRANCH / (0.8 * 64): the more alike two
-sets are, the likelier they share a path. A pair at the threshold shares BRANCH child paths a level on average; that is
-more than one, so its paths don't die out with depth, and runs_for() is the number of runs that reach the target recall at
-any depth.
+brute force. A larger one has a centre, the most frequent value of each of the 64 tokens (in a bounded sample of its
+classes; the centre decides how a bucket is split, never what is found): classes near the centre are linked, and all but
+those that nearly are the centre go on to the buckets of tokens which the path samples anew. They are sampled among the
+tokens in which a class differs from the centre: what makes a bucket large, a passage that all its texts share, would bring
+the same classes together again. Two classes at the threshold of which the less alike one has a share s of the centre have
+at least 0.8 - s of their tokens in common that aren't the centre's, and each is sampled with such a probability that
+BRANCH of them are expected; that is more than one, so paths of similar sets don't die out with depth, and runs_for() is
+the number of runs that reach the target recall at any depth.
 
 Linked classes are contracted: rows carry the label of what they are linked to, and a bucket whose rows have one label is
-dropped before anything is joined to it. The first FIRST runs are evaluated to components before the others start, so a
-large group of near copies is dealt out by these runs alone.
+dropped before anything is joined to it. The links of the first FIRST runs give labels to all others, so a large group of
+near copies is dealt out by these runs alone.
 
 What meets with an estimated similarity of 0.6 or more (four deviations below the threshold) is linked for verification
 only. Components of these links are then compared exactly, set against set: inside of a pair of blocks the sizes of all
@@ -40,12 +43,15 @@ THRESHOLD = 0.8
 TOKENS = 64
 RECALL = 0.999
 #: Child paths that a pair at the threshold shares on average, and the runs whose links are contracted before the others.
-BRANCH = 1.6
+BRANCH = 6.0
 FIRST = 2
 #: Classes in a bucket that are compared by brute force, and levels of splitting.
-FEW = 64
+FEW = 200
 LEVELS = 8
-NEAR, SAME = 0.6, 0.9
+#: Estimates: what small buckets link, and what is near a centre or nearly the centre.
+NEAR, CENTRAL, SAME = 0.6, 0.6, 0.9
+#: Classes that give a bucket's centre, on average.
+SAMPLE = 64
 #: Rows of small buckets that a task compares at a time, on average.
 SLOT_ROWS = 4_000
 #: Classes on each side of an exact comparison.
@@ -78,9 +84,14 @@ def matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, TOKENS)
 
 
+def chance(alike):
+    """With which probability a token is sampled by a class that has that share of the centre's."""
+    return BRANCH / (TOKENS * np.maximum(THRESHOLD - alike, THRESHOLD - CENTRAL))
+
+
 def missed(runs: int, splits: int) -> float:
-    """The share of pairs at the threshold that no run brings together, where buckets are split so many times, or whose
-    estimate stays under NEAR. Exact for the draws of tokens and children; pivots, which only help, are left out."""
+    """The share of pairs at the threshold that no run brings together, where buckets are split so many times around
+    centres that are as alike as they can be without linking (CENTRAL), or whose estimate stays under NEAR."""
     share = lambda n: [math.comb(n, k) * THRESHOLD**k * (1 - THRESHOLD) ** (n - k) for k in range(n + 1)]
     each, more = divmod(runs, TOKENS)
     out = 0.0
@@ -88,7 +99,7 @@ def missed(runs: int, splits: int) -> float:
         for b, q in enumerate(share(TOKENS - more)):
             alive = 1.0
             for _ in range(splits):
-                alive = 1 - (1 - alive * BRANCH / (THRESHOLD * TOKENS)) ** (a + b)
+                alive = 1 - (1 - alive * chance(CENTRAL)) ** max(0.0, a + b - CENTRAL * TOKENS)
             out += p * q * ((1 - alive) ** ((each + 1) * a + each * b) if a + b >= NEAR * TOKENS else 1)
     return out
 
@@ -156,36 +167,42 @@ def brute_force(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u1": k1[rest], "u2": k2[rest], "v1": k1[root[rest]], "v2": k2[root[rest]]})
 
 
-SPLIT = "path long, k1 long, k2 long, lab long, p1 long, p2 long"
+def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The most frequent value of each token in a sample of a bucket, and the class that is most alike to it, if near."""
+    pdf = pdf.sort_values(["k1", "k2"], ignore_index=True)
+    sigs, mode = matrix(pdf["sig"]), np.zeros(TOKENS, np.uint32)
+    for i in range(TOKENS):
+        values, many = np.unique(sigs[:, i], return_counts=True)
+        mode[i] = values[np.argmax(many)]
+    alike = (sigs == mode).mean(axis=1)
+    x = pdf.iloc[[int(np.argmax(alike))]]
+    own = x[["k1", "k2", "lab"]].to_numpy()[0] if alike.max() >= CENTRAL else [None] * 3
+    return pd.DataFrame([(x["path"].iloc[0], mode.tobytes(), *own)], columns=["path2", "mode", "p1", "p2", "plab"]).astype({c: "Int64" for c in ("p1", "p2", "plab")})
+
 
+SPLIT = "path long, k1 long, k2 long, lab long, p1 long, p2 long"
 
-def split_once(last: bool):
-    """Rows of large buckets with their pivots: new links to the pivot (path null), and the next paths of the classes that
-    aren't nearly the pivot. What is linked to the pivot takes its label."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sigs, paths = matrix(pdf["sig"]), pdf["path"].to_numpy().view(np.uint64)
-            close = (sigs == matrix(pdf["psig"])).mean(axis=1)
-            near, lab = (close >= NEAR) | last, pdf["lab"].to_numpy()
-            x = pdf.iloc[np.flatnonzero(near & (lab != pdf["plab"].to_numpy()))]
-            yield pd.DataFrame({"path": pd.array([None] * len(x), "Int64"), "k1": x["k1"], "k2": x["k2"], "lab": x["plab"], "p1": x["p1"], "p2": x["p2"]})
-            if last:
-                continue
-            lab, rest = np.where(near, pdf["plab"].to_numpy(), lab), np.flatnonzero(close < SAME)
-            for i in range(TOKENS):
-                draw = mixed(paths[rest] ^ SALT[i])
-                go = rest[draw < U(int(2.0**64 * BRANCH / (THRESHOLD * TOKENS)))]
-                path = mixed(paths[go] * ODD[i] + sigs[go, i].astype(np.uint64))
-                none = pd.array([None] * len(go), "Int64")
-                yield pd.DataFrame({"path": pd.array(path.view(np.int64), "Int64"), "k1": pdf["k1"].to_numpy()[go], "k2": pdf["k2"].to_numpy()[go], "lab": lab[go], "p1": none, "p2": none})
-
-    return split
+def split_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of large buckets with their centres: new links to the central class (path null), and the next paths of the
+    classes that aren't nearly the centre. What is linked to the central class takes its label."""
+    for pdf in batches:
+        sigs, modes, paths = matrix(pdf["sig"]), matrix(pdf["mode"]), pdf["path"].to_numpy().view(np.uint64)
+        alike, lab, plab = (sigs == modes).mean(axis=1), pdf["lab"].to_numpy(), pdf["plab"].astype("Int64").fillna(0).to_numpy(np.int64)
+        near = (alike >= CENTRAL) & pdf["p1"].notna().to_numpy()
+        x = pdf.iloc[np.flatnonzero(near & (lab != plab))]
+        yield pd.DataFrame({"path": pd.array([None] * len(x), "Int64"), "k1": x["k1"], "k2": x["k2"], "lab": x["plab"], "p1": x["p1"], "p2": x["p2"]}).astype({c: "Int64" for c in ("lab", "p1", "p2")})
+        lab, rest = np.where(near, plab, lab), np.flatnonzero(alike < SAME)
+        limit = (np.minimum(chance(alike[rest]), 1 - 1e-9) * 2.0**64).astype(np.uint64)
+        for i in range(TOKENS):
+            go = rest[(mixed(paths[rest] ^ SALT[i]) < limit) & (sigs[rest, i] != modes[rest, i])]
+            path = mixed(paths[go] * ODD[i] + sigs[go, i].astype(np.uint64))
+            none = pd.array([None] * len(go), "Int64")
+            yield pd.DataFrame({"path": pd.array(path.view(np.int64), "Int64"), "k1": pdf["k1"].to_numpy()[go], "k2": pdf["k2"].to_numpy()[go], "lab": lab[go], "p1": none, "p2": none})
 
 
 def shared_paths(rows: DataFrame) -> DataFrame:
     """rows (path, k1, k2, lab) of paths on which different labels meet, with the number of rows as `many`."""
-    rows = saved(rows)
     many = rows.groupBy(F.col("path").alias("path2")).agg(F.count(F.lit(1)).alias("many"), F.min("lab").alias("lo"), F.max("lab").alias("hi"))
     return rows.join(many.where("lo <> hi").drop("lo", "hi"), F.col("path") == F.col("path2")).drop("path2")
 
@@ -193,20 +210,25 @@ def shared_paths(rows: DataFrame) -> DataFrame:
 def run_links(classes: DataFrame, first: int, runs: int) -> DataFrame:
     """Links u, v (structs k1, k2) that the runs from first to before `runs` find between classes of different labels."""
     own = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "sig")
-    rows, found = classes.mapInPandas(first_paths(first, runs), "path long, k1 long, k2 long, lab long"), []
+    rows, found = saved(classes.mapInPandas(first_paths(first, runs), "path long, k1 long, k2 long, lab long")), []
     for level in range(LEVELS):
         met = shared_paths(rows)
         met = saved(met.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("path", "k1", "k2", "lab", "sig", "many"))
         few = met.where(F.col("many") <= FEW)
-        slots = max(1, few.count() // SLOT_ROWS)
+        n_few, n_met = met.agg(F.count_if(F.col("many") <= FEW), F.count(F.lit(1))).first()
+        slots = max(1, n_few // SLOT_ROWS)
         found.append(few.groupBy(F.pmod(F.xxhash64("path"), F.lit(slots)).alias("slot")).applyInPandas(brute_force, LINK))
         large = met.where(F.col("many") > FEW)
-        if not large.limit(1).count():
+        if n_few == n_met:
+            break
+        if level == LEVELS - 1:  # linked for verification, whatever they are
+            least = large.groupBy(F.col("path").alias("path2")).agg(F.min(key("k1", "k2")).alias("v"))
+            found.append(large.join(least, F.col("path") == F.col("path2")).select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("v.k1").alias("v1"), F.col("v.k2").alias("v2")))
             break
-        chosen = F.struct(F.xxhash64("path", "k1", "k2").alias("o"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("lab").alias("plab"), F.col("sig").alias("psig"))
-        pivot = large.groupBy(F.col("path").alias("path2")).agg(F.min(chosen).alias("p"))
-        told = large.join(pivot, F.col("path") == F.col("path2")).select("path", "k1", "k2", "lab", "sig", "p.p1", "p.p2", "p.plab", "p.psig")
-        done = saved(told.mapInPandas(split_once(level == LEVELS - 1), SPLIT))
+        unit = F.pmod(F.xxhash64("path", "k1", "k2"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        centres = large.where(unit * F.col("many") < SAMPLE).groupBy("path").applyInPandas(centre, "path2 long, mode binary, p1 long, p2 long, plab long")
+        told = large.join(centres, F.col("path") == F.col("path2"), "left").withColumn("mode", F.coalesce("mode", F.lit(bytearray(4 * TOKENS))))
+        done = saved(told.select("path", "k1", "k2", "lab", "sig", "mode", "p1", "p2", "plab").mapInPandas(split_once, SPLIT))
         found.append(done.where("path is null").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("p1").alias("v1"), F.col("p2").alias("v2")))
         rows = done.where("path is not null").select("path", "k1", "k2", "lab")
     out = found[0]
@@ -222,11 +244,11 @@ def key(a: str, b: str) -> Column:
 def candidate_groups(classes: DataFrame, recall: float) -> DataFrame:
     """node, label (structs k1, k2): the components of classes that met with an estimate of NEAR or more."""
     runs = runs_for(recall)
-    groups = components(run_links(classes.withColumn("lab", F.col("k1")), 0, min(FIRST, runs)))
-    labels = groups.select(F.col("node.k1").alias("c1"), F.col("node.k2").alias("c2"), F.col("label.k1").alias("l1"))
+    first = run_links(classes.withColumn("lab", F.col("k1")), 0, min(FIRST, runs))
+    labels = saved(first.groupBy(F.col("u.k1").alias("c1"), F.col("u.k2").alias("c2")).agg(F.min("v.k1").alias("l1")))
     told = classes.join(labels, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     more = run_links(saved(told.select("k1", "k2", "sig", F.coalesce("l1", "k1").alias("lab"))), min(FIRST, runs), runs)
-    return components(groups.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
+    return components(first.unionByName(more))
 
 
 def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

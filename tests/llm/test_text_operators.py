@@ -298,12 +298,12 @@ def test_jaccard_paths_keep_recall_in_deep_buckets():
     rng, n = np.random.default_rng(3), 2000
     drawn = lambda: rng.integers(0, 1 << 32, (n, 64), dtype=np.uint64).astype(np.uint32)
     one, other = drawn(), drawn()
-    two, pivot = np.where(rng.random((n, 64)) < 0.8, one, drawn()), other[0].tobytes()
+    two, mode = np.where(rng.random((n, 64)) < 0.8, one, drawn()), other[0].tobytes()
     sigs = pd.DataFrame([(i, side, x.tobytes()) for side, own in enumerate((one, two)) for i, x in enumerate(own)], columns=["k1", "k2", "sig"])
     rows = pd.concat(jaccard_join.first_paths(0, jaccard_join.runs_for(0.999))(iter([sigs.assign(lab=sigs["k1"])])))
     for _ in range(4):
-        met = rows.merge(sigs, on=["k1", "k2"]).assign(psig=pivot, p1=-1, p2=-1, plab=-1)
-        rows = pd.concat(jaccard_join.split_once(False)(iter([met])))[["path", "k1", "k2", "lab"]].dropna()
+        met = rows.merge(sigs, on=["k1", "k2"]).assign(mode=mode, p1=pd.NA, p2=pd.NA, plab=pd.NA)
+        rows = pd.concat(jaccard_join.split_once(iter([met])))[["path", "k1", "k2", "lab"]].dropna()
     shared = rows[rows["k2"] == 0].merge(rows[rows["k2"] == 1], on=["path", "k1"])["k1"].nunique()
     assert shared >= 0.997 * n
 
