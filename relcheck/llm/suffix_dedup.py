@@ -7,8 +7,10 @@ a depth of 50 bytes only, the order of the dictionary's suffixes decides it, and
 phrase's ranks. Steps:
 
 1. Triggers are counted: each block of documents sends 32-bit remainders of its triggers' hashes to buckets (no ids, no
-   text), and learns which of them other documents hold too. A false match costs work, never a wrong result.
-2. Dictionary: phrases of such triggers go to the trigger's bucket, once a block, with the least id that holds them.
+   text), each with 16 bits of the hashes of the trigger with the 17 bytes before it and with the 17 bytes after it. Two
+   documents that share a 50-byte string share its trigger and one of these 33-byte grams, so only phrases of which a gram
+   stands in another document too go on. A false match costs work, never a wrong result.
+2. Dictionary: such phrases go to the trigger's bucket, once a block, with the least id that holds them.
    Phrases of one trigger that differ have their suffixes of 50 bytes sorted; equal neighbours share the least id.
    A trigger of very many blocks would make a large bucket: its strings travel alone, by their own hashes.
 3. Each block learns, phrase by phrase, the least id that holds the phrase and which of its strings stand in documents
@@ -32,6 +34,8 @@ from relcheck.llm.shingles import BYTE, POWERS, STEP, U, mixed
 
 LENGTH = 50
 GRAM = 16
+#: Bytes on one side of a trigger, of which every 50-byte string around it has as many on the left or on the right.
+SIDE = (LENGTH - GRAM) // 2
 REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 2 << 20
 #: Bytes hashed at a time: few enough for the arrays to stay in a core's cache.
@@ -46,12 +50,14 @@ LAST = np.iinfo(np.int64).max
 
 
 class Phrases:
-    """The phrases of a block's documents: document number, first and last string, trigger hash a, content hash c."""
+    """The phrases of a block's documents: document number, first and last string, trigger hash a, content hash c, and 16
+    bits of the hashes of the grams on the trigger's left and right (0: the phrase doesn't reach that far)."""
 
     def __init__(self, texts: list[bytes], ids: np.ndarray):
         self.texts, self.ids = texts, ids
         found = [self.segment(docs) for docs in segments(texts)]
-        self.doc, self.low, self.high, self.a, self.c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.uint16)] * 2
+        self.doc, self.low, self.high, self.a, self.c, self.left, self.right = (np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
     def segment(self, pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
         """Phrases of pieces (document, offset, bytes) that are hashed together."""
@@ -76,9 +82,14 @@ class Phrases:
             pu, pd_ = POWERS.get(len(raw) + 1)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * pu[:-1])])
             c = mixed((sums[high + LENGTH] - sums[low]) * pd_[low] + (high - low).astype(np.uint64))
+            trigger = own[new]
+            gram = lambda at: np.maximum(mixed((sums[at + GRAM + SIDE] - sums[at]) * pd_[at]) >> U(48), U(1)).astype(np.uint16)
+            before, after = trigger - SIDE >= low, trigger + GRAM + SIDE <= high + LENGTH
+            left = np.where(before, gram(np.where(before, trigger - SIDE, low)), np.uint16(0))
+            right = np.where(after, gram(np.where(after, trigger, low)), np.uint16(0))
         piece = np.searchsorted(begin, low, side="right") - 1
         shift = np.array([p[1] for p in pieces])[piece] - begin[piece]
-        return np.array([p[0] for p in pieces])[piece], low + shift, high + shift, grams[own[new]], c
+        return np.array([p[0] for p in pieces])[piece], low + shift, high + shift, grams[trigger], c, left, right
 
     def only(self, keep: np.ndarray) -> None:
         self.doc, self.low, self.high, self.a, self.c = (x[keep] for x in (self.doc, self.low, self.high, self.a, self.c))
@@ -100,6 +111,12 @@ class Phrases:
         self.doc, self.low, self.high = (np.concatenate([x[cold], y]) for x, y in ((self.doc, docs), (self.low, starts), (self.high, starts)))
         self.a, self.c = np.concatenate([self.a[cold], mixed(a)]), np.concatenate([self.c[cold], mixed(c)])
 
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The phrases in order of (a, left, right) and which of them begin new ones."""
+        order = np.lexsort((self.right, self.left, self.a))
+        changed = lambda x: x[order][1:] != x[order][:-1]
+        return order, np.concatenate([[True], changed(self.a) | changed(self.left) | changed(self.right)])[: len(order)]
+
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """The phrases in order of (a, c, id) and which of them begin a new (a, c)."""
         order = np.lexsort((self.ids[self.doc], self.c, self.a))
@@ -143,22 +160,37 @@ def remainder(a: np.ndarray, bits: int) -> np.ndarray:
     return ((a << U(bits)) >> U(32)).astype(np.uint32)
 
 
-FIRST = "bucket long, block long, once binary, more binary"
+FIRST = "bucket long, block long, a binary, left binary, right binary, some_left binary, some_right binary"
+
+
+def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by keys (the first matters most, the last isn't part of the group) and where groups begin in it."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for k in keys[:-1]:
+        new |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], new])[: len(order)])
+
+
+def several(values: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row whether its group by keys has different values."""
+    order, start = groups_of(*keys, values)
+    end = np.append(start[1:], len(order)) - 1 if len(order) else start
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(values[order][end] != values[order][start], end - start + 1)
+    return out
 
 
 def send_triggers(bits: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         block, (_, phrases) = int(pdf["block"].iloc[0]), block_of(pdf)
-        ids = phrases.ids[phrases.doc]
-        order = np.lexsort((ids, phrases.a))
-        a, ids = phrases.a[order], ids[order]
-        new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(a)) - 1 if len(a) else start
-        more, a = ids[end] != ids[start], a[start]
+        ids, (order, new) = phrases.ids[phrases.doc], phrases.marks()
+        head = order[new]
+        a, left, right = phrases.a[head], phrases.left[head], phrases.right[head]
+        some = [several(ids, phrases.a, x)[head] for x in (phrases.left, phrases.right)]
         rest = remainder(a, bits)
-        rows = [(b, block, rest[s][~more[s]].tobytes(), rest[s][more[s]].tobytes()) for b, s in by_bucket(a, bits)]
-        return pd.DataFrame(rows, columns=["bucket", "block", "once", "more"])
+        rows = [(b, block, rest[s].tobytes(), left[s].tobytes(), right[s].tobytes(), *[np.packbits(x[s]).tobytes() for x in some]) for b, s in by_bucket(a, bits)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "a", "left", "right", "some_left", "some_right"])
 
     return send
 
@@ -166,34 +198,46 @@ def send_triggers(bits: int):
 REPLY = "block long, bucket long, step int, x binary, y binary"
 
 
+def bits_of(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+
+
 def shared_triggers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """To each block its triggers (remainders) that another document holds: x all of them, y those of many blocks."""
-    own = [np.frombuffer(o + m, np.uint32) for o, m in zip(pdf["once"], pdf["more"], strict=True)]
-    single = [len(o) // 4 for o in pdf["once"]]
-    value, index, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    twice, hot = n > 1, n > HOT_BLOCKS
-    rows, at = [], np.split(index, np.cumsum([len(x) for x in own])[:-1])
-    for i, k in zip(at, single, strict=True):
-        twice[i[k:]] = True
-    for block, bucket, x, i in zip(pdf["block"], pdf["bucket"], own, at, strict=True):
-        if (keep := twice[i]).any():
-            rows.append((block, bucket, 1, x[keep].tobytes(), x[hot[i]].tobytes()))
+    """To each block, a bit for each of its marks: x for those of which a gram stands in another document too, y for those
+    whose trigger many blocks hold."""
+    size = np.array([len(x) // 4 for x in pdf["a"]])
+    read = lambda col, kind: np.concatenate([np.frombuffer(b, kind) for b in pdf[col]])
+    a, row = read("a", np.uint32), np.repeat(np.arange(len(pdf)), size)
+    keep = np.zeros(len(a), bool)
+    for side in ("left", "right"):
+        gram = read(side, np.uint16)
+        some = np.concatenate([bits_of(b, n) for b, n in zip(pdf[f"some_{side}"], size, strict=True)])
+        order, start = groups_of(a, gram, row)
+        within = np.repeat(np.bitwise_or.reduceat(some[order], start), np.diff(np.append(start, len(order))))
+        some[order] = within
+        keep |= (some | several(row, a, gram)) & (gram > 0)
+    order, start = groups_of(a, row)
+    first = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (a[order][1:] != a[order][:-1])])
+    hot = np.zeros(len(a), bool)
+    hot[order] = np.repeat(np.add.reduceat(first.astype(np.int64), start) > HOT_BLOCKS, np.diff(np.append(start, len(order))))
+    cut = np.cumsum(size)[:-1]
+    rows = [(block, bucket, 1, np.packbits(x).tobytes(), np.packbits(y).tobytes()) for block, bucket, x, y in zip(pdf["block"], pdf["bucket"], np.split(keep, cut), np.split(hot, cut), strict=True) if x.any()]
     return pd.DataFrame(rows, columns=["block", "bucket", "step", "x", "y"])
 
 
 def shared_phrases(phrases: Phrases, replies: pd.DataFrame, bits: int) -> None:
-    """Leaves the phrases whose triggers are shared, those of hot triggers string by string."""
-    keep, hot = np.zeros(len(phrases.a), bool), np.zeros(len(phrases.a), bool)
-    order = np.argsort(phrases.a, kind="stable")
-    a = phrases.a[order]
-    told = {b: (np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for b, x, y in zip(replies["bucket"], replies["x"], replies["y"], strict=True)}
-    rest = remainder(a, bits)
+    """Leaves the phrases that may be shared, those of hot triggers string by string."""
+    order, new = phrases.marks()
+    a, mark = phrases.a[order[new]], np.cumsum(new) - 1
+    keep, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    told = {b: (x, y) for b, x, y in zip(replies["bucket"], replies["x"], replies["y"], strict=True)}
     for b, s in by_bucket(a, bits):
         if b in told:
-            keep[order[s]] = np.isin(rest[s], told[b][0])
-            hot[order[s]] = np.isin(rest[s], told[b][1])
-    phrases.only(keep)
-    phrases.apart(hot[keep])
+            keep[s], hot[s] = (bits_of(x, s.stop - s.start) for x in told[b])
+    kept, apart = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    kept[order], apart[order] = keep[mark], hot[mark]
+    phrases.only(kept)
+    phrases.apart(apart[kept])
 
 
 SECOND = "bucket long, block long, a binary, c binary, id binary, size binary, text binary"
