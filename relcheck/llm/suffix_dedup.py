@@ -10,11 +10,13 @@ phrase's ranks. Steps:
    text), each with 16 bits of the hashes of the trigger with the 17 bytes before it and with the 17 bytes after it. Two
    documents that share a 50-byte string share its trigger and one of these 33-byte grams, so only phrases of which a gram
    stands in another document too go on. A false match costs work, never a wrong result.
-2. Dictionary: such phrases go to the trigger's bucket, once a block, with the least id that holds them.
-   Phrases of one trigger that differ have their suffixes of 50 bytes sorted; equal neighbours share the least id.
-   A trigger of very many blocks would make a large bucket: its strings travel alone, by their own hashes.
-3. Each block learns, phrase by phrase, the least id that holds the phrase and which of its strings stand in documents
-   with smaller ids yet, marks the bytes and cuts them.
+2. Of such phrases each block sends the hashes of trigger and content and the least id to the trigger's bucket, and learns
+   the least id that holds each phrase, and whether its trigger has other phrases too.
+3. Dictionary: the texts of phrases with such triggers are sent by the block that has the least id, so once each. Phrases
+   of one trigger have their suffixes of 50 bytes sorted; equal neighbours share the least id, and each block learns which
+   of its phrases' strings stand in documents with smaller ids. A trigger of very many blocks would make a large bucket:
+   its strings travel alone, by their own hashes.
+4. Each block marks the bytes and cuts them.
 
 Blocks have about 2 MB of text, buckets a bounded number of triggers on average; both grow in number with the corpus.
 """
@@ -240,22 +242,73 @@ def shared_phrases(phrases: Phrases, replies: pd.DataFrame, bits: int) -> None:
     phrases.apart(apart[kept])
 
 
-SECOND = "bucket long, block long, a binary, c binary, id binary, size binary, text binary"
+SECOND = "bucket long, block long, a binary, c binary, id binary"
 
 
-def send_phrases(bits: int):
+def send_entries(bits: int):
     def send(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        names = ["bucket", "block", "a", "c", "id", "size", "text"]
+        names = ["bucket", "block", "a", "c", "id"]
         if docs.empty or replies.empty:
             return pd.DataFrame({n: [] for n in names})
         block, (_, phrases) = int(docs["block"].iloc[0]), block_of(docs)
         shared_phrases(phrases, replies, bits)
         order, new = phrases.entries()
         first = order[new]
-        texts = [phrases.texts[d][x : y + LENGTH] for d, x, y in zip(phrases.doc[first], phrases.low[first], phrases.high[first], strict=True)]
         a, c, ids = phrases.a[first], phrases.c[first], phrases.ids[phrases.doc[first]]
+        return pd.DataFrame([(b, block, a[s].tobytes(), c[s].tobytes(), ids[s].tobytes()) for b, s in by_bucket(a, bits)], columns=names)
+
+    return send
+
+
+def numbers(pdf: pd.DataFrame, col: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, kind) for b in pdf[col]] or [np.zeros(0, kind)])
+
+
+def slices(pdf: pd.DataFrame) -> Iterator[tuple[int, int, slice]]:
+    """block, bucket and the places of each row's entries among all entries."""
+    cut = np.cumsum([0] + [len(x) // 8 for x in pdf["a"]])
+    for block, bucket, x, y in zip(pdf["block"], pdf["bucket"], cut[:-1], cut[1:], strict=True):
+        yield block, bucket, slice(x, y)
+
+
+def least_ids(pdf: pd.DataFrame) -> pd.DataFrame:
+    """To each block, in the order of its entries: x the least id with the phrase, y a bit for each phrase whose trigger has
+    other phrases too."""
+    a, c, ids = numbers(pdf, "a", np.uint64), numbers(pdf, "c", np.uint64), numbers(pdf, "id", np.int64)
+    order, start = groups_of(a, c, ids)
+    least = np.empty(len(a), np.int64)
+    least[order] = np.repeat(ids[order][start], np.diff(np.append(start, len(order))))
+    other = several(c, a)
+    rows = [(block, bucket, 2, least[s].tobytes(), np.packbits(other[s]).tobytes()) for block, bucket, s in slices(pdf)]
+    return pd.DataFrame(rows, columns=["block", "bucket", "step", "x", "y"])
+
+
+def told_entries(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What least_ids() told a block of its entries."""
+    told = replies[replies["step"] == 2].sort_values("bucket")
+    other = [bits_of(y, len(x) // 8) for x, y in zip(told["x"], told["y"], strict=True)]
+    return numbers(told, "x", np.int64), np.concatenate(other or [np.zeros(0, bool)])
+
+
+THIRD = "bucket long, a binary, c binary, least binary, size binary, text binary"
+
+
+def send_texts(bits: int):
+    def send(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        names = ["bucket", "a", "c", "least", "size", "text"]
+        if docs.empty or replies.empty:
+            return pd.DataFrame({n: [] for n in names})
+        _, phrases = block_of(docs)
+        shared_phrases(phrases, replies[replies["step"] == 1], bits)
+        order, new = phrases.entries()
+        least, other = told_entries(replies)
+        first = order[new]
+        own = other & (phrases.ids[phrases.doc[first]] == least)
+        first, least = first[own], least[own]
+        texts = [phrases.texts[d][x : y + LENGTH] for d, x, y in zip(phrases.doc[first], phrases.low[first], phrases.high[first], strict=True)]
+        a, c = phrases.a[first], phrases.c[first]
         size = (phrases.high[first] - phrases.low[first] + LENGTH).astype(np.uint8)
-        rows = [(b, block, a[s].tobytes(), c[s].tobytes(), ids[s].tobytes(), size[s].tobytes(), b"".join(texts[s])) for b, s in by_bucket(a, bits)]
+        rows = [(b, a[s].tobytes(), c[s].tobytes(), least[s].tobytes(), size[s].tobytes(), b"".join(texts[s])) for b, s in by_bucket(a, bits)]
         return pd.DataFrame(rows, columns=names)
 
     return send
@@ -293,30 +346,33 @@ def smaller_strings(text: np.ndarray, begin: np.ndarray, size: np.ndarray, least
     return bits
 
 
-def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """To each block, in the order of its entries: x the least id with the phrase, y a bit for each string of it that
-    stands in a document with an id smaller than that."""
-    read = lambda col, kind: [np.frombuffer(b, kind) for b in pdf[col]]
-    each = read("a", np.uint64)
-    a, c, ids, size = np.concatenate(each), np.concatenate(read("c", np.uint64)), np.concatenate(read("id", np.int64)), np.concatenate(read("size", np.uint8)).astype(np.int64)
-    text = np.frombuffer(b"".join(pdf["text"]), np.uint8)
+def dictionary(entries: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+    """To each block, for those of its entries whose trigger has other phrases: x a bit for each string that stands in a
+    document with an id smaller than the phrase's least."""
+    names = ["block", "bucket", "step", "x", "y"]
+    if entries.empty or sent.empty:
+        return pd.DataFrame({n: [] for n in names})
+    a, c, least = numbers(sent, "a", np.uint64), numbers(sent, "c", np.uint64), numbers(sent, "least", np.int64)
+    size = numbers(sent, "size", np.uint8).astype(np.int64)
+    text = np.frombuffer(b"".join(sent["text"]), np.uint8)
     begin = np.cumsum(size) - size
-    order = np.lexsort((ids, c, a))
-    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])])
-    phrase = np.empty(len(a), np.int64)
-    phrase[order] = np.cumsum(new) - 1
-    head = order[new]  # the dictionary: an entry of each phrase, that with the least id
-    least, trigger = ids[head], a[head]
-    edge = np.concatenate([[True], trigger[1:] != trigger[:-1], [True]])
-    mixed_ = np.flatnonzero(~(edge[:-1] & edge[1:]))  # phrases whose trigger has others too
-    bits = np.zeros(len(head), np.uint64)
-    for part in whole_triggers(mixed_, trigger, size[head]):
+    order, start = groups_of(a, c, np.arange(len(a)))
+    head = order[start]  # a phrase comes twice where two documents have its least id
+    trigger, bits = a[head], np.zeros(len(head), np.uint64)
+    for part in whole_triggers(np.arange(len(head)), trigger, size[head]):
         own = size[head[part]]
         inner = np.cumsum(own) - own
-        bits[part] = smaller_strings(text[np.repeat(begin[head[part]] - inner, own) + np.arange(own.sum())], inner, own, least[part])
-    cut = np.cumsum([0] + [len(x) for x in each])
-    rows = [(block, bucket, 2, least[phrase[x:y]].tobytes(), bits[phrase[x:y]].tobytes()) for block, bucket, x, y in zip(pdf["block"], pdf["bucket"], cut[:-1], cut[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["block", "bucket", "step", "x", "y"])
+        bits[part] = smaller_strings(text[np.repeat(begin[head[part]] - inner, own) + np.arange(own.sum())], inner, own, least[head[part]])
+    ea, ec = numbers(entries, "a", np.uint64), numbers(entries, "c", np.uint64)
+    # each entry takes the bits of the phrase that sorts before it in its group of equal (a, c)
+    both, groups = groups_of(np.concatenate([trigger, ea]), np.concatenate([c[head], ec]), np.arange(len(head) + len(ea)))
+    lead = np.repeat(both[groups], np.diff(np.append(groups, len(both))))
+    found = np.zeros(len(both), np.int64)
+    found[both] = lead
+    mine, other = found[len(head) :], several(ec, ea)
+    told = np.where(mine < len(head), bits[np.minimum(mine, len(head) - 1)], U(0))
+    rows = [(block, bucket, 3, told[s][other[s]].tobytes(), b"") for block, bucket, s in slices(entries) if other[s].any()]
+    return pd.DataFrame(rows, columns=names)
 
 
 RESULT = "_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -332,9 +388,9 @@ def cut_block(bits: int, hashed: bool):
         if not replies.empty:
             shared_phrases(phrases, replies[replies["step"] == 1], bits)
             order, new = phrases.entries()
-            told = replies[replies["step"] == 2].sort_values("bucket")
-            least = np.concatenate([np.frombuffer(b, np.int64) for b in told["x"]] or [np.zeros(0, np.int64)])
-            some = np.concatenate([np.frombuffer(b, np.uint64) for b in told["y"]] or [np.zeros(0, np.uint64)])
+            least, other = told_entries(replies)
+            some = np.zeros(len(least), np.uint64)
+            some[other] = numbers(replies[replies["step"] == 3].sort_values("bucket"), "x", np.uint64)
             if len(least) != new.sum():
                 raise AssertionError("a block's phrases differ between two passes")
             entry = np.cumsum(new) - 1
@@ -374,8 +430,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
     own = base.groupBy("block")
     first = own.applyInPandas(send_triggers(bits), FIRST).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_triggers, REPLY)
-    second = own.cogroup(first.groupBy("block")).applyInPandas(send_phrases(bits), SECOND).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(dictionary, REPLY)
-    out = own.cogroup(first.unionByName(second).groupBy("block")).applyInPandas(cut_block(bits, hashed), RESULT)
+    entries = own.cogroup(first.groupBy("block")).applyInPandas(send_entries(bits), SECOND).repartition(tasks, "bucket")
+    told = first.unionByName(entries.groupBy("bucket").applyInPandas(least_ids, REPLY))
+    texts = own.cogroup(told.groupBy("block")).applyInPandas(send_texts(bits), THIRD).repartition(tasks, "bucket")
+    third = entries.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInPandas(dictionary, REPLY)
+    out = own.cogroup(told.unionByName(third).groupBy("block")).applyInPandas(cut_block(bits, hashed), RESULT)
     return out.withColumnRenamed("_id", id_col)
 
 

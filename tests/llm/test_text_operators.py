@@ -144,8 +144,11 @@ def test_suffix_dedup_steps(texts, hot, monkeypatch):
     each = lambda rows, f: pd.concat([f(x) for _, x in pd.concat(rows).groupby("bucket")])
     first = each([suffix_dedup.send_triggers(bits)(t) for t in tables], suffix_dedup.shared_triggers)
     mine = lambda replies, b: replies[replies["block"] == b]
-    second = each([suffix_dedup.send_phrases(bits)(t, mine(first, b)) for b, t in enumerate(tables)], suffix_dedup.dictionary)
-    every = pd.concat([first, second])
+    entries = pd.concat([suffix_dedup.send_entries(bits)(t, mine(first, b)) for b, t in enumerate(tables)])
+    told = pd.concat([first, each([entries], suffix_dedup.least_ids)])
+    sent = pd.concat([suffix_dedup.send_texts(bits)(t, mine(told, b)) for b, t in enumerate(tables)])
+    third = [suffix_dedup.dictionary(entries[entries["bucket"] == k], sent[sent["bucket"] == k]) for k in range(1 << bits)]
+    every = pd.concat([told, *third])
     assert hot > 1 or any(first["y"].map(any))
     out = pd.concat([suffix_dedup.cut_block(bits, False)(t, mine(every, b)) for b, t in enumerate(tables)])
     got = [(None if i is pd.NA else i, *x) for i, *x in out.itertuples(index=False, name=None)]
