@@ -9,12 +9,15 @@ averages the predictive probabilities of the SAMPLES seatings that follow, token
 
 On Spark: each task packs its documents' tokens into one blob for each bucket of sections; a bucket counts its sections
 and seats them; it exchanges numbers with the parts of the words (counts, customers, tables), which hold the parent and the
-contexts' totals. The tokens are shuffled once. Seatings and the sums of their probabilities are a saved table in each
-round, so that no round repeats another. Log probabilities are summed per document within a bucket, then over buckets.
+contexts' totals. The tokens are shuffled once. Pairs of words that make up HOT_SHARE of the corpus or more, which are a
+bounded number in any corpus, are counted where they stand, so that no bucket gathers their tokens; their probabilities are
+sent back to the documents. Seatings and the sums of their probabilities are a saved table in each round, so that no round
+repeats another. Log probabilities are summed per document within a bucket, then over buckets.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
 import zlib
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 from relcheck.llm.common import packed, saved, table, workspace
 from relcheck.llm.shingles import STEP, U, mixed, parts, word_hashes
 
-#: Discount and strength of the context restaurants and of their parent.
-DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 1.0, 0.5, 1.0
+#: Discount of all restaurants: for one half the numbers of seatings have a closed form, so that tables are drawn exactly
+#: from their conditional, however many the customers. Strengths of the context restaurants and of their parent.
+DISCOUNT, STRENGTH, PARENT_STRENGTH = 0.5, 1.0, 1.0
 #: Rounds of Gibbs that are thrown away, and rounds after them whose seatings are averaged.
 BURN_IN, SAMPLES = 4, 4
-#: Sections of up to this many customers are drawn from the exact conditional, larger ones are seated in batches.
-EXACT = 64
+#: Occurrences for a byte of the corpus that make a pair of words hot: at most 1 / HOT_SHARE pairs are.
+HOT_SHARE = 2e-6
+HOT_COUNT = 64
 END = mixed(np.array([0x656E64], np.uint64))[0]
 BUCKET_BYTES = 20 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -62,94 +67,148 @@ def small(x: np.ndarray) -> np.ndarray:
 TOKENS = "bucket int, blob binary"
 
 
-def send_tokens(n_buckets: int):
+def tokens_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and words of all tokens of a batch, and each token's row."""
+    texts = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in pdf["_text"]]
+    words = [np.append(x, END) for a, b in parts(texts) for x in word_hashes(texts[a:b])]
+    w = np.concatenate(words)
+    return np.concatenate([[END], w[:-1]]), w, np.repeat(np.arange(len(words)), [len(x) for x in words])  # a text begins after an end
+
+
+def heavy_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that make up HOT_SHARE of a batch; a pair that makes it up in the corpus does so in some batch."""
+    for pdf in batches:
+        if len(pdf):
+            u, w, _ = tokens_of(pdf)
+            pair, many = np.unique(mixed(u * STEP + w), return_counts=True)
+            some = many >= max(HOT_COUNT, HOT_SHARE * pdf["_text"].map(len).sum())
+            yield pd.DataFrame({"pair": pair[some].view(np.int64), "many": many[some]})
+
+
+def is_hot(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin(mixed(u * STEP + w), hot)
+
+
+def held_out(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(b"" if n else str(i).encode()) % 10 == 0 for i, n in zip(ids.tolist(), null.tolist(), strict=True)], bool)
+
+
+def send_tokens(n_buckets: int, sent):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = pdf["_id"].astype("Int64")
-            texts = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in pdf["_text"]]
-            words = [np.append(x, END) for a, b in parts(texts) for x in word_hashes(texts[a:b])]
-            held = np.array([zlib.crc32(b"" if i is pd.NA else str(i).encode()) % 10 == 0 for i in ids])
-            w = np.concatenate(words)
-            u = np.concatenate([[END], w[:-1]])  # a text begins after an end
-            doc = np.repeat(np.arange(len(words)), [len(x) for x in words])
-            bucket = bucket_of(u, w, n_buckets)
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("_id", kind="stable", ignore_index=True)
+            u, w, doc = tokens_of(pdf)
+            ids, null, h = pdf["_id"].astype("Int64").fillna(0).to_numpy(np.int64), pdf["_id"].isna().to_numpy(), pdf["_h"].to_numpy(np.int64)
+            learnt, hot = ~held_out(ids, null)[doc], is_hot(u, w, sent.value)
+            pair, at, where = np.unique(mixed(u[hot] * STEP + w[hot]), return_index=True, return_inverse=True)
+            hu, hw, hc = u[hot][at], w[hot][at], np.bincount(where, learnt[hot], len(pair)).astype(np.int64)
+            u, w, doc = u[~hot], w[~hot], doc[~hot]
+            bucket, hb = bucket_of(u, w, n_buckets), bucket_of(hu, hw, n_buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            known = ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), pdf["_h"].to_numpy(np.int64)
             rows = []
-            for b in np.flatnonzero(np.diff(cut)):
-                own = order[cut[b] : cut[b + 1]]
-                names, local = np.unique(np.concatenate([u[own], w[own]]), return_inverse=True)
+            for b in np.union1d(bucket, hb):
+                own, mine = order[cut[b] : cut[b + 1]], hb == b
+                names, local = np.unique(np.concatenate([u[own], w[own], hu[mine], hw[mine]]), return_inverse=True)
+                local = np.split(local, np.cumsum([len(own), len(own), mine.sum()]))
                 docs, many = np.unique(doc[own], return_counts=True)
-                rows.append((b, pack(np.diff(names, prepend=U(0)), small(local[: len(own)]), small(local[len(own) :]), small(many), *[x[docs] for x in known], held[docs])))
+                keys = np.diff(ids[docs], prepend=0), null[docs] if null.any() else null[:0], h[docs] if h.any() else h[:0]
+                rows.append((b, pack(np.diff(names, prepend=U(0)), *[small(x) for x in local], small(hc[mine]), small(many), *keys)))
             yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
     return send
 
 
+def whole_keys(steps: np.ndarray, null: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    n = len(steps)
+    return np.cumsum(steps), null if len(null) else np.zeros(n, bool), h if len(h) else np.zeros(n, np.int64)
+
+
 class Bucket:
     """Tokens of one bucket: their documents, and sections (context, word) with their training customers."""
 
     def __init__(self, blobs: pd.Series):
-        names, us, ws, docs, keys, held, n = [], [], [], [], [], [], 0
+        names, local, docs, keys, counts, n, m = [], [[], [], [], []], [], [], [], 0, 0
         for blob in blobs:
-            gaps, u, w, many, ids, null, h, out = unpack(blob)
+            gaps, *four, hot, many, steps, null, h = unpack(blob)
             names.append(np.cumsum(gaps, dtype=np.uint64))
-            us.append(u.astype(np.int64) + sum(map(len, names[:-1])))
-            ws.append(w.astype(np.int64) + sum(map(len, names[:-1])))
-            docs.append(np.repeat(np.arange(len(ids)) + n, many))
-            keys.append((ids, null, h))
-            held.append(out)
-            n += len(ids)
+            for x, y in zip(local, four, strict=True):
+                x.append(y.astype(np.int64) + m)
+            docs.append(np.repeat(np.arange(len(steps)) + n, many))
+            keys.append(whole_keys(steps, null, h))
+            counts.append(hot.astype(np.int64))
+            n, m = n + len(steps), m + len(gaps)
         self.names, index = np.unique(np.concatenate(names), return_inverse=True)
-        u, w, doc = index[np.concatenate(us)], index[np.concatenate(ws)], np.concatenate(docs)
-        self.keys, self.held = [np.concatenate(x) for x in zip(*keys, strict=True)], np.concatenate(held)
-        pair, self.section = np.unique(u.astype(np.uint64) << U(32) | w.astype(np.uint64), return_inverse=True)
-        self.u, self.w = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
-        self.doc, self.token = doc, w
-        self.c = np.bincount(self.section, ~self.held[doc], len(pair)).astype(np.int64)
+        u, w, hu, hw = (index[np.concatenate(x)] for x in local)
+        self.keys, doc = [np.concatenate(x) for x in zip(*keys, strict=True)], np.concatenate(docs)
+        held = held_out(*self.keys[:2])
+        pair = lambda x, y: x.astype(np.uint64) << U(32) | y.astype(np.uint64)
+        pairs, section = np.unique(np.concatenate([pair(u, w), pair(hu, hw)]), return_inverse=True)
+        self.section, hot = section[: len(u)], section[len(u) :]
+        self.u, self.w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
+        self.doc, self.n_docs = doc, n
+        self.c = (np.bincount(self.section, ~held[doc], len(pairs)) + np.bincount(hot, np.concatenate(counts), len(pairs))).astype(np.int64)
 
     def add(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         return np.bincount(at, values, len(self.names)).astype(np.int64)
 
 
-def stirling(discount: float) -> np.ndarray:
-    """log S(c, t): the weight of all ways to seat c customers at t tables."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[0, 0] = 0
-    for c in range(1, EXACT + 1):
-        stay = np.log(np.maximum(c - 1 - discount * np.arange(EXACT + 1), 1e-300))
-        out[c, 1:] = np.logaddexp(out[c - 1, :-1], np.where(np.arange(1, EXACT + 1) < c, out[c - 1, 1:] + stay[1:], -np.inf))
-    return out
+FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1 << 12)))])
+
 
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    big = np.maximum(n, len(FACTORIALS)).astype(float)
+    return np.where(n < len(FACTORIALS), FACTORIALS[np.minimum(n, len(FACTORIALS) - 1)], (big + 0.5) * np.log(big) - big + 0.5 * np.log(2 * np.pi) + 1 / (12 * big))
 
-def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float) -> np.ndarray:
-    """Tables of sections with c customers, given the other tables of their restaurants and the parent's p."""
-    out, weights = np.minimum(c, 1), stirling(discount)
+
+def log_ways(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log S(c, t), the weight of all ways to seat c customers at t tables with a discount of one half."""
+    return log_factorial(2 * c - t - 1) - log_factorial(t - 1) - log_factorial(c - t) - (c - t) * np.log(4)
+
+
+def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float) -> np.ndarray:
+    """Tables of sections with c customers, drawn from their distribution given the other tables of their restaurants and
+    the parent's p: S(c, t) p^t prod(strength + DISCOUNT * (others + i), i < t). The most likely t is found by halving
+    (the logarithm is concave), then all t around it with a weight that counts are drawn from."""
+    out = np.minimum(c, 1)
+    gain = lambda c, o, q, t: log_ways(c, t + 1) - log_ways(c, t) + np.log((strength + DISCOUNT * (o + t)) * q)
     order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(EXACT + 2))
-    for n in range(2, EXACT + 1):
-        for k in range(cut[n], cut[n + 1], 1 << 16):
-            at = order[k : min(k + (1 << 16), cut[n + 1])]
-            opened = np.cumsum(np.log(strength + discount * (others[at][:, None] + np.arange(n))), axis=1)
-            logit = opened + np.log(p[at])[:, None] * np.arange(1, n + 1) + weights[n, 1 : n + 1]
+    for at in np.split(order, np.searchsorted(c[order], [2, *range(3, 17), 24, 32, 64, 128, 512, 1 << 13, 1 << 20])):
+        for k in range(0, len(at), 1 << 14):
+            own = at[k : k + (1 << 14)]
+            n, o, q = c[own], others[own], p[own]
+            if n[-1] < 2:
+                continue
+            low, high = np.ones(len(own), np.int64), n.copy()
+            if n[-1] > 32:
+                while (low < high).any():
+                    half = (low + high) // 2
+                    up = (low < high) & (gain(n, o, q, np.minimum(half, n - 1)) > 0)
+                    low, high = np.where(up, half + 1, low), np.where(up, high, np.minimum(half, high))
+                reach = (12 * np.sqrt(low) + 24).astype(np.int64)
+                first = np.maximum(1, low - reach)
+                last = np.minimum(n, low + reach)
+            else:
+                first, last = low, high
+            t = first[:, None] + np.arange(int((last - first).max()) + 1)
+            inside = t <= last[:, None]
+            t = np.minimum(t, last[:, None])
+            new = np.log((strength + DISCOUNT * (o[:, None] + t - 1)) * q[:, None])
+            new[:, 0] = 0  # common to all t of a section
+            logit = log_ways(n[:, None], t) + np.cumsum(new, axis=1)
+            logit[~inside] = -np.inf
             each = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-            out[at] = 1 + (each < (rng.random(len(at)) * each[:, -1])[:, None]).sum(axis=1)
-    at = order[cut[EXACT + 1] :]
-    seated, tables = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
-    while (more := np.minimum(np.maximum(1, seated // 16), c[at] - seated)).any():
-        new = (strength + discount * (others[at] + tables)) * p[at]
-        tables += rng.binomial(more, new / (new + seated - discount * tables))
-        seated += more
-    out[at] = tables
+            out[own] = first + (each < (rng.random(len(own)) * each[:, -1])[:, None]).sum(axis=1)
     return out
 
 
 def p_parent(customers: np.ndarray, seated: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The parent's predictive probabilities of words with so many customers at so many of its tables."""
     known, _, every, tables = totals
-    base = (PARENT_STRENGTH + PARENT_DISCOUNT * tables) / (known + 1)
-    return (customers - PARENT_DISCOUNT * seated + base) / (PARENT_STRENGTH + every)
+    base = (PARENT_STRENGTH + DISCOUNT * tables) / (known + 1)
+    return (customers - DISCOUNT * seated + base) / (PARENT_STRENGTH + every)
 
 
 #: What a round writes: `tokens`, `sections` and `state` of a bucket, `words` (a bucket's numbers for a part), and of a part
@@ -192,9 +251,9 @@ def first_round(n_parts: int):
         """A bucket's tokens and sections, each section with one table."""
         own, bucket = Bucket(pdf["blob"]), int(pdf["bucket"].iloc[0])
         t = np.minimum(own.c, 1)
-        many = np.bincount(own.doc, minlength=len(own.held))
+        many = np.bincount(own.doc, minlength=own.n_docs)
         head = [
-            ("tokens", -1, bucket, b"", pack(small(own.section), small(many), *own.keys)),
+            ("tokens", -1, bucket, b"", pack(small(own.section), small(many), np.diff(own.keys[0], prepend=0), *[x if x.any() else x[:0] for x in own.keys[1:]])),
             ("sections", -1, bucket, pack(np.diff(own.names, prepend=U(0))), pack(small(np.diff(own.u, prepend=0)), small(own.w), small(own.c))),
             ("state", -1, bucket, b"", pack(small(t), np.zeros(len(t), np.float32))),
         ]
@@ -217,7 +276,7 @@ def seat_parent(step: int, before: np.ndarray | None):
             tables, customers = sums
             n, t = (x.astype(np.int64) for x in unpack(pdf["numbers"][pdf["kind"] == "parent"].iloc[0]))
             p = np.full(len(t), 1 / (before[0] + 1))
-            t = seat(np.random.default_rng([1, part, step]), customers, np.maximum(before[3] - t, 0), p, PARENT_DISCOUNT, PARENT_STRENGTH)
+            t = seat(np.random.default_rng([1, part, step]), customers, np.maximum(before[3] - t, 0), p, PARENT_STRENGTH)
         totals = np.array([(n > 0).sum(), n.sum(), customers.sum(), t.sum()], float)
         rows = [("parent", part, -1, b"", pack(small(n), small(t))), ("totals", part, -1, b"", pack(totals))]
         rows += [("told", part, b, b"", pack(*[small(x[own]) for x in (n, tables, customers, t)])) for b, own in zip(sent["bucket"], at, strict=True)]
@@ -264,67 +323,105 @@ def next_round(step: int, totals: np.ndarray, n_parts: int):
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         own = Seated(pdf, totals, n_parts, step > BURN_IN)
         rng = np.random.default_rng([0, own.bucket, step])
-        t = seat(rng, own.c, np.maximum(own.tables[own.u] - own.t, 0), own.p[own.w], DISCOUNT, STRENGTH)
+        t = seat(rng, own.c, np.maximum(own.tables[own.u] - own.t, 0), own.p[own.w], STRENGTH)
         state = ("state", -1, own.bucket, b"", pack(small(t), own.sum.astype(np.float32)))
         return rows_of([state, *split_words(own.bucket, own.names, n_parts, own.add(own.u, t), own.add(own.w, t))])
 
     return sample
 
 
-SCORES = "_id long, _h long, ends long, tokens long, known long, train double, base double, score double"
+SCORES = "_id long, _h long, ends long, tokens long, known long, base double, score double, hot long"
+
+
+def keyed(ids: np.ndarray, null: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"_id": pd.array(ids, "Int64"), "_h": h})
+    out.loc[null, "_id"] = pd.NA
+    return out
 
 
-def score_tokens(totals: np.ndarray, n_parts: int):
+def score_tokens(totals: np.ndarray, n_parts: int, sent):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums over a bucket's tokens by document, and one row for each of its hot pairs."""
         own = Seated(pdf, totals, n_parts, True)
         n, (known, train) = own.n, totals[:2]
-        mean = own.sum / (SAMPLES * (STRENGTH + n[own.u]))
+        mean = np.log10(own.sum / (SAMPLES * (STRENGTH + n[own.u])))
         base = np.log10((n + 0.1) / (train + 0.1 * (known + 1)))
-        section, many, ids, null, h = unpack(own.tokens["numbers"].iloc[0])
-        doc, token = np.repeat(np.arange(len(ids)), many), own.w[section]
-        add = lambda x: np.bincount(doc, x, len(ids))
-        out = pd.DataFrame({"_id": pd.array(ids, "Int64"), "_h": h})
-        out.loc[null, "_id"] = pd.NA
-        return out.assign(
-            ends=add(own.names[token] == END).astype(np.int64), tokens=add(np.ones(len(doc))).astype(np.int64), known=add(n[token] > 0).astype(np.int64),
-            train=train, base=add(base[token]), score=add(np.log10(mean)[section]),
-        )
+        section, many, *keys = unpack(own.tokens["numbers"].iloc[0])
+        keys = whole_keys(*keys)
+        doc, token = np.repeat(np.arange(len(many)), many), own.w[section]
+        add = lambda x: np.bincount(doc, x, len(many))
+        docs = keyed(*keys).assign(ends=0, tokens=0, known=add(n[token] > 0).astype(np.int64), base=add(base[token]), score=add(mean[section]), hot=pd.array([None] * len(many), "Int64"))
+        u, w = own.names[own.u], own.names[own.w]
+        hot = np.flatnonzero(is_hot(u, w, sent.value))
+        none = pd.array([None] * len(hot), "Int64")
+        pairs = pd.DataFrame({"_id": none, "_h": 0, "ends": 0, "tokens": 0, "known": (n[own.w[hot]] > 0).astype(np.int64), "base": base[own.w[hot]], "score": mean[hot], "hot": pd.array(mixed(u[hot] * STEP + w[hot]).view(np.int64), "Int64")})
+        return pd.concat([docs, pairs])
+
+    return score
+
+
+def score_hot(pairs):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for each row of the documents: its tokens, and sums over those in hot pairs."""
+        keys, numbers = pairs.value
+        for pdf in batches:
+            if len(pdf):
+                u, w, doc = tokens_of(pdf)
+                pair = mixed(u * STEP + w)
+                at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
+                hot = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+                known, base, mean = (np.bincount(doc[hot], x[at[hot]], len(pdf)) for x in numbers)
+                out = pdf[["_id", "_h"]].astype({"_id": "Int64"})
+                yield out.assign(ends=1, tokens=np.bincount(doc, minlength=len(pdf)), known=known.astype(np.int64), base=base, score=mean, hot=pd.array([None] * len(pdf), "Int64"))
 
     return score
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs.
 
     Texts are learnt unless the crc32 of their id as text leaves 0 modulo 10. Tokens are words, A-Z in lower case, and
     one end for each text; a null text has the end alone. A null id counts as an empty one, so it is held out. Repeated
     rows are learnt and scored once each. score is a log10 probability, perplexity is 10 ** (-score / n_tokens). Other
     columns of docs aren't returned. Empty tables give empty results.
     """
+    spark = docs.sparkSession
     base = packed(docs, id_col, text_col).select("_id", "_h", "_text")
-    size = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    size, rows, ids = base.agg(F.sum(F.octet_length("_text")), F.count(F.lit(1)), F.count_distinct("_id")).first()
+    if rows == ids:  # an id is a document: hashes of texts needn't travel with the tokens
+        base = base.withColumn("_h", F.lit(0).cast("bigint"))
+    size = size or 0
+    heavy = base.mapInPandas(heavy_pairs, "pair long, many long").groupBy("pair").agg(F.sum("many").alias("many"))
+    hot = heavy.where(F.col("many") >= max(HOT_COUNT, HOT_SHARE * size)).select("pair").collect()
+    sent_hot = spark.sparkContext.broadcast(np.sort(np.array([r.pair for r in hot], np.int64).view(np.uint64)))
     n = max(1, size // BUCKET_BYTES)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * n)  # few buckets share a task
-    sent = base.mapInPandas(send_tokens(n), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * n)  # few buckets share a task
+    sent = base.mapInPandas(send_tokens(n, sent_hot), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
     first, _ = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+    del sent
+    gc.collect()
+    spark._jvm.System.gc()  # the shuffled tokens go: they are in the table
     now, told, parent, totals, old_now, old_told = first, None, None, None, None, None
     for step in range(BURN_IN + SAMPLES + 1):
         words = now.where("kind = 'words'")
         words = words if parent is None else words.unionByName(parent)
         told, path = saved_kinds(words.groupBy("part").applyInPandas(seat_parent(step, totals), ROWS))
         if old_told:
-            drop_table(docs.sparkSession, old_told)
+            drop_table(spark, old_told)
         parent, old_told = told.where("kind = 'parent'"), path
         totals = np.sum([unpack(r.numbers)[0] for r in told.where("kind = 'totals'").collect()] or [np.zeros(4)], axis=0)
         state = first.where("kind = 'sections'").unionByName(now.where("kind = 'state'")).unionByName(told.where("kind = 'told'"))
         if step < BURN_IN + SAMPLES:
             now, path = saved_kinds(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(next_round(step, totals, n), ROWS))
             if old_now:
-                drop_table(docs.sparkSession, old_now)
+                drop_table(spark, old_now)
             old_now = path
     state = state.unionByName(first.where("kind = 'tokens'"))
-    scores = saved(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(score_tokens(totals, n), SCORES))
-    total = scores.groupBy("_id", "_h").agg(*[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")], F.max("train").alias("train"))
+    scores = saved(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(score_tokens(totals, n, sent_hot), SCORES))
+    found = sorted((np.int64(r.hot).view(np.uint64), r.known, r.base, r.score) for r in scores.where("hot is not null").collect())
+    table_ = np.array([x[0] for x in found], np.uint64), [np.array([x[k] for x in found], float) for k in (1, 2, 3)]
+    every = scores.where("hot is null").unionByName(base.mapInPandas(score_hot(spark.sparkContext.broadcast(table_)), SCORES))
+    total = every.groupBy("_id", "_h").agg(*[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")])
     rows = total.select("*", F.explode(F.sequence(F.lit(1), F.col("ends").cast("int"))))
     each = lambda c: (F.col(c) / F.col("ends")).cast("bigint")
     return rows.select(
@@ -332,9 +429,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         (F.pmod(F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.lit(10)) == 0).alias("held_out"),
         each("tokens").alias("n_tokens"),
         each("known").alias("n_known"),
-        F.col("train").cast("bigint").alias("train_tokens"),
+        F.lit(int(totals[1])).cast("bigint").alias("train_tokens"),
         (F.col("base") / F.col("ends")).alias("base_score"),
         (F.col("score") / F.col("ends")).alias("score"),
+        F.pow(F.lit(10.0), -F.col("score") / F.col("tokens")).alias("perplexity"),
     )
 
 

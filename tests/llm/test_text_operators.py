@@ -155,8 +155,11 @@ def test_suffix_dedup_steps(texts, hot, monkeypatch):
     assert bag(got) == bag(removed_bytes(texts))
 
 
-def test_lm_scores(df, empty, texts, monkeypatch):
+@pytest.mark.parametrize("hot", [64, 3])
+def test_lm_scores(df, empty, texts, hot, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(pitman_yor, "HOT_COUNT", hot)
+    monkeypatch.setattr(pitman_yor, "HOT_SHARE", 0)
     out = pitman_yor.lm_scores(df).collect()
     tokens = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["\0end"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
@@ -170,15 +173,41 @@ def test_lm_scores(df, empty, texts, monkeypatch):
     assert pitman_yor.lm_scores(empty).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark, monkeypatch):
-    """All one-word texts over the known words, and an unknown one, after a text's beginning: the first tokens' shares."""
-    learnt = [(i, "a b a c" if i % 2 else "b a") for i in range(1, 40)]
-    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0]
-    probes = list(zip(held, ["a", "b", "c", "zzz", ""]))
-    out = {r.doc_id: r for r in pitman_yor.lm_scores(spark.createDataFrame(learnt + probes, "doc_id long, text string")).collect()}
-    assert all(out[i].score < 0 and out[i].held_out for i, _ in probes)
-    assert out[probes[0][0]].score > out[probes[3][0]].score
-    assert out[probes[4][0]].n_tokens == 1
+def test_lm_model_sums_to_one():
+    """Sections of two contexts with any seating: the probabilities of all words, and of one unknown, are one."""
+    c = np.array([[5, 1, 0, 3], [2, 0, 7, 1]])
+    t = np.array([[2, 1, 0, 1], [1, 0, 3, 1]])
+    customers, known = t.sum(axis=0), 4
+    seated = np.minimum(customers, 2)
+    totals = np.array([known, c.sum(), customers.sum(), seated.sum()], float)
+    parent = pitman_yor.p_parent(customers, seated, totals)
+    unknown = pitman_yor.p_parent(np.zeros(1), np.zeros(1), totals)[0]
+    assert abs(parent.sum() + unknown - 1) < 1e-12
+    for own, tables in zip(c, t):
+        back = pitman_yor.STRENGTH + pitman_yor.DISCOUNT * tables.sum()
+        p = (own - pitman_yor.DISCOUNT * tables + back * parent) / (pitman_yor.STRENGTH + own.sum())
+        assert abs(p.sum() + back * unknown / (pitman_yor.STRENGTH + own.sum()) - 1) < 1e-12
+
+
+def test_lm_ways_and_draws_are_exact():
+    """The closed form against the recursion; draws of few and of many customers against the exact distribution."""
+    n = 80
+    ways = np.full((n + 1, n + 1), -np.inf)
+    ways[0, 0] = 0
+    for c in range(1, n + 1):
+        for t in range(1, c + 1):
+            ways[c, t] = np.logaddexp(ways[c - 1, t - 1], ways[c - 1, t] + np.log(max(c - 1 - t / 2, 1e-300)) if t < c else -np.inf)
+    for c in (1, 2, 7, n):
+        assert np.allclose(pitman_yor.log_ways(np.full(c, c), np.arange(1, c + 1)), ways[c, 1 : c + 1])
+    rng = np.random.default_rng(1)
+    for c, others, p in ((3, 4, 0.1), (20, 50, 0.02), (500, 1000, 0.01), (5000, 200, 0.3), (40, 10**6, 0.01)):
+        t = np.arange(1, c + 1)
+        logit = pitman_yor.log_ways(np.full(c, c), t) + np.cumsum(np.log((pitman_yor.STRENGTH + pitman_yor.DISCOUNT * (others + t - 1)) * p))
+        w = np.exp(logit - logit.max())
+        mean = (w * t).sum() / w.sum()
+        sd = np.sqrt((w * t * t).sum() / w.sum() - mean**2)
+        x = pitman_yor.seat(rng, np.full(4000, c), np.full(4000, others), np.full(4000, p), pitman_yor.STRENGTH)
+        assert abs(x.mean() - mean) < 5 * sd / 60 + 1e-9 and abs(x.std() - sd) < 0.1 * sd + 1e-9
 
 
 def test_jaccard_join(df, empty, spark):
@@ -273,8 +302,8 @@ def test_lm_seating_is_sampled():
     n, known, c = 20_000, 20_000, 6
     t = np.ones(n, np.int64)
     for _ in range(40):
-        t = pitman_yor.seat(rng, np.full(n, c), t.sum() - t, np.full(n, 1 / (known + 1)), pitman_yor.PARENT_DISCOUNT, pitman_yor.PARENT_STRENGTH)
-    new = pitman_yor.PARENT_DISCOUNT * t.sum() / known
+        t = pitman_yor.seat(rng, np.full(n, c), t.sum() - t, np.full(n, 1 / (known + 1)), pitman_yor.PARENT_STRENGTH)
+    new = pitman_yor.DISCOUNT * t.sum() / known
     weight = {1: 1.0}
     for k in range(1, c):  # k customers are seated
         weight = {a: weight.get(a, 0) * (k - 0.5 * a) + weight.get(a - 1, 0) * new for a in range(1, k + 2)}
