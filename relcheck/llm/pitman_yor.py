@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,10 @@ BURN_IN, SAMPLES = 4, 4
 #: Occurrences for a byte of the corpus that make a pair of words hot: at most 1 / HOT_SHARE pairs are.
 HOT_SHARE = 2e-6
 HOT_COUNT = 64
+#: Customers up to which all weights of a section are products, without logarithms.
+FEW = 32
+#: Passes over the documents that send their tokens to a share of the buckets each: so much less is on the way at a time.
+PASSES = 2
 END = mixed(np.array([0x656E64], np.uint64))[0]
 BUCKET_BYTES = 20 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -93,7 +98,7 @@ def held_out(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(b"" if n else str(i).encode()) % 10 == 0 for i, n in zip(ids.tolist(), null.tolist(), strict=True)], bool)
 
 
-def send_tokens(n_buckets: int, sent):
+def send_tokens(n_buckets: int, sent, turn: int, turns: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -109,7 +114,7 @@ def send_tokens(n_buckets: int, sent):
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = []
-            for b in np.union1d(bucket, hb):
+            for b in [x for x in np.union1d(bucket, hb) if x % turns == turn]:
                 own, mine = order[cut[b] : cut[b + 1]], hb == b
                 names, local = np.unique(np.concatenate([u[own], w[own], hu[mine], hw[mine]]), return_inverse=True)
                 local = np.split(local, np.cumsum([len(own), len(own), mine.sum()]))
@@ -170,40 +175,44 @@ def log_ways(c: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float) -> np.ndarray:
     """Tables of sections with c customers, drawn from their distribution given the other tables of their restaurants and
-    the parent's p: S(c, t) p^t prod(strength + DISCOUNT * (others + i), i < t). The most likely t is found by halving
-    (the logarithm is concave), then all t around it with a weight that counts are drawn from."""
-    out = np.minimum(c, 1)
-    gain = lambda c, o, q, t: log_ways(c, t + 1) - log_ways(c, t) + np.log((strength + DISCOUNT * (o + t)) * q)
-    order = np.argsort(c, kind="stable")
-    for at in np.split(order, np.searchsorted(c[order], [2, *range(3, 17), 24, 32, 64, 128, 512, 1 << 13, 1 << 20])):
+    the parent's p: S(c, t) p^t prod(strength + DISCOUNT * (others + i), i < t)."""
+    out, order = np.minimum(c, 1), np.argsort(c, kind="stable")
+    cut = np.searchsorted(c[order], np.arange(FEW + 2))
+    for n in range(2, FEW + 1):
+        ways = np.exp(log_ways(np.full(n, n), np.arange(1, n + 1)))
+        for k in range(cut[n], cut[n + 1], 1 << 15):
+            own = order[k : min(k + (1 << 15), cut[n + 1])]
+            new = (strength + DISCOUNT * (others[own] + np.arange(1, n)[:, None])) * (p[own] * (ways[1:] / ways[:-1])[:, None])
+            each = np.cumsum(np.concatenate([np.ones((1, len(own))), np.cumprod(new, axis=0)]), axis=0)
+            out[own] = 1 + (each < rng.random(len(own)) * each[-1]).sum(axis=0)
+    many = order[cut[FEW + 1] :]
+    for at in np.split(many, np.searchsorted(c[many], [64, 128, 512, 1 << 11, 1 << 13, 1 << 16, 1 << 20])):
         for k in range(0, len(at), 1 << 14):
             own = at[k : k + (1 << 14)]
-            n, o, q = c[own], others[own], p[own]
-            if n[-1] < 2:
-                continue
-            low, high = np.ones(len(own), np.int64), n.copy()
-            if n[-1] > 32:
-                while (low < high).any():
-                    half = (low + high) // 2
-                    up = (low < high) & (gain(n, o, q, np.minimum(half, n - 1)) > 0)
-                    low, high = np.where(up, half + 1, low), np.where(up, high, np.minimum(half, high))
-                reach = (12 * np.sqrt(low) + 24).astype(np.int64)
-                first = np.maximum(1, low - reach)
-                last = np.minimum(n, low + reach)
-            else:
-                first, last = low, high
-            t = first[:, None] + np.arange(int((last - first).max()) + 1)
-            inside = t <= last[:, None]
-            t = np.minimum(t, last[:, None])
-            new = np.log((strength + DISCOUNT * (o[:, None] + t - 1)) * q[:, None])
-            new[:, 0] = 0  # common to all t of a section
-            logit = log_ways(n[:, None], t) + np.cumsum(new, axis=1)
-            logit[~inside] = -np.inf
-            each = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-            out[own] = first + (each < (rng.random(len(own)) * each[:, -1])[:, None]).sum(axis=1)
+            out[own] = seat_many(rng, c[own], others[own], p[own], strength)
     return out
 
 
+def seat_many(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float) -> np.ndarray:
+    """seat() for large c: the most likely t is found by halving (the logarithm is concave), then one t is drawn from all
+    within twelve deviations of it."""
+    low, high = np.ones(len(c), np.int64), c.copy()
+    while (low < high).any():
+        half = (low + high) // 2
+        t = np.minimum(half, c - 1)
+        up = (low < high) & (log_ways(c, t + 1) - log_ways(c, t) + np.log((strength + DISCOUNT * (others + t)) * p) > 0)
+        low, high = np.where(up, half + 1, low), np.where(up, high, np.minimum(half, high))
+    reach = (12 * np.sqrt(low) + 24).astype(np.int64)
+    first, last = np.maximum(1, low - reach), np.minimum(c, low + reach)
+    t = first[:, None] + np.arange(int((last - first).max()) + 1)
+    inside, t = t <= last[:, None], np.minimum(t, last[:, None])
+    new = np.log((strength + DISCOUNT * (others[:, None] + t - 1)) * p[:, None])
+    new[:, 0] = 0  # common to all t of a section
+    logit = np.where(inside, log_ways(c[:, None], t) + np.cumsum(new, axis=1), -np.inf)
+    each = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
+    return first + (each < (rng.random(len(c)) * each[:, -1])[:, None]).sum(axis=1)
+
+
 def p_parent(customers: np.ndarray, seated: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The parent's predictive probabilities of words with so many customers at so many of its tables."""
     known, _, every, tables = totals
@@ -231,6 +240,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Deletes the table of a round that is over; its shuffles go when the JVM finds that nothing refers to them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver's JVM finds that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)
     spark._jvm.System.gc()
 
 
@@ -396,11 +413,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent_hot = spark.sparkContext.broadcast(np.sort(np.array([r.pair for r in hot], np.int64).view(np.uint64)))
     n = max(1, size // BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * n)  # few buckets share a task
-    sent = base.mapInPandas(send_tokens(n, sent_hot), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
-    first, _ = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
-    del sent
-    gc.collect()
-    spark._jvm.System.gc()  # the shuffled tokens go: they are in the table
+    first, turns = None, min(n, PASSES)
+    for turn in range(turns):
+        sent = base.mapInPandas(send_tokens(n, sent_hot, turn, turns), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
+        done, _ = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+        first = done if first is None else first.unionByName(done)
+        del sent
+        free_shuffles(spark)  # the tokens are in the table
     now, told, parent, totals, old_now, old_told = first, None, None, None, None, None
     for step in range(BURN_IN + SAMPLES + 1):
         words = now.where("kind = 'words'")
