@@ -66,7 +66,7 @@ with l as (
   select doc_id, i, line as x, lead(line, 1) over o as y, lead(line, 2) over o as z from l window o as (partition by doc_id order by i)
 ), good as (
   select doc_id, i, x, y, z from win where z is not null
-    and (regexp_matches(x, '[^\x20\x09-\x0D]')::int + regexp_matches(y, '[^\x20\x09-\x0D]')::int + regexp_matches(z, '[^\x20\x09-\x0D]')::int) >= 2
+    and (regexp_matches(x, '[^\x20\x09-\x0D]')::int + regexp_matches(y, '[^\x20\x09-\x0D]')::int + regexp_matches(z, '[^\x20\x09-\x0D]')::int) >= 1
 ), later as (
   select doc_id, i from (select doc_id, i, row_number() over (partition by x, y, z order by doc_id, i) as r from good) where r > 1
 ), gone as (

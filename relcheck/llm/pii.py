@@ -81,34 +81,34 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), digits_of(value)).otherwise(F.lower(value)))
 
 
-def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.filter(words_of(lowered(text)), lambda w: F.length(w) >= MIN_TERM))
+def terms_of(text: Column, min_term: int) -> Column:
+    return F.array_distinct(F.filter(words_of(lowered(text)), lambda w: F.length(w) >= min_term))
 
 
-def revealing(base: DataFrame, found: DataFrame) -> DataFrame:
+def revealing(base: DataFrame, found: DataFrame, min_texts: int, min_term: int) -> DataFrame:
     """e, t, hidden: the terms that leave at most HIDDEN_GENERALISED bits of an entity hidden. Copies count once."""
     first = base.groupBy("_h").agg(F.min("_id").alias("_id2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = saved(first.select(F.col("_h").alias("_h2"), "_id2"))
     copy = (base["_h"] == copies["_h2"]) & ~base["_id"].eqNullSafe(copies["_id2"])
     texts = join_small(base, copies, copy, "left_anti").select("_id", "_h", "_text")
     held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e")).distinct()
-    common = held.groupBy("e").agg(F.count_distinct("_h").alias("n_e")).where(F.col("n_e") >= MIN_TEXTS)
+    common = held.groupBy("e").agg(F.count_distinct("_h").alias("n_e")).where(F.col("n_e") >= min_texts)
     held = held.join(common, "e").groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("e").alias("es"))
     held = saved(held)
     near = join_small(texts, held, same_row(texts, held), "inner")
-    pairs = near.select(F.explode("es").alias("e"), terms_of(F.col("_text")).alias("ts")).select("e", F.explode("ts").alias("t"))
-    pairs = saved(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= MIN_TEXTS))
+    pairs = near.select(F.explode("es").alias("e"), terms_of(F.col("_text"), min_term).alias("ts")).select("e", F.explode("ts").alias("t"))
+    pairs = saved(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_texts))
     wanted = saved(pairs.select(F.col("t").alias("t2")).distinct())
-    seen = texts.select(F.explode(terms_of(F.col("_text"))).alias("t"))
+    seen = texts.select(F.explode(terms_of(F.col("_text"), min_term)).alias("t"))
     frequency = join_small(seen, wanted, F.col("t") == F.col("t2"), "left_semi").groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("n_t"))
     hidden = -F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
     return pairs.join(frequency, F.col("t") == F.col("t2")).select("e", "t", hidden.alias("hidden")).where(F.col("hidden") <= HIDDEN_GENERALISED)
 
 
-def term_spans(base: DataFrame, found: DataFrame) -> DataFrame:
+def term_spans(base: DataFrame, found: DataFrame, min_texts: int, min_term: int) -> DataFrame:
     """Spans of kind term: revealing terms in documents that hold the entity, outside of its own spans. `value` is the
     term's replacement."""
-    told = saved(revealing(base, found))
+    told = saved(revealing(base, found, min_texts, min_term))
     held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e")).distinct()
     own = held.join(told, "e").groupBy("_id", "_h", "t").agg(F.min("hidden").alias("hidden"))
     own = own.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("t", "hidden"))).alias("terms"))
@@ -123,17 +123,19 @@ def term_spans(base: DataFrame, found: DataFrame) -> DataFrame:
     return met.where(F.col("hidden").isNotNull() & apart).select("_id", "_h", "kind", "start", "end", shown.alias("value"))
 
 
-def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, min_term: int = MIN_TERM) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (bigint), base_spans, spans (kind:start:end in code points, comma-joined,
     by kind, then start) and sanitised_text (entities as [EMAIL] and so on, terms generalised or removed).
 
+    min_texts: different texts that an entity, and a pair of term and entity, must stand in to be judged; with 1 all are, and
+    every word found only next to an entity is a term that gives it away. min_term: letters of a term, at least.
     Null text: counts of 0, empty spans, sanitised_text ''. Null ids are ordinary ids. Repeated rows are one document and
     get equal results. Overlapping spans are replaced once, by the first's replacement. Empty tables give empty results.
     """
     base = packed(docs, id_col, text_col)
     found = placed(base, PATTERNS).where(valid(F.col("kind"), F.col("value")))
     found = saved(found)
-    terms = term_spans(base.select("_id", "_h", "_text"), found)
+    terms = term_spans(base.select("_id", "_h", "_text"), found, min_texts, min_term)
     every = found.withColumn("value", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).unionByName(terms)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     reach = F.max("end").over(Window.partitionBy("_id", "_h").orderBy("start", order, "end").rowsBetween(Window.unboundedPreceding, -1))

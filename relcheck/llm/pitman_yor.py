@@ -43,10 +43,10 @@ HOT_SHARE = 2e-6
 HOT_COUNT = 64
 #: Customers up to which all weights of a section are products, without logarithms.
 FEW = 32
-#: Passes over the documents that send their tokens to a share of the buckets each: so much less is on the way at a time.
+#: Passes in which tokens are sent to a share of the buckets each, and scored: so much less is on the way at a time.
 PASSES = 2
 END = mixed(np.array([0x656E64], np.uint64))[0]
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 14 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER = LOWER.tobytes()
@@ -413,10 +413,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent_hot = spark.sparkContext.broadcast(np.sort(np.array([r.pair for r in hot], np.int64).view(np.uint64)))
     n = max(1, size // BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * n)  # few buckets share a task
-    first, turns = None, min(n, PASSES)
+    first, turns, paths = None, min(n, PASSES), []
     for turn in range(turns):
         sent = base.mapInPandas(send_tokens(n, sent_hot, turn, turns), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
-        done, _ = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+        done, path = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+        paths.append(path)
         first = done if first is None else first.unionByName(done)
         del sent
         free_shuffles(spark)  # the tokens are in the table
@@ -425,8 +426,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         words = now.where("kind = 'words'")
         words = words if parent is None else words.unionByName(parent)
         told, path = saved_kinds(words.groupBy("part").applyInPandas(seat_parent(step, totals), ROWS))
-        if old_told:
-            drop_table(spark, old_told)
+        for gone in [old_told] if old_told else [f"{x}/kind=words" for x in paths]:
+            drop_table(spark, gone)
         parent, old_told = told.where("kind = 'parent'"), path
         totals = np.sum([unpack(r.numbers)[0] for r in told.where("kind = 'totals'").collect()] or [np.zeros(4)], axis=0)
         state = first.where("kind = 'sections'").unionByName(now.where("kind = 'state'")).unionByName(told.where("kind = 'told'"))
@@ -435,8 +436,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if old_now:
                 drop_table(spark, old_now)
             old_now = path
-    state = state.unionByName(first.where("kind = 'tokens'"))
-    scores = saved(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(score_tokens(totals, n, sent_hot), SCORES))
+    state, scores = state.unionByName(first.where("kind = 'tokens'")), None
+    for turn in range(turns):
+        own = state.where(F.col("bucket") % turns == turn).repartition(tasks, "bucket").groupBy("bucket")
+        done = saved(own.applyInPandas(score_tokens(totals, n, sent_hot), SCORES))
+        scores = done if scores is None else scores.unionByName(done)
+        del own
+        free_shuffles(spark)
     found = sorted((np.int64(r.hot).view(np.uint64), r.known, r.base, r.score) for r in scores.where("hot is not null").collect())
     table_ = np.array([x[0] for x in found], np.uint64), [np.array([x[k] for x in found], float) for k in (1, 2, 3)]
     every = scores.where("hot is null").unionByName(base.mapInPandas(score_hot(spark.sparkContext.broadcast(table_)), SCORES))
