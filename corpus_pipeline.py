@@ -28,6 +28,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines that earlier windows have; one that loses all of them stays as an empty text."""
     return with_text(line_dedup(docs), docs, "text")
 
 
@@ -42,6 +43,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of what is left; a null or empty text has no tokens."""
     import public_tokenizers
 
     return encode_corpus(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -62,16 +62,18 @@ def yes_no_uncertain(text: Column) -> Column:
 
 
 def strict_head(text: Column, fallback: bool = False) -> Column:
-    """FL-05: Yes or No at the head of the first line, else Invalid, or FL-01 with fallback (empty stays Invalid)."""
+    """FL-05: Yes or No at the head of the first line's first sentence, else Invalid, or with fallback FL-01 on that sentence
+    (an empty answer stays Invalid)."""
     line = F.split_part(F.split_part(stripped(given(text)), F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
     head = F.lower(F.regexp_extract(F.replace(line, F.lit(","), F.lit(" ")), r"(?i)^\s*(yes|no)\b", 1))
-    rest = F.when(pred_yes(text), "Yes").otherwise("No") if fallback else F.lit("Invalid")
+    rest = F.when(pred_yes(line), "Yes").otherwise("No") if fallback else F.lit("Invalid")
     return F.when(head == "yes", "Yes").when(head == "no", "No").when(stripped(given(text)) == "", "Invalid").otherwise(rest)
 
 
 def prior_answer(text: Column) -> Column:
     """FL-06: yes, no or invalid. A refusal is invalid unless it begins with yes or no; what FL-04 can't tell is too."""
     raw = stripped(given(text))
+    # Fixed value: what an answer may begin with.
     head = F.lower(F.regexp_extract(raw, r"""^[\s"'`]*([Yy]es|[Nn]o|[Yy]|[Nn])(\b|[.,:;!?])""", 1))
     by_head = F.when(head.startswith("y"), "yes").when(head.startswith("n"), "no").otherwise("invalid")
     told = yes_no_uncertain(text)
@@ -92,20 +94,24 @@ def cautious_yes_no(text: Column) -> Column:
 
 def choice_letter(text: Column) -> Column:
     """FL-09: the letter A to D that a multiple-choice answer begins with, or invalid."""
+    # Fixed value: the forms of an answer.
     pattern = r"(?i)^(?:the\s+answer\s+is\s+|answer\s*(?:is)?\s*[:\-]?\s*)?\(?([ABCD])\)?(?:[.\):]|\s|$)"
     found = F.upper(F.regexp_extract(stripped(given(text)), pattern, 1))
     return F.when(found != "", found).otherwise("invalid")
 
 
 def plausibility(text: Column) -> Column:
-    """FL-10: implausible before plausible, by the head and then anywhere; invalid otherwise."""
+    """FL-10: implausible before plausible, by the first word and then anywhere (implausible also within a word, if plausible
+    stands nowhere else); parse_error otherwise."""
     low = F.lower(stripped(given(text)))
+    head = F.get(F.split(low, r"(?U)[\s,.:;!?]+", 2), F.lit(0))
+    within = low.contains("implausible") & ~F.replace(low, F.lit("implausible"), F.lit("")).contains("plausible")
     return (
-        F.when(low.startswith("implausible"), "implausible")
-        .when(low.startswith("plausible"), "plausible")
-        .when(low.rlike(r"\bimplausible\b"), "implausible")
+        F.when(head.startswith("implausible"), "implausible")
+        .when(head.startswith("plausible"), "plausible")
+        .when(within | low.rlike(r"\bimplausible\b"), "implausible")
         .when(low.rlike(r"\bplausible\b"), "plausible")
-        .otherwise("invalid")
+        .otherwise("parse_error")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relcheck.functions import vocabulary as V
+
 
 def stripped(x: Column) -> Column:
     """Without white space (of Unicode) on both sides."""
@@ -61,8 +63,10 @@ def capitalised(x: Column) -> Column:
 
 
 def statement(subject: Column, relation: Column, obj: Column) -> Column:
-    """SF-05: `A subject is relation an object.`"""
-    return F.concat(capitalised(article(subject)), F.lit(" "), subject, F.lit(" is "), relation, F.lit(" "), article(obj), F.lit(" "), obj, F.lit("."))
+    """SF-05: `A subject is relation an object.`; quotes and the entities' own articles go before. Null is ''."""
+    noun = lambda x: stripped(without_article(unquoted(x)))
+    s, o = noun(subject), noun(obj)
+    return F.concat(capitalised(article(s)), F.lit(" "), s, F.lit(" is "), unquoted(relation), F.lit(" "), article(o), F.lit(" "), o, F.lit("."))
 
 
 def question(told: Column) -> Column:
@@ -80,25 +84,46 @@ def replaced_once(text: Column, old: Column, new: Column) -> Column:
     return F.when((at > 0) & (again == 0) & (normal_relation(old) != normal_relation(new)), made)
 
 
+# The endings, in this order, that take es.
+SIBILANTS = ("s", "sh", "ch", "x", "z", "o")
+
+
+def looked_up(x: Column, table: dict[str, str], otherwise: Column) -> Column:
+    """The table's value for x, else `otherwise`."""
+    pairs = F.create_map(*[F.lit(w) for kv in table.items() for w in kv])
+    return F.coalesce(F.try_element_at(pairs, x), otherwise)
+
+
 def third_person(verb: Column) -> Column:
-    """SF-07: goes, carries, watches, holds; be and have are irregular."""
-    return (
-        F.when(F.lower(verb) == "be", "is")
-        .when(F.lower(verb) == "have", "has")
-        .when(verb.rlike("(?i)[^aeiou]y$"), F.concat(F.regexp_replace(verb, "y$", ""), F.lit("ies")))
-        .when(verb.rlike("(?i)(s|x|z|ch|sh|o)$"), F.concat(verb, F.lit("es")))
-        .otherwise(F.concat(verb, F.lit("s")))
+    """SF-07: goes, carries, watches, holds, in lower case but for a capital at the beginning."""
+    low = F.lower(verb)
+    regular = (
+        F.when(low.rlike("[^aeiou]y$"), F.regexp_replace(low, "y$", "ies"))
+        .when(low.rlike(f"({'|'.join(SIBILANTS)})$"), F.concat(low, F.lit("es")))
+        .otherwise(F.concat(low, F.lit("s")))
     )
+    out, first = looked_up(low, V.THIRD_PERSONS, regular), F.substring(verb, 1, 1)
+    return F.when(first != F.lower(first), capitalised(out)).otherwise(out)
 
 
 def stem(word: Column) -> Column:
-    """SF-08: without ing, ed, es or s (the first that fits) where more than three letters stay."""
+    """SF-08: normalised, without ing, ed, es or s (the first that fits) where more than three letters stay."""
+    word = normal_relation(word)
     out = word
     for end in ("s", "es", "ed", "ing"):
         out = F.when(word.endswith(end) & (F.length(word) > len(end) + 3), F.substring(word, F.lit(1), F.length(word) - len(end))).otherwise(out)
     return out
 
 
+def lemma(word: Column) -> Column:
+    """SF-08: from the table of irregular forms, else the stem."""
+    return looked_up(normal_relation(word), V.LEMMAS, stem(word))
+
+
+def first_word(x: Column) -> Column:
+    return F.split_part(normal_relation(x), F.lit(" "), F.lit(1))
+
+
 def tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal_relation(x), " "), lambda w: w != ""))
 
@@ -116,15 +141,52 @@ def too_alike(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (same | (token_jaccard(a, b) >= 0.5))
 
 
+def in_one_group(a: Column, b: Column, groups: list[list[str]]) -> Column:
+    """Whether a group has both terms, normalised."""
+    x, y = normal_relation(a), normal_relation(b)
+    ids = lambda z: F.filter(F.sequence(F.lit(0), F.lit(len(groups) - 1)), lambda i: F.array_contains(F.get(F.array(*[F.array(*[F.lit(w) for w in g]) for g in groups]), i), z))
+    return F.arrays_overlap(ids(x), ids(y))
+
+
+def synonyms(a: Column, b: Column) -> Column:
+    """FL-19: equal, or in one group of synonyms; false if a side is empty."""
+    x, y = normal_relation(a), normal_relation(b)
+    return (x != "") & (y != "") & ((x == y) | in_one_group(a, b, V.SYNONYMS))
+
+
+def too_close(a: Column, b: Column) -> Column:
+    """FL-20: empty, equal, synonyms, one within the other, or first words with one stem of four letters or more."""
+    x, y = normal_relation(a), normal_relation(b)
+    head = stem(first_word(a))
+    return (x == "") | (y == "") | (x == y) | synonyms(a, b) | x.contains(y) | y.contains(x) | ((head == stem(first_word(b))) & (F.length(head) >= 4))
+
+
+def relation_family(relation: Column) -> Column:
+    """SF-11: spatial, contact (also by the first word) or other."""
+    x = normal_relation(relation)
+    return F.when(x.isin(*V.SPATIAL), "spatial").when(x.isin(*V.CONTACT) | first_word(relation).isin(*V.CONTACT), "contact").otherwise("other")
+
+
+def meta_relation(relation: Column) -> Column:
+    """FL-24: the first word speaks of the picture; false for an empty relation."""
+    return F.coalesce(first_word(relation).isin(*V.META_HEADS), F.lit(False))
+
+
 def hard_score(gold: Column, other: Column) -> Column:
-    """SF-10: how hard a wrong relation is to tell from the right one; -1 if they are too alike."""
-    x, y = normal_relation(gold), normal_relation(other)
-    score = (
-        F.when(F.split_part(x, F.lit(" "), F.lit(-1)) == F.split_part(y, F.lit(" "), F.lit(-1)), 4).otherwise(0)
-        + F.when(F.size(F.split(x, " ")) == F.size(F.split(y, " ")), 1).otherwise(0)
-        + F.when(F.abs(F.length(gold) - F.length(other)) <= 3, 0.5).otherwise(0.0)
-    )
-    return F.when(too_alike(gold, other), -1.0).otherwise(score.cast("double"))
+    """SF-10: how hard a wrong relation is to tell from the right one; -1 if they are too close or it is a meta relation.
+    Lengths and the list of visible relations are those of the texts as they are."""
+    kind, alike = relation_family(gold), token_jaccard(gold, other)
+    points = [
+        (4.0, other.isin(*V.VISUAL)),
+        (5.0, first_word(gold) == first_word(other)),
+        (3.0, (kind == relation_family(other)) & (kind != "other")),
+        (1.0, alike.between(0.15, 0.6)),
+        (0.5, F.abs(F.length(gold) - F.length(other)) <= 8),
+    ]
+    score = F.lit(0.0)
+    for many, holds in points:
+        score = score + F.when(holds, many).otherwise(0.0)
+    return F.when(too_close(gold, other) | meta_relation(other), -1.0).otherwise(score)
 
 
 def placeholders(caption: Column) -> Column:

@@ -69,11 +69,17 @@ def leakage_safe(pool: DataFrame, used: DataFrame, image: str) -> DataFrame:
     return pool.join(taken, basename(F.col(image)) == F.col("_image"), "left_anti")
 
 
+#: Terms that a vocabulary may have: its join to gold relations has a row for nearly every pair.
+MAX_VOCABULARY = 100_000
+
+
 def unlike_candidates(gold: DataFrame, relation: str, vocabulary: DataFrame, candidate: str) -> DataFrame:
-    """JN-09: for each different gold relation the candidates that aren't too alike. The vocabulary is a dimension of known
-    size; gold relations are reduced to different ones before they meet it."""
-    own = gold.select(relation).distinct()
-    return own.join(F.broadcast(vocabulary.select(candidate).distinct()), ~too_alike(F.col(relation), F.col(candidate)))
+    """JN-09: for each different gold relation the candidates that aren't too alike. Nearly all pairs are in the result, so
+    the vocabulary has to be a dimension: one of more than MAX_VOCABULARY different terms is refused."""
+    own, terms = gold.select(relation).distinct(), vocabulary.select(candidate).distinct()
+    if terms.count() > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCABULARY} terms")
+    return own.join(F.broadcast(terms), ~too_alike(F.col(relation), F.col(candidate)))
 
 
 def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str) -> DataFrame:
@@ -87,13 +93,16 @@ def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str) -> D
 
 
 def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str, probe: int, seed: int) -> DataFrame:
-    """JN-11, SA-08: rows of one pair in different groups whose values differ: each row meets at most `probe` rows of its
-    pair, drawn by hash, so that a frequent pair doesn't make a square of rows."""
+    """JN-11, SA-08: rows of one pair in different groups of which the other doesn't have the row's value at all: each row
+    meets at most `probe` rows of its pair, drawn by hash, so that a frequent pair doesn't make a square of rows."""
     cols = [*pair, group, value]
     rank = F.row_number().over(Window.partitionBy(*pair).orderBy(draw(seed, F.col(group), F.col(value))))
-    probes = df.select(*cols).distinct().withColumn("_r", rank).where(F.col("_r") <= probe).drop("_r")
+    rows = df.select(*cols).distinct()
+    known = rows.groupBy(*pair, group).agg(F.collect_set(value).alias("_known"))
+    probes = rows.withColumn("_r", rank).where(F.col("_r") <= probe).drop("_r").join(known, [*pair, group])
     probes = probes.withColumnsRenamed({group: f"other_{group}", value: f"other_{value}"})
-    return df.select(*cols).join(probes, pair).where((F.col(group) != F.col(f"other_{group}")) & (F.col(value) != F.col(f"other_{value}")))
+    met = df.select(*cols).join(probes, pair)
+    return met.where((F.col(group) != F.col(f"other_{group}")) & ~F.array_contains("_known", F.col(value))).drop("_known")
 
 
 def content_safe(candidates: DataFrame, benchmark: DataFrame, content: str, name: str | None = None) -> DataFrame:

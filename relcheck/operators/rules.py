@@ -1,15 +1,16 @@
-"""Rule cascades: the first rule that fails names the status (FL-12 to FL-30, AG-23, AG-24). Word lists are parameters."""
+"""Rule cascades: the first rule that fails names the status (FL-12 to FL-29)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from relcheck.functions.text import normal_relation, stem
+from relcheck.functions import vocabulary as V
+from relcheck.functions.text import clean_span, first_word, in_one_group, lemma, meta_relation, normal_relation, synonyms, too_alike, too_close, unquoted, without_article
 
 
 def cascade(rules: list[tuple[str, Column]], passed: str | None = "ok") -> Column:
-    """FL-12, FL-13, FL-14, AG-24: the name of the first condition that holds (null doesn't), else `passed`."""
+    """The name of the first condition that holds (null doesn't), else `passed`."""
     out = F.lit(passed)
     for name, fails in reversed(rules):
         out = F.when(fails, name).otherwise(out)
@@ -21,30 +22,73 @@ def reasons(rules: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(fails, F.lit(name)) for name, fails in rules]))
 
 
-def triplet_status(subject: Column, relation: Column, obj: Column, confidence: Column, vague: list[str] | None = None, heads: list[str] | None = None) -> Column:
-    """FL-12: quality of a (subject, relation, object); confidence comes before emptiness."""
-    n_words = lambda x: F.size(F.split(F.trim(x), r"\s+"))
-    empty = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    every = [subject, relation, obj]
-    any_of = lambda f: f(every[0]) | f(every[1]) | f(every[2])
+def n_words(x: Column) -> Column:
+    return F.size(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
+
+
+def triplet_status(subject: Column, relation: Column, obj: Column, confidence: Column) -> Column:
+    """FL-12: quality of an extracted (subject, relation, object). Only high confidence passes, and it comes before
+    emptiness; nulls are empty fields."""
+    s, r, o = clean_span(subject), clean_span(relation), clean_span(obj)
+    entity_words = F.concat(F.split(normal_relation(s), " "), F.split(normal_relation(o), " "))
     return cascade(
         [
-            ("low_confidence", ~confidence.eqNullSafe("high") & ~confidence.eqNullSafe("medium")),
-            ("empty_field", any_of(empty)),
-            ("same_entities", F.lower(subject) == F.lower(obj)),
-            ("bad_length", any_of(lambda x: ~F.length(x).between(2, 40))),
-            ("too_many_words", (n_words(subject) > 5) | (n_words(relation) > 4) | (n_words(obj) > 4)),
-            ("has_digit", any_of(lambda x: x.rlike("[0-9]"))),
-            ("has_separator", any_of(lambda x: x.rlike("[,;]"))),
-            ("meta_relation", F.lower(F.split_part(relation, F.lit(" "), F.lit(1))).isin(*(heads or ["depicts", "shows"]))),
-            ("vague_relation", normal_relation(relation).isin(*(vague or ["is", "has", "with"]))),
+            ("low_confidence", F.lower(F.trim(F.coalesce(confidence, F.lit("")))) != "high"),
+            ("empty_field", (s == "") | (r == "") | (o == "")),
+            ("subject_eq_object", normal_relation(s) == normal_relation(o)),
+            ("relation_len", ~F.length(r).between(2, 40)),
+            ("too_long", (n_words(r) > 5) | (n_words(s) > 4) | (n_words(o) > 4)),
+            ("has_digit", F.concat(s, r, o).rlike(r"\p{Nd}")),
+            ("not_binary", s.contains(",") | o.contains(",") | r.contains(";")),
+            ("meta_or_attribute", first_word(r).isin(*V.ATTRIBUTE_HEADS) | meta_relation(r)),
+            ("non_entity", F.arrays_overlap(entity_words, F.array(*[F.lit(w) for w in V.NON_ENTITY]))),
+            ("vague_relation", normal_relation(r).isin(*V.VAGUE)),
         ]
     )
 
 
-def teacher_gate(plausible: Column, visually_false: Column, confidence: Column) -> Column:
-    """FL-15: only true passes, null doesn't; medium and high confidence both do."""
-    return cascade([("not_plausible", ~plausible.eqNullSafe(True)), ("not_false", ~visually_false.eqNullSafe(True)), ("low_confidence", ~F.coalesce(confidence, F.lit("")).isin("high", "medium"))])
+def span_status(relation: Column) -> Column:
+    """FL-13: why a generated relation can't be used; null if it can."""
+    r = clean_span(relation)
+    return cascade(
+        [
+            ("empty_relation", r == ""),
+            ("relation_len", ~F.length(r).between(2, 40)),
+            ("too_long", n_words(r) > 5),
+            ("has_digit", r.rlike(r"\p{Nd}")),
+            ("not_binary", r.rlike("[,;]")),
+            ("has_article", normal_relation(r).rlike(r"\b(a|an|the)\b")),
+            ("meta_relation", meta_relation(r)),
+            ("non_entity", first_word(r).isin(*V.NON_ENTITY)),
+        ],
+        None,
+    )
+
+
+def too_close_for_random(gold: Column, other: Column) -> Column:
+    """FL-18: too alike, or synonyms."""
+    return too_alike(gold, other) | synonyms(gold, other)
+
+
+def rejection(gold: Column, candidate: Column, subject: Column, obj: Column) -> Column:
+    """FL-14: why a candidate can't be the negative of gold; null if it can."""
+    rules = [
+        ("synonym_or_paraphrase", too_close(gold, candidate) | in_one_group(gold, candidate, V.MORE_SYNONYMS)),
+        ("morphology", same_lemma(gold, candidate)),
+        ("inverse", passive_inverse(gold, candidate)),
+        ("mentions_entity", mentions(candidate, subject, obj)),
+    ]
+    return F.coalesce(span_status(candidate), cascade(rules, None))
+
+
+def teacher_gate(plausible: Column, visually_supported: Column, confidence: Column) -> Column:
+    """FL-15: why a teacher's flags don't pass, null if they do; null flags don't, medium and high confidence both do."""
+    rules = [
+        ("teacher_not_plausible", ~plausible.eqNullSafe(True)),
+        ("teacher_not_visually_false", ~visually_supported.eqNullSafe(False)),
+        ("teacher_not_high", ~F.coalesce(confidence, F.lit("")).isin("high", "medium")),
+    ]
+    return cascade(rules, None)
 
 
 def mapping_status(needed: Column, mapping: Column) -> Column:
@@ -59,47 +103,39 @@ def mapping_status(needed: Column, mapping: Column) -> Column:
     )
 
 
-def shares_group(a: Column, b: Column, groups: list[list[str]]) -> Column:
-    """FL-19: whether a synonym group holds both; groups overlap and aren't transitive."""
-    x, y = normal_relation(a), normal_relation(b)
-    out = F.lit(False)
-    for g in groups:
-        out = out | (x.isin(*g) & y.isin(*g))
-    return out
+def same_lemma(a: Column, b: Column) -> Column:
+    """FL-21: first words with one lemma of three letters or more; true if a side is empty."""
+    head = lemma(first_word(a))
+    return (normal_relation(a) == "") | (normal_relation(b) == "") | ((head == lemma(first_word(b))) & (F.length(head) >= 3))
 
 
-def same_lemma(a: Column, b: Column, min_length: int = 3) -> Column:
-    """FL-20, FL-21: first words with one stem."""
-    head = lambda x: stem(F.split_part(normal_relation(x), F.lit(" "), F.lit(1)))
-    return (head(a) == head(b)) & (F.length(head(a)) >= min_length)
+def passive_inverse(a: Column, b: Column) -> Column:
+    """FL-22: what stands before ` by` in one (which may begin a longer word) is too close to the other, or its first word
+    has the other's lemma: held by, holding."""
 
+    def one(x: Column, y: Column) -> Column:
+        head = F.trim(F.split_part(y, F.lit(" by"), F.lit(1)))
+        return F.concat(F.lit(" "), y, F.lit(" ")).contains(" by") & (head != "") & (too_close(x, head) | (lemma(first_word(x)) == lemma(first_word(head))))
 
-def passive_inverse(a: Column, b: Column) -> Column:
-    """FL-22: one is the other with ` by`: held by, held."""
-    part = lambda x: F.split_part(F.concat(normal_relation(x), F.lit(" ")), F.lit(" by"), F.lit(1))
-    one = lambda x, y: normal_relation(x).contains(" by") & (stem(part(x)) == stem(normal_relation(y)))
-    return one(a, b) | one(b, a)
+    x, y = normal_relation(a), normal_relation(b)
+    return one(x, y) | one(y, x)
 
 
 def mentions(relation: Column, *entities: Column) -> Column:
-    """FL-23: a whole entity within the relation."""
-    padded = lambda x: F.concat(F.lit(" "), F.lower(x), F.lit(" "))
+    """FL-23: a whole entity (normalised, without its article) within the relation."""
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     out = F.lit(False)
     for e in entities:
-        out = out | ((e != "") & padded(relation).contains(padded(e)))
+        name = normal_relation(without_article(unquoted(e)))
+        out = out | ((name != "") & padded(normal_relation(relation)).contains(padded(name)))
     return out
 
 
-def is_meta(relation: Column, heads: list[str]) -> Column:
-    """FL-24: the first word is one of heads; false for an empty relation."""
-    return F.coalesce(F.split_part(F.coalesce(relation, F.lit("")), F.lit(" "), F.lit(1)).isin(*heads), F.lit(False))
-
-
 def bad_ending(text: Column) -> Column:
     """FL-26: a sentence that ends in an auxiliary."""
     return text.rlike(r"(?i)\b(is|are|was|were)\.$")
 
 
 def validity(invalid_share: Column, yes_ratio: Column) -> Column:
-    """FL-29, AG-23: whether a measurement can be used."""
+    """FL-29: whether a measurement can be used."""
     return cascade([("too_many_invalid", invalid_share > 0.10), ("degenerate", (yes_ratio > 0.95) | (yes_ratio < 0.05))])

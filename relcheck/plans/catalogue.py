@@ -216,12 +216,12 @@ def pair_expand(spark: SparkSession, d: str) -> DataFrame:
     return P.expanded(read(spark, d, "labels"), ["doc_id"], pos=say(F.col("quality")), neg=say(1 - F.col("quality")), toxic=F.when(F.col("toxic") == 1, "Toxic.").otherwise(""))
 
 
-@query("""select doc_id as id, text, null as relation, 'docs' as tag from documents where doc_id % 10 = 0 union all select item_id, text, null, 'items' from benchmark
-union all select conv_id, text, role, 'turns' from conversations where turn = 0""")
+@query("""select doc_id as id, text, null as relation, 'docs' as tag from documents union all select item_id, text, null, 'items' from benchmark
+union all select conv_id, text, role, 'turns' from conversations""")
 def unionbyname_jobs(spark: SparkSession, d: str) -> DataFrame:
-    turns = read(spark, d, "conversations").where("turn = 0")
+    turns = read(spark, d, "conversations")
     return P.tagged_union(
-        docs=read(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), "text"),
+        docs=read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
         items=read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"),
         turns=turns.select(F.col("conv_id").alias("id"), "text", F.col("role").alias("relation")),
     )
@@ -251,13 +251,13 @@ def aliased_key_join(spark: SparkSession, d: str) -> DataFrame:
     return J.aliased_join(orders, text, "o_orderkey", "k")
 
 
-@query("""with v as (select distinct p_type as t from part), n as (select distinct p_type as g from part where p_partkey <= 20),
+@query("""with v as (select distinct p_type as t from part), n as (select distinct p_type as g from part),
 w as (select g, t, string_split(lower(g), ' ') a, string_split(lower(t), ' ') b from n, v)
 select g, t from w where not (g = t or contains(lower(g), lower(t)) or contains(lower(t), lower(g)) or a[1] = b[1]
   or len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double >= 0.5)""")
 def theta_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
-    gold = part.where("p_partkey <= 20").select(F.col("p_type").alias("g"))
+    gold = part.select(F.col("p_type").alias("g"))
     return J.unlike_candidates(gold, "g", part.select(F.col("p_type").alias("t")), "t")
 
 
@@ -277,7 +277,8 @@ def k_way_intersection_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query("""with r as (select distinct l_partkey, l_suppkey, l_orderkey, l_returnflag from lineitem),
 n as (select *, row_number() over (partition by l_partkey, l_suppkey order by md5('3:' || l_orderkey || ':' || l_returnflag)) rn from r)
 select a.l_partkey, a.l_suppkey, a.l_orderkey, a.l_returnflag, b.l_orderkey as other_l_orderkey, b.l_returnflag as other_l_returnflag
-from lineitem a join n b using (l_partkey, l_suppkey) where b.rn <= 256 and a.l_orderkey <> b.l_orderkey and a.l_returnflag <> b.l_returnflag""")
+from lineitem a join n b using (l_partkey, l_suppkey) where b.rn <= 256 and a.l_orderkey <> b.l_orderkey
+and not exists (select 1 from r where r.l_partkey = b.l_partkey and r.l_suppkey = b.l_suppkey and r.l_orderkey = b.l_orderkey and r.l_returnflag = a.l_returnflag)""")
 def entity_pair_selfjoin(spark: SparkSession, d: str) -> DataFrame:
     return J.same_pair_elsewhere(read(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey", "l_returnflag", 256, 3)
 
@@ -465,7 +466,7 @@ READINGS = {
     "fl07": ["yes", "no", "no", None, None, "no", "yes", "yes", None, None, "no", None],
     "fl08": ["Yes", "No", "No", "No", "No", "No", "No", "Yes", "No", "No", "No", "No"],
     "fl09": ["invalid"] * 9 + ["B"] + ["invalid"] * 2,
-    "fl10": ["invalid"] * 11 + ["implausible"],
+    "fl10": ["parse_error"] * 11 + ["implausible"],
 }
 
 
@@ -479,3 +480,61 @@ def answer_readers(spark: SparkSession, d: str) -> DataFrame:
     x = F.expr(answer_text("doc_id"))
     readers = {"fl01": A.pred_yes, "fl04": A.yes_no_uncertain, "fl05": A.strict_head, "fl06": A.prior_answer, "fl07": A.first_yes_no, "fl08": A.cautious_yes_no, "fl09": A.choice_letter, "fl10": A.plausibility}
     return read(spark, d, "documents").select("doc_id", *[f(x).alias(k) for k, f in readers.items()])
+
+
+# (subject, relation, object, confidence) by p_partkey modulo their number, and what the cascades say of each.
+TRIPLETS = [
+    ("", "on", "mat", "medium", "low_confidence", None), ("", "on", "mat", "high", "empty_field", None), ("Cat", "on", "cat.", "High", "subject_eq_object", None), ("cat", "x", "mat", "high", "relation_len", "relation_len"),
+    ("a b c d e", "near", "mat", "high", "too_long", None), ("cat", "up b c d e f", "mat", "high", "too_long", "too_long"), ("a b c d", "sits up on top of", "mat", "high", "ok", None), ("cat2", "sits on", "mat", "high", "has_digit", None),
+    ("cat, dog", "near", "mat", "high", "not_binary", None), ("cat", "on; by", "mat", "high", "not_binary", "not_binary"), ("cat", "on, by", "mat", "high", "ok", "not_binary"), ("cat", "is on", "mat", "high", "meta_or_attribute", None),
+    ("cat", "shown in", "mat", "high", "meta_or_attribute", "meta_relation"), ("the scene", "near", "mat", "high", "non_entity", None), ("cat", "of", "mat", "high", "vague_relation", None), ("cat", "on the side", "mat", "high", "ok", "has_article"),
+]
+
+
+def constant(v: object) -> str:
+    return "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+
+
+def by_part(rows: list[tuple], **columns: int) -> str:
+    """SQL: p_partkey and, by p_partkey modulo the rows' number, a column of each."""
+    case = lambda k: f"case p_partkey % {len(rows)} " + " ".join(f"when {i} then {constant(r[k])}" for i, r in enumerate(rows)) + " end"
+    return "select p_partkey, " + ", ".join(f"{case(k)} as {name}" for name, k in columns.items()) + " from part"
+
+
+def samples(spark: SparkSession, d: str, rows: list[tuple], n: int) -> DataFrame:
+    """p_partkey and the first n values of a row as c0, c1 and so on."""
+    pick = F.get(F.array(*[F.array(*[F.lit(v) for v in r[:n]]) for r in rows]), (F.col("p_partkey") % len(rows)).cast("int"))
+    return read(spark, d, "part").select("p_partkey", pick.alias("v")).select("p_partkey", *[F.get("v", F.lit(i)).alias(f"c{i}") for i in range(n)])
+
+
+@query(by_part(TRIPLETS, triplet=4, span=5))
+def triplet_rules(spark: SparkSession, d: str) -> DataFrame:
+    given = samples(spark, d, TRIPLETS, 4)
+    return given.select("p_partkey", R.triplet_status(*[F.col(f"c{i}") for i in range(4)]).alias("triplet"), R.span_status(F.col("c1")).alias("span"))
+
+
+# (gold, candidate), then: synonyms, too close, one lemma, passive inverse, rejection (entities man and the cup), hard score.
+RELATIONS = [
+    ("holding", "grasping", True, True, False, False, "synonym_or_paraphrase", -1.0),
+    ("on", "upon", False, True, False, False, "synonym_or_paraphrase", -1.0),
+    ("under", "beneath", False, False, False, False, "synonym_or_paraphrase", 0.5),
+    ("held", "holds up", False, False, True, False, "morphology", 0.5),
+    ("near", "under cup", False, False, False, False, "mentions_entity", 0.5),
+    ("holding", "wearing", False, False, False, False, None, 7.5),
+    ("looking at", "holding", False, False, False, False, None, 4.5),
+    ("watching", "seen bypass", False, False, False, False, "meta_relation", -1.0),
+    ("watching", "watched bypass", False, True, True, True, "synonym_or_paraphrase", -1.0),
+    ("next to", "in front of", False, False, False, False, None, 7.5),
+]
+
+
+@query(by_part(RELATIONS, alike=2, close=3, lemma=4, inverse=5, rejected=6))
+def relation_rules(spark: SparkSession, d: str) -> DataFrame:
+    given, (a, b) = samples(spark, d, RELATIONS, 2), (F.col("c0"), F.col("c1"))
+    rejected = R.rejection(a, b, F.lit("man"), F.lit("the cup"))
+    return given.select("p_partkey", T.synonyms(a, b).alias("alike"), T.too_close(a, b).alias("close"), R.same_lemma(a, b).alias("lemma"), R.passive_inverse(a, b).alias("inverse"), rejected.alias("rejected"))
+
+
+@query(by_part(RELATIONS, score=7).replace(" end as score", " end::double as score"))
+def hard_scores(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d, RELATIONS, 2).select("p_partkey", T.hard_score(F.col("c0"), F.col("c1")).alias("score"))
