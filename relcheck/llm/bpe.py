@@ -30,7 +30,7 @@ WINDOW = 16
 #: A chunk has 1024 bytes on average.
 CUT_BITS = U(0x3FF)
 #: Pieces whose ids a Python worker remembers, over all its tasks; later ones are remembered for a batch.
-MEMO = 700_000
+MEMO = 400_000
 #: Pieces encoded in one text.
 TOGETHER = 2000
 #: Characters on each side that a join's repair starts with.
