@@ -1,12 +1,12 @@
 """Quality rules (DataFrame functions only): per-document counts, and lines that too many documents of a host share.
 
-The method: each document's lines are normalised and hashed; a line is heavy in a host if it stands in at least
-`share` of the host's distinct documents and in at least `min_docs` of them. Heavy lines are removed, and a document that
-loses more than half of its words that way is depleted and rejected.
+The method: each document's lines are normalised and hashed; a line is heavy in a host if it stands in `max_docs` of the
+host's distinct documents or more, or, in smaller hosts, in at least `share` of them and at least `min_docs`. Heavy lines
+are removed, and a document that loses more than half of its words that way is depleted and rejected.
 
-A host's heavy lines are few whatever its size: each takes a `share` of its documents, so there are at most
-1 / share times the mean number of lines. They are gathered in one array per host, and each document's line keys meet
-that array; only documents that have heavy lines then have their texts rewritten.
+Lines are joined to the heavy ones by host and key, so that nothing is gathered for a host; where the heavy lines are too
+many to broadcast, Spark splits the partitions of lines that stand in very many documents. Only documents that have heavy
+lines then have their texts rewritten.
 """
 
 from __future__ import annotations
@@ -54,24 +54,25 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def heavy_lines(base: DataFrame, share: float, min_docs: int) -> DataFrame:
+def heavy_lines(base: DataFrame, share: float, min_docs: int, max_docs: int) -> DataFrame:
     """_id2, _h2, _host2, _heavy: the documents with heavy lines of their host, and the keys of those lines.
 
     Works on the documents' line keys alone, which are written once. Copies of one text in a host count once."""
     lines = F.array_distinct(F.filter(normalised_lines(F.col("_text")), lambda x: x != ""))
     keys = saved(base.select("_id", "_h", "_host", F.transform(lines, line_key).alias("_keys")))
-    each = keys.select("_host", "_h", F.explode("_keys").alias("_k"))
-    counted = each.groupBy("_host", "_k").agg(F.count_distinct("_h").alias("_n")).where(F.col("_n") >= min_docs)
+    each = keys.select("_id", "_h", "_host", F.explode("_keys").alias("_k"))
+    counted = each.groupBy("_host", "_k").agg(F.count_distinct("_h").alias("_n")).where(F.col("_n") >= min(min_docs, max_docs))
     hosts = saved(keys.groupBy(F.col("_host").alias("_host2")).agg(F.count_distinct("_h").alias("_docs")))
-    heavy = join_small(counted, hosts, F.col("_host").eqNullSafe(F.col("_host2")), "inner").where(F.col("_n") >= share * F.col("_docs"))
-    heavy = saved(heavy.groupBy("_host2").agg(F.collect_list("_k").alias("_all")))
-    met = join_small(keys, heavy, F.col("_host").eqNullSafe(F.col("_host2")), "inner")
-    own = met.select("_id", "_h", "_host", F.array_intersect("_keys", "_all").alias("_heavy")).where(F.size("_heavy") > 0)
-    return saved(own.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_host").alias("_host2"), "_heavy").distinct())
+    often = (F.col("_n") >= max_docs) | ((F.col("_n") >= min_docs) & (F.col("_n") >= share * F.col("_docs")))
+    heavy = join_small(counted, hosts, F.col("_host").eqNullSafe(F.col("_host2")), "inner").where(often)
+    heavy = saved(heavy.select("_host2", F.col("_k").alias("_k2")))
+    met = join_small(each, heavy, F.col("_host").eqNullSafe(F.col("_host2")) & (F.col("_k") == F.col("_k2")), "inner")
+    own = met.groupBy("_id", "_h", "_host").agg(F.collect_set("_k").alias("_heavy"))
+    return saved(own.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), F.col("_host").alias("_host2"), "_heavy"))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.1, min_docs: int = 20, max_docs: int = 1000
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint), base_failed, n_heavy_lines,
     n_heavy_words, clean_text (the text without heavy lines) and kept.
@@ -81,7 +82,7 @@ def quality_rules(
     aren't used: repeated rows get equal results. Empty tables give empty results; extra columns stay.
     """
     base = packed(docs, id_col, text_col).withColumn("_host", F.col("row").getField(host_col).cast("string"))
-    heavy = heavy_lines(base.drop("row"), share, min_docs)
+    heavy = heavy_lines(base.drop("row"), share, min_docs, max_docs)
     met = join_small(base, heavy, same_row(base, heavy) & F.col("_host").eqNullSafe(F.col("_host2")), "left")
     text = F.col("_text")
     kept_lines = F.filter(
@@ -151,7 +152,7 @@ with d as (
   from (select source, t, unnest(list_distinct(list_filter(norm, lambda x: x <> ''))) as line from w) group by source, line
 ), heavy as (
   select p.source, list(p.line) as hs from per_line p join hosts h on p.source is not distinct from h.source
-  where p.n >= 20 and p.n >= 0.1 * h.n_docs group by p.source
+  where p.n >= 1000 or (p.n >= 20 and p.n >= 0.1 * h.n_docs) group by p.source
 ), parts as (
   select w.doc_id, w.t, len(w.ws) as n_words, coalesce(r.r, 0) as n_repeat_words, len(w.ls) - len(list_distinct(w.ls)) as n_dup_lines,
          list_filter(w.raw, lambda x, i: list_contains(h.hs, w.norm[i])) as cut
