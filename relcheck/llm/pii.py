@@ -4,11 +4,12 @@ Emails, addresses, card and phone numbers are the protected entities. A term rev
 one infer it: the pointwise mutual information of term and entity, over different texts, against the information
 content of the entity. What stays hidden, IC(e) - PMI(t, e) = -log2 p(e | t), is the number of bits one would still have
 to guess. In a document that holds the entity, a term that leaves at most HIDDEN_GENERALISED bits is generalised (a
-number by [NUMBER], a word by [TERM]), one that leaves at most HIDDEN_REMOVED bits is removed. Only entities and pairs
-found in MIN_TEXTS different texts or more are judged, since rarer ones say nothing about inference.
+number by [NUMBER], a word by [TERM]), one that leaves at most HIDDEN_REMOVED bits is removed, or generalised too if fewer
+than MIN_REMOVED texts hold both, since so few say little. Entities and pairs of one text are judged like all others.
 
-Co-occurrence is counted for entities of several texts only, and document frequencies for the terms that stand with them,
-over all texts; all counts are partial aggregates. Places of matches are sums of lengths, by a window over one document.
+What only one text holds is judged as one entity of that text, because each term stands with all of it alike: so pairs grow
+with the texts, not with their entities. Document frequencies are counted over all texts; all counts are partial
+aggregates. Places of matches are sums of lengths, by a window over one document.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-MIN_TEXTS = 3
+MIN_TEXTS = 1
+MIN_REMOVED = 3
 MIN_TERM = 3
 HIDDEN_GENERALISED, HIDDEN_REMOVED = 1.0, 0.15
 
@@ -85,32 +87,37 @@ def terms_of(text: Column, min_term: int) -> Column:
     return F.array_distinct(F.filter(words_of(lowered(text)), lambda w: F.length(w) >= min_term))
 
 
-def revealing(base: DataFrame, found: DataFrame, min_texts: int, min_term: int) -> DataFrame:
-    """e, t, hidden: the terms that leave at most HIDDEN_GENERALISED bits of an entity hidden. Copies count once."""
+def judged(found: DataFrame, min_texts: int) -> DataFrame:
+    """_id, _h, e: the entities of each document that stand in min_texts different texts; those of one text as one."""
+    held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e"))
+    texts = held.groupBy("e").agg(F.count_distinct("_h").alias("n_e")).where(F.col("n_e") >= min_texts)
+    e = F.when(F.col("n_e") == 1, F.concat(F.lit("only:"), F.col("_h"))).otherwise(F.col("e"))
+    return saved(held.join(texts, "e").select("_id", "_h", e.alias("e")).distinct())
+
+
+def revealing(base: DataFrame, held: DataFrame, min_texts: int, min_term: int) -> DataFrame:
+    """e, t, hidden, n_te: the terms that leave at most HIDDEN_GENERALISED bits of an entity hidden. Copies count once."""
     first = base.groupBy("_h").agg(F.min("_id").alias("_id2"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = saved(first.select(F.col("_h").alias("_h2"), "_id2"))
     copy = (base["_h"] == copies["_h2"]) & ~base["_id"].eqNullSafe(copies["_id2"])
     texts = join_small(base, copies, copy, "left_anti").select("_id", "_h", "_text")
-    held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e")).distinct()
-    common = held.groupBy("e").agg(F.count_distinct("_h").alias("n_e")).where(F.col("n_e") >= min_texts)
-    held = held.join(common, "e").groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("e").alias("es"))
-    held = saved(held)
-    near = join_small(texts, held, same_row(texts, held), "inner")
+    own = saved(held.groupBy(F.col("_id").alias("_id2"), F.col("_h").alias("_h2")).agg(F.collect_set("e").alias("es")))
+    near = join_small(texts, own, same_row(texts, own), "inner")
     pairs = near.select(F.explode("es").alias("e"), terms_of(F.col("_text"), min_term).alias("ts")).select("e", F.explode("ts").alias("t"))
-    pairs = saved(pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_texts))
-    wanted = saved(pairs.select(F.col("t").alias("t2")).distinct())
-    seen = texts.select(F.explode(terms_of(F.col("_text"), min_term)).alias("t"))
-    frequency = join_small(seen, wanted, F.col("t") == F.col("t2"), "left_semi").groupBy(F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= min_texts)
+    seen = texts.select(F.explode(terms_of(F.col("_text"), min_term)).alias("t2"))
+    frequency = seen.groupBy("t2").agg(F.count(F.lit(1)).alias("n_t"))
     hidden = -F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)))
-    return pairs.join(frequency, F.col("t") == F.col("t2")).select("e", "t", hidden.alias("hidden")).where(F.col("hidden") <= HIDDEN_GENERALISED)
+    return pairs.join(frequency, F.col("t") == F.col("t2")).select("e", "t", hidden.alias("hidden"), "n_te").where(F.col("hidden") <= HIDDEN_GENERALISED)
 
 
 def term_spans(base: DataFrame, found: DataFrame, min_texts: int, min_term: int) -> DataFrame:
     """Spans of kind term: revealing terms in documents that hold the entity, outside of its own spans. `value` is the
     term's replacement."""
-    told = saved(revealing(base, found, min_texts, min_term))
-    held = found.select("_id", "_h", entity(F.col("kind"), F.col("value")).alias("e")).distinct()
-    own = held.join(told, "e").groupBy("_id", "_h", "t").agg(F.min("hidden").alias("hidden"))
+    held = judged(found, min_texts)
+    told = saved(revealing(base, held, min_texts, min_term))
+    shown = F.when(F.col("n_te") >= MIN_REMOVED, F.col("hidden")).otherwise(F.greatest("hidden", F.lit(HIDDEN_GENERALISED)))
+    own = held.join(told, "e").groupBy("_id", "_h", "t").agg(F.min(shown).alias("hidden"))
     own = own.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("t", "hidden"))).alias("terms"))
     areas = found.groupBy(F.col("_id").alias("_id3"), F.col("_h").alias("_h3")).agg(F.collect_list(F.struct("start", "end")).alias("areas"))
     own = own.join(areas, F.col("_id").eqNullSafe(F.col("_id3")) & (F.col("_h") == F.col("_h3")))
@@ -127,8 +134,9 @@ def pii_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """docs with n_email, n_ip, n_card, n_phone (bigint), base_spans, spans (kind:start:end in code points, comma-joined,
     by kind, then start) and sanitised_text (entities as [EMAIL] and so on, terms generalised or removed).
 
-    min_texts: different texts that an entity, and a pair of term and entity, must stand in to be judged; with 1 all are, and
-    every word found only next to an entity is a term that gives it away. min_term: letters of a term, at least.
+    min_texts: different texts that an entity, and a pair of term and entity, must stand in to be judged; with 1, as given,
+    all are, and a word that stands in no more than two texts is a term wherever one of them holds an entity that no other
+    text has. min_term: letters of a term, at least.
     Null text: counts of 0, empty spans, sanitised_text ''. Null ids are ordinary ids. Repeated rows are one document and
     get equal results. Overlapping spans are replaced once, by the first's replacement. Empty tables give empty results.
     """
