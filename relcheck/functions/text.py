@@ -229,8 +229,8 @@ def json_object(raw: Column) -> Column:
 
 
 def as_percent(share: Column, digits: int = 2) -> Column:
-    """SF-27."""
-    return F.format_string(f"%.{digits}f", 100 * share)
+    """SF-27: null stays null."""
+    return F.when(share.isNotNull(), F.format_string(f"%.{digits}f", 100 * share))
 
 
 def basename(path: Column) -> Column:
@@ -299,3 +299,41 @@ def masked_losses(losses: Column, places: Column) -> Column:
     n = F.size(inside)
     total = F.when(n > 0, F.aggregate(F.transform(inside, lambda i: F.get(losses, i)), F.lit(0.0), lambda a, x: a + x))
     return F.struct(F.greatest(n, F.lit(0)).alias("n"), total.alias("total"), F.try_divide(total, n).alias("mean"), (n > 0).alias("located"))
+
+
+# Categories with names of their own.
+CATEGORIES = {
+    "door-stuff": "door", "floor-wood": "wooden floor", "mirror-stuff": "mirror", "tree-merged": "tree", "fence-merged": "fence",
+    "ceiling-merged": "ceiling", "sky-other-merged": "sky", "cabinet-merged": "cabinet", "table-merged": "table",
+    "floor-other-merged": "floor", "pavement-merged": "pavement", "mountain-merged": "mountain", "grass-merged": "grass",
+    "dirt-merged": "dirt", "paper-merged": "paper", "food-other-merged": "food", "building-other-merged": "building",
+    "rock-merged": "rock", "wall-other-merged": "wall", "rug-merged": "rug",
+}
+
+
+def category_name(name: Column) -> Column:
+    """SF-25: an alias, or the name without -merged and -other and with spaces for hyphens."""
+    return looked_up(name, CATEGORIES, F.replace(F.regexp_replace(F.replace(name, F.lit("-merged"), F.lit("")), "-other", ""), F.lit("-"), F.lit(" ")))
+
+
+def candidate_list(parsed: Column) -> Column:
+    """SF-18: the candidates in an answer's JSON (text, as json_object gives it) that have a relation: those of its array, or
+    else the whole object as one. Flags that aren't there are null; other text, null included, has none."""
+    from relcheck.functions.answers import loose_boolean
+
+    value = F.try_parse_json(parsed)
+    each = F.coalesce(F.try_variant_get(value, "$.candidates", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
+
+    def told(x: Column) -> Column:
+        text = lambda name: F.try_variant_get(x, f"$.{name}", "string")
+        relation = clean_span(text("relation"))
+        return F.struct(
+            relation.alias("relation"),
+            normal_relation(relation).alias("relation_norm"),
+            clean_span(text("statement")).alias("statement"),
+            loose_boolean(text("linguistically_plausible")).alias("linguistically_plausible"),
+            loose_boolean(text("visually_supported")).alias("visually_supported"),
+            F.lower(stripped(F.coalesce(text("confidence"), F.lit("")))).alias("confidence"),
+        )
+
+    return F.filter(F.transform(each, told), lambda c: c.relation != "")

@@ -145,3 +145,11 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     cols = a.columns
     count = a.select(*cols, F.lit(1).alias("_s")).unionByName(b.select(*cols, F.lit(-1).alias("_s"))).groupBy(*cols).agg(F.sum("_s").alias("s"), F.min("_s").alias("low"), F.max("_s").alias("high"))
     return count.agg((F.count_if(F.col("s") != 0) == 0).alias("same_multiset"), (F.count_if(F.col("low") == F.col("high")) == 0).alias("same_set"))
+
+
+def first_negatives_of(judged: DataFrame, source: DataFrame, key: str, judgment: str, rank: str, order: str) -> DataFrame:
+    """JN-16: source rows with their first `no` in judged: the least rank (null: 99), then order. Judgments without a source
+    row, and source rows without a `no`, go. Columns of judged are prefixed with negative_."""
+    rest = F.struct(*[F.col(c).alias(f"negative_{c}") for c in judged.columns if c != key])
+    best = judged.where(F.col(judgment) == "no").groupBy(key).agg(F.min_by(rest, F.struct(F.coalesce(F.col(rank), F.lit(99)), order)).alias("_no"))
+    return source.join(best, key).select(*source.columns, "_no.*")

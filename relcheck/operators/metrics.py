@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relcheck.operators.sampling import arg_max
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as a double, 0.0 where b is 0 or null."""
@@ -122,3 +124,9 @@ def ranked_models(df: DataFrame, bench: str, model: str, value: str) -> DataFram
     """WN-12: models by value within a benchmark; null counts as -1, ties go by name."""
     order = Window.partitionBy(bench).orderBy(F.desc(F.coalesce(F.col(value), F.lit(-1.0))), model)
     return df.withColumn("rank", F.row_number().over(order))
+
+
+def usual_predicates(triplets: DataFrame) -> DataFrame:
+    """AG-13, WN-06: subject, object, predicate, n of the most frequent predicates of each pair of entities, ties kept."""
+    counts = triplets.groupBy("subject", "object", "predicate").agg(F.count(F.lit(1)).alias("n"))
+    return arg_max(counts, ["subject", "object"], "n")

@@ -1,8 +1,8 @@
-"""Rule cascades: the first rule that fails names the status (FL-12 to FL-29)."""
+"""Rule cascades: the first rule that fails names the status (FL-12 to FL-29); what follows from them (SF-19, UD-02)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relcheck.functions import vocabulary as V
@@ -139,3 +139,32 @@ def bad_ending(text: Column) -> Column:
 def validity(invalid_share: Column, yes_ratio: Column) -> Column:
     """FL-29: whether a measurement can be used."""
     return cascade([("too_many_invalid", invalid_share > 0.10), ("degenerate", (yes_ratio > 0.95) | (yes_ratio < 0.05))])
+
+
+def recovered_relation(relation: Column, told: Column, subject: Column, obj: Column) -> Column:
+    """SF-19: the relation, unless it is empty or names an entity: then what the statement has between its entities, if
+    that is more than an entity."""
+    name = lambda x: normal_relation(without_article(F.coalesce(x, F.lit(""))))
+    s, o, r = name(subject), name(obj), clean_span(relation)
+    entity = lambda x: (normal_relation(x) != "") & ((normal_relation(x) == s) | (normal_relation(x) == o))
+    text = normal_relation(clean_span(told))
+    text = F.when((s != "") & text.startswith(F.concat(s, F.lit(" "))), F.trim(F.substring(text, F.length(s) + 1, F.length(text)))).otherwise(text)
+    text = F.when((o != "") & text.endswith(F.concat(F.lit(" "), o)), F.trim(F.left(text, F.length(text) - F.length(o)))).otherwise(text)
+    text = clean_span(text)
+    return F.when((r != "") & ~entity(r) & ~mentions(r, subject, obj), r).when((text != "") & ~entity(text), text).otherwise(r)
+
+
+def chosen_candidates(df: DataFrame, key: str, tries: int = 3) -> DataFrame:
+    """UD-02, the part by rules: of each key's candidates the one that is taken. df: key, gold, subject, object, relation,
+    rank, linguistically_plausible, visually_supported, confidence, and what two verifiers said: verified_a, verified_b.
+    Candidates with an equal relation count once (the least rank); those that the rules and flags let through are tried
+    with high confidence first, then by rank, `tries` of them at most, and the first that both verifiers accept wins."""
+    once = df.groupBy(key, normal_relation(F.col("relation")).alias("_norm")).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), "rank").alias("c")).select(key, "c.*")
+    status = F.coalesce(
+        rejection(F.col("gold"), F.col("relation"), F.col("subject"), F.col("object")),
+        teacher_gate(F.col("linguistically_plausible"), F.col("visually_supported"), F.col("confidence")),
+    )
+    order = F.struct((F.col("confidence") != "high").alias("second"), F.col("rank").alias("rank"), "relation", (F.col("verified_a") & F.col("verified_b")).alias("fine"))
+    tried = once.where(status.isNull()).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(order)), 1, tries).alias("t"))
+    won = F.get(F.filter("t", lambda x: x.fine), F.lit(0))
+    return tried.select(key, F.size("t").alias("n_tried"), won.relation.alias("relation"), won["rank"].alias("rank"))

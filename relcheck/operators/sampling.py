@@ -139,3 +139,29 @@ def disjoint_pick(df: DataFrame, group: str, left: str, right: str, per_group: i
     best = ends.groupBy("_image").agg(F.min("_o").alias("_best"))
     lost = ends.join(best, "_image").where(F.col("_o") != F.col("_best")).select("_o").distinct()
     return each.join(lost, "_o", "left_anti").orderBy("_turn", group, left, right).limit(n).drop("_o", "_turn")
+
+
+def stratified_by(df: DataFrame, key: Column, share: float, seed: int, id_col: str) -> DataFrame:
+    """UD-03: a share of each stratum, where the stratum is any expression."""
+    return stratified(df.withColumn("_stratum", key), ["_stratum"], share, seed, id_col).drop("_stratum")
+
+
+def leading(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """SA-01, SA-02: the first n rows by several keys; keys cast to string sort 10 before 9."""
+    return df.orderBy(*order).limit(n)
+
+
+def nested_samples(df: DataFrame, sizes: list[int], *order: Column) -> DataFrame:
+    """SA-03: the first max(sizes) rows by order with their ordinal and the least of the sizes whose sample has them, so
+    that each sample holds all smaller ones. Only that many rows meet in one task."""
+    first = df.orderBy(*order).limit(max(sizes)).withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    least = F.lit(None).cast("int")
+    for n in sorted(sizes, reverse=True):
+        least = F.when(F.col("ordinal") < n, n).otherwise(least)
+    return first.withColumn("smallest", least)
+
+
+def free_resources(df: DataFrame, free: str, used: str, min_free: float, max_used: float, n: int, tie: str) -> DataFrame:
+    """FL-30: the n resources with most room that have enough of it and little use; none if there are fewer than n."""
+    best = df.where((F.col(free) >= min_free) & (F.col(used) <= max_used)).orderBy(F.desc(free), tie).limit(n)
+    return best.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where(F.col("_n") == n).drop("_n")

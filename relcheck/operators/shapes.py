@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from relcheck.functions.text import capitalised
+from relcheck.functions.answers import pred_yes
+from relcheck.functions.text import canonical_id, capitalised
 
 
 def first_filled(*cols: Column) -> Column:
@@ -76,8 +78,41 @@ def graph_triplets(df: DataFrame, keep: list[str], names: Column, edges: Column)
 
 
 def public(df: DataFrame, *dropped: str) -> DataFrame:
-    """PR-12: without the columns told and those that begin with an underscore."""
-    return df.drop(*dropped, *[c for c in df.columns if c.startswith("_")])
+    """PR-12: without the columns told and those that begin with an underscore, at any depth of structs and arrays."""
+    gone = lambda name: name in dropped or name.startswith("_")
+
+    def bare(x: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            return F.when(x.isNotNull(), F.struct(*[bare(x.getField(f.name), f.dataType).alias(f.name) for f in kind if not gone(f.name)]))
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType | ArrayType):
+            return F.transform(x, lambda y: bare(y, kind.elementType))
+        return x
+
+    return df.select(*[bare(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema if not gone(f.name)])
+
+
+def retagged(df: DataFrame, fields: dict[str, dict[str, Column]] | None = None, **columns: Column) -> DataFrame:
+    """PR-13: the rows with some columns, and fields of struct columns ({struct: {field: value}}), replaced or added."""
+    for name, own in (fields or {}).items():
+        x = F.col(name)
+        for field, value in own.items():
+            x = x.withField(field, value)
+        columns[name] = x
+    return df.withColumns(columns)
+
+
+def first_present(*structs: Column) -> Column:
+    """PR-16: the first struct that isn't null and has a field that isn't."""
+    return F.coalesce(*[F.when(F.to_json(s) != "{}", s) for s in structs])
+
+
+def answer_predictions(log: DataFrame, order: str) -> DataFrame:
+    """PR-15: qid, pred of an answer log with question_id or id, text or response, by fallbacks on columns that exist; the last
+    answer of a question counts, an empty answer is yes."""
+    has = lambda *names: [F.col(n) for n in names if n in log.columns] or [F.lit(None).cast("string")]
+    qid = canonical_id(F.coalesce(*[c.cast("string") for c in has("question_id", "id")]))
+    told = log.select(qid.alias("qid"), pred_yes(first_filled(*has("text", "response"))).alias("pred"), F.col(order).alias("_order"))
+    return told.groupBy("qid").agg(F.max_by("pred", "_order").alias("pred"))
 
 
 def vocabulary_of(df: DataFrame, *cols: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from relcheck.functions import answers as A
 from relcheck.functions import text as T
+from relcheck.operators import decisions as D
 from relcheck.operators import joins as J
 from relcheck.operators import metrics as M
 from relcheck.operators import rules as R
@@ -538,3 +539,137 @@ def relation_rules(spark: SparkSession, d: str) -> DataFrame:
 @query(by_part(RELATIONS, score=7).replace(" end as score", " end::double as score"))
 def hard_scores(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d, RELATIONS, 2).select("p_partkey", T.hard_score(F.col("c0"), F.col("c1")).alias("score"))
+
+
+MEASURES = f"""{LOGS}, k as (
+  select *, case when n_chars % 7 = 0 then null when n_chars % 3 = 0 then 'no' else 'yes' end as x, case when doc_id % 40 = 0 then 'no' else 'yes' end as y,
+         case when doc_id % 7 >= n_chars % 5 then 'yes' else 'no' end as z from p
+)"""
+MEASURE = "struct_pack(n := count(*), valid := count({0}), invalid_share := 1 - count({0}) / count(*), yes_ratio := avg(({0} = 'yes')::int), one_answer := greatest(avg(({0} = 'yes')::int), avg(({0} = 'no')::int)))"
+
+
+@query(f"""{MEASURES}, m as (select lang, {MEASURE.format("x")} as main, {MEASURE.format("y")} as fb, {MEASURE.format("z")} as lp from k group by lang),
+t as (select *, main.invalid_share > 0.10 as second, case when main.invalid_share > 0.10 then fb else main end as w from m),
+u as (select lang, case when w.one_answer > 0.95 then 'logprob' when second then 'fallback' else 'main' end as used, case when w.one_answer > 0.95 then lp else w end as c from t)
+select lang, used, c.one_answer > 0.95 or (used = 'logprob' and c.one_answer >= 0.90) or (used <> 'logprob' and c.invalid_share > 0.10) as failed,
+       c.n as n, c.valid as valid, c.invalid_share as invalid_share, c.yes_ratio as yes_ratio, c.one_answer as one_answer from u""")
+def chosen_measurement(spark: SparkSession, d: str) -> DataFrame:
+    """AG-23, FL-29, SF-29."""
+    x = F.when(F.col("n_chars") % 7 == 0, None).when(F.col("n_chars") % 3 == 0, "no").otherwise("yes")
+    y = F.when(F.col("doc_id") % 40 == 0, "no").otherwise("yes")
+    return D.chosen_measurement(logs(spark, d), x, y, D.likelier(F.col("doc_id") % 7, F.col("n_chars") % 5), "lang")
+
+
+@query(f"""{LOGS}, v as (select lang, avg((a = gold)::int) v1, avg((b = gold)::int) v2, avg(gold::int) v3 from p group by lang)
+select lang, case when (v2 > v1 + 0.03 or v3 > v1 + 0.03) and v3 > v2 + 0.02 then 'Go B' when v2 > v1 + 0.03 or v3 > v1 + 0.03 then 'Go A'
+                  when abs(v2 - v1) < 0.02 and abs(v3 - v1) < 0.02 then 'No-Go B' else 'No-Go A candidate' end as heldout,
+       case when least(e, t) >= 0.08 or (greatest(e, t) >= 0.10 and least(e, t) >= 0.04) then 'A'
+            when (e >= 0.08) <> (t >= 0.08) and abs(e - t) >= 0.08 then 'C' when abs(e) < 0.04 and abs(t) < 0.04 then 'B'
+            when (e > 0.05 and t < 0.02) or (t > 0.05 and e < 0.02) then 'C' when e >= 0.05 and t >= 0.05 then 'A' else 'B' end as adaptation
+from (select *, v2 - v1 as e, v3 - v1 as t from v)""")
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """AG-24."""
+    right = lambda c: F.avg((c == F.col("gold")).cast("int"))
+    v = logs(spark, d).groupBy("lang").agg(right(A.pred_yes(F.col("answer"))).alias("v1"), right(A.pred_yes(F.col("other"))).alias("v2"), F.avg(F.col("gold").cast("int")).alias("v3"))
+    first, second, third = F.col("v1"), F.col("v2"), F.col("v3")
+    return v.select("lang", D.heldout_verdict(first, second, third).alias("heldout"), D.adaptation_verdict(second - first, third - first).alias("adaptation"))
+
+
+JUDGED = f"""{LOGS}, j as (select *, case n_chars % 4 when 0 then 'implausible' when 1 then 'parse_error' when 2 then null else 'plausible' end as judgment from p)"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_chars") % 4
+    return logs(spark, d).withColumn("judgment", F.when(k == 0, "implausible").when(k == 1, "parse_error").when(k == 3, "plausible"))
+
+
+@query(f"""{JUDGED} select lang, count(*) n, avg(coalesce(judgment = 'plausible', false)::int) plausible_rate, avg(coalesce(judgment = 'implausible', false)::int) implausible_rate,
+  avg(coalesce(judgment = 'parse_error', false)::int) parse_error_rate, avg(coalesce(judgment = case when toxic then 'implausible' else 'plausible' end, false)::int) accuracy from j group by lang""")
+def judgment_rates(spark: SparkSession, d: str) -> DataFrame:
+    """AG-18."""
+    return D.judgment_rates(judged(spark, d), "lang", "judgment", F.col("toxic"))
+
+
+@query(f"""{JUDGED} select 2 * count(*) as n, avg(coalesce(x.judgment = 'implausible', false)::int + coalesce(y.judgment = 'plausible', false)::int) / 2 as accuracy
+  from j x join j y on y.doc_id = x.doc_id + 1 where x.toxic and not y.toxic""")
+def paired_judgments(spark: SparkSession, d: str) -> DataFrame:
+    """AG-18: each toxic document with the next one, if that isn't toxic."""
+    x = judged(spark, d)
+    return D.paired_accuracy(x.where(~F.col("toxic")).withColumn("doc_id", F.col("doc_id") - 1), x.where("toxic"), "doc_id", "judgment")
+
+
+@query(f"""{LOGS}, c as (select lang, gold, case when n_chars % 5 > 0 then a end as u, case when n_chars % 7 > 0 then b end as v from p)
+select *, n < 100 as low_power from (select lang, count(*) filter (u is not null and v is not null) n, count(*) filter (u is null or v is null) missing,
+  avg((u = gold)::int) filter (v is not null) accuracy_a, avg((v = gold)::int) filter (u is not null) accuracy_b,
+  count(*) filter (u = gold and v <> gold) only_a, count(*) filter (u <> gold and v = gold) only_b from c group by lang)""")
+def run_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """UD-05."""
+    u, v = F.when(F.col("n_chars") % 5 > 0, A.pred_yes(F.col("answer"))), F.when(F.col("n_chars") % 7 > 0, A.pred_yes(F.col("other")))
+    return D.contrast(logs(spark, d), u, v, F.col("gold"), "lang")
+
+
+@query(f"""{LOGS} select lang, max(acc) filter (bench = 'b0') b0, max(acc) filter (bench = 'b1') b1 from (
+  select lang, 'b' || doc_id % 2 as bench, avg((a = gold)::int) acc from p group by all) group by lang""")
+def metric_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """PR-16."""
+    x = logs(spark, d).withColumn("bench", F.concat(F.lit("b"), F.col("doc_id") % 2))
+    return D.metric_matrix(x, "lang", "bench", ["b0", "b1"], A.pred_yes(F.col("answer")), F.col("gold"))
+
+
+@query("""with t as (select c_nationkey as subject, o_orderstatus as object, o_orderpriority as predicate, count(*) n from orders join customer on o_custkey = c_custkey group by all)
+select * from t qualify n = max(n) over (partition by subject, object)""")
+def usual_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """AG-13."""
+    x = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return M.usual_predicates(x.select(F.col("c_nationkey").alias("subject"), F.col("o_orderstatus").alias("object"), F.col("o_orderpriority").alias("predicate")))
+
+
+@query(f"""{LOGS} select doc_id::varchar as qid, case when n_chars % 3 = 0 then b else a end as pred from p""")
+def answer_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """PR-15: where a question has a second answer, that counts; ids are text with leading zeros in one of the logs."""
+    x = logs(spark, d)
+    first = x.select(F.col("doc_id").cast("string").alias("question_id"), F.col("answer").alias("text"), F.lit(None).cast("string").alias("response"), F.lit(0).alias("ord"))
+    second = x.where("n_chars % 3 = 0").select(F.concat(F.lit("00"), "doc_id").alias("question_id"), F.lit("").alias("text"), F.col("other").alias("response"), F.lit(1).alias("ord"))
+    return P.answer_predictions(first.unionByName(second), "ord")
+
+
+@query("""select o_orderkey, o_totalprice, l_linenumber as negative_l_linenumber, l_quantity as negative_rank, 'no' as negative_judgment from lineitem join orders on l_orderkey = o_orderkey
+where l_linenumber % 2 = 0 qualify row_number() over (partition by o_orderkey order by l_quantity, l_linenumber) = 1""")
+def first_negatives_joined(spark: SparkSession, d: str) -> DataFrame:
+    """JN-16."""
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").alias("rank"), F.when(F.col("l_linenumber") % 2 == 0, "no").otherwise("yes").alias("judgment"))
+    return J.first_negatives_of(x, read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "judgment", "rank", "l_linenumber")
+
+
+@query("""select p_partkey, p_size, row_number() over (order by p_size desc, p_partkey::varchar) - 1 as ordinal,
+  case when ordinal < 20 then 20 when ordinal < 50 then 50 else 120 end as smallest from part qualify ordinal < 120""")
+def nested_samples(spark: SparkSession, d: str) -> DataFrame:
+    """SA-01 to SA-03: samples of 20, 50 and 120 parts, each within the next."""
+    x = read(spark, d, "part").select("p_partkey", "p_size")
+    return S.nested_samples(x, [20, 50, 120], F.desc("p_size"), F.col("p_partkey").cast("string"))
+
+
+@query("""select p_partkey from part where p_retailprice >= 950 and p_size <= 20 order by p_retailprice desc, p_partkey limit 3""")
+def free_resources(spark: SparkSession, d: str) -> DataFrame:
+    """FL-30."""
+    return S.free_resources(read(spark, d, "part"), "p_retailprice", "p_size", 950, 20, 3, "p_partkey").select("p_partkey")
+
+
+# (category) and its name; (relation, statement) with entities cat and the mat, and the relation recovered.
+CATEGORY_NAMES = [("tree-merged", "tree"), ("floor-wood", "wooden floor"), ("playing-field-other-merged", "playing field"), ("stop-sign", "stop sign"), ("", "")]
+RECOVERED = [
+    ("sits on", "The cat is on the mat.", "sits on"), ("cat", "cat sits on mat", "sits on"), ("", "cat near mat", "near"), ("the mat", "mat", "the mat"),
+    ("on the mat", "cat lies on the mat", "lies on the"), ("", "", ""),
+]
+
+
+@query(by_part(CATEGORY_NAMES, name=1))
+def category_names(spark: SparkSession, d: str) -> DataFrame:
+    """SF-25."""
+    return samples(spark, d, CATEGORY_NAMES, 1).select("p_partkey", T.category_name(F.col("c0")).alias("name"))
+
+
+@query(by_part(RECOVERED, relation=2))
+def recovered_relations(spark: SparkSession, d: str) -> DataFrame:
+    """SF-19."""
+    return samples(spark, d, RECOVERED, 2).select("p_partkey", R.recovered_relation(F.col("c0"), F.col("c1"), F.lit("cat"), F.lit("the mat")).alias("relation"))

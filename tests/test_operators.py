@@ -161,7 +161,7 @@ def test_resumed_stream_appends_once(spark, tmp_path):
 
 def test_first_negatives_and_scored(spark, tmp_path):
     spark.createDataFrame([("g1", "yes"), ("g1", "no"), ("g2", "no"), ("g1", "no")], "g string, j string").coalesce(1).write.json(str(tmp_path / "j"))
-    resume.first_negatives(spark.readStream.schema("g string, j string").json(str(tmp_path / "j")), "g", "j", str(tmp_path / "c"), "negatives").awaitTermination(60)
-    assert sorted(r.g for r in spark.table("negatives").collect()) == ["g1", "g2"]
+    resume.first_negatives(spark.readStream.schema("g string, j string").json(str(tmp_path / "j")), "g", "j", str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
+    assert sorted(r.g for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["g1", "g2"]
     made = resume.scored(spark.createDataFrame([("a",)], "q string"), lambda: lambda pdf: pdf["q"] + "!")
     assert made.first().answer == "a!"
