@@ -12,13 +12,15 @@ Conventions of all operators here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relcheck.tables import saved, workspace
+
+__all__ = ["BROADCAST_BYTES", "join_small", "let", "packed", "same_row", "saved", "table", "unpacked", "workspace"]
+
 #: A side of a join is broadcast only if its rows stay under this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -27,25 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. It is set here only where it is unset and driver
-    and executors are one process (tests); a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='relcheck-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Writes df to a table of its own in the shared folder and reads it: cuts the lineage, outlives lost executors."""
-    path = f"{workspace(df.sparkSession)}/relcheck-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_small(big: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
     """big joined to small, which was saved(): broadcast if its rows, written as JSON, stay under BROADCAST_BYTES, else an
     ordinary shuffled join."""
