@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relcheck.llm import bpe, curriculum, decontaminate, jaccard_join, license_scan, line_dedup, pii, pitman_yor, quality_rules, sharding, suffix_dedup
+from relcheck.llm import bpe, curriculum, decontaminate, importance, jaccard_join, license_scan, line_dedup, pii, pitman_yor, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_mixing": curriculum.op11_mixing,
+    "op12_resampling": importance.op12_resampling,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
