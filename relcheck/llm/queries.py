@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relcheck.llm import bpe, curriculum, decontaminate, importance, jaccard_join, license_scan, line_dedup, pii, pitman_yor, quality_rules, sharding, suffix_dedup
+from relcheck.llm import bpe, curriculum, decontaminate, importance, jaccard_join, license_scan, line_dedup, pii, pitman_yor, prefix_trie, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_mixing": curriculum.op11_mixing,
     "op12_resampling": importance.op12_resampling,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op11_mixing": curriculum.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
