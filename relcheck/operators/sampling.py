@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relcheck.functions.text import draw
+from relcheck.operators.ranges import in_ranges
+from relcheck.operators.selection import greedy_disjoint
 
 
 def rank(keys: list[str], *order: Column) -> Column:
@@ -129,16 +131,13 @@ def chunk_shard(order: Column, rows: int, shards: int) -> Column:
 def disjoint_pick(df: DataFrame, group: str, left: str, right: str, per_group: int, n: int, seed: int) -> DataFrame:
     """SA-13: rows in turns of groups of which no two have an image (left or right) in common.
 
-    Greedy and sequential by nature, so rows are first cut to those that can matter: of each image one row (the best by
-    turn), in two rounds of aggregates, then the n that come first. No image is in two of the rows.
+    The turn is the row's place in its group by md5 of the seed and its images; no more than per_group rows of a group are
+    taken. What a sequential pass in that order takes is found in rounds (selection.greedy_disjoint); then the n that come
+    first are kept.
     """
-    ranked = df.withColumn("_turn", rank([group], draw(seed, F.col(left), F.col(right)), F.col(left), F.col(right))).where(F.col("_turn") <= per_group)
-    order = F.struct("_turn", group, left, right)
-    each = ranked.withColumn("_o", order)
-    ends = each.select("_o", F.explode(F.array(left, right)).alias("_image"))
-    best = ends.groupBy("_image").agg(F.min("_o").alias("_best"))
-    lost = ends.join(best, "_image").where(F.col("_o") != F.col("_best")).select("_o").distinct()
-    return each.join(lost, "_o", "left_anti").orderBy("_turn", group, left, right).limit(n).drop("_o", "_turn")
+    turned = in_ranges(df, [F.col(group)], [draw(seed, F.col(left), F.col(right)), F.col(left), F.col(right)], rank="_turn")
+    order = [F.col("_turn"), F.col(group), F.col(left), F.col(right)]
+    return greedy_disjoint(turned, group, [left, right], per_group, order).orderBy("place").limit(n).select(*df.columns)
 
 
 def stratified_by(df: DataFrame, key: Column, share: float, seed: int, id_col: str) -> DataFrame:

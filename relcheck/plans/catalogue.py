@@ -6,8 +6,6 @@ answer, the label's quality is the gold answer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +18,9 @@ from relcheck.operators import rules as R
 from relcheck.operators import sampling as S
 from relcheck.operators import shapes as P
 from relcheck.operators import stats as B
+from relcheck.plans.registry import ORACLE_SQL, QUERIES, query, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # Answers that readers of answers disagree on, by doc_id modulo their number.
 ANSWERS = ["Yes, it is.", "No.", "no, it does not", "Nothing to see", "", "NO", "It is not there. Yes", "Yes and no", "uncertain", "The answer is (B).", "There is no image, so no", "implausible, not plausible"]
@@ -673,3 +656,7 @@ def category_names(spark: SparkSession, d: str) -> DataFrame:
 def recovered_relations(spark: SparkSession, d: str) -> DataFrame:
     """SF-19."""
     return samples(spark, d, RECOVERED, 2).select("p_partkey", R.recovered_relation(F.col("c0"), F.col("c1"), F.lit("cat"), F.lit("the mat")).alias("relation"))
+
+
+# The other modules register their queries when they are imported.
+from relcheck.plans import selections as selections  # noqa: E402
