@@ -100,37 +100,74 @@ def mcnemar_p_value(spark: SparkSession, d: str) -> DataFrame:
     return B.mcnemar(x, right("answer"), right("other"), "lang")
 
 
-CUTS, _term, _sum = [], 0.36787944117144233, 0.0
-for _k in range(1, 9):
-    _sum += _term
-    CUTS.append(_sum)
-    _term /= _k
-
-
-@query(f"""{LOGS}, w as (
-  select draw, (b = gold)::int - (a = gold)::int as v, ('0x' || substr(md5('7:' || doc_id || ':' || draw), 1, 12))::bigint / 281474976710656.0::double as u
-  from p, unnest(range(200)) as r(draw)
-), m as (select draw, sum(v * k) / nullif(sum(k), 0)::double as mean from (select draw, v, {" + ".join(f"(u >= {c!r}::double)::int" for c in CUTS)} as k from w) group by draw),
-s as (select list_sort(list(mean)) as xs from m)
+def binomial_sql(name: str, draws: str) -> str:
+    """CTEs: draws (u, n, p and more) with k, the least number whose cumulated binomial chance is u or more."""
+    chance = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(greatest(p, 1e-300)) + (n - k) * ln(greatest(1 - p, 1e-300)))"
+    return f"""{name}_cdf as (
+  select n, p, k, sum(case when p <= 0 then (k = 0)::int when p >= 1 then (k = n)::int else {chance} end) over (partition by n, p order by k) as c
+  from (select distinct n, p from {draws}), unnest(range(n + 1)) as r(k)
+), {name} as (select d.*, (select count(*) from {name}_cdf c where c.n = d.n and c.p = d.p and c.c < d.u) as k from {draws} d)"""
+
+
+def unit_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::bigint / 281474976710656.0)::double"
+
+
+def difference_sql(seed: int) -> str:
+    """CTEs from counts (label, n, oa, ob): diff (label, draw, mean)."""
+    return f"""dd as (select label, draw, n, oa, ob, {unit_sql(f"'{seed}:' || label || ':discordant:' || draw")} as u, coalesce((oa + ob)::double / nullif(n, 0), 0.0) as p from counts, unnest(range(200)) as r(draw)),
+{binomial_sql("dk", "dd")},
+bb as (select label, draw, n as whole, k as n, {unit_sql(f"'{seed}:' || label || ':b:' || draw")} as u, coalesce(ob::double / nullif(oa + ob, 0), 0.0) as p from dk),
+{binomial_sql("bk", "bb")},
+diff as (select label, draw, (2 * k - n)::double / whole as mean from bk)"""
+
+
+@query(f"""{LOGS}, counts as (
+  select 'paired' as label, count(*) n, count(*) filter (a = gold and b <> gold) oa, count(*) filter (a <> gold and b = gold) ob from p
+), {difference_sql(7)}, s as (select list_sort(list(mean)) as xs from diff)
 select (select avg((b = gold)::int - (a = gold)::int) from p) as delta, (select count(*) from p) as n, xs[6] as low, xs[196] as high from s""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     x = logs(spark, d)
     right = lambda c: A.pred_yes(F.col(c)) == F.col("gold")
-    return B.paired_bootstrap(x, right("answer"), right("other"), F.col("doc_id"), 200, 7)
+    return B.paired_bootstrap(x, right("answer"), right("other"), 200, 7)
+
+
+@query(f"""{LOGS}, counts as (
+  select 'paired:' || lang as label, lang, count(*) n, count(*) filter (a = gold and b <> gold) oa, count(*) filter (a <> gold and b = gold) ob, avg((b = gold)::int - (a = gold)::int) as delta from p group by lang
+), {difference_sql(7)}, s as (select label, list_sort(list(mean)) as xs from diff group by label)
+select lang, n, delta, xs[6] as low, xs[196] as high from counts join s using (label)""")
+def bootstrap_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    x = logs(spark, d)
+    right = lambda c: A.pred_yes(F.col(c)) == F.col("gold")
+    return B.paired_bootstrap(x, right("answer"), right("other"), 200, 7, "lang")
 
 
-@query(f"""{LOGS}, g as (select lang, (b = gold)::int - (a = gold)::int as v from p)
-select avg(v) filter (lang = 'en') as treated, avg(v) filter (lang <> 'en') as others, avg(v) filter (lang = 'en') - avg(v) filter (lang <> 'en') as did from g""")
+@query(f"""{LOGS}, counts as (
+  select case when lang = 'en' then 'treated' else 'others' end as label, count(*) n, count(*) filter (a = gold and b <> gold) oa, count(*) filter (a <> gold and b = gold) ob,
+    avg((b = gold)::int - (a = gold)::int) as gain from p group by all
+), {difference_sql(7)}, s as (select list_sort(list(t.mean - o.mean)) as xs from diff t join diff o using (draw) where t.label = 'treated' and o.label = 'others')
+select t.gain as treated, o.gain as others, t.gain - o.gain as did, t.n as n_treated, o.n as n_others, xs[6] as low, xs[196] as high
+from counts t, counts o, s where t.label = 'treated' and o.label = 'others'""")
 def did_by_lang(spark: SparkSession, d: str) -> DataFrame:
     x = logs(spark, d)
     right = lambda c: A.pred_yes(F.col(c)) == F.col("gold")
-    return B.difference_in_differences(x, right("answer"), right("other"), F.col("lang") == "en")
+    return B.difference_in_differences(x, right("answer"), right("other"), F.col("lang") == "en", 200, 7)
 
 
-@query(f"""{LOGS} select avg((a = gold)::int) filter (lang = 'en') - avg((a = gold)::int) filter (lang <> 'en') as gap, count(*) filter (lang = 'en') n_one, count(*) filter (lang <> 'en') n_other from p""")
+@query(f"""{LOGS}, counts as (
+  select case when lang = 'en' then 'one' else 'other' end as label, count(*) n, count(*) filter (a = gold) r from p group by all
+), rr as (select label, draw, n, {unit_sql("'7:' || label || ':right:' || draw")} as u, r::double / n as p from counts, unnest(range(200)) as t(draw)),
+{binomial_sql("rk", "rr")}, s as (select list_sort(list(x.k::double / x.n - y.k::double / y.n)) as xs from rk x join rk y using (draw) where x.label = 'one' and y.label = 'other')
+select x.r / x.n - y.r / y.n as gap, x.n as n_one, y.n as n_other, xs[6] as low, xs[196] as high from counts x, counts y, s where x.label = 'one' and y.label = 'other'""")
 def gap_by_lang(spark: SparkSession, d: str) -> DataFrame:
     x = logs(spark, d)
-    return B.gap(x, A.pred_yes(F.col("answer")) == F.col("gold"), F.col("lang") == "en")
+    return B.gap(x, A.pred_yes(F.col("answer")) == F.col("gold"), F.col("lang") == "en", 200, 7)
+
+
+@query()
+def mean_bootstrap_by_flag(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("l_extendedprice").cast("double") - F.col("l_quantity").cast("double") * 1500
+    return B.mean_bootstrap(read(spark, d, "lineitem"), v, 500, 7, "l_returnflag")
 
 
 @query("""with x as (select l_returnflag, l_extendedprice::double - l_quantity::double * 1500 as v from lineitem)
