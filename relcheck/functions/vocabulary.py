@@ -71,3 +71,41 @@ LEMMAS = {
     "clutched": "clutch", "clutching": "clutch", "carried": "carry", "carrying": "carry", "ate": "eat", "eaten": "eat", "eating": "eat", "driven": "drive", "driving": "drive",
 }
 THIRD_PERSONS = {"have": "has", "do": "does", "be": "is", "go": "goes", "wear": "wears"}
+
+# Heads that introduce a picture rather than relate two entities, and auxiliaries, which aren't heads either.
+SPAN_META_HEADS = [
+    "showing", "featuring", "depicting", "illustrated", "highlighting", "representing", "portraying", "displaying", "showcasing", "including", "consisting",
+    "using", "creating", "making", "looking", "seeing", "describing", "presenting", "combining", "blending", "merging", "inspired", "designed", "arranged",
+    "composed", "containing", "having", "being", "emphasizing", "symbolizing", "corresponding", "remaining", "existing", "interesting", "amazing", "unexpected",
+    "striking", "setting", "organized", "detailed", "related", "colored", "patterned", "stacked", "themed", "surrounded",
+]
+SPAN_AUXILIARIES = ["is", "are", "been", "being", "has", "have"]
+
+# Prepositions of several words, in the order in which they are tried, and single ones.
+COMPOUND_PREPOSITIONS = ["in front of", "on top of", "next to", "out of", "because of", "on top", "in front"]
+SINGLE_PREPOSITIONS = [
+    "onto", "into", "upon", "atop", "from", "with", "beside", "between", "among", "amidst", "through", "across", "along", "around", "against", "under", "over",
+    "behind", "inside", "outside", "above", "below", "within", "without", "toward", "towards", "near", "together", "apart", "off", "out", "on", "in", "at", "to",
+    "by", "as", "for", "like", "via", "of",
+]
+
+# Fixed values for questions: participles, places in the order of the published list, verbs after do and does, words that
+# end in ing and are no verbs, words after do and does that are no verbs, and adjectives that end a question.
+PARTICIPLES = [
+    "made", "located", "filled", "cut", "numbered", "positioned", "surrounded", "aimed", "cooked", "covered", "attached", "connected", "painted", "dressed",
+    "seated", "placed", "used", "shown", "hidden", "parked", "closed", "opened",
+]
+PLACES = [
+    "in front of", "next to", "on top of", "out of", "inside", "outside", "behind", "under", "above", "below", "against", "along", "around", "between", "beside",
+    "near", "over", "onto", "into", "across", "atop", "on", "in", "at", "by",
+]
+DOES_VERBS = ["wear", "have", "play", "hold", "contain", "go", "pull", "stand", "smile", "drink", "jump", "guide", "shop", "drive", "ride"]
+NOT_GERUNDS = [
+    "ceiling", "parking", "something", "anything", "everything", "nothing", "morning", "evening", "king", "ring", "wing", "spring", "string", "pudding",
+    "sibling", "dumpling", "sterling", "building", "according",
+]
+NOT_VERBS = [
+    "the", "a", "an", "in", "on", "of", "image", "and", "or", "with", "from", "to", "his", "her", "their", "any", "some", "blue", "red", "black", "white",
+    "yellow", "green", "pink", "gray", "grey", "brown",
+]
+LAST_ADJECTIVES = ["open", "closed", "black", "white", "red", "full", "empty", "visible", "on", "off", "asleep", "awake", "together"]
