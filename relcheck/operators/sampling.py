@@ -6,14 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relcheck.functions.text import draw
-from relcheck.operators.ranges import in_ranges
+from relcheck.operators.ranges import in_ranges, spare
 from relcheck.operators.selection import greedy_disjoint
 
 
-def rank(keys: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-
-
 def first_qualifying(df: DataFrame, keys: list[str], qualifies: Column, *order: Column) -> DataFrame:
     """WN-01, WN-02: the first row of each group, by order, that qualifies."""
     best = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row"))).alias("best")
@@ -22,25 +18,28 @@ def first_qualifying(df: DataFrame, keys: list[str], qualifies: Column, *order:
 
 def top_with_quota(df: DataFrame, keys: list[str], head: str, k: int, quota: int, *order: Column) -> DataFrame:
     """WN-04, WN-13: the first k of each group by order, no more than quota of one head unless the group has too few."""
-    ranked = df.withColumn("_h", rank([*keys, head], *order))
-    return ranked.withColumn("_r", rank(keys, F.col("_h") > quota, *order)).where(F.col("_r") <= k).drop("_h", "_r")
+    own = spare(df)
+    ranked = in_ranges(df, [F.col(c) for c in [*keys, head]], list(order), rank=own + "h")
+    ranked = in_ranges(ranked, [F.col(c) for c in keys], [F.col(own + "h") > quota, *order], rank=own + "r")
+    return ranked.where(F.col(own + "r") <= k).select(*df.columns)
 
 
 def relaxing_caps(df: DataFrame, group: str, n: int, shares: list[float], order: Column, tie: Column) -> DataFrame:
     """WN-05: n rows by order, where no group has more than a share of n; caps are relaxed, share by share, while rows are
     missing. The limit is a top-n of partitions, not one window over all rows."""
-    place = rank([group], order, tie)
-    ranked = df.withColumn("_rn", place)
+    own = spare(df)
+    ranked = in_ranges(df, [F.col(group)], [order, tie], rank=own + "r")
     tier = F.lit(len(shares))
     for k in reversed(range(len(shares))):
-        tier = F.when(F.col("_rn") <= max(1, int(n * shares[k])), k).otherwise(tier)
-    return ranked.withColumn("tier", tier).where(F.col("tier") < len(shares)).orderBy("tier", order, tie).limit(n).drop("_rn")
+        tier = F.when(F.col(own + "r") <= max(1, int(n * shares[k])), k).otherwise(tier)
+    return ranked.withColumn("tier", tier).where(F.col("tier") < len(shares)).orderBy("tier", order, tie).limit(n).drop(own + "r")
 
 
 def arg_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """WN-06: the rows with the greatest value of each group, ties kept."""
-    best = df.groupBy(*keys).agg(F.max(value).alias("_best"))
-    return df.join(best, keys).where(F.col(value) == F.col("_best")).drop("_best")
+    own = spare(df)
+    best = df.groupBy(*keys).agg(F.max(value).alias(own + "best"))
+    return df.join(best, keys).where(F.col(value) == F.col(own + "best")).drop(own + "best")
 
 
 def one_per_group(df: DataFrame, keys: list[str], seed: int, id_col: str) -> DataFrame:
@@ -50,30 +49,25 @@ def one_per_group(df: DataFrame, keys: list[str], seed: int, id_col: str) -> Dat
 
 def round_robin(df: DataFrame, strata: list[str], slots: int, *order: Column) -> DataFrame:
     """WN-08: slots 0, 1, ... dealt in turn within each stratum."""
-    return df.withColumn("slot", (rank(strata, *order) - 1) % slots)
+    return in_ranges(df, [F.col(c) for c in strata], list(order), rank="slot").withColumn("slot", ((F.col("slot") - 1) % slots).cast("int"))
 
 
 def interleaved(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
     """WN-09: n rows: the first of each group, then the second of each, and so on."""
-    return df.withColumn("turn", rank([group], *order)).orderBy("turn", group).limit(n)
+    return in_ranges(df, [F.col(group)], list(order), rank="turn").withColumn("turn", F.col("turn").cast("int")).orderBy("turn", group).limit(n)
 
 
 def tertiles(df: DataFrame, key: str, count: str) -> DataFrame:
-    """WN-10: keys by falling count in thirds 0, 1, 2; what the division leaves joins the last. For lists of keys, which
-    are dimensions."""
-    n = df.count()
-    third = max(n // 3, 1)
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(count), key))
-    return df.withColumn("tertile", F.least(F.floor((order - 1) / third), F.lit(2)).cast("int"))
+    """WN-10: keys by falling count in thirds 0, 1, 2; what the division leaves joins the last."""
+    own = spare(df)
+    ranked = in_ranges(df, [], [F.desc(count), F.col(key)], rank=own + "r", size=own + "n")
+    third = F.greatest(F.floor(F.col(own + "n") / 3), F.lit(1))
+    return ranked.withColumn("tertile", F.least(F.floor((F.col(own + "r") - 1) / third), F.lit(2)).cast("int")).drop(own + "r", own + "n")
 
 
-def numbered(df: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """WN-11: `ord`, gapless from 0, by a column of unique values: ranks within ranges plus the counts of ranges before."""
-    dealt = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_i", rank(["_p"], F.col(order)))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_p").count().withColumn("_s", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return dealt.join(F.broadcast(starts), "_p").withColumn("ord", F.col("_i") + F.col("_s") - 1).drop("_p", "_i", "_s")
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """WN-11: `ord`, gapless from 0, by a column of unique values. Ranges and their counts come from one written table."""
+    return in_ranges(df, [], [F.col(order)], rank="ord").withColumn("ord", F.col("ord") - 1)
 
 
 def shuffled(df: DataFrame, seed: int, id_col: str) -> DataFrame:
@@ -88,10 +82,9 @@ def sample(df: DataFrame, seed: int, id_col: str, n: int) -> DataFrame:
 
 def stratified(df: DataFrame, strata: list[str], share: float, seed: int, id_col: str) -> DataFrame:
     """SA-06: a share of each stratum, rounded half to even."""
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    same = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in strata]
-    both = df.withColumn("_r", rank(strata, draw(seed, F.col(id_col)), F.col(id_col))).alias("a").join(sizes.alias("b"), same)
-    return both.where(F.col("_r") <= F.greatest(F.lit(0), F.bround(F.col("_n") * share))).select("a.*").drop("_r")
+    own = spare(df)
+    ranked = in_ranges(df, [F.col(c) for c in strata], [draw(seed, F.col(id_col)), F.col(id_col)], rank=own + "r", size=own + "n")
+    return ranked.where(F.col(own + "r") <= F.greatest(F.lit(0), F.bround(F.col(own + "n") * share))).select(*df.columns)
 
 
 def greedy_unlike(candidates: Column, alike, k: int = 3) -> Column:
@@ -105,11 +98,11 @@ def greedy_unlike(candidates: Column, alike, k: int = 3) -> Column:
 
 def quotas(df: DataFrame, stratum: str, quota: dict, n: int, *order: Column) -> DataFrame:
     """SA-09: up to its quota of each stratum, then leftovers in strata order, n rows in all."""
-    own = F.lit(0)
+    most, own = F.lit(0), spare(df)
     for k, v in quota.items():
-        own = F.when(F.col(stratum) == k, v).otherwise(own)
-    ranked = df.withColumn("_r", rank([stratum], *order))
-    return ranked.orderBy(F.col("_r") > own, stratum, "_r").limit(n).drop("_r")
+        most = F.when(F.col(stratum) == k, v).otherwise(most)
+    ranked = in_ranges(df, [F.col(stratum)], list(order), rank=own + "r")
+    return ranked.orderBy(F.col(own + "r") > most, stratum, own + "r").limit(n).drop(own + "r")
 
 
 def balanced_letters(df: DataFrame, seed: int, id_col: str, letters: str = "ABCD") -> DataFrame:
