@@ -120,6 +120,17 @@ def lemma(word: Column) -> Column:
     return looked_up(normal_relation(word), V.LEMMAS, stem(word))
 
 
+def exact_key(x: Column) -> Column:
+    """JN-10: normalised, without quotes and a leading article; null is ''."""
+    return normal_relation(without_article(unquoted(x)))
+
+
+def phrase_lemma(x: Column) -> Column:
+    """SF-08: the lemmas of the words of an exact key; '' for an empty one."""
+    key = exact_key(x)
+    return F.when(key == "", "").otherwise(F.array_join(F.transform(F.split(key, " "), lemma), " "))
+
+
 def first_word(x: Column) -> Column:
     return F.split_part(normal_relation(x), F.lit(" "), F.lit(1))
 
@@ -167,6 +178,14 @@ def relation_family(relation: Column) -> Column:
     return F.when(x.isin(*V.SPATIAL), "spatial").when(x.isin(*V.CONTACT) | first_word(relation).isin(*V.CONTACT), "contact").otherwise("other")
 
 
+def qc_family(relation: Column) -> Column:
+    """SF-11 for quality checks: the family, and of the others spatial if a word of place is in it, contact if its first
+    word ends in ing or ed."""
+    x, family = normal_relation(relation), relation_family(relation)
+    spatial = F.arrays_overlap(F.split(x, " "), F.array(*[F.lit(w) for w in V.PLACE_WORDS])) | x.rlike("front of|top of|next to")
+    return F.when(family != "other", family).when(spatial, "spatial").when(first_word(relation).rlike("(ing|ed)$"), "contact").otherwise("other")
+
+
 def meta_relation(relation: Column) -> Column:
     """FL-24: the first word speaks of the picture; false for an empty relation."""
     return F.coalesce(first_word(relation).isin(*V.META_HEADS), F.lit(False))
@@ -219,13 +238,23 @@ def overlapping(offsets: Column, start: Column, end: Column) -> Column:
     return F.filter(offsets, lambda o: (o.e > start) & (o.s < end) & (o.e > o.s))
 
 
-def json_object(raw: Column) -> Column:
-    """SF-17: the JSON object in an answer, as text: the whole, a fenced block, or the outermost braces; else null."""
+def json_answer(raw: Column) -> Column:
+    """SF-17: struct of object (the JSON object in an answer, as text; null if there is none) and repaired. A fenced block is
+    taken before the whole text; where that is no object, what stands from the first brace to the last. repaired tells that
+    a fence or braces were looked for. Thoughts in <think> go before. Null is ''."""
     bare = stripped(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
-    outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    fence = r"(?is)```(?:json)?\s*(.*?)\s*```"
+    fenced = bare.rlike(fence)
+    text = F.when(fenced, stripped(F.regexp_extract(bare, fence, 1))).otherwise(bare)
+    outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     fine = lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull()
-    return F.when(fine(bare), bare).when(fine(fenced), fenced).when(fine(outer), outer)
+    found = F.when(fine(text), text).when(fine(outer), outer)
+    return F.struct(found.alias("object"), (fenced | (~fine(text) & (outer != ""))).alias("repaired"))
+
+
+def json_object(raw: Column) -> Column:
+    """SF-17: the object of json_answer."""
+    return json_answer(raw)["object"]
 
 
 def as_percent(share: Column, digits: int = 2) -> Column:

@@ -26,6 +26,12 @@ SPATIAL = [
 ]
 CONTACT = ["holding", "touching", "grabbing", "hugging", "kissing", "wearing", "carrying", "pulling", "pushing", "riding", "driving", "feeding", "eating", "drinking", "biting", "catching", "chasing", "throwing"]
 
+# Words that make a relation a spatial one in quality checks.
+PLACE_WORDS = [
+    "on", "in", "at", "near", "over", "under", "behind", "beside", "inside", "outside", "above", "below", "against", "around", "across", "along", "between",
+    "among", "atop", "upon", "front", "top",
+]
+
 # Relations that can be seen.
 VISUAL = [
     "holding", "wearing", "riding", "driving", "pushing", "pulling", "carrying", "touching", "hugging", "kissing", "biting", "feeding", "eating", "drinking", "chasing", "catching",
@@ -63,13 +69,14 @@ MORE_SYNONYMS = [
     ["touching", "contacting"],
 ]
 
-# Lemmas of irregular forms, and third persons.
+# Lemmas of irregular forms.
 LEMMAS = {
     "held": "hold", "holding": "hold", "holds": "hold", "worn": "wear", "wearing": "wear", "wears": "wear", "ridden": "ride", "riding": "ride", "rides": "ride",
     "sat": "sit", "sitting": "sit", "sits": "sit", "stood": "stand", "standing": "stand", "stands": "stand", "lay": "lie", "lying": "lie", "lain": "lie",
     "seen": "see", "seeing": "see", "sees": "see", "watched": "watch", "watching": "watch", "watches": "watch", "grasped": "grasp", "grasping": "grasp",
     "clutched": "clutch", "clutching": "clutch", "carried": "carry", "carrying": "carry", "ate": "eat", "eaten": "eat", "eating": "eat", "driven": "drive", "driving": "drive",
 }
+# Third persons of irregular verbs.
 THIRD_PERSONS = {"have": "has", "do": "does", "be": "is", "go": "goes", "wear": "wears"}
 
 # Heads that introduce a picture rather than relate two entities, and auxiliaries, which aren't heads either.

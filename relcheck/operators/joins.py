@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relcheck.functions.text import basename, canonical_id, draw, stem, normal_relation, too_alike
+from relcheck.functions.text import basename, canonical_id, draw, exact_key, normal_relation, phrase_lemma, too_alike
+from relcheck.operators.ranges import spare
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -82,14 +83,34 @@ def unlike_candidates(gold: DataFrame, relation: str, vocabulary: DataFrame, can
     return own.join(F.broadcast(terms), ~too_alike(F.col(relation), F.col(candidate)))
 
 
-def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str) -> DataFrame:
-    """JN-10: exact, lemma or unseen: the closest level at which known has the term; null terms stay null."""
-    exact = known.select(normal_relation(F.col(known_term)).alias("_exact")).distinct().withColumn("_e", F.lit(True))
-    lemma = known.select(stem(normal_relation(F.col(known_term))).alias("_lemma")).distinct().withColumn("_l", F.lit(True))
-    out = df.withColumn("_n", normal_relation(F.col(term)))
-    out = out.join(exact, F.col("_n") == F.col("_exact"), "left").join(lemma, stem(F.col("_n")) == F.col("_lemma"), "left")
-    level = F.when(F.col(term).isNull(), None).when(F.col("_e"), "exact").when(F.col("_l"), "lemma").otherwise("unseen")
-    return out.withColumn("seen_at", level).drop("_n", "_exact", "_e", "_lemma", "_l")
+def synonym_index(groups: list[list[str]], spark: SparkSession) -> DataFrame:
+    """term and grp of closed groups of synonyms, normalised: the inverted index that seen_level joins with."""
+    rows = [(i, t) for i, g in enumerate(groups) for t in g]
+    return spark.createDataFrame(rows, "grp long, term string").select("grp", normal_relation(F.col("term")).alias("term")).distinct()
+
+
+def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str, groups: DataFrame | None = None) -> DataFrame:
+    """JN-10: exact, lemma, synonym or unseen: the closest level at which known has the term; null terms stay null.
+
+    groups (grp, term): groups of synonyms, which may overlap and aren't transitive. The groups that known has a term of are
+    found by an equality join on terms, and so are the terms that share a group with one of them: no pair of terms is
+    compared. Terms are looked up once each, however often they stand in df."""
+    own = spare(df)
+    n, found = own + "n", own + "seen"
+    exact = known.select(exact_key(F.col(known_term)).alias("x")).where("x <> ''").distinct()
+    lemmas = exact.select(phrase_lemma(F.col("x")).alias("y")).distinct()
+    terms = df.select(exact_key(F.col(term)).alias(n)).where(F.col(n) != "").distinct()
+    told = terms.join(exact.withColumn("e", F.lit(True)), F.col(n) == F.col("x"), "left").join(lemmas.withColumn("l", F.lit(True)), phrase_lemma(F.col(n)) == F.col("y"), "left")
+    told = told.select(n, "e", "l")
+    if groups is not None:
+        there = groups.join(exact, F.col("term") == F.col("x"), "left_semi").select("grp").distinct()
+        hit = groups.join(there, "grp", "left_semi").select(F.col("term").alias("t")).distinct().withColumn("s", F.lit(True))
+        told = told.join(hit, F.col(n) == F.col("t"), "left").drop("t")
+    else:
+        told = told.withColumn("s", F.lit(None).cast("boolean"))
+    level = F.when(F.col("e"), "exact").when(F.col("l"), "lemma").when(F.col("s"), "synonym").otherwise("unseen")
+    out = df.withColumn(n, exact_key(F.col(term))).join(told.select(F.col(n).alias(own + "m"), level.alias(found)), F.col(n) == F.col(own + "m"), "left")
+    return out.select(*df.columns, F.when(F.col(term).isNotNull(), F.coalesce(found, F.lit("unseen"))).alias("seen_at"))
 
 
 def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str, probe: int, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relcheck.functions import vocabulary as V
-from relcheck.functions.text import clean_span, first_word, in_one_group, lemma, meta_relation, normal_relation, synonyms, too_alike, too_close, unquoted, without_article
+from relcheck.functions.text import clean_span, first_word, in_one_group, json_object, lemma, meta_relation, normal_relation, synonyms, too_alike, too_close, unquoted, without_article
 
 
 def cascade(rules: list[tuple[str, Column]], passed: str | None = "ok") -> Column:
@@ -47,6 +47,15 @@ def triplet_status(subject: Column, relation: Column, obj: Column, confidence: C
     )
 
 
+def answer_status(raw: Column) -> Column:
+    """FL-12 of a model's answer: json_parse_error if it has no JSON object or an empty one, else the status of its subject,
+    relation, object and confidence."""
+    found = json_object(raw)
+    parsed = F.from_json(found, "subject string, relation string, object string, confidence string")
+    empty = found.isNull() | found.rlike(r"^\{\s*\}$")
+    return F.when(empty, "json_parse_error").otherwise(triplet_status(parsed["subject"], parsed["relation"], parsed["object"], parsed["confidence"]))
+
+
 def span_status(relation: Column) -> Column:
     """FL-13: why a generated relation can't be used; null if it can."""
     r = clean_span(relation)

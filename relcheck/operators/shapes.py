@@ -118,3 +118,11 @@ def answer_predictions(log: DataFrame, order: str) -> DataFrame:
 def vocabulary_of(df: DataFrame, *cols: str) -> DataFrame:
     """SO-05: the different non-empty values of several columns."""
     return df.select(F.explode(F.array(*cols)).alias("term")).where(F.col("term") != "").distinct()
+
+
+def subset_of(df: DataFrame, equal: dict[str, object], extra: Column | None = None) -> DataFrame:
+    """FL-27: rows with these values (None: null) in these columns, and for which extra, if told, is true. Without values and
+    extra all rows stay."""
+    for name, value in equal.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df if extra is None else df.where(extra)

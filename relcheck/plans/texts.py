@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relcheck.functions import conversion as C
+from relcheck.functions import text as T
 from relcheck.functions import vocabulary as V
+from relcheck.operators import joins as J
+from relcheck.operators import shapes as P
 from relcheck.plans.registry import query, read
 
 
@@ -118,3 +121,62 @@ select tag, sum(n)::bigint as n, coalesce(sum(n) filter (statement is not null),
   coalesce(sum(n - 1) filter (statement is not null), 0)::bigint as duplicates from both_ group by tag""")
 def conversion_report(spark: SparkSession, d: str) -> DataFrame:
     return C.conversion_quality(sentence_questions(spark, d))
+
+
+def words(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("word")).distinct()
+
+
+_STEM = "case when w.suffix('ing') and length(w) > 6 then w[:-4] when w.suffix('ed') and length(w) > 5 then w[:-3] when w.suffix('es') and length(w) > 5 then w[:-3] when w.suffix('s') and length(w) > 4 then w[:-2] else w end"
+_LEMMAS = ", ".join(f"('{a}', '{b}')" for a, b in V.LEMMAS.items())
+
+
+@query(rf"""with lem(f, l) as (values {_LEMMAS}),
+d as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]+')) as word from documents), k as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as w from benchmark),
+kl as (select distinct coalesce(l, {_STEM}) as y from k left join lem on f = w),
+q as (select word, lower(word) as w from d), q2 as (select word, w, coalesce(l, {_STEM}) as y from q left join lem on f = w),
+g as (select distinct 'a' || substr(w, 1, 4) as grp, w as term from q where length(w) >= 5 union select distinct 'b' || right(w, 5), w from q where length(w) >= 6),
+gk as (select distinct grp from g where term in (select w from k)), gt as (select distinct term from g where grp in (select grp from gk))
+select word, case when w in (select w from k) then 'exact' when y in (select y from kl) then 'lemma' when w in (select term from gt) then 'synonym' else 'unseen' end as seen_at from q2""")
+def relation_levels(spark: SparkSession, d: str) -> DataFrame:
+    own = words(read(spark, d, "documents"))
+    low = own.select(F.lower("word").alias("term")).distinct()
+    groups = low.where(F.length("term") >= 5).select(F.concat(F.lit("a"), F.substring("term", 1, 4)).alias("grp"), "term")
+    groups = groups.unionByName(low.where(F.length("term") >= 6).select(F.concat(F.lit("b"), F.right("term", F.lit(5))).alias("grp"), "term")).distinct()
+    return J.seen_level(own, "word", words(read(spark, d, "benchmark")), "word", groups)
+
+
+@query(f"""with b as (
+  select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as r from (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) as ws from documents)
+), f as (
+  select doc_id, case when r in {tuple(dict.fromkeys(V.SPATIAL))} then 'spatial' when r in {tuple(dict.fromkeys(V.CONTACT))} or split_part(r, ' ', 1) in {tuple(dict.fromkeys(V.CONTACT))} then 'contact'
+    when split_part(r, ' ', 1) in {tuple(V.PLACE_WORDS)} or split_part(r, ' ', 2) in {tuple(V.PLACE_WORDS)} or regexp_matches(r, 'front of|top of|next to') then 'spatial'
+    when regexp_matches(split_part(r, ' ', 1), '(ing|ed)$') then 'contact' else 'other' end as family from b
+)
+select doc_id, family, count(*) as n from f group by all""")
+def word_pair_families(spark: SparkSession, d: str) -> DataFrame:
+    ws = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
+    pairs = read(spark, d, "documents").select("doc_id", ws.alias("ws")).select("doc_id", F.explode(F.transform(F.slice("ws", 2, 1 << 30), lambda w, i: F.concat(F.get("ws", i), F.lit(" "), w))).alias("r"))
+    return pairs.groupBy("doc_id", T.qc_family(F.col("r")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with t as (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as w, length(text) % 4 as form from documents where text is not null)
+select doc_id, case when form = 3 or len(w) < 3 then null else w[1] end as subject, case when form = 3 or len(w) < 3 then null else w[3] end as obj, form in (1, 2) or form = 3 as repaired from t""")
+def answers_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of four forms made of each document's words: bare JSON, a fence with braces around it, JSON in a sentence, and
+    broken JSON."""
+    w = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
+    part = lambda k: F.get(F.col("w"), F.lit(k))
+    docs = read(spark, d, "documents").where("text is not null").select("doc_id", w.alias("w"), (F.length("text") % 4).alias("form"))
+    fields = F.when(F.size("w") >= 3, F.struct(part(0).alias("subject"), part(1).alias("relation"), part(2).alias("object"))).otherwise(F.struct(F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("object")))
+    made = docs.withColumn("j", F.to_json(fields))
+    raw = F.when(F.col("form") == 1, F.concat(F.lit("{not this} ```json\n"), F.col("j"), F.lit("\n``` {nor this}"))).when(F.col("form") == 2, F.concat(F.lit("It is "), F.col("j"), F.lit(".")))
+    raw = raw.when(F.col("form") == 3, F.concat(F.lit("It is {"), F.col("j"))).otherwise(F.col("j"))
+    found = made.select("doc_id", T.json_answer(raw).alias("a")).select("doc_id", F.from_json("a.object", "subject string, object string").alias("j"), "a.repaired")
+    return found.select("doc_id", "j.subject", F.col("j.object").alias("obj"), "repaired")
+
+
+@query("""select lang, source, count(*) as n, sum(n_chars)::bigint as chars from documents where lang = 'en' and n_chars > 100 group by all""")
+def subset_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.subset_of(read(spark, d, "documents"), {"lang": "en"}, F.col("n_chars") > 100)
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
