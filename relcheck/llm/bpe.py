@@ -16,7 +16,8 @@ import json
 import os
 import sys
 import types
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,19 @@ from relcheck.llm.shingles import BYTE, PART_BYTES, U, mixed
 WINDOW = 16
 #: A chunk has 1024 bytes on average.
 CUT_BITS = U(0x3FF)
-#: Pieces whose ids a Python worker remembers, over all its tasks; later ones are remembered for a batch.
-MEMO = 400_000
+#: Bytes, about, that a Python worker spends on remembering the ids of pieces over all its tasks, and the longest piece it
+#: remembers; others are remembered for a batch.
+MEMO_BYTES = 96 << 20
+MEMO_LONGEST = 64
+#: What an entry takes beside its texts.
+ENTRY_BYTES = 320
 #: Pieces encoded in one text.
 TOGETHER = 2000
-#: Characters on each side that a join's repair starts with.
+#: Characters on each side that a join's repair starts with, and the most it tries; then the text is encoded outright.
 MARGIN = 48
+WIDEST = 4096
+#: Characters of texts that are encoded at once.
+BATCH_CHARS = 1 << 20
 
 
 def cuts(raw: bytes) -> list[int]:
@@ -97,11 +105,11 @@ class Codec:
         self.numbers = [str(i) for i in range(size)]
         self.memo: dict[str, tuple[int, str, str]] = {"": (0, "", "")}
         self.recent: dict[str, tuple[int, str, str]] = {}
+        self.room = MEMO_BYTES
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the pieces of texts that aren't known, many in one text. Per piece: number of ids, ids, names."""
         self.recent = {}
-        memo = self.memo if len(self.memo) < MEMO else self.recent
         new = [p for p in {p for t in texts for p in t.replace("\n", " ").split(" ")} if p not in self.memo]
         if not new:
             return
@@ -114,7 +122,12 @@ class Codec:
             told = list(map(self.numbers.__getitem__, ids))
             names = list(map(self.names.__getitem__, ids)) if self.spaced else []
             for p, x, y in zip(own, at, at[1:], strict=False):
-                memo[p] = (y - x, " ".join(told[x:y]), " ".join(names[x:y]))
+                entry = (y - x, " ".join(told[x:y]), " ".join(names[x:y]))
+                if self.room > 0 and len(p) <= MEMO_LONGEST:
+                    self.memo[p] = entry
+                    self.room -= ENTRY_BYTES + 2 * len(p) + len(entry[1]) + 2 * len(entry[2])
+                else:
+                    self.recent[p] = entry
 
     def ids(self, text: str) -> list[int]:
         if not self.pieces:
@@ -127,8 +140,8 @@ class Codec:
         known, recent = self.memo.get, self.recent
         return [known(p) or recent[p] for p in text.replace("\n", " ").split(" ")]
 
-    def decoded(self, ids: list[int]) -> str:
-        return " ".join([self.names[i] for i in ids]) if self.spaced else self.tokenizer.decode(ids, skip_special_tokens=False)
+    def decoded(self, ids: Sequence[int]) -> str:
+        return " ".join([self.names[i] for i in ids]) if self.spaced else self.tokenizer.decode(list(ids), skip_special_tokens=False)
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number, decimal ids and decoded text, of whole texts."""
@@ -142,22 +155,31 @@ class Codec:
             out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])))
         return out
 
-    def joined(self, left: str, ids: list[int], right: str, more: list[int]) -> list[int]:
-        """The ids of left + right from those of left and those of right."""
-        if not left or not right:
-            return ids + more
+    def join_onto(self, text: str, p: int, q: int, ids: array, more: array) -> bool:
+        """Extends ids, those of text[:p], by more, those of text[p:q]. Only what lies around the join is encoded again, and
+        only the end of ids changes. False: no agreement within WIDEST characters; ids is as it was."""
+        if p == 0 or p == q:
+            ids.extend(more)
+            return True
         margin = MARGIN
-        while True:
-            a, b = before_space(left, len(left) - margin), after_word(right, margin)
-            tail, head = self.ids(left[a:]), self.ids(right[:b])
-            both = self.ids(left[a:] + right[:b])
+        while margin <= WIDEST:
+            a, b = before_space(text, p - margin, p - 2 * WIDEST), after_word(text, p + margin, q, p + 2 * WIDEST)
+            if a is None or b is None:
+                return False
+            tail, head, both = (array("I", self.ids(t)) for t in (text[a:p], text[p:b], text[a:b]))
             kept = len(ids) - len(tail)
-            outer = (a == 0 or both[:1] == tail[:1]) and (b == len(right) or both[-1:] == head[-1:])
-            if outer and kept >= 0 and ids[kept:] == tail and more[: len(head)] == head and (a > 0 or kept == 0) and (b < len(right) or len(head) == len(more)):
-                return ids[:kept] + both + more[len(head) :]
-            if a == 0 and b == len(right):
-                return both
+            outer = (a == 0 or both[:1] == tail[:1]) and (b == q or both[-1:] == head[-1:])
+            if outer and kept >= 0 and ids[kept:] == tail and more[: len(head)] == head and (a > 0 or kept == 0) and (b < q or len(head) == len(more)):
+                del ids[kept:]
+                ids.extend(both)
+                ids.extend(more[len(head) :])
+                return True
+            if a == 0 and b == q:
+                del ids[:]
+                ids.extend(both)
+                return True
             margin *= 2
+        return False
 
 
 def worker_codec(path: str) -> Codec:
@@ -168,19 +190,23 @@ def worker_codec(path: str) -> Codec:
     return getattr(kept, path)
 
 
-def before_space(text: str, at: int) -> int:
-    """The last place up to at where a space or newline follows another character; 0 if there is none."""
+def before_space(text: str, at: int, least: int) -> int | None:
+    """The last place up to at where a space or newline follows another character; 0 if there is none, None if that isn't
+    known before `least`."""
     while at > 0 and not (text[at] in " \n" and text[at - 1] not in " \n"):
         at -= 1
+        if at < least:
+            return None
     return max(at, 0)
 
 
-def after_word(text: str, at: int) -> int:
-    """The first such place from at on; the text's end if there is none."""
-    at = max(at, 1)
-    while at < len(text) and not (text[at] in " \n" and text[at - 1] not in " \n"):
+def after_word(text: str, at: int, end: int, most: int) -> int | None:
+    """The first such place from at on; end if there is none, None if that isn't known up to `most`."""
+    while at < end and not (text[at] in " \n" and text[at - 1] not in " \n"):
         at += 1
-    return min(at, len(text))
+        if at > most:
+            return None
+    return min(at, end)
 
 
 def chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,29 +241,34 @@ def encoder(path: str, wide: bool, full: bool):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = worker_codec(path)
         for pdf in batches:
-            for k in range(0, len(pdf), 128):
-                part = pdf.iloc[k : k + 128]
-                told = codec.digests(list(part["_text"])) if "given" not in part else [whole(codec, t, g, wide) for t, g in zip(part["_text"], part["given"], strict=True)]
-                yield result(part[["_h", "_g"]], told, full)
+            sizes = pdf["_text"].str.len().to_numpy()
+            for own in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_CHARS)) + 1):
+                part = pdf.iloc[own]
+                if len(part):
+                    told = codec.digests(list(part["_text"])) if "given" not in part else [whole(codec, t, g, wide) for t, g in zip(part["_text"], part["given"], strict=True)]
+                    yield result(part[["_h", "_g"]], told, full)
 
     return encode
 
 
 def whole(codec: Codec, text: str, given, wide: bool) -> tuple[int, str, str]:
-    """A text of which some chunks' ids are given; the chunks in between are encoded in runs."""
-    known = {g["seq"]: np.frombuffer(g["ids"], np.uint32 if wide else np.uint16).tolist() for g in given}
-    runs: list[tuple[str, list[int] | None]] = []
+    """A text of which some chunks' ids are given; the chunks in between are encoded in runs. The time grows with the text:
+    a join changes the end of the ids only, and a text whose joins don't agree is encoded outright."""
+    known = {g["seq"]: array("I", np.frombuffer(g["ids"], np.uint32 if wide else np.uint16).astype(np.uint32).tobytes()) for g in given}
+    runs: list[tuple[int, int, int | None]] = []  # start, end, number of the known chunk
+    at = 0
     for n, c in enumerate(chunks(text)):
         if n in known:
-            runs.append((c, known[n]))
-        elif runs and runs[-1][1] is None:
-            runs[-1] = (runs[-1][0] + c, None)
+            runs.append((at, at + len(c), n))
+        elif runs and runs[-1][2] is None:
+            runs[-1] = (runs[-1][0], at + len(c), None)
         else:
-            runs.append((c, None))
-    done, ids = "", []
-    for c, own in runs:
-        ids = codec.joined(done, ids, c, codec.ids(c) if own is None else own)
-        done += c
+            runs.append((at, at + len(c), None))
+        at += len(c)
+    ids = array("I")
+    for p, q, n in runs:
+        if not codec.join_onto(text, p, q, ids, array("I", codec.ids(text[p:q])) if n is None else known[n]):
+            return codec.digests([text])[0]
     return len(ids), " ".join(map(str, ids)), codec.decoded(ids)
 
 
