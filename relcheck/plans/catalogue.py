@@ -697,4 +697,5 @@ def recovered_relations(spark: SparkSession, d: str) -> DataFrame:
 
 # The other modules register their queries when they are imported.
 from relcheck.plans import selections as selections  # noqa: E402
+from relcheck.plans import tables as tables  # noqa: E402
 from relcheck.plans import texts as texts  # noqa: E402
