@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def spaced(x: Column) -> Column:
     return stripped(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is made once a row however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def canonical_id(qid: Column) -> Column:
     """JN-03: one spelling for 7, '7' and '007'."""
     return F.regexp_replace(F.trim(qid.cast("string")), "^0+(?=[0-9]+$)", "")
@@ -90,7 +97,7 @@ SIBILANTS = ("s", "sh", "ch", "x", "z", "o")
 
 def looked_up(x: Column, table: dict[str, str], otherwise: Column) -> Column:
     """The table's value for x, else `otherwise`."""
-    pairs = F.create_map(*[F.lit(w) for kv in table.items() for w in kv])
+    pairs = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in table.items())), F.lit("[|]"), F.lit("="))  # one literal
     return F.coalesce(F.try_element_at(pairs, x), otherwise)
 
 
@@ -152,24 +159,37 @@ def too_alike(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (same | (token_jaccard(a, b) >= 0.5))
 
 
+def both_normal(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of both terms, normalised once a row."""
+    return let(F.struct(normal_relation(a).alias("x"), normal_relation(b).alias("y")), lambda n: f(n["x"], n["y"]))
+
+
+def share_group(x: Column, y: Column, groups: list[list[str]]) -> Column:
+    """Whether a group has both terms, which are normalised already."""
+    places: dict[str, list[str]] = {}
+    for i, g in enumerate(groups):
+        for term in dict.fromkeys(g):
+            places.setdefault(term, []).append(str(i))
+    table = F.str_to_map(F.lit("|".join(f"{t}={' '.join(ids)}" for t, ids in places.items())), F.lit("[|]"), F.lit("="))
+    ids = lambda z: F.split(F.try_element_at(table, z), " ")
+    return F.coalesce(F.arrays_overlap(ids(x), ids(y)), F.lit(False))
+
+
 def in_one_group(a: Column, b: Column, groups: list[list[str]]) -> Column:
     """Whether a group has both terms, normalised."""
-    x, y = normal_relation(a), normal_relation(b)
-    ids = lambda z: F.filter(F.sequence(F.lit(0), F.lit(len(groups) - 1)), lambda i: F.array_contains(F.get(F.array(*[F.array(*[F.lit(w) for w in g]) for g in groups]), i), z))
-    return F.arrays_overlap(ids(x), ids(y))
+    return both_normal(a, b, lambda x, y: share_group(x, y, groups))
 
 
 def synonyms(a: Column, b: Column) -> Column:
     """FL-19: equal, or in one group of synonyms; false if a side is empty."""
-    x, y = normal_relation(a), normal_relation(b)
-    return (x != "") & (y != "") & ((x == y) | in_one_group(a, b, V.SYNONYMS))
+    return both_normal(a, b, lambda x, y: (x != "") & (y != "") & ((x == y) | share_group(x, y, V.SYNONYMS)))
 
 
 def too_close(a: Column, b: Column) -> Column:
     """FL-20: empty, equal, synonyms, one within the other, or first words with one stem of four letters or more."""
-    x, y = normal_relation(a), normal_relation(b)
-    head = stem(first_word(a))
-    return (x == "") | (y == "") | (x == y) | synonyms(a, b) | x.contains(y) | y.contains(x) | ((head == stem(first_word(b))) & (F.length(head) >= 4))
+    head = lambda x: stem(F.split_part(x, F.lit(" "), F.lit(1)))
+    stems = lambda x, y: let(head(x), lambda h: (h == head(y)) & (F.length(h) >= 4))
+    return both_normal(a, b, lambda x, y: (x == "") | (y == "") | (x == y) | share_group(x, y, V.SYNONYMS) | x.contains(y) | y.contains(x) | stems(x, y))
 
 
 def relation_family(relation: Column) -> Column:
@@ -262,6 +282,17 @@ def as_percent(share: Column, digits: int = 2) -> Column:
     return F.when(share.isNotNull(), F.format_string(f"%.{digits}f", 100 * share))
 
 
+def coloured_question(question: Column, subject: Column, obj: Column, mode: Column, colours: tuple[str, str] = ("red", "green")) -> Column:
+    """SF-33: the question with ` in red mask` behind each place of the subject's lower-case name, then the same in the second
+    colour for the object; places within longer words count. mode is mask, or else it reads bounding box. An empty or null
+    name changes nothing."""
+    out, shape = question, F.when(mode == "mask", "mask").otherwise("bounding box")
+    for name, colour in zip((subject, obj), colours):
+        low = F.lower(F.coalesce(name, F.lit("")))
+        out = F.replace(out, low, F.concat(low, F.lit(f" in {colour} "), shape))
+    return out
+
+
 def basename(path: Column) -> Column:
     """SF-32: what stands behind the last slash."""
     return F.element_at(F.split(path, "/"), -1)
@@ -277,14 +308,24 @@ def scaled_box(box: Column, width: Column, height: Column) -> Column:
     return F.transform(box, lambda v, i: v * F.when(i % 2 == 0, width).otherwise(height))
 
 
-def leading_preposition(x: Column, compound: tuple[str, ...] = ("on top of", "in front of", "next to")) -> Column:
-    """SF-24: a compound preposition that begins x, else its first word."""
-    out = F.split_part(x, F.lit(" "), F.lit(1))
-    for c in reversed(compound):
-        out = F.when((x == c) | x.startswith(c + " "), c).otherwise(out)
+def leading_preposition(x: Column) -> Column:
+    """SF-24: the compound preposition that x begins with (in any case, behind an article), or its first word if that is a
+    preposition; else '' (null too). Only white space ends a compound one, any other character but a letter a single one."""
+    low = without_article(F.lower(stripped(F.coalesce(x, F.lit("")))))
+    single = F.regexp_extract(low, "^[A-Za-z]*", 0)
+    out = F.when(single.isin(*V.LEADING_PREPOSITIONS), single).otherwise("")
+    for c in reversed(V.LEADING_COMPOUNDS):
+        out = F.when((low == c) | low.startswith(c + " "), c).otherwise(out)
     return out
 
 
+def image_domain(path: Column) -> Column:
+    """SF-24: vg, dalle or other, by the path of an image; null is other."""
+    p = F.lower(F.translate(F.coalesce(path, F.lit("")), "\\", "/"))
+    # What the paths of each source contain.
+    return F.when(p.startswith("vg/") | p.startswith("vg_") | p.contains("/vg_"), "vg").when(p.contains("dall-e") | p.contains("dalle"), "dalle").otherwise("other")
+
+
 def hex_digit_bucket(x: Column, buckets: int = 3) -> Column:
     """SA-12: md5(x) modulo 3 (5, 15: divisors of 15), by the sum of its hexadecimal digits."""
     digits = F.filter(F.split(F.md5(x.cast("string")), ""), lambda c: c != "")
@@ -307,10 +348,15 @@ QUESTION_FORMS = [
 ]
 
 
+def bare_question(question: Column) -> Column:
+    """Without the request for one word and question marks at its end."""
+    bare = F.regexp_replace(stripped(F.coalesce(question, F.lit(""))), r"(?i)\s*Please answer with one word\.?\s*$", "")
+    return stripped(F.regexp_replace(bare, r"\?+$", ""))
+
+
 def statement_of_question(question: Column) -> Column:
     """SF-20: struct of statement and tag, by the first form that fits; no form: null and mmrel_fail. Null is ''."""
-    bare = F.regexp_replace(stripped(F.coalesce(question, F.lit(""))), r"(?i)\s*Please answer with one word\.?\s*$", "")
-    bare = stripped(F.regexp_replace(bare, r"\?+$", ""))
+    bare = bare_question(question)
     said, tag = F.lit(None).cast("string"), F.lit("mmrel_fail")
     for pattern, name, form in reversed(QUESTION_FORMS):
         part = [F.regexp_extract(bare, pattern, k) for k in range(1, 6)]
@@ -321,6 +367,15 @@ def statement_of_question(question: Column) -> Column:
     return F.struct(said.alias("statement"), tag.alias("tag"))
 
 
+def relation_of_question(question: Column) -> Column:
+    """SF-24: struct of relation (as an exact key; null if no form fits) and tag, by the forms of SF-20. Null is ''."""
+    bare = bare_question(question)
+    relation = F.lit(None).cast("string")
+    for pattern, _, _ in reversed(QUESTION_FORMS):
+        relation = F.when(bare.rlike(pattern), exact_key(F.regexp_extract(bare, pattern, 3))).otherwise(relation)
+    return F.struct(relation.alias("relation"), statement_of_question(question)["tag"].alias("tag"))
+
+
 def masked_losses(losses: Column, places: Column) -> Column:
     """SF-30: struct of n, total and mean of the losses at places (from 0; those outside are left out) and located; no
     place inside: 0, nulls and false."""

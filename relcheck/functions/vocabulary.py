@@ -96,6 +96,13 @@ SINGLE_PREPOSITIONS = [
     "by", "as", "for", "like", "via", "of",
 ]
 
+# Prepositions that may begin a relation; those of several words in the order in which they are tried.
+LEADING_COMPOUNDS = ["in front of", "on top of", "next to", "out of", "inside of", "outside of", "on top", "in front"]
+LEADING_PREPOSITIONS = [
+    "onto", "into", "upon", "atop", "from", "with", "beside", "between", "among", "through", "across", "along", "around", "against", "under", "over", "behind",
+    "inside", "outside", "above", "below", "within", "toward", "towards", "near", "off", "out", "on", "in", "at", "to", "by", "of", "underneath", "beneath",
+]
+
 # Fixed values for questions: participles, places in the order of the published list, verbs after do and does, words that
 # end in ing and are no verbs, words after do and does that are no verbs, and adjectives that end a question.
 PARTICIPLES = [

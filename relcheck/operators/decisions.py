@@ -70,6 +70,57 @@ def adaptation_verdict(one: Column, other: Column) -> Column:
     )
 
 
+# A gain is clear if its interval lies above 0.03 and its mean above 0.05; it is none if both are below 0.05.
+CLEAR_LOW, CLEAR_MEAN = 0.03, 0.05
+
+
+def contains_zero(low: Column, high: Column) -> Column:
+    """FL-29: whether an interval holds zero; a missing one does."""
+    return F.coalesce((low <= 0) & (high >= 0), F.lit(True))
+
+
+def closer_to_gold(before: Column, after: Column, gold: Column) -> Column:
+    """FL-29: whether a yes-ratio came closer to gold's, by more than rounding errors (1e-12)."""
+    return F.abs(after - gold) + 1e-12 < F.abs(before - gold)
+
+
+def needs_strata(df: DataFrame, positive: Column, *keys: str, most: float = 3.0) -> DataFrame:
+    """FL-29: a row per group (all rows without keys): n, the share of positives, how many percentage points it is from a half,
+    and whether it has to be drawn in strata, because it is off by more than `most` or has no positives to tell of (nulls
+    don't count)."""
+    out = df.groupBy(*keys).agg(F.count(positive).alias("n"), F.avg(positive.cast("int")).alias("positive_rate"))
+    off = F.abs(F.col("positive_rate") - 0.5) * 100
+    return out.withColumn("points_off", off).withColumn("in_strata", F.coalesce(off > most, F.lit(True)))
+
+
+def clear_gain(mean: Column, low: Column) -> Column:
+    """FL-29: a gain that is certain and large; null is none."""
+    return F.coalesce((low > CLEAR_LOW) & (mean > CLEAR_MEAN), F.lit(False))
+
+
+def no_gain(mean: Column, high: Column) -> Column:
+    """FL-29: a gain that is surely small; so is a missing one."""
+    return mean.isNull() | F.coalesce((high < CLEAR_MEAN) & (mean < CLEAR_MEAN), F.lit(False))
+
+
+def token_verdict(whole: tuple[Column, Column], relation: tuple[Column, Column]) -> Column:
+    """AG-24: what matched captions say of two trainings, by their gains over whole captions and over relations alone (structs
+    mean, low, high). D: one training gains and the other doesn't; B: captions and relations gain; C: captions alone;
+    A: nothing generalises."""
+    clear, none = lambda g: clear_gain(g["mean"], g["low"]), lambda g: no_gain(g["mean"], g["high"])
+    one_sided = (clear(whole[0]) & none(whole[1])) | (clear(whole[1]) & none(whole[0]))
+    captions, relations = clear(whole[0]) | clear(whole[1]), clear(relation[0]) | clear(relation[1])
+    return cascade([("D", one_sided), ("B", captions & relations), ("C", captions)], "A")
+
+
+def training_verdict(whole: tuple[Column, Column], relation: tuple[Column, Column], heldout: tuple[Column, Column]) -> Column:
+    """AG-24: what two trainings learned, by gains (structs mean, low, high) on their own captions, their relations and held-out
+    relations. D: the surface alone; C: relations that generalise; B: only what was trained on; A: too weak to tell."""
+    clear, none = lambda g: clear_gain(g["mean"], g["low"]), lambda g: no_gain(g["mean"], g["high"])
+    some, nothing = lambda gs: clear(gs[0]) | clear(gs[1]), lambda gs: none(gs[0]) & none(gs[1])
+    return cascade([("D", some(whole) & nothing(relation)), ("C", some(whole) & some(relation) & some(heldout)), ("B", some(whole) & nothing(heldout))], "A")
+
+
 def scale_verdict(df: DataFrame, key: str, gain: Column, fp_before: Column, fp_after: Column, fn_before: Column, fn_after: Column, base_gain: Column) -> DataFrame:
     """AG-24: what more training data did, from a row per benchmark: gains are in percentage points. Healthy: half a point
     without more false positives or many more false negatives; biased: the opposite, bought by saying no."""

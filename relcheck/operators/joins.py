@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relcheck.functions.text import basename, canonical_id, draw, exact_key, normal_relation, phrase_lemma, too_alike
+from relcheck.functions.text import basename, canonical_id, draw, exact_key, normal_relation, path_stem, phrase_lemma, too_alike
 from relcheck.operators.ranges import spare
 
 
@@ -127,10 +127,17 @@ def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str,
 
 
 def content_safe(candidates: DataFrame, benchmark: DataFrame, content: str, name: str | None = None) -> DataFrame:
-    """JN-12: candidates whose content (by SHA-256) and, if told, name (in any case) the benchmark doesn't have."""
-    out = candidates.join(benchmark.select(F.sha2(F.col(content).cast("binary"), 256).alias("_d")).distinct(), F.sha2(F.col(content).cast("binary"), 256) == F.col("_d"), "left_anti")
+    """JN-12: candidates whose content (by SHA-256) and, if told, name the benchmark doesn't have. A candidate without content
+    (one that can't be read) goes too, as soon as the benchmark has any content. Names are paths: a basename or its stem, in
+    any case, that equals a basename or a stem of the benchmark goes."""
+    digest = lambda: F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("unreadable"))
+    known = benchmark.where(F.col(content).isNotNull()).select(F.explode(F.array(digest(), F.lit("unreadable"))).alias("_d")).distinct()
+    out = candidates.join(known, digest() == F.col("_d"), "left_anti")
     if name:
-        out = out.join(benchmark.select(F.lower(F.col(name)).alias("_n")).distinct(), F.lower(F.col(name)) == F.col("_n"), "left_anti")
+        parts = lambda: (F.lower(basename(F.col(name))), F.lower(path_stem(F.col(name))))
+        names = benchmark.select(F.explode(F.array(*parts())).alias("_n")).where("_n is not null").distinct()
+        for part in parts():
+            out = out.join(names, part == F.col("_n"), "left_anti")
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relcheck.functions import vocabulary as V
-from relcheck.functions.text import clean_span, first_word, in_one_group, json_object, lemma, meta_relation, normal_relation, synonyms, too_alike, too_close, unquoted, without_article
+from relcheck.functions.text import both_normal, clean_span, first_word, in_one_group, json_object, lemma, let, meta_relation, normal_relation, stripped, substituted, synonyms, too_alike, too_close, unquoted, without_article
 
 
 def cascade(rules: list[tuple[str, Column]], passed: str | None = "ok") -> Column:
@@ -29,22 +29,26 @@ def n_words(x: Column) -> Column:
 def triplet_status(subject: Column, relation: Column, obj: Column, confidence: Column) -> Column:
     """FL-12: quality of an extracted (subject, relation, object). Only high confidence passes, and it comes before
     emptiness; nulls are empty fields."""
-    s, r, o = clean_span(subject), clean_span(relation), clean_span(obj)
-    entity_words = F.concat(F.split(normal_relation(s), " "), F.split(normal_relation(o), " "))
-    return cascade(
-        [
-            ("low_confidence", F.lower(F.trim(F.coalesce(confidence, F.lit("")))) != "high"),
-            ("empty_field", (s == "") | (r == "") | (o == "")),
-            ("subject_eq_object", normal_relation(s) == normal_relation(o)),
-            ("relation_len", ~F.length(r).between(2, 40)),
-            ("too_long", (n_words(r) > 5) | (n_words(s) > 4) | (n_words(o) > 4)),
-            ("has_digit", F.concat(s, r, o).rlike(r"\p{Nd}")),
-            ("not_binary", s.contains(",") | o.contains(",") | r.contains(";")),
-            ("meta_or_attribute", first_word(r).isin(*V.ATTRIBUTE_HEADS) | meta_relation(r)),
-            ("non_entity", F.arrays_overlap(entity_words, F.array(*[F.lit(w) for w in V.NON_ENTITY]))),
-            ("vague_relation", normal_relation(r).isin(*V.VAGUE)),
-        ]
-    )
+
+    def of(t: Column) -> Column:
+        s, r, o = t["s"], t["r"], t["o"]
+        entity_words = F.concat(F.split(normal_relation(s), " "), F.split(normal_relation(o), " "))
+        return cascade(
+            [
+                ("low_confidence", F.lower(F.trim(F.coalesce(confidence, F.lit("")))) != "high"),
+                ("empty_field", (s == "") | (r == "") | (o == "")),
+                ("subject_eq_object", normal_relation(s) == normal_relation(o)),
+                ("relation_len", ~F.length(r).between(2, 40)),
+                ("too_long", (n_words(r) > 5) | (n_words(s) > 4) | (n_words(o) > 4)),
+                ("has_digit", F.concat(s, r, o).rlike(r"\p{Nd}")),
+                ("not_binary", s.contains(",") | o.contains(",") | r.contains(";")),
+                ("meta_or_attribute", first_word(r).isin(*V.ATTRIBUTE_HEADS) | meta_relation(r)),
+                ("non_entity", F.arrays_overlap(entity_words, F.array(*[F.lit(w) for w in V.NON_ENTITY]))),
+                ("vague_relation", normal_relation(r).isin(*V.VAGUE)),
+            ]
+        )
+
+    return let(F.struct(clean_span(subject).alias("s"), clean_span(relation).alias("r"), clean_span(obj).alias("o")), of)
 
 
 def answer_status(raw: Column) -> Column:
@@ -58,20 +62,23 @@ def answer_status(raw: Column) -> Column:
 
 def span_status(relation: Column) -> Column:
     """FL-13: why a generated relation can't be used; null if it can."""
-    r = clean_span(relation)
-    return cascade(
-        [
-            ("empty_relation", r == ""),
-            ("relation_len", ~F.length(r).between(2, 40)),
-            ("too_long", n_words(r) > 5),
-            ("has_digit", r.rlike(r"\p{Nd}")),
-            ("not_binary", r.rlike("[,;]")),
-            ("has_article", normal_relation(r).rlike(r"\b(a|an|the)\b")),
-            ("meta_relation", meta_relation(r)),
-            ("non_entity", first_word(r).isin(*V.NON_ENTITY)),
-        ],
-        None,
-    )
+
+    def of(r: Column) -> Column:
+        return cascade(
+            [
+                ("empty_relation", r == ""),
+                ("relation_len", ~F.length(r).between(2, 40)),
+                ("too_long", n_words(r) > 5),
+                ("has_digit", r.rlike(r"\p{Nd}")),
+                ("not_binary", r.rlike("[,;]")),
+                ("has_article", normal_relation(r).rlike(r"\b(a|an|the)\b")),
+                ("meta_relation", meta_relation(r)),
+                ("non_entity", first_word(r).isin(*V.NON_ENTITY)),
+            ],
+            None,
+        )
+
+    return let(clean_span(relation), of)
 
 
 def too_close_for_random(gold: Column, other: Column) -> Column:
@@ -100,22 +107,42 @@ def teacher_gate(plausible: Column, visually_supported: Column, confidence: Colu
     return cascade(rules, None)
 
 
-def mapping_status(needed: Column, mapping: Column) -> Column:
-    """FL-16: ok, missing_placeholder, uncertain or invalid_mapping (null) of placeholders and the map of their entities."""
-    value = lambda p: F.coalesce(F.try_element_at(mapping, p), F.lit(""))
-    return cascade(
-        [
-            ("invalid_mapping", mapping.isNull()),
-            ("missing_placeholder", ~F.forall(needed, lambda p: value(p) != "")),
-            ("uncertain", F.exists(needed, lambda p: F.lower(value(p)).isin("unknown", "uncertain"))),
-        ]
-    )
+# Parts of entities' names that are finer than a person would check at a glance.
+FINE_NAMES = ("model", "tesla", "sparrow", "retriever", "robin", "golden", "siamese")
+
+
+def validated_mapping(needed: Column, mapping: Column, told: Column) -> Column:
+    """FL-16: struct of status and mapping (the needed names with their stripped values) of placeholders and the map of their
+    entities; told is what the model said of itself. The first placeholder that fails decides: missing_placeholder if the map
+    lacks it, invalid_mapping if its value is blank, null or another placeholder. Then uncertain, if a value or told says so,
+    else ok. A null map lacks every name; without placeholders any map is ok."""
+    value = lambda p: stripped(F.coalesce(F.try_element_at(mapping, p), F.lit("")))
+    has = lambda p: F.coalesce(F.map_contains_key(mapping, p), F.lit(False))
+    each = F.transform(F.array_compact(F.coalesce(needed, F.array().cast("array<string>"))), lambda p: F.struct(p.alias("name"), value(p).alias("value"), has(p).alias("has")))
+    wrong = lambda e: ~e["has"] | (e["value"] == "") | (e["value"].startswith("{") & e["value"].endswith("}"))
+    first = F.get(F.filter(each, wrong), F.lit(0))
+    unsure = F.exists(each, lambda e: F.upper(e["value"]) == "UNCERTAIN") | told.eqNullSafe("uncertain")
+    status = cascade([("missing_placeholder", ~first["has"]), ("invalid_mapping", first["has"]), ("uncertain", unsure)])
+    return F.struct(status.alias("status"), F.map_from_entries(F.transform(F.array_distinct(each), lambda e: F.struct(e["name"], e["value"]))).alias("mapping"))
+
+
+def explicit_quality(anonymous: Column, explicit: Column, needed: Column, mapping: Column) -> Column:
+    """FL-16: whether an explicit caption is the anonymous one with its placeholders replaced, and none of them is left."""
+    left = F.exists(needed, lambda p: explicit.contains(p))
+    return F.coalesce((substituted(anonymous, mapping) == explicit) & ~left, F.lit(False))
+
+
+def needs_review(status: Column, mapping: Column, repaired: Column) -> Column:
+    """FL-16: whether a person has to look at a mapping: its status isn't ok, its JSON was repaired, or a value is fine-grained
+    (three words, a digit, or a kind of its own)."""
+    fine = lambda v: (n_words(v) >= 3) | v.rlike(r"\p{Nd}") | F.lower(v).rlike("|".join(FINE_NAMES))
+    return ~status.eqNullSafe("ok") | F.coalesce(repaired, F.lit(False)) | F.coalesce(F.exists(F.map_values(mapping), fine), F.lit(False))
 
 
 def same_lemma(a: Column, b: Column) -> Column:
     """FL-21: first words with one lemma of three letters or more; true if a side is empty."""
-    head = lemma(first_word(a))
-    return (normal_relation(a) == "") | (normal_relation(b) == "") | ((head == lemma(first_word(b))) & (F.length(head) >= 3))
+    head = lambda x: lemma(F.split_part(x, F.lit(" "), F.lit(1)))
+    return both_normal(a, b, lambda x, y: (x == "") | (y == "") | let(head(x), lambda h: (h == head(y)) & (F.length(h) >= 3)))
 
 
 def passive_inverse(a: Column, b: Column) -> Column:
@@ -123,21 +150,17 @@ def passive_inverse(a: Column, b: Column) -> Column:
     has the other's lemma: held by, holding."""
 
     def one(x: Column, y: Column) -> Column:
-        head = F.trim(F.split_part(y, F.lit(" by"), F.lit(1)))
-        return F.concat(F.lit(" "), y, F.lit(" ")).contains(" by") & (head != "") & (too_close(x, head) | (lemma(first_word(x)) == lemma(first_word(head))))
+        alike = lambda head: (head != "") & (too_close(x, head) | (lemma(first_word(x)) == lemma(first_word(head))))
+        return F.when(F.concat(F.lit(" "), y).contains(" by"), let(F.trim(F.split_part(y, F.lit(" by"), F.lit(1))), alike)).otherwise(False)
 
-    x, y = normal_relation(a), normal_relation(b)
-    return one(x, y) | one(y, x)
+    return both_normal(a, b, lambda x, y: one(x, y) | one(y, x))
 
 
 def mentions(relation: Column, *entities: Column) -> Column:
     """FL-23: a whole entity (normalised, without its article) within the relation."""
     padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    out = F.lit(False)
-    for e in entities:
-        name = normal_relation(without_article(unquoted(e)))
-        out = out | ((name != "") & padded(normal_relation(relation)).contains(padded(name)))
-    return out
+    names = F.array(*[normal_relation(without_article(unquoted(e))) for e in entities])
+    return let(padded(normal_relation(relation)), lambda text: F.exists(names, lambda name: (name != "") & text.contains(padded(name))))
 
 
 def bad_ending(text: Column) -> Column:
@@ -154,13 +177,19 @@ def recovered_relation(relation: Column, told: Column, subject: Column, obj: Col
     """SF-19: the relation, unless it is empty or names an entity: then what the statement has between its entities, if
     that is more than an entity."""
     name = lambda x: normal_relation(without_article(F.coalesce(x, F.lit(""))))
-    s, o, r = name(subject), name(obj), clean_span(relation)
-    entity = lambda x: (normal_relation(x) != "") & ((normal_relation(x) == s) | (normal_relation(x) == o))
-    text = normal_relation(clean_span(told))
-    text = F.when((s != "") & text.startswith(F.concat(s, F.lit(" "))), F.trim(F.substring(text, F.length(s) + 1, F.length(text)))).otherwise(text)
-    text = F.when((o != "") & text.endswith(F.concat(F.lit(" "), o)), F.trim(F.left(text, F.length(text) - F.length(o)))).otherwise(text)
-    text = clean_span(text)
-    return F.when((r != "") & ~entity(r) & ~mentions(r, subject, obj), r).when((text != "") & ~entity(text), text).otherwise(r)
+    given = F.struct(name(subject).alias("s"), name(obj).alias("o"), clean_span(relation).alias("r"), normal_relation(clean_span(told)).alias("text"))
+
+    def cut(g: Column) -> Column:
+        text, s, o = g["text"], g["s"], g["o"]
+        text = F.when((s != "") & text.startswith(F.concat(s, F.lit(" "))), F.trim(F.substring(text, F.length(s) + 1, F.length(text)))).otherwise(text)
+        return let(text, lambda t: clean_span(F.when((o != "") & t.endswith(F.concat(F.lit(" "), o)), F.trim(F.left(t, F.length(t) - F.length(o)))).otherwise(t)))
+
+    def chosen(g: Column, text: Column) -> Column:
+        entity = lambda x: let(normal_relation(x), lambda n: (n != "") & n.isin(g["s"], g["o"]))
+        fine = (g["r"] != "") & ~entity(g["r"]) & ~mentions(g["r"], subject, obj)
+        return F.when(fine, g["r"]).when((text != "") & ~entity(text), text).otherwise(g["r"])
+
+    return let(given, lambda g: let(cut(g), lambda text: chosen(g, text)))
 
 
 def chosen_candidates(df: DataFrame, key: str, tries: int = 3) -> DataFrame:

@@ -22,6 +22,29 @@ def canonical_questions(df: DataFrame, suffix: str = "") -> DataFrame:
     return df.select(F.coalesce(*[c.cast("string") for c in has("question_id", "id", "ord")]).alias("question_id"), F.coalesce(*has("image", "image_path", "file_name")).alias("image"), F.concat(text, F.lit(suffix)).alias("text"))
 
 
+def canonical_records(df: DataFrame, raw: str, order: Column, suffix: str = "") -> DataFrame:
+    """PR-01 for records that still are JSON text: the first key that is present decides, even where its value is null, which a
+    table's columns can't tell. question_id (else id, else order), image, text (with suffix, if told, behind its stripped end)
+    and label (null if there is none), all as text. A record without image or text, or that is no object, fails the job."""
+    keys, value = F.json_object_keys(raw), lambda name: F.get_json_object(raw, f"$.{name}")
+
+    def by_presence(names: tuple[str, ...], otherwise: Column) -> Column:
+        out = otherwise
+        for name in reversed(names):
+            out = F.when(F.array_contains(keys, name), value(name)).otherwise(out)
+        return out
+
+    nothing = F.lit(None).cast("string")
+    needed = lambda x: F.coalesce(x, F.raise_error(F.concat(F.lit("a question has no text or image: "), F.coalesce(raw, F.lit("null")))).cast("string"))
+    text = needed(by_presence(("text", "question", "prompt"), nothing))
+    return df.select(
+        by_presence(("question_id", "id"), order.cast("string")).alias("question_id"),
+        needed(by_presence(("image", "image_path", "file_name"), nothing)).alias("image"),
+        (F.concat(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit(suffix)) if suffix else text).alias("text"),
+        value("label").alias("label"),
+    )
+
+
 def conversations(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
     """PR-05: a row per conversation with its turns as array<struct<from, value>> in order."""
     each = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("from"), F.col(text).alias("value"))))
