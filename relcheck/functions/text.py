@@ -379,10 +379,14 @@ def relation_of_question(question: Column) -> Column:
 def masked_losses(losses: Column, places: Column) -> Column:
     """SF-30: struct of n, total and mean of the losses at places (from 0; those outside are left out) and located; no
     place inside: 0, nulls and false."""
-    inside = F.filter(places, lambda i: (i >= 0) & (i < F.size(losses)))
-    n = F.size(inside)
-    total = F.when(n > 0, F.aggregate(F.transform(inside, lambda i: F.get(losses, i)), F.lit(0.0), lambda a, x: a + x))
-    return F.struct(F.greatest(n, F.lit(0)).alias("n"), total.alias("total"), F.try_divide(total, n).alias("mean"), (n > 0).alias("located"))
+
+    def of(own: Column) -> Column:
+        inside = F.filter(places, lambda i: (i >= 0) & (i < F.size(own)))
+        n = F.size(inside)
+        total = F.when(n > 0, F.aggregate(F.transform(inside, lambda i: F.get(own, i)), F.lit(0.0), lambda a, x: a + x))
+        return F.struct(F.greatest(n, F.lit(0)).alias("n"), total.alias("total"), F.try_divide(total, n).alias("mean"), (n > 0).alias("located"))
+
+    return let(losses, of)  # made once, not once a place
 
 
 # Categories with names of their own.

@@ -589,6 +589,7 @@ def free_resources(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register their queries when they are imported.
+from relcheck.plans import captions as captions  # noqa: E402
 from relcheck.plans import relations as relations  # noqa: E402
 from relcheck.plans import selections as selections  # noqa: E402
 from relcheck.plans import tables as tables  # noqa: E402
