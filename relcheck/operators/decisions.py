@@ -51,6 +51,7 @@ def chosen_measurement(df: DataFrame, main: Column, fallback: Column, by_score:
 
 def heldout_verdict(first: Column, second: Column, third: Column) -> Column:
     """AG-24: what held-out accuracies of three versions say of negatives: none, random and hard ones. The third may be null."""
+    # How far accuracies have to be apart.
     better = (second > first + 0.03) | (third > first + 0.03)
     alike = (F.abs(second - first) < 0.02) & (third.isNull() | (F.abs(third - first) < 0.02))
     return cascade(
@@ -61,6 +62,7 @@ def heldout_verdict(first: Column, second: Column, third: Column) -> Column:
 
 def adaptation_verdict(one: Column, other: Column) -> Column:
     """AG-24: A (both trainings help), B (neither does) or C (they disagree), by two gains of accuracy."""
+    # Gains that count as large, small and apart.
     low, high = F.least(one, other), F.greatest(one, other)
     small = (F.abs(one) < 0.04) & (F.abs(other) < 0.04)
     apart = (low < 0.08) & (high >= 0.08) & (high - low >= 0.08)
@@ -124,6 +126,7 @@ def training_verdict(whole: tuple[Column, Column], relation: tuple[Column, Colum
 def scale_verdict(df: DataFrame, key: str, gain: Column, fp_before: Column, fp_after: Column, fn_before: Column, fn_after: Column, base_gain: Column) -> DataFrame:
     """AG-24: what more training data did, from a row per benchmark: gains are in percentage points. Healthy: half a point
     without more false positives or many more false negatives; biased: the opposite, bought by saying no."""
+    # Points of gain, growth of false negatives, and numbers of benchmarks.
     fewer = fp_after <= fp_before
     worse = fn_after > fn_before + F.greatest(F.lit(3.0), 0.15 * F.greatest(fn_before, F.lit(1)))
     out = df.groupBy(key).agg(

@@ -23,8 +23,8 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def answered_questions(questions: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     """JN-01, JN-02: all questions with their answers; `missing` tells those without one."""
-    found = answers.withColumn("_found", F.lit(True))
-    return questions.join(found, key, "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+    there = max(spare(questions), spare(answers)) + "found"
+    return questions.join(answers.withColumn(there, F.lit(True)), key, "left").withColumn("missing", F.col(there).isNull()).drop(there)
 
 
 def aliased_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -130,21 +130,23 @@ def content_safe(candidates: DataFrame, benchmark: DataFrame, content: str, name
     """JN-12: candidates whose content (by SHA-256) and, if told, name the benchmark doesn't have. A candidate without content
     (one that can't be read) goes too, as soon as the benchmark has any content. Names are paths: a basename or its stem, in
     any case, that equals a basename or a stem of the benchmark goes."""
+    d, n = spare(candidates) + "d", spare(candidates) + "n"
     digest = lambda: F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.lit("unreadable"))
-    known = benchmark.where(F.col(content).isNotNull()).select(F.explode(F.array(digest(), F.lit("unreadable"))).alias("_d")).distinct()
-    out = candidates.join(known, digest() == F.col("_d"), "left_anti")
+    known = benchmark.where(F.col(content).isNotNull()).select(F.explode(F.array(digest(), F.lit("unreadable"))).alias(d)).distinct()
+    out = candidates.join(known, digest() == F.col(d), "left_anti")
     if name:
         parts = lambda: (F.lower(basename(F.col(name))), F.lower(path_stem(F.col(name))))
-        names = benchmark.select(F.explode(F.array(*parts())).alias("_n")).where("_n is not null").distinct()
+        names = benchmark.select(F.explode(F.array(*parts())).alias(n)).where(F.col(n).isNotNull()).distinct()
         for part in parts():
-            out = out.join(names, part == F.col("_n"), "left_anti")
+            out = out.join(names, part == F.col(n), "left_anti")
     return out
 
 
 def strict_lookup(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """JN-13: a lookup that must succeed: fails if the dimension lacks a key."""
-    found = df.join(dimension.withColumn("_found", F.lit(True)), key, "left")
-    return found.where(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no such key: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("_found")
+    there = max(spare(df), spare(dimension)) + "found"
+    found = df.join(dimension.withColumn(there, F.lit(True)), key, "left")
+    return found.where(F.when(F.col(there).isNull(), F.raise_error(F.concat(F.lit("no such key: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop(there)
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

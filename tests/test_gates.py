@@ -86,3 +86,11 @@ def test_strata(spark):
     df = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "g string, y boolean")
     assert {r.g: (r.n, r.in_strata) for r in D.needs_strata(df, F.col("y"), "g").collect()} == {"a": (2, False), "b": (1, True), "c": (0, True)}
     assert D.needs_strata(df.where("false"), F.col("y")).first().in_strata
+
+
+def test_joins_with_clashing_columns(spark):
+    left = spark.createDataFrame([(1, "a", "x/a.jpg", 5), (2, "b", "b", 6)], "_found int, _d string, _n string, k int")
+    right = spark.createDataFrame([(5, True), (6, False)], "k int, __found boolean")
+    assert sorted((r["_found"], r["__found"]) for r in joins.strict_lookup(left, right, "k").collect()) == [(1, True), (2, False)]
+    assert sorted((r["_found"], r.missing) for r in joins.answered_questions(left, right.where("k = 5"), "k").collect()) == [(1, False), (2, True)]
+    assert [r["_d"] for r in joins.content_safe(left, left.where("k = 5"), "_d", "_n").collect()] == ["b"]
