@@ -64,9 +64,17 @@ def article(noun: Column) -> Column:
     return F.when(F.lower(F.left(noun, F.lit(1))).isin("a", "e", "i", "o", "u"), "an").otherwise("a")
 
 
+# Small letters whose upper case is spelt with several, and the capitals of one letter that they have.
+_SMALL = "ß" + "".join(c for c in map(chr, range(0x1F80, 0x1FFD)) if len(c.upper()) > 1 and len(c.title()) == 1)
+_CAPITAL = "ẞ" + "".join(c.title() for c in _SMALL[1:])
+
+
 def capitalised(x: Column) -> Column:
-    """The first letter in upper case, the others as they are."""
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+    """The first letter in upper case, the others as they are. It stays one letter: ß becomes ẞ, and a letter that has no
+    capital of one letter stays as it is."""
+    first = F.substring(x, 1, 1)
+    upper = F.when(F.length(F.upper(first)) > 1, F.translate(first, _SMALL, _CAPITAL)).otherwise(F.upper(first))
+    return F.concat(upper, F.substring(x, F.lit(2), F.length(x)))
 
 
 def statement(subject: Column, relation: Column, obj: Column) -> Column:

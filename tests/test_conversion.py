@@ -74,3 +74,10 @@ def test_report_counts_duplicates(spark):
 def test_templated_forms(spark, question, statement):
     row = C.converted(spark.createDataFrame([(question, "yes")], "q string, label string"), "q", "label", templated=True).first()
     assert (row.statement, row.gold) == (statement, "Yes") and row.tag.startswith("mmrel_")
+
+
+def test_a_capital_is_one_letter(spark):
+    from relcheck.functions.text import capitalised
+
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(["ßau", "ém", "a", "", "ŉa", "Öl", "1a", "ﬁn"])], "k int, w string")
+    assert [r[0] for r in df.orderBy("k").select(capitalised(F.col("w"))).collect()] == ["ẞau", "Ém", "A", "", "ŉa", "Öl", "1a", "ﬁn"]
