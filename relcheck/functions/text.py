@@ -37,8 +37,13 @@ def draw(seed: int | str, *ids: Column) -> Column:
 
 def normal_relation(x: Column) -> Column:
     """SF-01: lower case, single spaces, no quotes or punctuation on the sides; null is ''."""
-    bare = F.regexp_replace(stripped(F.coalesce(x, F.lit(""))), "^[\"']+|[\"']+$", "")
-    return F.regexp_replace(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "), "^[ .,;:!?]+|[ .,;:!?]+$", "")
+
+    def whole(x: Column) -> Column:
+        bare = F.regexp_replace(stripped(x), "^[\"']+|[\"']+$", "")
+        return F.regexp_replace(F.regexp_replace(F.lower(bare), r"(?U)\s+", " "), "^[ .,;:!?]+|[ .,;:!?]+$", "")
+
+    # Plain words have nothing to remove; the number of words is bounded, since the pattern recurs.
+    return let(F.coalesce(x, F.lit("")), lambda v: F.when(v.rlike(r"^[A-Za-z]++(?: [A-Za-z]++){0,7}+\z"), F.lower(v)).otherwise(whole(v)))
 
 
 def unquoted(x: Column, pairs_only: bool = False) -> Column:
@@ -106,7 +111,8 @@ SIBILANTS = ("s", "sh", "ch", "x", "z", "o")
 def looked_up(x: Column, table: dict[str, str], otherwise: Column) -> Column:
     """The table's value for x, else `otherwise`."""
     pairs = F.str_to_map(F.lit("|".join(f"{k}={v}" for k, v in table.items())), F.lit("[|]"), F.lit("="))  # one literal
-    return F.coalesce(F.try_element_at(pairs, x), otherwise)
+    # A map is searched key by key, a list of literals by hash.
+    return F.coalesce(let(x, lambda k: F.when(k.isin(*table), F.try_element_at(pairs, k))), otherwise)
 
 
 def third_person(verb: Column) -> Column:
@@ -123,7 +129,10 @@ def third_person(verb: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """SF-08: normalised, without ing, ed, es or s (the first that fits) where more than three letters stay."""
-    word = normal_relation(word)
+    return let(normal_relation(word), _stem)
+
+
+def _stem(word: Column) -> Column:
     out = word
     for end in ("s", "es", "ed", "ing"):
         out = F.when(word.endswith(end) & (F.length(word) > len(end) + 3), F.substring(word, F.lit(1), F.length(word) - len(end))).otherwise(out)
@@ -132,7 +141,7 @@ def stem(word: Column) -> Column:
 
 def lemma(word: Column) -> Column:
     """SF-08: from the table of irregular forms, else the stem."""
-    return looked_up(normal_relation(word), V.LEMMAS, stem(word))
+    return let(normal_relation(word), lambda n: looked_up(n, V.LEMMAS, _stem(n)))
 
 
 def exact_key(x: Column) -> Column:
@@ -142,8 +151,7 @@ def exact_key(x: Column) -> Column:
 
 def phrase_lemma(x: Column) -> Column:
     """SF-08: the lemmas of the words of an exact key; '' for an empty one."""
-    key = exact_key(x)
-    return F.when(key == "", "").otherwise(F.array_join(F.transform(F.split(key, " "), lemma), " "))
+    return let(exact_key(x), lambda key: F.when(key == "", "").otherwise(F.array_join(F.transform(F.split(key, " "), lemma), " ")))
 
 
 def first_word(x: Column) -> Column:
@@ -151,20 +159,33 @@ def first_word(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normal_relation(x), " "), lambda w: w != ""))
+    return _tokens(normal_relation(x))
+
+
+def _tokens(x: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(x, " "), lambda w: w != ""))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
     """SF-09: 0.0 if a side has no tokens."""
-    x, y = tokens(a), tokens(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return both_normal(a, b, normal_jaccard)
+
+
+def normal_jaccard(x: Column, y: Column) -> Column:
+    """SF-09 of terms that are normalised already."""
+    share = lambda t: F.when((F.size(t["x"]) == 0) | (F.size(t["y"]) == 0), 0.0).otherwise(F.size(F.array_intersect(t["x"], t["y"])) / F.size(F.array_union(t["x"], t["y"])))
+    return let(F.struct(_tokens(x).alias("x"), _tokens(y).alias("y")), share)
 
 
 def too_alike(a: Column, b: Column) -> Column:
     """FL-17: equal, one within the other, same first word, or a token Jaccard of a half; false if a side is empty."""
-    x, y = normal_relation(a), normal_relation(b)
+    return both_normal(a, b, normal_alike)
+
+
+def normal_alike(x: Column, y: Column) -> Column:
+    """FL-17 of terms that are normalised already."""
     same = (x == y) | x.contains(y) | y.contains(x) | (F.split_part(x, F.lit(" "), F.lit(1)) == F.split_part(y, F.lit(" "), F.lit(1)))
-    return (x != "") & (y != "") & (same | (token_jaccard(a, b) >= 0.5))
+    return (x != "") & (y != "") & (same | (normal_jaccard(x, y) >= 0.5))
 
 
 def both_normal(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
@@ -180,7 +201,8 @@ def share_group(x: Column, y: Column, groups: list[list[str]]) -> Column:
             places.setdefault(term, []).append(str(i))
     table = F.str_to_map(F.lit("|".join(f"{t}={' '.join(ids)}" for t, ids in places.items())), F.lit("[|]"), F.lit("="))
     ids = lambda z: F.split(F.try_element_at(table, z), " ")
-    return F.coalesce(F.arrays_overlap(ids(x), ids(y)), F.lit(False))
+    both = x.isin(*places) & y.isin(*places)  # by hash: few terms have to be searched for in the table
+    return F.when(both, F.arrays_overlap(ids(x), ids(y))).otherwise(False)
 
 
 def in_one_group(a: Column, b: Column, groups: list[list[str]]) -> Column:
@@ -190,20 +212,34 @@ def in_one_group(a: Column, b: Column, groups: list[list[str]]) -> Column:
 
 def synonyms(a: Column, b: Column) -> Column:
     """FL-19: equal, or in one group of synonyms; false if a side is empty."""
-    return both_normal(a, b, lambda x, y: (x != "") & (y != "") & ((x == y) | share_group(x, y, V.SYNONYMS)))
+    return both_normal(a, b, normal_synonyms)
+
+
+def normal_synonyms(x: Column, y: Column) -> Column:
+    """FL-19 of terms that are normalised already."""
+    return (x != "") & (y != "") & ((x == y) | share_group(x, y, V.SYNONYMS))
 
 
 def too_close(a: Column, b: Column) -> Column:
     """FL-20: empty, equal, synonyms, one within the other, or first words with one stem of four letters or more."""
+    return both_normal(a, b, normal_close)
+
+
+def normal_close(x: Column, y: Column) -> Column:
+    """FL-20 of terms that are normalised already."""
     head = lambda x: stem(F.split_part(x, F.lit(" "), F.lit(1)))
-    stems = lambda x, y: let(head(x), lambda h: (h == head(y)) & (F.length(h) >= 4))
-    return both_normal(a, b, lambda x, y: (x == "") | (y == "") | (x == y) | share_group(x, y, V.SYNONYMS) | x.contains(y) | y.contains(x) | stems(x, y))
+    stems = let(head(x), lambda h: (F.length(h) >= 4) & (h == head(y)))
+    return (x == "") | (y == "") | (x == y) | share_group(x, y, V.SYNONYMS) | x.contains(y) | y.contains(x) | stems
 
 
 def relation_family(relation: Column) -> Column:
     """SF-11: spatial, contact (also by the first word) or other."""
-    x = normal_relation(relation)
-    return F.when(x.isin(*V.SPATIAL), "spatial").when(x.isin(*V.CONTACT) | first_word(relation).isin(*V.CONTACT), "contact").otherwise("other")
+    return let(normal_relation(relation), normal_family)
+
+
+def normal_family(x: Column) -> Column:
+    """SF-11 of a term that is normalised already."""
+    return F.when(x.isin(*V.SPATIAL), "spatial").when(x.isin(*V.CONTACT) | F.split_part(x, F.lit(" "), F.lit(1)).isin(*V.CONTACT), "contact").otherwise("other")
 
 
 def qc_family(relation: Column) -> Column:
@@ -222,18 +258,23 @@ def meta_relation(relation: Column) -> Column:
 def hard_score(gold: Column, other: Column) -> Column:
     """SF-10: how hard a wrong relation is to tell from the right one; -1 if they are too close or it is a meta relation.
     Lengths and the list of visible relations are those of the texts as they are."""
-    kind, alike = relation_family(gold), token_jaccard(gold, other)
-    points = [
-        (4.0, other.isin(*V.VISUAL)),
-        (5.0, first_word(gold) == first_word(other)),
-        (3.0, (kind == relation_family(other)) & (kind != "other")),
-        (1.0, alike.between(0.15, 0.6)),
-        (0.5, F.abs(F.length(gold) - F.length(other)) <= 8),
-    ]
-    score = F.lit(0.0)
-    for many, holds in points:
-        score = score + F.when(holds, many).otherwise(0.0)
-    return F.when(too_close(gold, other) | meta_relation(other), -1.0).otherwise(score)
+    word = lambda x: F.split_part(x, F.lit(" "), F.lit(1))
+
+    def scored(n: Column) -> Column:
+        x, y = n["x"], n["y"]
+        points = [
+            (4.0, other.isin(*V.VISUAL)),
+            (5.0, word(x) == word(y)),
+            (3.0, let(normal_family(x), lambda kind: (kind != "other") & (kind == normal_family(y)))),
+            (1.0, let(normal_jaccard(x, y), lambda alike: alike.between(0.15, 0.6))),
+            (0.5, F.abs(F.length(gold) - F.length(other)) <= 8),
+        ]
+        score = F.lit(0.0)
+        for many, holds in points:
+            score = score + F.when(holds, many).otherwise(0.0)
+        return F.when(normal_close(x, y) | word(y).isin(*V.META_HEADS), -1.0).otherwise(score)
+
+    return let(F.struct(normal_relation(gold).alias("x"), normal_relation(other).alias("y")), scored)
 
 
 def placeholders(caption: Column) -> Column:
@@ -270,14 +311,19 @@ def json_answer(raw: Column) -> Column:
     """SF-17: struct of object (the JSON object in an answer, as text; null if there is none) and repaired. A fenced block is
     taken before the whole text; where that is no object, what stands from the first brace to the last. repaired tells that
     a fence or braces were looked for. Thoughts in <think> go before. Null is ''."""
-    bare = stripped(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", ""))
     fence = r"(?is)```(?:json)?\s*(.*?)\s*```"
-    fenced = bare.rlike(fence)
-    text = F.when(fenced, stripped(F.regexp_extract(bare, fence, 1))).otherwise(bare)
-    outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     fine = lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull()
-    found = F.when(fine(text), text).when(fine(outer), outer)
-    return F.struct(found.alias("object"), (fenced | (~fine(text) & (outer != ""))).alias("repaired"))
+
+    def opened(bare: Column) -> Column:
+        fenced = bare.rlike(fence)
+        return F.struct(fenced.alias("fenced"), F.when(fenced, stripped(F.regexp_extract(bare, fence, 1))).otherwise(bare).alias("text"))
+
+    def judged(o: Column) -> Column:
+        outer = F.regexp_extract(o["text"], r"(?s)(\{.*\})", 1)
+        return F.when(fine(o["text"]), F.struct(o["text"].alias("object"), o["fenced"].alias("repaired"))).otherwise(let(outer, lambda x: F.struct(F.when(fine(x), x).alias("object"), (o["fenced"] | (x != "")).alias("repaired"))))
+
+    bare = stripped(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<think>.*?</think>", ""))
+    return let(bare, lambda b: let(opened(b), judged))  # each step is made once a row
 
 
 def json_object(raw: Column) -> Column:
@@ -377,11 +423,20 @@ def statement_of_question(question: Column) -> Column:
 
 def relation_of_question(question: Column) -> Column:
     """SF-24: struct of relation (as an exact key; null if no form fits) and tag, by the forms of SF-20. Null is ''."""
-    bare = bare_question(question)
-    relation = F.lit(None).cast("string")
-    for pattern, _, _ in reversed(QUESTION_FORMS):
-        relation = F.when(bare.rlike(pattern), exact_key(F.regexp_extract(bare, pattern, 3))).otherwise(relation)
-    return F.struct(relation.alias("relation"), statement_of_question(question)["tag"].alias("tag"))
+
+    def told(bare: Column) -> Column:
+        form = F.lit(None).cast("int")
+        for k, (pattern, _, _) in reversed(list(enumerate(QUESTION_FORMS))):
+            form = F.when(bare.rlike(pattern), k).otherwise(form)
+        return let(form, lambda k: read(bare, k))
+
+    def read(bare: Column, form: Column) -> Column:
+        found, tag = F.lit(None).cast("string"), F.lit("mmrel_fail")
+        for k, (pattern, name, _) in enumerate(QUESTION_FORMS):
+            found, tag = F.when(form == k, F.regexp_extract(bare, pattern, 3)).otherwise(found), F.when(form == k, name).otherwise(tag)
+        return F.struct(let(found, lambda x: F.when(x.isNotNull(), exact_key(x))).alias("relation"), tag.alias("tag"))
+
+    return let(bare_question(question), told)  # the question is stripped once a row
 
 
 def masked_losses(losses: Column, places: Column) -> Column:
@@ -417,12 +472,16 @@ def candidate_list(parsed: Column) -> Column:
     else the whole object as one. Flags that aren't there are null; other text, null included, has none."""
     from relcheck.functions.answers import loose_boolean
 
-    value = F.try_parse_json(parsed)
-    each = F.coalesce(F.try_variant_get(value, "$.candidates", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
+    def listed(value: Column) -> Column:
+        return F.coalesce(F.try_variant_get(value, "$.candidates", "array<variant>"), F.when(value.isNotNull(), F.array(value)), F.array().cast("array<variant>"))
+
+    text_of = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
 
     def told(x: Column) -> Column:
-        text = lambda name: F.try_variant_get(x, f"$.{name}", "string")
-        relation = clean_span(text("relation"))
+        return let(clean_span(text_of(x, "relation")), lambda relation: fields(x, relation))
+
+    def fields(x: Column, relation: Column) -> Column:
+        text = lambda name: text_of(x, name)
         return F.struct(
             relation.alias("relation"),
             normal_relation(relation).alias("relation_norm"),
@@ -432,4 +491,4 @@ def candidate_list(parsed: Column) -> Column:
             F.lower(stripped(F.coalesce(text("confidence"), F.lit("")))).alias("confidence"),
         )
 
-    return F.filter(F.transform(each, told), lambda c: c.relation != "")
+    return F.filter(F.transform(let(F.try_parse_json(parsed), listed), told), lambda c: c.relation != "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relcheck.functions import vocabulary as V
-from relcheck.functions.text import both_normal, clean_span, first_word, in_one_group, json_object, lemma, let, meta_relation, normal_relation, stripped, substituted, synonyms, too_alike, too_close, unquoted, without_article
+from relcheck.functions.text import both_normal, clean_span, first_word, json_object, lemma, let, meta_relation, normal_alike, normal_close, normal_relation, normal_synonyms, share_group, stripped, substituted, synonyms, too_alike, too_close, unquoted, without_article
 
 
 def cascade(rules: list[tuple[str, Column]], passed: str | None = "ok") -> Column:
@@ -63,7 +63,9 @@ def answer_status(raw: Column) -> Column:
 def span_status(relation: Column) -> Column:
     """FL-13: why a generated relation can't be used; null if it can."""
 
-    def of(r: Column) -> Column:
+    def of(t: Column) -> Column:
+        r, n = t["r"], t["n"]
+        head = F.split_part(n, F.lit(" "), F.lit(1))
         return cascade(
             [
                 ("empty_relation", r == ""),
@@ -71,14 +73,14 @@ def span_status(relation: Column) -> Column:
                 ("too_long", n_words(r) > 5),
                 ("has_digit", r.rlike(r"\p{Nd}")),
                 ("not_binary", r.rlike("[,;]")),
-                ("has_article", normal_relation(r).rlike(r"\b(a|an|the)\b")),
-                ("meta_relation", meta_relation(r)),
-                ("non_entity", first_word(r).isin(*V.NON_ENTITY)),
+                ("has_article", n.rlike(r"\b(a|an|the)\b")),
+                ("meta_relation", head.isin(*V.META_HEADS)),
+                ("non_entity", head.isin(*V.NON_ENTITY)),
             ],
             None,
         )
 
-    return let(clean_span(relation), of)
+    return let(clean_span(relation), lambda r: let(F.struct(r.alias("r"), normal_relation(r).alias("n")), of))
 
 
 def too_close_for_random(gold: Column, other: Column) -> Column:
@@ -88,13 +90,29 @@ def too_close_for_random(gold: Column, other: Column) -> Column:
 
 def rejection(gold: Column, candidate: Column, subject: Column, obj: Column) -> Column:
     """FL-14: why a candidate can't be the negative of gold; null if it can."""
-    rules = [
-        ("synonym_or_paraphrase", too_close(gold, candidate) | in_one_group(gold, candidate, V.MORE_SYNONYMS)),
-        ("morphology", same_lemma(gold, candidate)),
-        ("inverse", passive_inverse(gold, candidate)),
-        ("mentions_entity", mentions(candidate, subject, obj)),
-    ]
-    return F.coalesce(span_status(candidate), cascade(rules, None))
+    return relation_verdicts(gold, candidate, subject, obj)["rejected"]
+
+
+def relation_verdicts(gold: Column, candidate: Column, subject: Column, obj: Column) -> Column:
+    """FL-14, FL-17 to FL-23 at once: struct of alike, close, lemma, inverse, unfit and rejected. Both terms are normalised and
+    each rule is judged once a row."""
+
+    def judged(n: Column) -> Column:
+        x, y = n["x"], n["y"]
+        return F.struct(normal_synonyms(x, y).alias("alike"), normal_close(x, y).alias("close"), normal_lemma(x, y).alias("lemma"), normal_inverse(x, y).alias("inverse"))
+
+    def told(n: Column, v: Column) -> Column:
+        x, y = n["x"], n["y"]
+        rules = [
+            ("synonym_or_paraphrase", v["close"] | share_group(x, y, V.MORE_SYNONYMS)),
+            ("morphology", v["lemma"]),
+            ("inverse", v["inverse"]),
+            ("mentions_entity", mentions(candidate, subject, obj)),
+        ]
+        unfit = normal_alike(x, y) | v["alike"]
+        return F.struct(*[v[k].alias(k) for k in ("alike", "close", "lemma", "inverse")], unfit.alias("unfit"), F.coalesce(span_status(candidate), cascade(rules, None)).alias("rejected"))
+
+    return both_normal(gold, candidate, lambda x, y: let(F.struct(x.alias("x"), y.alias("y")), lambda n: let(judged(n), lambda v: told(n, v))))
 
 
 def teacher_gate(plausible: Column, visually_supported: Column, confidence: Column) -> Column:
@@ -141,19 +159,29 @@ def needs_review(status: Column, mapping: Column, repaired: Column) -> Column:
 
 def same_lemma(a: Column, b: Column) -> Column:
     """FL-21: first words with one lemma of three letters or more; true if a side is empty."""
+    return both_normal(a, b, normal_lemma)
+
+
+def normal_lemma(x: Column, y: Column) -> Column:
+    """FL-21 of terms that are normalised already."""
     head = lambda x: lemma(F.split_part(x, F.lit(" "), F.lit(1)))
-    return both_normal(a, b, lambda x, y: (x == "") | (y == "") | let(head(x), lambda h: (h == head(y)) & (F.length(h) >= 3)))
+    return (x == "") | (y == "") | let(head(x), lambda h: (F.length(h) >= 3) & (h == head(y)))
 
 
 def passive_inverse(a: Column, b: Column) -> Column:
     """FL-22: what stands before ` by` in one (which may begin a longer word) is too close to the other, or its first word
     has the other's lemma: held by, holding."""
+    return both_normal(a, b, normal_inverse)
+
+
+def normal_inverse(a: Column, b: Column) -> Column:
+    """FL-22 of terms that are normalised already."""
 
     def one(x: Column, y: Column) -> Column:
         alike = lambda head: (head != "") & (too_close(x, head) | (lemma(first_word(x)) == lemma(first_word(head))))
         return F.when(F.concat(F.lit(" "), y).contains(" by"), let(F.trim(F.split_part(y, F.lit(" by"), F.lit(1))), alike)).otherwise(False)
 
-    return both_normal(a, b, lambda x, y: one(x, y) | one(y, x))
+    return one(a, b) | one(b, a)
 
 
 def mentions(relation: Column, *entities: Column) -> Column:
@@ -177,19 +205,20 @@ def recovered_relation(relation: Column, told: Column, subject: Column, obj: Col
     """SF-19: the relation, unless it is empty or names an entity: then what the statement has between its entities, if
     that is more than an entity."""
     name = lambda x: normal_relation(without_article(F.coalesce(x, F.lit(""))))
-    given = F.struct(name(subject).alias("s"), name(obj).alias("o"), clean_span(relation).alias("r"), normal_relation(clean_span(told)).alias("text"))
+    given = F.struct(name(subject).alias("s"), name(obj).alias("o"), clean_span(relation).alias("r"))
 
-    def cut(g: Column) -> Column:
-        text, s, o = g["text"], g["s"], g["o"]
+    def cut(g: Column, text: Column) -> Column:
+        s, o = g["s"], g["o"]
         text = F.when((s != "") & text.startswith(F.concat(s, F.lit(" "))), F.trim(F.substring(text, F.length(s) + 1, F.length(text)))).otherwise(text)
         return let(text, lambda t: clean_span(F.when((o != "") & t.endswith(F.concat(F.lit(" "), o)), F.trim(F.left(t, F.length(t) - F.length(o)))).otherwise(t)))
 
-    def chosen(g: Column, text: Column) -> Column:
+    def chosen(g: Column) -> Column:
         entity = lambda x: let(normal_relation(x), lambda n: (n != "") & n.isin(g["s"], g["o"]))
         fine = (g["r"] != "") & ~entity(g["r"]) & ~mentions(g["r"], subject, obj)
-        return F.when(fine, g["r"]).when((text != "") & ~entity(text), text).otherwise(g["r"])
+        between = let(normal_relation(clean_span(told)), lambda text: cut(g, text))  # only where it is needed
+        return F.when(fine, g["r"]).otherwise(let(between, lambda text: F.when((text != "") & ~entity(text), text).otherwise(g["r"])))
 
-    return let(given, lambda g: let(cut(g), lambda text: chosen(g, text)))
+    return let(given, chosen)
 
 
 def chosen_candidates(df: DataFrame, key: str, tries: int = 3) -> DataFrame:

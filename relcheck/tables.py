@@ -20,6 +20,14 @@ def workspace(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df dealt by these columns to as many partitions as shuffles have (four a core at least). Adaptive execution joins small
+    partitions to few tasks, by bytes, which is too few where much is worked out for each row; these it leaves alone."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it: cuts the lineage, outlives lost executors."""
     path = f"{workspace(df.sparkSession)}/relcheck-{uuid.uuid4().hex}"
