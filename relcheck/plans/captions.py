@@ -12,8 +12,9 @@ from relcheck.operators import joins as J
 from relcheck.operators import rules as R
 from relcheck.operators import shapes as P
 from relcheck.plans.registry import query, read
-from relcheck.plans.relations import bucket, bucket_sql, pick, pick_sql
+from relcheck.plans.relations import bucket, bucket_sql, pick, pick_sql, triples
 from relcheck.plans.texts import any_of, words
+from relcheck.tables import spread
 
 _LINES = r"""with l as (
   select doc_id, unnest(string_split(text, chr(10))) as said, unnest(range(len(string_split(text, chr(10)))))::int as line from documents
@@ -112,10 +113,7 @@ from z where not odd""")
 def question_relations(spark: SparkSession, d: str) -> DataFrame:
     """SF-20, SF-24: questions of three forms, and of none, made of three words in a row; triples with prepositions or articles
     as entities are left to the tests of the forms."""
-    ws = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)
-    starts = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: (i % 3 == 0) & (i + 2 < F.size("w")))
-    docs = read(spark, d, "documents").select(ws.alias("w"))
-    each = docs.select(F.explode(F.transform(starts, lambda i: F.struct(*[F.get("w", i + k).alias(n) for k, n in enumerate("abc")]))).alias("x")).select("x.*").distinct()
+    each = spread(triples(spark, d), "a", "b", "c").distinct()
     each = each.where(~(F.lower("a").isin(*_PLACES[:-1], "a", "an", "the") | F.lower("c").isin("in", "on", "a", "an", "the")))
     a, b, c, place, form = F.col("a"), F.col("b"), F.col("c"), pick(_PLACES, F.col("b")), bucket(F.concat("a", "b"), 4)
     asked = [F.concat(F.lit("Is there a "), a, F.lit(" "), place, F.lit(" to the "), c), F.concat(F.lit("Is there the "), a, F.lit(" "), place, F.lit(" a "), c), F.concat(F.lit("Does the "), a, F.lit(" "), b, F.lit(" a "), c), F.concat(F.lit("Where is a "), c)]
