@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relcheck.functions.text import basename, canonical_id, draw, exact_key, normal_relation, path_stem, phrase_lemma, too_alike
 from relcheck.operators.ranges import spare
+from relcheck.tables import spread
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -99,8 +100,8 @@ def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str, grou
     n, found = own + "n", own + "seen"
     exact = known.select(exact_key(F.col(known_term)).alias("x")).where("x <> ''").distinct()
     lemmas = exact.select(phrase_lemma(F.col("x")).alias("y")).distinct()
-    terms = df.select(exact_key(F.col(term)).alias(n)).where(F.col(n) != "").distinct()
-    told = terms.join(exact.withColumn("e", F.lit(True)), F.col(n) == F.col("x"), "left").join(lemmas.withColumn("l", F.lit(True)), phrase_lemma(F.col(n)) == F.col("y"), "left")
+    terms = spread(df.select(exact_key(F.col(term)).alias(n)).where(F.col(n) != ""), n).distinct().withColumn(own + "lemma", phrase_lemma(F.col(n)))
+    told = terms.join(exact.withColumn("e", F.lit(True)), F.col(n) == F.col("x"), "left").join(lemmas.withColumn("l", F.lit(True)), F.col(own + "lemma") == F.col("y"), "left")
     told = told.select(n, "e", "l")
     if groups is not None:
         there = groups.join(exact, F.col("term") == F.col("x"), "left_semi").select("grp").distinct()
