@@ -94,14 +94,18 @@ def candidates(df: DataFrame, keep: list[str], attempts: str) -> DataFrame:
 def graph_triplets(df: DataFrame, keep: list[str], names: Column, edges: Column) -> DataFrame:
     """PR-11: edges [s, o, p] between node numbers as subject, object, predicate; edges out of range go. The names are looked
     up before the edges become rows, so that no row carries all names."""
+    return df.select(*keep, F.explode(triplet_list(names, edges)).alias("e")).select(*keep, "e.edge", "e.subject", "e.object", "e.predicate")
+
+
+def triplet_list(names: Column, edges: Column) -> Column:
+    """PR-11: a graph's triplets as an array of structs of edge, subject, object and predicate."""
 
     def told(own: Column) -> Column:
         inside = lambda i: (i >= 0) & (i < F.size(own))
         row = lambda e, i: F.struct(i.alias("edge"), F.get(own, e[0]).alias("subject"), F.get(own, e[1]).alias("object"), e[2].alias("predicate"), (inside(e[0]) & inside(e[1])).alias("_in"))
         return F.filter(F.transform(edges, row), lambda x: x["_in"])
 
-    each = F.transform(F.array(names), told)[0]  # names are made once a row
-    return df.select(*keep, F.explode(each).alias("e")).select(*keep, "e.edge", "e.subject", "e.object", "e.predicate")
+    return F.transform(F.array(names), told)[0]  # names are made once a row
 
 
 def public(df: DataFrame, *dropped: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relcheck.functions import answers as A
@@ -109,10 +109,17 @@ e as (select doc_id, ws, unnest(range(len(ws))) as i from w)
 select doc_id, count(*) as n, count(distinct ws[i + 1]) as subjects, count(distinct (ws[i + 1], ws[i + 3])) as pairs, sum(i + 1)::bigint as predicates from e where i + 2 < len(ws) group by doc_id""")
 def word_graph(spark: SparkSession, d: str) -> DataFrame:
     """PR-11: each word and the second one after it as an edge; edges that lead out of the text go."""
-    docs = read(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("ws"))
-    edges = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.array(i, i + 2, i + 1))
-    rows = P.graph_triplets(docs.withColumn("edges", edges), ["doc_id"], F.col("ws"), F.col("edges"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("subject").alias("subjects"), F.count_distinct(F.struct("subject", "object")).alias("pairs"), F.sum("predicate").cast("bigint").alias("predicates"))
+    docs = read(spark, d, "documents").where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+    def triplets(text: Column) -> Column:
+        edges = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.array(i, i + 2, i + 1))
+        return T.let(F.split(text, " "), lambda ws: P.triplet_list(ws, edges(ws)))
+
+    graphs = docs.select("doc_id", F.flatten(F.transform("texts", triplets)).alias("e")).where(F.size("e") > 0)
+    # Counted within each document: texts are shuffled once, edges never. Words have no space, so a pair is told by its text.
+    pairs = F.transform("e", lambda x: F.concat(x["subject"], F.lit(" "), x["object"]))
+    total = F.aggregate("e", F.lit(0).cast("bigint"), lambda s, x: s + x["predicate"])
+    return graphs.select("doc_id", F.size("e").cast("bigint").alias("n"), F.size(F.array_distinct("e.subject")).cast("bigint").alias("subjects"), F.size(F.array_distinct(pairs)).cast("bigint").alias("pairs"), total.alias("predicates"))
 
 
 @query("select source, count(*) as n, 0::bigint as first, count(*) - 1 as last, count(*) as places, sum(doc_id)::bigint as ids from documents where source is not null group by source")
