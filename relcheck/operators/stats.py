@@ -110,6 +110,19 @@ def paired_bootstrap(df: DataFrame, a_right: Column, b_right: Column, draws: int
     return with_interval(point.select(*keys, "n", "delta"), means, draws, *keys)
 
 
+def paired_resampling(df: DataFrame, a_right: Column, b_right: Column, item: Column, draws: int, seed: int) -> DataFrame:
+    """AG-06 by resampling itself: n, the accuracy difference delta = b - a, and its interval from draws of n of n items.
+
+    Items are numbered by `item`; slot j of draw d takes the item numbered floor(n u), where u is the number by md5 of seed,
+    d and j. Every slot is drawn and looked up by a join, and a draw's mean is an aggregate. Items with unknown outcomes are
+    drawn, but count in no mean."""
+    items = df.select(item.alias("item"), (b_right.cast("int") - a_right.cast("int")).alias("v"))
+    items = saved(in_ranges(items, [], [F.col("item")], rank="r", size="n").select((F.col("r") - 1).alias("o"), "v", "n"))
+    slots = with_draws(items.select("o", "n"), draws).select("draw", F.floor(unit(seed, F.col("draw"), F.col("o")) * F.col("n")).alias("o"))
+    means = slots.join(items.select("o", "v"), "o").groupBy("draw").agg(F.avg("v").alias("mean"))
+    return with_interval(items.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("delta")), means, draws)
+
+
 def summary(df: DataFrame, value: Column, *keys: str) -> DataFrame:
     """AG-07: n, mean, median, sample deviation (0.0 for one row), share of positive values."""
     return df.groupBy(*keys).agg(

@@ -122,14 +122,15 @@ bb as (select label, draw, n as whole, k as n, {unit_sql(f"'{seed}:' || label ||
 diff as (select label, draw, (2 * k - n)::double / whole as mean from bk)"""
 
 
-@query(f"""{LOGS}, counts as (
-  select 'paired' as label, count(*) n, count(*) filter (a = gold and b <> gold) oa, count(*) filter (a <> gold and b = gold) ob from p
-), {difference_sql(7)}, s as (select list_sort(list(mean)) as xs from diff)
+@query(f"""{LOGS}, items as (
+  select row_number() over (order by doc_id) - 1 as o, (b = gold)::int - (a = gold)::int as v, count(*) over () as n from p
+), slots as (select draw, floor({unit_sql("'7:' || draw || ':' || o")} * n)::bigint as o from items, unnest(range(200)) as r(draw)),
+m as (select draw, avg(v) as mean from slots join items using (o) group by draw), s as (select list_sort(list(mean)) as xs from m)
 select (select avg((b = gold)::int - (a = gold)::int) from p) as delta, (select count(*) from p) as n, xs[6] as low, xs[196] as high from s""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     x = logs(spark, d)
     right = lambda c: A.pred_yes(F.col(c)) == F.col("gold")
-    return B.paired_bootstrap(x, right("answer"), right("other"), 200, 7)
+    return B.paired_resampling(x, right("answer"), right("other"), F.col("doc_id"), 200, 7)
 
 
 @query(f"""{LOGS}, counts as (
