@@ -9,10 +9,12 @@ averages the predictive probabilities of the SAMPLES seatings that follow, token
 
 On Spark: each task packs its documents' tokens into one blob for each bucket of sections; a bucket counts its sections
 and seats them; it exchanges numbers with the parts of the words (counts, customers, tables), which hold the parent and the
-contexts' totals. The tokens are shuffled once. Pairs of words that make up HOT_SHARE of the corpus or more, which are a
+contexts' totals. Words have their hashes with them on the first way to the parts only; then both sides know their places.
+The tokens are shuffled once. Pairs of words that make up HOT_SHARE of the corpus or more, which are a
 bounded number in any corpus, are counted where they stand, so that no bucket gathers their tokens; their probabilities are
 sent back to the documents. Seatings and the sums of their probabilities are a saved table in each round, so that no round
-repeats another. Log probabilities are summed per document within a bucket, then over buckets.
+repeats another. Log probabilities are summed per document within a bucket, packed into one blob for each shard of the
+documents, and summed over the buckets there: a row for each document and bucket is never made.
 """
 
 from __future__ import annotations
@@ -60,8 +62,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.decompress(blob))
 
 
-def bucket_of(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    return (mixed(u * STEP + w) % U(n)).astype(np.int64)
+def pairs_of(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hashes of pairs (context, word); modulo the number of buckets they are the pairs' buckets."""
+    return mixed(u * STEP + w)
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -85,13 +88,29 @@ def heavy_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             u, w, _ = tokens_of(pdf)
-            pair, many = np.unique(mixed(u * STEP + w), return_counts=True)
+            pair, many = np.unique(pairs_of(u, w), return_counts=True)
             some = many >= max(HOT_COUNT, HOT_SHARE * pdf["_text"].map(len).sum())
             yield pd.DataFrame({"pair": pair[some].view(np.int64), "many": many[some]})
 
 
-def is_hot(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    return np.isin(mixed(u * STEP + w), hot)
+def is_hot(pair: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which pairs are in hot (ascending): a table of their low bits leaves few to look up."""
+    out, mask = np.zeros(len(pair), bool), U((1 << max(16, (16 * len(hot)).bit_length())) - 1)
+    if len(hot):
+        low = np.zeros(int(mask) + 1, bool)
+        low[hot & mask] = True
+        some = np.flatnonzero(low[pair & mask])
+        out[some] = hot[np.minimum(np.searchsorted(hot, pair[some]), len(hot) - 1)] == pair[some]
+    return out
+
+
+def numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(names, return_inverse=True), without sorting more than the different names."""
+    index, names = pd.factorize(names)
+    order = np.argsort(names)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return names[order], place[index]
 
 
 def held_out(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
@@ -106,21 +125,28 @@ def send_tokens(n_buckets: int, sent, turn: int, turns: int):
             pdf = pdf.sort_values("_id", kind="stable", ignore_index=True)
             u, w, doc = tokens_of(pdf)
             ids, null, h = pdf["_id"].astype("Int64").fillna(0).to_numpy(np.int64), pdf["_id"].isna().to_numpy(), pdf["_h"].to_numpy(np.int64)
-            learnt, hot = ~held_out(ids, null)[doc], is_hot(u, w, sent.value)
-            pair, at, where = np.unique(mixed(u[hot] * STEP + w[hot]), return_index=True, return_inverse=True)
-            hu, hw, hc = u[hot][at], w[hot][at], np.bincount(where, learnt[hot], len(pair)).astype(np.int64)
-            u, w, doc = u[~hot], w[~hot], doc[~hot]
-            bucket, hb = bucket_of(u, w, n_buckets), bucket_of(hu, hw, n_buckets)
-            order = np.argsort(bucket, kind="stable")
+            learnt, pair = ~held_out(ids, null), pairs_of(u, w)
+            bucket = (pair % U(n_buckets)).astype(np.min_scalar_type(n_buckets))
+            names, wi = numbered(np.append(END, w))
+            now = bucket % turns == turn
+            pair, bucket, doc, ui, wi = pair[now], bucket[now], doc[now], wi[:-1][now], wi[1:][now]  # a context is the word before
+            hot = is_hot(pair, sent.value)
+            pair, at, where = np.unique(pair[hot], return_index=True, return_inverse=True)
+            hb, hu, hw, hc = bucket[hot][at], ui[hot][at], wi[hot][at], np.bincount(where, learnt[doc[hot]], len(pair)).astype(np.int64)
+            order = np.flatnonzero(~hot)
+            order = order[np.argsort(bucket[order], kind="stable")]
             cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows = []
-            for b in [x for x in np.union1d(bucket, hb) if x % turns == turn]:
+            rows, there = [], np.zeros(len(names), bool)
+            for b in np.union1d(bucket[order], hb).tolist():
                 own, mine = order[cut[b] : cut[b + 1]], hb == b
-                names, local = np.unique(np.concatenate([u[own], w[own], hu[mine], hw[mine]]), return_inverse=True)
-                local = np.split(local, np.cumsum([len(own), len(own), mine.sum()]))
+                local = [ui[own], wi[own], hu[mine], hw[mine]]
+                there[:] = False
+                for x in local:
+                    there[x] = True
+                place = np.cumsum(there, dtype=np.int32) - 1
                 docs, many = np.unique(doc[own], return_counts=True)
                 keys = np.diff(ids[docs], prepend=0), null[docs] if null.any() else null[:0], h[docs] if h.any() else h[:0]
-                rows.append((b, pack(np.diff(names, prepend=U(0)), *[small(x) for x in local], small(hc[mine]), small(many), *keys)))
+                rows.append((b, pack(np.diff(names[there], prepend=U(0)), *[small(place[x]) for x in local], small(hc[mine]), small(many), *keys)))
             yield pd.DataFrame(rows, columns=["bucket", "blob"])
 
     return send
@@ -176,8 +202,9 @@ def log_ways(c: np.ndarray, t: np.ndarray) -> np.ndarray:
 def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndarray, strength: float) -> np.ndarray:
     """Tables of sections with c customers, drawn from their distribution given the other tables of their restaurants and
     the parent's p: S(c, t) p^t prod(strength + DISCOUNT * (others + i), i < t)."""
-    out, order = np.minimum(c, 1), np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(FEW + 2))
+    few = np.minimum(c, FEW + 1).astype(np.uint8)
+    out, order = np.minimum(c, 1), np.argsort(few, kind="stable")
+    cut = np.searchsorted(few[order], np.arange(FEW + 2))
     for n in range(2, FEW + 1):
         ways = np.exp(log_ways(np.full(n, n), np.arange(1, n + 1)))
         for k in range(cut[n], cut[n + 1], 1 << 15):
@@ -186,6 +213,7 @@ def seat(rng: np.random.Generator, c: np.ndarray, others: np.ndarray, p: np.ndar
             each = np.cumsum(np.concatenate([np.ones((1, len(own))), np.cumprod(new, axis=0)]), axis=0)
             out[own] = 1 + (each < rng.random(len(own)) * each[-1]).sum(axis=0)
     many = order[cut[FEW + 1] :]
+    many = many[np.argsort(c[many], kind="stable")]
     for at in np.split(many, np.searchsorted(c[many], [64, 128, 512, 1 << 11, 1 << 13, 1 << 16, 1 << 20])):
         for k in range(0, len(at), 1 << 14):
             own = at[k : k + (1 << 14)]
@@ -220,8 +248,9 @@ def p_parent(customers: np.ndarray, seated: np.ndarray, totals: np.ndarray) -> n
     return (customers - DISCOUNT * seated + base) / (PARENT_STRENGTH + every)
 
 
-#: What a round writes: `tokens`, `sections` and `state` of a bucket, `words` (a bucket's numbers for a part), and of a part
-#: its `parent` tables, what it `told` a bucket and its `totals`.
+#: What a round writes: `tokens`, `sections` and `state` of a bucket, `words` (a bucket's numbers for a part, the first time
+#: with the words' hashes), and of a part its `parent` tables, what it `told` a bucket, its `totals` and, the first time, the
+#: `places` of a bucket's words in the part.
 ROWS = "kind string, part int, bucket int, names binary, numbers binary"
 
 
@@ -236,10 +265,11 @@ def saved_kinds(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Deletes the table of a round that is over; its shuffles go when the JVM finds that nothing refers to them."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes the tables of a round that is over; its shuffles go when the JVM finds that nothing refers to them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     free_shuffles(spark)
 
 
@@ -251,30 +281,33 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def split_words(bucket: int, names: np.ndarray, n_parts: int, *numbers: np.ndarray) -> list[tuple]:
-    """Rows that carry a bucket's numbers of each word to the parts, which hold the words."""
-    return [("words", b, bucket, pack(np.diff(names[at], prepend=U(0))), pack(*[small(x[at]) for x in numbers])) for b, at in enumerate(by_part(names, n_parts)) if len(at)]
+def split_words(bucket: int, at: list[np.ndarray], *numbers: np.ndarray, names: np.ndarray | None = None) -> list[tuple]:
+    """Rows that carry a bucket's numbers of each word to the parts, which hold the words; at: each part's words."""
+    told = lambda own: b"" if names is None else pack(np.diff(names[own], prepend=U(0)))
+    return [("words", b, bucket, told(own), pack(*[small(x[own]) for x in numbers])) for b, own in enumerate(at) if len(own)]
 
 
-def by_part(names: np.ndarray, n_parts: int) -> list[np.ndarray]:
-    """For each part the places of its words in names, ascending."""
-    part = (mixed(names) % U(n_parts)).astype(np.int64)
+def by_part(part: np.ndarray, n_parts: int) -> list[np.ndarray]:
+    """For each part the places of its words, ascending."""
     order = np.argsort(part, kind="stable")
     return np.split(order, np.searchsorted(part[order], np.arange(1, n_parts)))
 
 
-def first_round(n_parts: int):
+def first_round(n_parts: int, sent):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         """A bucket's tokens and sections, each section with one table."""
         own, bucket = Bucket(pdf["blob"]), int(pdf["bucket"].iloc[0])
         t = np.minimum(own.c, 1)
         many = np.bincount(own.doc, minlength=own.n_docs)
+        part = (mixed(own.names) % U(n_parts)).astype(np.min_scalar_type(n_parts))
+        pair = pairs_of(own.names[own.u], own.names[own.w])
+        hot = np.flatnonzero(is_hot(pair, sent.value))
         head = [
-            ("tokens", -1, bucket, b"", pack(small(own.section), small(many), np.diff(own.keys[0], prepend=0), *[x if x.any() else x[:0] for x in own.keys[1:]])),
-            ("sections", -1, bucket, pack(np.diff(own.names, prepend=U(0))), pack(small(np.diff(own.u, prepend=0)), small(own.w), small(own.c))),
+            ("tokens", -1, bucket, pack(hot, pair[hot]), pack(small(own.section), small(many), np.diff(own.keys[0], prepend=0), *[x if x.any() else x[:0] for x in own.keys[1:]])),
+            ("sections", -1, bucket, b"", pack(part, small(np.diff(own.u, prepend=0)), small(own.w), small(own.c))),
             ("state", -1, bucket, b"", pack(small(t), np.zeros(len(t), np.float32))),
         ]
-        return rows_of(head + split_words(bucket, own.names, n_parts, own.add(own.w, own.c), own.add(own.u, t), own.add(own.w, t)))
+        return rows_of(head + split_words(bucket, by_part(part, n_parts), own.add(own.w, own.c), own.add(own.u, t), own.add(own.w, t), names=own.names))
 
     return count
 
@@ -284,31 +317,33 @@ def seat_parent(step: int, before: np.ndarray | None):
 
     def seated(pdf: pd.DataFrame) -> pd.DataFrame:
         sent, part = pdf[pdf["kind"] == "words"].sort_values("bucket"), int(pdf["part"].iloc[0])
-        at, sums = gathered(sent)
-        sums = [x.astype(np.int64) for x in sums]
         if before is None:
-            n, tables, customers = sums
+            names = [np.cumsum(unpack(b)[0], dtype=np.uint64) for b in sent["names"]]
+            every, index = np.unique(np.concatenate(names), return_inverse=True)
+            at = np.split(index, np.cumsum([len(x) for x in names])[:-1])
+            n, tables, customers = summed(sent, at, len(every))
             t = np.minimum(customers, 1)
         else:
-            tables, customers = sums
+            places = pdf[pdf["kind"] == "places"].sort_values("bucket")
+            at = [np.cumsum(unpack(b)[0], dtype=np.int64) for b in places["numbers"]]
             n, t = (x.astype(np.int64) for x in unpack(pdf["numbers"][pdf["kind"] == "parent"].iloc[0]))
+            tables, customers = summed(sent, at, len(n))
             p = np.full(len(t), 1 / (before[0] + 1))
             t = seat(np.random.default_rng([1, part, step]), customers, np.maximum(before[3] - t, 0), p, PARENT_STRENGTH)
         totals = np.array([(n > 0).sum(), n.sum(), customers.sum(), t.sum()], float)
         rows = [("parent", part, -1, b"", pack(small(n), small(t))), ("totals", part, -1, b"", pack(totals))]
+        if before is None:  # names ascend, so their places do
+            rows += [("places", part, b, b"", pack(small(np.diff(own, prepend=0)))) for b, own in zip(sent["bucket"], at, strict=True)]
         rows += [("told", part, b, b"", pack(*[small(x[own]) for x in (n, tables, customers, t)])) for b, own in zip(sent["bucket"], at, strict=True)]
         return rows_of(rows)
 
     return seated
 
 
-def gathered(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each row's places in the words of a part, and the sums of each number over the rows."""
-    names = [np.cumsum(unpack(b)[0], dtype=np.uint64) for b in pdf["names"]]
-    every, index = np.unique(np.concatenate(names), return_inverse=True)
-    numbers = [unpack(b) for b in pdf["numbers"]]
-    sums = [np.bincount(index, np.concatenate([n[k] for n in numbers]), len(every)) for k in range(len(numbers[0]))]
-    return np.split(index, np.cumsum([len(x) for x in names])[:-1]), sums
+def summed(sent: pd.DataFrame, at: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """The sums of each number of a part's n words over the buckets; at: the places of each bucket's words."""
+    numbers, index = [unpack(b) for b in sent["numbers"]], np.concatenate(at)
+    return [np.bincount(index, np.concatenate(x), n).astype(np.int64) for x in zip(*numbers, strict=True)]
 
 
 class Seated:
@@ -317,15 +352,15 @@ class Seated:
     def __init__(self, pdf: pd.DataFrame, totals: np.ndarray, n_parts: int, averaged: bool):
         kinds = dict(list(pdf.groupby("kind")))
         self.bucket, own = int(pdf["bucket"].iloc[0]), kinds["sections"].iloc[0]
-        self.names = np.cumsum(unpack(own["names"])[0], dtype=np.uint64)
-        steps, self.w, self.c = (x.astype(np.int64) for x in unpack(own["numbers"]))
+        part, *numbers = unpack(own["numbers"])
+        steps, self.w, self.c = (x.astype(np.int64) for x in numbers)
         self.u = np.cumsum(steps)  # sections are in the order of their contexts
         self.t, self.sum = unpack(kinds["state"]["numbers"].iloc[0])
         self.t = self.t.astype(np.int64)
-        at, told = by_part(self.names, n_parts), np.zeros((4, len(self.names)))
+        self.at, told = by_part(part, n_parts), np.zeros((4, len(part)))
         for b, blob in zip(kinds["told"]["part"], kinds["told"]["numbers"], strict=True):
             for x, y in zip(told, unpack(blob), strict=True):
-                x[at[b]] = y
+                x[self.at[b]] = y
         self.n, self.tables = told[:2]
         self.p = p_parent(told[2], told[3], totals)
         if averaged:
@@ -333,7 +368,7 @@ class Seated:
         self.tokens = kinds.get("tokens")
 
     def add(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return np.bincount(at, values, len(self.names)).astype(np.int64)
+        return np.bincount(at, values, len(self.n)).astype(np.int64)
 
 
 def next_round(step: int, totals: np.ndarray, n_parts: int):
@@ -342,41 +377,55 @@ def next_round(step: int, totals: np.ndarray, n_parts: int):
         rng = np.random.default_rng([0, own.bucket, step])
         t = seat(rng, own.c, np.maximum(own.tables[own.u] - own.t, 0), own.p[own.w], STRENGTH)
         state = ("state", -1, own.bucket, b"", pack(small(t), own.sum.astype(np.float32)))
-        return rows_of([state, *split_words(own.bucket, own.names, n_parts, own.add(own.u, t), own.add(own.w, t))])
+        return rows_of([state, *split_words(own.bucket, own.at, own.add(own.u, t), own.add(own.w, t))])
 
     return sample
 
 
-SCORES = "_id long, _h long, ends long, tokens long, known long, base double, score double, hot long"
-
-
-def keyed(ids: np.ndarray, null: np.ndarray, h: np.ndarray) -> pd.DataFrame:
-    out = pd.DataFrame({"_id": pd.array(ids, "Int64"), "_h": h})
-    out.loc[null, "_id"] = pd.NA
-    return out
+#: Sums of a bucket's tokens for the documents of a shard; those of its hot pairs have shard -1.
+SHARDS = "shard int, bucket int, blob binary"
+SCORES = "_id long, _h long, ends long, tokens long, known long, base double, score double"
 
 
-def score_tokens(totals: np.ndarray, n_parts: int, sent):
+def score_tokens(totals: np.ndarray, n_parts: int):
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sums over a bucket's tokens by document, and one row for each of its hot pairs."""
+        """Sums over a bucket's tokens by document, in a row for each shard of documents, and a row of its hot pairs."""
         own = Seated(pdf, totals, n_parts, True)
         n, (known, train) = own.n, totals[:2]
         mean = np.log10(own.sum / (SAMPLES * (STRENGTH + n[own.u])))
         base = np.log10((n + 0.1) / (train + 0.1 * (known + 1)))
-        section, many, *keys = unpack(own.tokens["numbers"].iloc[0])
-        keys = whole_keys(*keys)
+        told = own.tokens.iloc[0]
+        section, many, *keys = unpack(told["numbers"])
+        ids, null, h = whole_keys(*keys)
         doc, token = np.repeat(np.arange(len(many)), many), own.w[section]
-        add = lambda x: np.bincount(doc, x, len(many))
-        docs = keyed(*keys).assign(ends=0, tokens=0, known=add(n[token] > 0).astype(np.int64), base=add(base[token]), score=add(mean[section]), hot=pd.array([None] * len(many), "Int64"))
-        u, w = own.names[own.u], own.names[own.w]
-        hot = np.flatnonzero(is_hot(u, w, sent.value))
-        none = pd.array([None] * len(hot), "Int64")
-        pairs = pd.DataFrame({"_id": none, "_h": 0, "ends": 0, "tokens": 0, "known": (n[own.w[hot]] > 0).astype(np.int64), "base": base[own.w[hot]], "score": mean[hot], "hot": pd.array(mixed(u[hot] * STEP + w[hot]).view(np.int64), "Int64")})
-        return pd.concat([docs, pairs])
+        sums = [np.bincount(doc, x, len(many)) for x in (n[token] > 0, base[token], mean[section])]
+        columns = ids, null, h, small(sums[0].astype(np.int64)), *sums[1:]
+        shard = (mixed(ids.view(np.uint64) ^ h.view(np.uint64)) % U(n_parts)).astype(np.min_scalar_type(n_parts))
+        rows = [(k, own.bucket, pack(*[x[at] for x in columns])) for k, at in enumerate(by_part(shard, n_parts)) if len(at)]
+        hot, pair = unpack(told["names"])
+        if len(hot):
+            rows.append((-1, own.bucket, pack(pair, n[own.w[hot]] > 0, base[own.w[hot]], mean[hot])))
+        return pd.DataFrame(rows, columns=["shard", "bucket", "blob"])
 
     return score
 
 
+def keyed(ids: np.ndarray, null: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"_id": pd.array(ids, "Int64"), "_h": h})
+    out.loc[null, "_id"] = pd.NA
+    return out
+
+
+def sum_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a shard: its sums over the buckets."""
+    ids, null, h, *sums = (np.concatenate(x) for x in zip(*map(unpack, pdf.sort_values("bucket")["blob"]), strict=True))
+    order = np.lexsort((h, null, ids))
+    ids, null, h = ids[order], null[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (h[1:] != h[:-1])]))
+    known, base, score = (np.add.reduceat(x[order], first, dtype=t) for x, t in zip(sums, (np.int64, float, float), strict=True))
+    return keyed(ids[first], null[first], h[first]).assign(ends=0, tokens=0, known=known, base=base, score=score)
+
+
 def score_hot(pairs):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row for each row of the documents: its tokens, and sums over those in hot pairs."""
@@ -384,12 +433,12 @@ def score_hot(pairs):
         for pdf in batches:
             if len(pdf):
                 u, w, doc = tokens_of(pdf)
-                pair = mixed(u * STEP + w)
+                pair = pairs_of(u, w)
                 at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
                 hot = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
                 known, base, mean = (np.bincount(doc[hot], x[at[hot]], len(pdf)) for x in numbers)
                 out = pdf[["_id", "_h"]].astype({"_id": "Int64"})
-                yield out.assign(ends=1, tokens=np.bincount(doc, minlength=len(pdf)), known=known.astype(np.int64), base=base, score=mean, hot=pd.array([None] * len(pdf), "Int64"))
+                yield out.assign(ends=1, tokens=np.bincount(doc, minlength=len(pdf)), known=known.astype(np.int64), base=base, score=mean)
 
     return score
 
@@ -416,36 +465,39 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first, turns, paths = None, min(n, PASSES), []
     for turn in range(turns):
         sent = base.mapInPandas(send_tokens(n, sent_hot, turn, turns), TOKENS).repartition(tasks, "bucket").groupBy("bucket")
-        done, path = saved_kinds(sent.applyInPandas(first_round(n), ROWS))
+        done, path = saved_kinds(sent.applyInPandas(first_round(n, sent_hot), ROWS))
         paths.append(path)
         first = done if first is None else first.unionByName(done)
         del sent
         free_shuffles(spark)  # the tokens are in the table
-    now, told, parent, totals, old_now, old_told = first, None, None, None, None, None
+    now, parent, totals, old_now, over = first, None, None, None, [f"{x}/kind=words" for x in paths]
     for step in range(BURN_IN + SAMPLES + 1):
         words = now.where("kind = 'words'")
-        words = words if parent is None else words.unionByName(parent)
+        words = words if parent is None else words.unionByName(parent).unionByName(places)
         told, path = saved_kinds(words.groupBy("part").applyInPandas(seat_parent(step, totals), ROWS))
-        for gone in [old_told] if old_told else [f"{x}/kind=words" for x in paths]:
-            drop_table(spark, gone)
-        parent, old_told = told.where("kind = 'parent'"), path
+        drop_tables(spark, over)
+        parent, over = told.where("kind = 'parent'"), [path]
+        if step == 0:
+            places, over = told.where("kind = 'places'"), [f"{path}/kind={x}" for x in ("parent", "told", "totals")]
         totals = np.sum([unpack(r.numbers)[0] for r in told.where("kind = 'totals'").collect()] or [np.zeros(4)], axis=0)
         state = first.where("kind = 'sections'").unionByName(now.where("kind = 'state'")).unionByName(told.where("kind = 'told'"))
         if step < BURN_IN + SAMPLES:
             now, path = saved_kinds(state.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(next_round(step, totals, n), ROWS))
-            if old_now:
-                drop_table(spark, old_now)
+            drop_tables(spark, [old_now] if old_now else [])
             old_now = path
     state, scores = state.unionByName(first.where("kind = 'tokens'")), None
     for turn in range(turns):
         own = state.where(F.col("bucket") % turns == turn).repartition(tasks, "bucket").groupBy("bucket")
-        done = saved(own.applyInPandas(score_tokens(totals, n, sent_hot), SCORES))
+        done = saved(own.applyInPandas(score_tokens(totals, n), SHARDS))
         scores = done if scores is None else scores.unionByName(done)
         del own
         free_shuffles(spark)
-    found = sorted((np.int64(r.hot).view(np.uint64), r.known, r.base, r.score) for r in scores.where("hot is not null").collect())
-    table_ = np.array([x[0] for x in found], np.uint64), [np.array([x[k] for x in found], float) for k in (1, 2, 3)]
-    every = scores.where("hot is null").unionByName(base.mapInPandas(score_hot(spark.sparkContext.broadcast(table_)), SCORES))
+    found = [unpack(r.blob) for r in scores.where("shard < 0").select("blob").collect()]
+    pair, *sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.uint64), *np.zeros((3, 0))]
+    order = np.argsort(pair)
+    sent_pairs = spark.sparkContext.broadcast((pair[order], [x[order].astype(float) for x in sums]))
+    sums = scores.where("shard >= 0").repartition(tasks, "shard").groupBy("shard").applyInPandas(sum_shard, SCORES)
+    every = sums.unionByName(base.mapInPandas(score_hot(sent_pairs), SCORES))
     total = every.groupBy("_id", "_h").agg(*[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")])
     rows = total.select("*", F.explode(F.sequence(F.lit(1), F.col("ends").cast("int"))))
     each = lambda c: (F.col(c) / F.col("ends")).cast("bigint")
