@@ -207,11 +207,12 @@ def converted(questions: DataFrame, question: str, label: str, templated: bool =
     return out.observe(observed, F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("converted"), F.count_if(failed).alias("failed"), *[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in TAGS])
 
 
-def conversion_quality(done: DataFrame) -> DataFrame:
+def conversion_quality(done: DataFrame, times: str | None = None) -> DataFrame:
     """SF-22's report on converted questions, a row for each tag and one for all (tag null): n, converted, failed, and
-    duplicates, statements that stand in a row before of the same tag (of all for the row of all)."""
+    duplicates, statements that stand in a row before of the same tag (of all for the row of all). times: a column that says
+    how many questions a row of done is."""
     said = F.col("statement").isNotNull()
-    each = done.groupBy("tag", "statement").agg(F.count(F.lit(1)).alias("n"))
+    each = done.groupBy("tag", "statement").agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n"))
     whole = each.groupBy("statement").agg(F.sum("n").alias("n")).withColumn("tag", F.lit(None).cast("string"))
     both = each.select("tag", "statement", "n").unionByName(whole)
     return both.groupBy("tag").agg(F.sum("n").alias("n"), F.sum(F.when(said, F.col("n")).otherwise(0)).alias("converted"), F.sum(F.when(~said, F.col("n")).otherwise(0)).alias("failed"), F.sum(F.when(said, F.col("n") - 1).otherwise(0)).alias("duplicates"))

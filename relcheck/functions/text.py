@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from relcheck.functions import vocabulary as V
 
 
+#: What \s is with (?U): the characters that Unicode calls white space.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def stripped(x: Column) -> Column:
     """Without white space (of Unicode) on both sides."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(WHITE))
 
 
 def spaced(x: Column) -> Column:
     """White space collapsed to single spaces, none on the sides."""
-    return stripped(F.regexp_replace(x, r"(?U)\s+", " "))
+    return stripped(F.regexp_replace(x, r"(?U) \s+|[\s&&[^ ]]\s*", " "))  # single spaces stay as they are
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:

@@ -11,6 +11,7 @@ from relcheck.functions import vocabulary as V
 from relcheck.operators import joins as J
 from relcheck.operators import shapes as P
 from relcheck.plans.registry import query, read
+from relcheck.tables import spread
 
 
 def listed(words: list[str]) -> str:
@@ -101,17 +102,22 @@ _SENTENCES = rf"""with s as (
 done as (select doc_id, said, tag, case when flat is not null then regexp_replace(upper(substr(flat, 1, 1)) || substr(flat, 2), '[ .]+$', '') || '.' end as statement from u)"""
 
 
-def sentence_questions(spark: SparkSession, d: str) -> DataFrame:
+def sentences(spark: SparkSession, d: str) -> DataFrame:
     said = F.filter(F.transform(F.split("text", "[.\n]"), lambda s: F.trim(s)), lambda s: s != "")
-    each = read(spark, d, "documents").select("doc_id", F.explode(said).alias("said"))
+    return read(spark, d, "documents").select("doc_id", F.explode(said).alias("said"))
+
+
+def sentence_questions(each: DataFrame) -> DataFrame:
+    """Rows with a sentence `said`, dealt to all cores and converted as questions: a file of texts is one task otherwise."""
     opening = F.get(F.array(*[F.lit(o) for o in OPENINGS]), F.length("said") % 7)
+    each = spread(each, *each.columns)
     return C.converted(each.withColumn("q", F.concat(opening, F.lit(" "), F.col("said"), F.lit("?"))), "q", "said")
 
 
 @query(f"{_SENTENCES} select doc_id, tag, count(*) as n, count(statement) as n_made, md5(string_agg(statement, '|' order by statement)) as digest from done group by doc_id, tag")
 def open_questions(spark: SparkSession, d: str) -> DataFrame:
     digest = F.md5(F.array_join(F.array_sort(F.collect_list("statement")), "|"))
-    each = sentence_questions(spark, d).groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count("statement").alias("n_made"), digest.alias("digest"))
+    each = sentence_questions(sentences(spark, d)).groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count("statement").alias("n_made"), digest.alias("digest"))
     return each.withColumn("digest", F.when(F.col("n_made") > 0, F.col("digest")))
 
 
@@ -120,7 +126,8 @@ both_ as (select tag, statement, n from each union all select null, statement, s
 select tag, sum(n)::bigint as n, coalesce(sum(n) filter (statement is not null), 0)::bigint as converted, coalesce(sum(n) filter (statement is null), 0)::bigint as failed,
   coalesce(sum(n - 1) filter (statement is not null), 0)::bigint as duplicates from both_ group by tag""")
 def conversion_report(spark: SparkSession, d: str) -> DataFrame:
-    return C.conversion_quality(sentence_questions(spark, d))
+    different = sentences(spark, d).groupBy("said").agg(F.count(F.lit(1)).alias("times"))
+    return C.conversion_quality(sentence_questions(different), "times")
 
 
 def words(df: DataFrame) -> DataFrame:
