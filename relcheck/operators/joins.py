@@ -114,16 +114,25 @@ def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str, grou
     return out.select(*df.columns, F.when(F.col(term).isNotNull(), F.coalesce(found, F.lit("unseen"))).alias("seen_at"))
 
 
+#: Rows of a task in which pairs are compared.
+PAIR_ROWS = 250_000
+
+
 def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str, probe: int, seed: int) -> DataFrame:
     """JN-11, SA-08: rows of one pair in different groups of which the other doesn't have the row's value at all: each row
-    meets at most `probe` rows of its pair, drawn by hash, so that a frequent pair doesn't make a square of rows."""
+    meets at most `probe` rows of its pair, drawn by hash, so that a frequent pair doesn't make a square of rows.
+
+    Rows are dealt by pair once, to tasks of about PAIR_ROWS, so that what a task sorts doesn't grow with the table; all that
+    follows stays within these tasks."""
     cols = [*pair, group, value]
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, df.count() // PAIR_ROWS)
+    dealt = df.select(*cols).repartition(tasks, *pair)
     rank = F.row_number().over(Window.partitionBy(*pair).orderBy(draw(seed, F.col(group), F.col(value))))
-    rows = df.select(*cols).distinct()
-    known = rows.groupBy(*pair, group).agg(F.collect_set(value).alias("_known"))
-    probes = rows.withColumn("_r", rank).where(F.col("_r") <= probe).drop("_r").join(known, [*pair, group])
+    known = F.collect_set(value).over(Window.partitionBy(*pair, group))
+    probes = dealt.distinct().withColumn("_known", known).withColumn("_r", rank).where(F.col("_r") <= probe).drop("_r")
     probes = probes.withColumnsRenamed({group: f"other_{group}", value: f"other_{value}"})
-    met = df.select(*cols).join(probes, pair)
+    met = dealt.join(probes, pair)
     return met.where((F.col(group) != F.col(f"other_{group}")) & ~F.array_contains("_known", F.col(value))).drop("_known")
 
 
