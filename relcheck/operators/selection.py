@@ -8,7 +8,9 @@ a row is certain as soon as the rows before it that share an image or the group
 * a row is left if a taken row has one of its images, or if the rows taken before it fill its group.
 
 Each round decides all rows that can be decided, at least the first one, and in a random order nearly all after few
-rounds. Rounds work on written tables; the driver sees counts only.
+rounds. Rounds go through the order in stretches, each FACTOR times as long as what is behind it: what is decided before
+a stretch removes rows of full groups and of used images from all that follow, so that most rows are read a few times and
+never in a round of their own. Rounds work on written tables; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from relcheck.operators.ranges import in_ranges
 from relcheck.tables import saved
 
 
+#: Rows of the first stretch, and how much longer the order is after each.
+STRETCH, FACTOR = 20_000, 16
+
+
 def _ends(rows: DataFrame) -> DataFrame:
     return rows.select("_o", F.explode("_images").alias("_image"))
 
@@ -45,13 +51,28 @@ def greedy_disjoint(df: DataFrame, group: str, images: list[str], cap: int | Non
     had = None
     if already is not None and cap is not None:
         had = already.groupBy(F.struct(F.col(group).cast("string").alias("g")).alias("_group2")).agg(F.count(F.lit(1)).alias("_had"))
+    taken, end, rest = rows.limit(0), STRETCH, rows
+    while not rest.isEmpty():
+        new = saved(_rounds(rest.where(F.col("_o") <= end), taken, cap, had))
+        taken, rest, end = saved(taken.unionByName(new)), rest.where(F.col("_o") > end), end * FACTOR
+        if cap is not None:
+            counts = taken.select(F.col("_group").alias("_group2"), F.lit(1).alias("_had"))
+            counts = (counts if had is None else counts.unionByName(had)).groupBy("_group2").agg(F.sum("_had").alias("_had"))
+            full = counts.where(F.col("_had") >= cap).select("_group2")
+            rest = rest.join(full, F.col("_group") == F.col("_group2"), "left_anti")
+        rest = saved(_without(rest, _ends(new).select("_image").distinct()))
+    return taken.select("row.*")
+
+
+def _rounds(rows: DataFrame, before: DataFrame, cap: int | None, had: DataFrame | None) -> DataFrame:
+    """The rows that the pass takes of these, after those taken before; had: more rows that count for the groups' caps."""
     taken, rounds = rows.limit(0), 0
     while not rows.isEmpty():
         first = _ends(rows).groupBy("_image").agg(F.min("_o").alias("_first"))
         later = _ends(rows).join(first, "_image").where("_o > _first").select("_o").distinct().withColumn("_later", F.lit(True))
         told = rows.join(later, "_o", "left").withColumns({"_fits": F.lit(True), "_full": F.lit(False)})
         if cap is not None:
-            both = rows.select("_o", "_group", F.lit(0).alias("_taken")).unionByName(taken.select("_o", "_group", F.lit(1).alias("_taken")))
+            both = rows.select("_o", "_group", F.lit(0).alias("_taken")).unionByName(before.unionByName(taken).select("_o", "_group", F.lit(1).alias("_taken")))
             room = F.lit(cap)
             if had is not None:
                 both = both.join(had, F.col("_group") == F.col("_group2"), "left").drop("_group2")
@@ -64,7 +85,7 @@ def greedy_disjoint(df: DataFrame, group: str, images: list[str], cap: int | Non
         rounds += 1
         taken = saved(taken.unionByName(new)) if rounds % 8 == 0 else taken.unionByName(new)
         rows = saved(_without(told.where("not _new").drop("_new"), new.select(F.explode("_images").alias("_image"))))
-    return taken.select("row.*")
+    return taken
 
 
 def _images_of(rows: DataFrame, left: str, right: str) -> DataFrame:

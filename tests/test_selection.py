@@ -57,3 +57,19 @@ def test_split_equals_sql_and_shares_no_image(same_as_sql, spark):
     out = QUERIES["image_disjoint_split"](spark, "/root/testdata/sf0.001").collect()
     images = [x for r in out for x in {r.image, r.other_image}]
     assert len(images) == len(set(images)) and {r.split for r in out} == {"train", "heldout"}
+
+
+@pytest.mark.parametrize("cap", [None, 3])
+def test_stretches_equal_the_pass(spark, cap, monkeypatch):
+    """Stretches of 10, 30 and more rows; with full groups most rows are in no round."""
+    monkeypatch.setattr(selection, "STRETCH", 10)
+    monkeypatch.setattr(selection, "FACTOR", 3)
+    seen, rounds = [], selection._rounds
+    monkeypatch.setattr(selection, "_rounds", lambda rows, *more: (seen.append(rows.count()), rounds(rows, *more))[1])
+    dice = random.Random(5)
+    rows = [(k, dice.choice(["p", "q", None]), f"a{dice.randrange(90)}", dice.choice([None, f"a{dice.randrange(90)}"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "o int, g string, a string, b string")
+    used, had = spark.createDataFrame([("a1",)], "image string"), df.where("o < 2")
+    got = selection.greedy_disjoint(df, "g", ["a", "b"], cap, [F.col("o")], used, had).collect()
+    want = one_pass(rows, cap, ["a1"], collections.Counter(g for _, g, *_ in rows[:2]))
+    assert sorted(r.o for r in got) == want and len(seen) > 1 and sum(seen) < (60 if cap else 300)
