@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, LongType
 
 from relcheck.operators.metrics import n_if
 from relcheck.operators.ranges import in_ranges
-from relcheck.tables import saved
+from relcheck.tables import saved, spread
 
 
 @F.pandas_udf(DoubleType())
@@ -115,11 +115,14 @@ def paired_resampling(df: DataFrame, a_right: Column, b_right: Column, item: Col
 
     Items are numbered by `item`; slot j of draw d takes the item numbered floor(n u), where u is the number by md5 of seed,
     d and j. Every slot is drawn and looked up by a join, and a draw's mean is an aggregate. Items with unknown outcomes are
-    drawn, but count in no mean."""
+    drawn, but count in no mean.
+
+    Slots are made on all cores and shuffled to the items. Spark takes them to be as few as the items and would broadcast
+    them, which the hint forbids: what is held in memory are the items of a partition."""
     items = df.select(item.alias("item"), (b_right.cast("int") - a_right.cast("int")).alias("v"))
     items = saved(in_ranges(items, [], [F.col("item")], rank="r", size="n").select((F.col("r") - 1).alias("o"), "v", "n"))
-    slots = with_draws(items.select("o", "n"), draws).select("draw", F.floor(unit(seed, F.col("draw"), F.col("o")) * F.col("n")).alias("o"))
-    means = slots.join(items.select("o", "v"), "o").groupBy("draw").agg(F.avg("v").alias("mean"))
+    slots = with_draws(spread(items.select("o", "n"), "o"), draws).select("draw", F.floor(unit(seed, F.col("draw"), F.col("o")) * F.col("n")).alias("o"))
+    means = slots.join(items.select("o", "v").hint("shuffle_hash"), "o").groupBy("draw").agg(F.avg("v").alias("mean"))
     return with_interval(items.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("delta")), means, draws)
 
 

@@ -16,3 +16,9 @@ def test_every_slot_of_every_draw_is_drawn(spark):
     assert (r.n, r.delta, r.low, r.high) == (37, pytest.approx(sum(v) / 37), pytest.approx(means[2]), pytest.approx(means[78]))
     none = stats.paired_resampling(df.limit(0), F.col("a"), F.col("b"), F.col("id"), 80, 7).first()
     assert (none.n, none.low) == (0, None)
+
+
+def test_slots_are_not_broadcast(spark):
+    df = spark.range(50).select("id", (F.col("id") % 3 == 0).alias("a"), (F.col("id") % 5 == 0).alias("b"))
+    plan = stats.paired_resampling(df, F.col("a"), F.col("b"), F.col("id"), 80, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [o" in plan and "BroadcastHashJoin" not in plan
