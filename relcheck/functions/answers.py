@@ -61,20 +61,26 @@ def yes_no_uncertain(text: Column) -> Column:
     )
 
 
-def strict_head(text: Column, fallback: bool = False) -> Column:
+def word_end(ascii_words: bool) -> str:
+    """Where a word of ASCII letters ends: before all but letters, digits and _, of Unicode or, with ascii_words, of ASCII."""
+    return r"(?![A-Za-z0-9_])" if ascii_words else r"\b"
+
+
+def strict_head(text: Column, fallback: bool = False, ascii_words: bool = False) -> Column:
     """FL-05: Yes or No at the head of the first line's first sentence, else Invalid, or with fallback FL-01 on that sentence
-    (an empty answer stays Invalid)."""
+    (an empty answer stays Invalid). Yesñ is no Yes, as in the reference; with ascii_words it is one, as in SQL on RE2."""
     line = F.split_part(F.split_part(stripped(given(text)), F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
-    head = F.lower(F.regexp_extract(F.replace(line, F.lit(","), F.lit(" ")), r"(?i)^\s*(yes|no)\b", 1))
+    head = F.lower(F.regexp_extract(F.replace(line, F.lit(","), F.lit(" ")), rf"(?i)^\s*(yes|no){word_end(ascii_words)}", 1))
     rest = F.when(pred_yes(line), "Yes").otherwise("No") if fallback else F.lit("Invalid")
     return F.when(head == "yes", "Yes").when(head == "no", "No").when(stripped(given(text)) == "", "Invalid").otherwise(rest)
 
 
-def prior_answer(text: Column) -> Column:
-    """FL-06: yes, no or invalid. A refusal is invalid unless it begins with yes or no; what FL-04 can't tell is too."""
+def prior_answer(text: Column, ascii_words: bool = False) -> Column:
+    """FL-06: yes, no or invalid. A refusal is invalid unless it begins with yes or no; what FL-04 can't tell is too.
+    ascii_words: of a refusal's beginning, as in strict_head."""
     raw = stripped(given(text))
     # Fixed value: what an answer may begin with.
-    head = F.lower(F.regexp_extract(raw, r"""^[\s"'`]*([Yy]es|[Nn]o|[Yy]|[Nn])(\b|[.,:;!?])""", 1))
+    head = F.lower(F.regexp_extract(raw, rf"""^[\s"'`]*([Yy]es|[Nn]o|[Yy]|[Nn])({word_end(ascii_words)}|[.,:;!?])""", 1))
     by_head = F.when(head.startswith("y"), "yes").when(head.startswith("n"), "no").otherwise("invalid")
     told = yes_no_uncertain(text)
     return F.when(raw == "", "invalid").when(raw.rlike(f"(?i){REFUSAL}"), by_head).when(told.isin("yes", "no"), told).otherwise("invalid")
