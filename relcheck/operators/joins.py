@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relcheck.functions.text import basename, canonical_id, draw, exact_key, normal_relation, path_stem, phrase_lemma, too_alike
+from relcheck.functions.text import basename, canonical_id, exact_key, normal_relation, path_stem, phrase_lemma, too_alike
 from relcheck.operators.ranges import spare
-from relcheck.tables import spread
+from relcheck.tables import saved, spread
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -116,24 +116,48 @@ def seen_level(df: DataFrame, term: str, known: DataFrame, known_term: str, grou
 
 #: Rows of a task in which pairs are compared.
 PAIR_ROWS = 250_000
-
-
-def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str, probe: int, seed: int) -> DataFrame:
-    """JN-11, SA-08: rows of one pair in different groups of which the other doesn't have the row's value at all: each row
-    meets at most `probe` rows of its pair, drawn by hash, so that a frequent pair doesn't make a square of rows.
-
-    Rows are dealt by pair once, to tasks of about PAIR_ROWS, so that what a task sorts doesn't grow with the table; all that
-    follows stays within these tasks."""
-    cols = [*pair, group, value]
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, df.count() // PAIR_ROWS)
-    dealt = df.select(*cols).repartition(tasks, *pair)
-    rank = F.row_number().over(Window.partitionBy(*pair).orderBy(draw(seed, F.col(group), F.col(value))))
-    known = F.collect_set(value).over(Window.partitionBy(*pair, group))
-    probes = dealt.distinct().withColumn("_known", known).withColumn("_r", rank).where(F.col("_r") <= probe).drop("_r")
-    probes = probes.withColumnsRenamed({group: f"other_{group}", value: f"other_{value}"})
-    met = dealt.join(probes, pair)
-    return met.where((F.col(group) != F.col(f"other_{group}")) & ~F.array_contains("_known", F.col(value))).drop("_known")
+#: Rows of a pair that are compared with each other in one piece; a pair of more is cut into blocks of about as many.
+BLOCK_ROWS = 4_000
+#: Numbers by hash that pairs are counted under first, since most tables have no frequent pair.
+BUCKETS = 65_536
+
+
+def frequent_pairs(rows: DataFrame, pair: list[str], own: str) -> DataFrame:
+    """The pairs of more than BLOCK_ROWS rows, with their numbers of rows and blocks (columns with the prefix own). Only pairs
+    that share a bucket of so many rows are counted one by one."""
+    n, bucket = own + "n", F.pmod(F.xxhash64(*pair), F.lit(BUCKETS))
+    many = F.col(n) > BLOCK_ROWS
+    full = rows.groupBy(bucket.alias(own + "bucket")).agg(F.count(F.lit(1)).alias(n)).where(many)
+    found = rows.join(F.broadcast(full), bucket == F.col(own + "bucket"), "left_semi").groupBy(*pair).agg(F.count(F.lit(1)).alias(n)).where(many)
+    return saved(found.withColumn(own + "blocks", F.ceil(F.col(n) / BLOCK_ROWS)))
+
+
+def same_pair_elsewhere(df: DataFrame, pair: list[str], group: str, value: str) -> DataFrame:
+    """JN-11: rows of one pair in different groups of which the other doesn't have the row's value at all: each row meets every
+    different row of its pair. A null value is one that no other group has; rows with a null in pair or group meet none.
+
+    Rows are dealt once, to tasks of about PAIR_ROWS, and all that follows stays within these tasks. A frequent pair's groups
+    are dealt to blocks by hash, and each two blocks (also a block and itself) are a cell that is compared by itself: rows go
+    to the cells of their block, so a frequent pair is spread over many tasks and none holds its square."""
+    rows = df.select(*pair, group, value).where(" and ".join(f"`{c}` is not null" for c in [*pair, group]))
+    own = spare(rows)
+    spark, home, low, high, known = df.sparkSession, own + "home", own + "low", own + "high", own + "known"
+    frequent = frequent_pairs(rows, pair, own)
+    copies = frequent.agg(F.coalesce(F.sum(F.col(own + "n") * (F.col(own + "blocks") - 1)), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, (df.count() + copies) // PAIR_ROWS)
+    # Frequent pairs are at most one for BLOCK_ROWS rows.
+    blocks = F.coalesce(own + "blocks", F.lit(1))
+    placed = rows.join(F.broadcast(frequent.drop(own + "n")), pair, "left").withColumn(home, F.pmod(F.xxhash64(group), blocks))
+    met = placed.withColumn(own + "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select(*rows.columns, home, F.least(home, own + "other").alias(low), F.greatest(home, own + "other").alias(high))
+    cell = [*pair, low, high]
+    dealt = met.repartition(tasks, *cell)
+    others = dealt.distinct().withColumn(known, F.collect_set(value).over(Window.partitionBy(*cell, group)))
+    others = others.withColumnsRenamed({group: f"other_{group}", value: f"other_{value}", home: own + "away"})
+    # Rows of one block meet in the cell of that block alone. Spark doesn't see how many rows the blocks make: no broadcast.
+    once = (F.col(low) == F.col(high)) | (F.col(home) != F.col(own + "away"))
+    met = dealt.join(others.hint("merge"), cell).where(once & (F.col(group) != F.col(f"other_{group}")))
+    return met.where(~F.coalesce(F.array_contains(known, F.col(value)), F.lit(False))).select(*rows.columns, f"other_{group}", f"other_{value}")
 
 
 def content_safe(candidates: DataFrame, benchmark: DataFrame, content: str, name: str | None = None) -> DataFrame:

@@ -296,13 +296,12 @@ def k_way_intersection_pivot(spark: SparkSession, d: str) -> DataFrame:
     return J.in_every_run(read(spark, d, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"], F.col("o_totalprice").cast("double"))
 
 
-@query("""with r as (select distinct l_partkey, l_suppkey, l_orderkey, l_returnflag from lineitem),
-n as (select *, row_number() over (partition by l_partkey, l_suppkey order by md5('3:' || l_orderkey || ':' || l_returnflag)) rn from r)
+@query("""with r as (select distinct l_partkey, l_suppkey, l_orderkey, l_returnflag from lineitem)
 select a.l_partkey, a.l_suppkey, a.l_orderkey, a.l_returnflag, b.l_orderkey as other_l_orderkey, b.l_returnflag as other_l_returnflag
-from lineitem a join n b using (l_partkey, l_suppkey) where b.rn <= 256 and a.l_orderkey <> b.l_orderkey
+from lineitem a join r b using (l_partkey, l_suppkey) where a.l_orderkey <> b.l_orderkey
 and not exists (select 1 from r where r.l_partkey = b.l_partkey and r.l_suppkey = b.l_suppkey and r.l_orderkey = b.l_orderkey and r.l_returnflag = a.l_returnflag)""")
 def entity_pair_selfjoin(spark: SparkSession, d: str) -> DataFrame:
-    return J.same_pair_elsewhere(read(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey", "l_returnflag", 256, 3)
+    return J.same_pair_elsewhere(read(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey", "l_returnflag")
 
 
 @query("""with o as (select row_number() over (order by o_orderkey) - 1 ord, o_custkey id from orders), c as (select row_number() over (order by c_custkey) - 1 ord, c_custkey id from customer)
